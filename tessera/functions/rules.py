@@ -95,6 +95,11 @@ ATTACK_TO_WEAPON = [
 SEVERITY_TO_NKILL = [("Critical", 5), ("High", 2), ("Medium", 0), ("Low", 0)]
 SEVERITY_TO_NWOUND = [("Critical", 10), ("High", 5), ("Medium", 2), ("Low", 0)]
 
+# ---- Fixed values: historical fallback feed ------------------------------------------
+FALLBACK_SOURCE = "GTD Historical Archive"
+FALLBACK_URL = "https://start.umd.edu/gtd"
+FALLBACK_TITLE = "Historical Event: %s in %s"
+
 # ---- Fixed values: cleaning ----------------------------------------------------------
 REQUIRED_COLS = ["iyear", "imonth", "iday", "latitude", "longitude", "country_txt",
                  "region_txt", "city", "attacktype1_txt", "weaptype1_txt",

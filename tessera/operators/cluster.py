@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import haversine_km, round_even
 from tessera.operators import geo
-from tessera.session import checkpoint_dir, scratch_path
+from tessera.session import checkpoint_dir, materialize
 
 MAX_ROUNDS = 200
 
@@ -107,19 +107,6 @@ def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str
     return rows.join(labelled_pts, [*keys, "latitude", "longitude"]).select(id_col, *keys, out)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
-
-    Cuts lineage (a lost executor re-reads the table instead of re-running the
-    iteration) and stops later plans from recomputing ``df``; one job, no double
-    computation as with ``Dataset.checkpoint``.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Min-label propagation with pointer jumping: returns (node, label=min node of component).
 
