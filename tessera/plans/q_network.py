@@ -1 +1,79 @@
-"""Named queries (placeholder until built)."""
+"""Perpetrator network queries.
+
+The fixture groups are near-uniform (cosine 0.84-0.99), so the code default 0.8
+gives a complete graph; N4/N5 use 0.97 so that both edges and isolated groups occur.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.expr import round_even
+from tessera.operators import network
+from tessera.plans.registry import query
+
+MIN_INC = 50
+
+
+def _profile_sql(region: str | None = None, min_inc: int = MIN_INC) -> str:
+    where = f" AND region_txt = '{region}'" if region else ""
+    return f"""grp AS (SELECT gname, count(*) AS incidents FROM incidents
+  WHERE gname IS NOT NULL AND gname <> 'Unknown'{where} GROUP BY gname HAVING count(*) >= {min_inc}),
+rowsg AS (SELECT i.* FROM incidents i JOIN grp USING (gname) WHERE true{where}),
+feat AS (SELECT gname, 'region_' || region_txt AS feature FROM rowsg WHERE region_txt IS NOT NULL
+  UNION ALL SELECT gname, 'attacktype1_' || attacktype1_txt FROM rowsg WHERE attacktype1_txt IS NOT NULL
+  UNION ALL SELECT gname, 'weaptype1_' || weaptype1_txt FROM rowsg WHERE weaptype1_txt IS NOT NULL
+  UNION ALL SELECT gname, 'targtype1_' || targtype1_txt FROM rowsg WHERE targtype1_txt IS NOT NULL),
+prof AS (SELECT f.gname, f.feature, count(*) / max(g.incidents) AS weight FROM feat f JOIN grp g USING (gname)
+  GROUP BY f.gname, f.feature),
+nrm AS (SELECT gname, sqrt(sum(weight * weight)) AS norm FROM prof GROUP BY gname),
+dot AS (SELECT a.gname AS g1, b.gname AS g2, sum(a.weight * b.weight) AS d FROM prof a JOIN prof b
+  ON a.feature = b.feature AND a.gname < b.gname GROUP BY a.gname, b.gname),
+sim AS (SELECT g1, g2, d / (n1.norm * n2.norm) AS similarity FROM dot JOIN nrm n1 ON n1.gname = g1
+  JOIN nrm n2 ON n2.gname = g2)"""
+
+
+@query("n1_group_filter", oracle=f"WITH {_profile_sql()}\nSELECT gname, incidents FROM grp")
+def n1_group_filter(spark):
+    return network.eligible_groups(spark.table("incidents"), MIN_INC)
+
+
+@query("n2_group_profiles", oracle=f"WITH {_profile_sql()}\nSELECT gname, feature, round_even(weight, 6) AS weight FROM prof")
+def n2_group_profiles(spark):
+    p = network.group_profiles(spark.table("incidents"), MIN_INC)
+    return p.withColumn("weight", round_even("weight", 6))
+
+
+def _edges_sql(t: float, region: str | None = None, min_inc: int = MIN_INC) -> str:
+    return f"""WITH {_profile_sql(region, min_inc)}
+SELECT g1, g2, round_even(similarity, 6) AS similarity FROM sim WHERE similarity >= {t}"""
+
+
+def _edges(spark, t: float, region: str | None = None, min_inc: int = MIN_INC):
+    prof = network.group_profiles(spark.table("incidents"), min_inc, region)
+    e = network.similarity_edges(prof, t)
+    return e.withColumn("similarity", round_even("similarity", 6))
+
+
+@query("n3_pairwise_cosine", bench=True, oracle=_edges_sql(0.9))
+def n3_pairwise_cosine(spark):
+    return _edges(spark, 0.9)
+
+
+@query("n4_similarity_edges", oracle=_edges_sql(0.97))
+def n4_similarity_edges(spark):
+    return _edges(spark, 0.97)
+
+
+@query("n5_network_nodes", oracle=f"""WITH {_profile_sql()},
+e AS (SELECT g1, g2 FROM sim WHERE similarity >= 0.97)
+SELECT gname, incidents FROM grp WHERE gname IN (SELECT g1 FROM e UNION SELECT g2 FROM e)""")
+def n5_network_nodes(spark):
+    inc = spark.table("incidents")
+    prof = network.group_profiles(inc, MIN_INC)
+    return network.network_nodes(network.similarity_edges(prof, 0.97), network.eligible_groups(inc, MIN_INC))
+
+
+@query("n6_region_network", oracle=_edges_sql(0.9, "ASIA", 10))
+def n6_region_network(spark):
+    return _edges(spark, 0.9, "ASIA", 10)
