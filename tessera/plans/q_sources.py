@@ -1 +1,150 @@
-"""Named queries (placeholder until built)."""
+"""Source and sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import rules as R
+from tessera.operators import clean, live
+from tessera.plans.q_live import LIVE_CTES, LIVE_ROWS_SQL, live_feed
+from tessera.plans.registry import query
+from tessera.session import scratch_path
+from tessera.sources import files, store
+
+INC_COLS = [f.name for f in files.INCIDENT_SCHEMA.fields]
+HIST = ", ".join(store.HISTORY_COLS)
+
+
+@query("s1_csv_scan", oracle=f"SELECT {', '.join(INC_COLS)} FROM incidents")
+def s1_csv_scan(spark):
+    """S7 sink then S1 scan with an explicit schema: the incident table round-trips."""
+    path = scratch_path(spark, "incidents-csv")
+    files.write_csv(spark.table("incidents").select(*INC_COLS), path)
+    return files.read_incident_csv(spark, path)
+
+
+@query("s2_sql_over_dataset", oracle="""
+SELECT country_txt, count(*) AS n, CAST(sum(CASE WHEN success = 1 THEN 1 ELSE 0 END) AS BIGINT) AS successes
+FROM incidents GROUP BY country_txt""")
+def s2_sql_over_dataset(spark):
+    return files.query_data(spark, """
+SELECT country_txt, count(*) AS n, CAST(sum(CASE WHEN success = 1 THEN 1 ELSE 0 END) AS BIGINT) AS successes
+FROM incidents GROUP BY country_txt""")
+
+
+@query("s4_raw_load_inferred", oracle="""
+SELECT CAST(incident_id AS BIGINT) AS incident_id, CAST(iyear AS INT) AS iyear, country_txt,
+  CAST(nkill AS DOUBLE) AS nkill FROM incidents""")
+def s4_raw_load_inferred(spark):
+    """An unknown CSV read with type inference, then typed."""
+    path = scratch_path(spark, "incidents-raw-csv")
+    files.write_csv(spark.table("incidents").select(*INC_COLS), path)
+    raw = files.read_incident_csv(spark, path, schema=None)
+    return raw.select(F.col("incident_id").cast("bigint"), F.col("iyear").cast("int"), "country_txt",
+                      F.col("nkill").cast("double"))
+
+
+@query("s5_alias_rename", oracle=f"SELECT incident_id, {HIST} FROM incidents")
+def s5_alias_rename(spark):
+    """A frame with alias names (country, killed, ...) renamed back to the model's names."""
+    inc = spark.table("incidents").select("incident_id", *store.HISTORY_COLS)
+    aliased = inc.withColumnsRenamed({dst: src for src, dst in R.COL_ALIASES})
+    return clean.validate_columns(clean.rename_aliases(aliased)).select("incident_id", *store.HISTORY_COLS)
+
+
+@query("s6_required_columns", oracle="SELECT count(*) AS rows_checked FROM incidents")
+def s6_required_columns(spark):
+    checked = clean.validate_columns(spark.table("incidents"))
+    return checked.agg(F.count(F.lit(1)).alias("rows_checked"))
+
+
+@query("s7_prepared_csv_sink", oracle=None)
+def s7_prepared_csv_sink(spark):
+    """The cleaned table written as CSV and read back (rows as c8)."""
+    path = scratch_path(spark, "prepared-csv")
+    prepared = clean.prepare(spark.table("incidents"))
+    files.write_csv(prepared, path)
+    schema = prepared.schema
+    return spark.read.option("header", True).option("encoding", "ISO-8859-1").schema(schema).csv(path)
+
+
+_S8_SQL = """
+SELECT article_id, CASE WHEN article_id % 17 = 0 THEN 'Untitled event' ELSE title END AS title,
+  source_country, domain_fb AS domain, url, language,
+  CAST(strptime(strftime(seendate, '%Y%m%dT%H%M%SZ'), '%Y%m%dT%H%M%SZ') AS TIMESTAMP) AS seendate
+FROM (SELECT *, CASE WHEN article_id % 5 <> 0 THEN domain WHEN article_id % 10 <> 0 THEN 'web'
+  ELSE 'GDELT' END AS domain_fb FROM live_articles) t"""
+
+
+@query("s8_article_json", oracle=_S8_SQL)
+def s8_article_json(spark):
+    path = scratch_path(spark, "article-payloads")
+    files.write_article_payloads(spark.table("live_articles"), path)
+    return files.articles_from_payloads(spark, path).select(
+        "article_id", "title", "source_country", "domain", "url", "language", "seendate")
+
+
+@query("s9_asset_json", oracle="SELECT name, type, lat, lon, country, status FROM assets")
+def s9_asset_json(spark):
+    path = scratch_path(spark, "assets-json")
+    spark.table("assets").write.mode("overwrite").json(path)
+    return files.read_assets(spark, path)
+
+
+@query("s10_store_tables")
+def s10_store_tables(spark):
+    """Idempotent create (twice), then the live table (empty) with its fixed schema."""
+    root = scratch_path(spark, "store")
+    store.ensure_tables(spark, root)
+    store.ensure_tables(spark, root)
+    return store.read_live(spark, root)
+
+
+_COMBINED_SQL = f"""WITH {LIVE_CTES},
+lrows AS ({LIVE_ROWS_SQL})
+SELECT {HIST}, 'GTD' AS data_source FROM incidents
+UNION ALL SELECT {HIST}, source_label AS data_source FROM lrows"""
+
+
+def _live_rows(spark):
+    return live.to_incident_rows(live_feed(spark))
+
+
+@query("s11_combined_view", oracle=_COMBINED_SQL)
+def s11_combined_view(spark):
+    return store.combined(spark.table("incidents"), _live_rows(spark))
+
+
+@query("s12_combined_fallback", oracle=f"SELECT {HIST}, 'GTD' AS data_source FROM incidents")
+def s12_combined_fallback(spark):
+    """No live table yet: the combined table is the history alone."""
+    return store.load_combined(spark, spark.table("incidents"), scratch_path(spark, "missing-store"))
+
+
+@query("s13_store_stats", oracle=f"""WITH {LIVE_CTES},
+lrows AS ({LIVE_ROWS_SQL})
+SELECT (SELECT count(*) FROM incidents) AS gtd_rows, count(*) AS live_rows,
+  (SELECT count(*) FROM incidents) + count(*) AS total_rows,
+  count(DISTINCT country_txt) AS live_countries, coalesce(max(ingested_at), 'Never') AS last_ingest FROM lrows""")
+def s13_store_stats(spark):
+    return store.store_stats(spark.table("incidents"), _live_rows(spark))
+
+
+@query("s14_live_listing", oracle=f"""WITH {LIVE_CTES}
+SELECT source_id, iyear, imonth, iday, country_txt, original_title FROM ({LIVE_ROWS_SQL}) t""")
+def s14_live_listing(spark):
+    return store.live_listing(_live_rows(spark)).select(
+        "source_id", "iyear", "imonth", "iday", "country_txt", "original_title")
+
+
+@query("s14_ingest_log")
+def s14_ingest_log(spark):
+    """Two ingests into a fresh store (first half of the month, then all): the log, newest first."""
+    root = scratch_path(spark, "store")
+    rows = _live_rows(spark)
+    seen = spark.table("live_articles").select("article_id", "seendate")
+    first = rows.join(seen, "article_id").filter(
+        F.col("seendate") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")).drop("seendate")
+    store.ingest(spark, root, first, "1")
+    store.ingest(spark, root, rows, "2")
+    return store.log_listing(store.read_log(spark, root))
