@@ -1 +1,77 @@
-"""Named queries (placeholder until built)."""
+"""Streaming queries (ST1-ST5): streams run to completion with AvailableNow; ST2-ST4
+also run as batch queries with DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import geo
+from tessera.operators.prep import scored_incidents
+from tessera.plans.q_live import LIVE_CTES, live_feed
+from tessera.plans.registry import query
+from tessera.session import scratch_path
+from tessera.sources import store
+from tessera.streaming import ingest as st
+
+AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+def _run_ingest(spark, with_risk: bool = False):
+    src = scratch_path(spark, "article-files")
+    st.write_article_files(spark.table("live_articles"), src)
+    root = scratch_path(spark, "stream-store")
+    risk_path = scratch_path(spark, "risk-snapshots") if with_risk else None
+    hist = scored_incidents(spark)
+    st.ingest_stream(spark, src, root, geo.country_centroids(hist), scratch_path(spark, "ckpt-ingest"),
+                     history=hist if with_risk else None, risk_path=risk_path)
+    return root, risk_path
+
+
+@query("st1_stream_ingest")
+def st1_stream_ingest(spark):
+    """Articles as a file stream -> watermark dedupe -> idempotent store; the stored rows."""
+    root, _ = _run_ingest(spark)
+    return store.read_live(spark, root)
+
+
+@query("st5_stream_risk_refresh")
+def st5_stream_risk_refresh(spark):
+    """Risk snapshot per micro-batch (stream-static join); the last snapshot."""
+    _, risk_path = _run_ingest(spark, with_risk=True)
+    snaps = spark.read.parquet(risk_path)
+    last = snaps.select(F.max("batch_id")).scalar()
+    return snaps.filter(F.col("batch_id") == last).drop("batch")
+
+
+_LB = ", ".join(
+    f"CAST(sum(CASE WHEN date > {AS_OF} - INTERVAL {m} MINUTE AND date <= {AS_OF} THEN 1 ELSE 0 END) AS BIGINT) AS n_{n}"
+    for n, m in st.LOOKBACKS)
+
+
+@query("st2_lookback_counts", oracle=f"WITH {LIVE_CTES}\nSELECT country, {_LB} FROM livefeed GROUP BY country")
+def st2_lookback_counts(spark):
+    return st.lookback_counts(live_feed(spark))
+
+
+@query("st3_tumbling_counts", oracle=f"""WITH {LIVE_CTES}
+SELECT date_trunc('day', date) AS window_start, event, severity, count(*) AS n FROM livefeed
+GROUP BY 1, 2, 3""")
+def st3_tumbling_counts(spark):
+    return st.tumbling_counts(live_feed(spark), "1 day")
+
+
+@query("st4_surge_alerts", oracle=f"""WITH {LIVE_CTES}
+SELECT time_bucket(INTERVAL 2 DAY, date, TIMESTAMP '1970-01-01') AS window_start, country, count(*) AS n
+FROM livefeed GROUP BY 1, 2 HAVING count(*) >= 20""")
+def st4_surge_alerts(spark):
+    return st.surge_alerts(live_feed(spark), "2 days", 20)
+
+
+@query("st4_stream_surge")
+def st4_stream_surge(spark):
+    """The same windows as a stream with a watermark (append mode, per source country)."""
+    src = scratch_path(spark, "article-files")
+    st.write_article_files(spark.table("live_articles"), src)
+    out = scratch_path(spark, "surge-out")
+    st.surge_stream(spark, src, out, scratch_path(spark, "ckpt-surge"))
+    return spark.read.parquet(out)
