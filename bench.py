@@ -36,7 +36,8 @@ def main() -> None:
     spark.table("incidents").write.format("noop").mode("overwrite").save()
     reg = load_all()
     times: dict[str, float] = {}
-    for name in BENCH:
+    only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
+    for name in (only or BENCH):
         build = reg[name].build
         samples = []
         for i in range(runs + 1):

@@ -6,6 +6,7 @@ usage: python scripts/oracle_check.py [sf_dir] [name-prefix ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -42,6 +43,8 @@ def main() -> int:
         sf_dir, args = args[0], args[1:]
     reg = load_all()
     names = [n for n in reg if not args or any(n.startswith(a) for a in args)]
+    if os.environ.get("ORACLE_ONLY"):
+        names = [n for n in names if reg[n].oracle]
     spark = get_spark()
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")

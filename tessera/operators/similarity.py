@@ -66,15 +66,22 @@ def explode_terms(df: DataFrame, doc_col: str, keys: list[str]) -> DataFrame:
             .select(*keys, F.explode(with_bigrams(F.col("_toks"))).alias("term")))
 
 
+def doc_key(doc: Column) -> Column:
+    """128-bit document key (two independent 64-bit hashes): shuffles carry 16 bytes
+    instead of the document text."""
+    return F.struct(F.xxhash64(doc).alias("h1"), F.xxhash64(F.concat(doc, F.lit("\u0001"))).alias("h2"))
+
+
 def distinct_documents(incidents: DataFrame) -> DataFrame:
-    """(doc, multiplicity, top_id) — top_id is the largest incident id with that document."""
-    return (incidents.select("incident_id", pseudo_document(incidents).alias("doc"))
-            .groupBy("doc").agg(F.count(F.lit(1)).alias("mult"), F.max("incident_id").alias("top_id")))
+    """(doc_id, doc, multiplicity, top_id) — top_id is the largest incident id with that document."""
+    d = incidents.select("incident_id", pseudo_document(incidents).alias("doc"))
+    return (d.groupBy(doc_key(F.col("doc")).alias("doc_id"))
+            .agg(F.first("doc").alias("doc"), F.count(F.lit(1)).alias("mult"), F.max("incident_id").alias("top_id")))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(doc, term, tf) for every distinct document."""
-    return explode_terms(docs, "doc", ["doc"]).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf) for every distinct document."""
+    return explode_terms(docs, "doc", ["doc_id"]).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(docs: DataFrame, tc: DataFrame, min_df: int = R.VOCAB_MIN_DF,
@@ -85,18 +92,19 @@ def vocabulary(docs: DataFrame, tc: DataFrame, min_df: int = R.VOCAB_MIN_DF,
     is at most ``max_features`` rows, so it is safe to broadcast.
     """
     n = docs.select(F.sum("mult")).scalar()
-    stats = (tc.join(docs.select("doc", "mult"), "doc")
+    stats = (tc.join(docs.select("doc_id", "mult"), "doc_id")
              .groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("cf")))
     top = stats.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     return top.select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def tfidf(tc: DataFrame, vocab: DataFrame, key: str = "doc") -> DataFrame:
-    """Q4: (1 + ln tf) * idf on vocabulary terms, L2-normalised per document."""
+def tfidf(tc: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Q4: (1 + ln tf) * idf on vocabulary terms, L2-normalised per document
+    (the norm is a window over one document's terms)."""
     w = (tc.join(F.broadcast(vocab.select("term", "idf")), "term")
          .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("w") / norm).alias("w"))
 
 
 def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, salt_col: str) -> DataFrame:
@@ -118,6 +126,42 @@ def build_index(incidents: DataFrame) -> dict[str, DataFrame]:
     return {"docs": docs, "vocab": vocab, "vectors": dvec}
 
 
+RARE_SHARE = 0.05
+
+
+def pruned_scores(qvec: DataFrame, dvec: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Exact (query_doc, doc, score) for every document that can reach a query's top k.
+
+    Max-score pruning: a term is rare when at most ``RARE_SHARE`` of the documents
+    hold it.  Candidates share a rare term with the query and are scored exactly.  A
+    document sharing only common terms scores at most UB = sum(wq * max wd) over the
+    query's common terms; when UB (rounded up) is below the k-th candidate score the
+    query is done, otherwise the query falls back to the full inverted-index join.
+    The per-term statistics are one row per vocabulary term (<= 3000, broadcast).
+    """
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    tstats = dvec.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.max("w").alias("maxw"))
+    tstats = tstats.withColumn("rare", F.col("postings") <= F.greatest(F.lit(float(k)), n_docs * RARE_SHARE))
+    q = qvec.join(F.broadcast(tstats), "term")
+    d = dvec.withColumnRenamed("w", "wd")
+    ub = (q.groupBy("query_doc")
+          .agg(F.sum(F.when(~F.col("rare"), F.col("w") * F.col("maxw")).otherwise(0.0)).alias("ub")))
+    cand = (q.filter("rare").select("query_doc", "term").join(d.select("doc_id", "term"), "term")
+            .select("query_doc", "doc_id").distinct())
+    cand_scores = (cand.join(d, "doc_id").join(qvec.withColumnRenamed("w", "wq"), ["query_doc", "term"])
+                   .groupBy("query_doc", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
+    cand_scores = materialize(cand_scores, "simquery-candidates")
+    kth = (top_k(cand_scores.withColumn("skey", round_even("score", 9)), ["query_doc"], [F.desc("skey")], k, "doc_id")
+           .filter(F.col("rank") == k).select("query_doc", F.col("skey").alias("kth")))
+    # UB is compared after rounding up at the same 1e-9 grain as the ranking key
+    done = (ub.join(kth, "query_doc").filter(F.ceil(F.col("ub") * 1e9) / 1e9 < F.col("kth"))
+            .select("query_doc"))
+    full_q = qvec.join(done, "query_doc", "left_anti")
+    full = (full_q.withColumnRenamed("w", "wq").join(d, "term")
+            .groupBy("query_doc", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
+    return cand_scores.join(done, "query_doc", "left_semi").unionByName(full)
+
+
 def similar_incidents(incidents: DataFrame, queries: DataFrame, k: int = 10,
                       index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Q5: for every distinct query document, the ``k`` most similar incidents.
@@ -131,16 +175,15 @@ def similar_incidents(incidents: DataFrame, queries: DataFrame, k: int = 10,
     qtc = (explode_terms(qdocs, "query_doc", ["query_doc"])
            .groupBy("query_doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     qvec = tfidf(qtc, vocab, key="query_doc")
-    scores = (qvec.withColumnRenamed("w", "wq").join(dvec.withColumnRenamed("w", "wd"), "term")
-              .groupBy("query_doc", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
-    scores = scores.join(docs.select("doc", "top_id"), "doc").withColumn("skey", round_even("score", 9))
+    scores = pruned_scores(qvec, dvec, docs, k)
+    scores = scores.join(docs.select("doc_id", "top_id"), "doc_id").withColumn("skey", round_even("score", 9))
     best_docs = materialize(  # <= k documents per query
-        top_k(scores, ["query_doc"], [F.desc("skey"), F.desc("top_id")], k, "doc").drop("rank"),
+        top_k(scores, ["query_doc"], [F.desc("skey"), F.desc("top_id")], k, "doc_id").drop("rank"),
         "simquery-best-docs")
-    ids = (incidents.select("incident_id", pseudo_document(incidents).alias("doc"))
-           .join(best_docs.select("doc").distinct(), "doc", "left_semi"))
-    doc_ids = top_k(ids, ["doc"], [F.desc("incident_id")], k, "incident_id").drop("rank")
-    expanded = best_docs.join(doc_ids, "doc")
+    ids = (incidents.select("incident_id", doc_key(pseudo_document(incidents)).alias("doc_id"))
+           .join(best_docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    doc_ids = top_k(ids, ["doc_id"], [F.desc("incident_id")], k, "incident_id").drop("rank")
+    expanded = best_docs.join(doc_ids, "doc_id")
     out = top_k(expanded, ["query_doc"], [F.desc("skey"), F.desc("incident_id")], k, "incident_id")
     return out.select("query_doc", "rank", "incident_id", round_even("score", 6).alias("similarity_score"),
                       round_even(F.col("score") * 100, 1).alias("similarity_pct"))

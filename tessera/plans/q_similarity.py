@@ -84,8 +84,8 @@ def q4_tfidf_weights(spark):
     docs = similarity.distinct_documents(inc)
     tc = similarity.term_counts(docs)
     vec = similarity.tfidf(tc, similarity.vocabulary(docs, tc))
-    ids = inc.select("incident_id", similarity.pseudo_document(inc).alias("doc"))
-    return ids.join(vec, "doc").select("incident_id", "term", round_even("w", 9).alias("w"))
+    ids = inc.select("incident_id", similarity.doc_key(similarity.pseudo_document(inc)).alias("doc_id"))
+    return ids.join(vec, "doc_id").select("incident_id", "term", round_even("w", 9).alias("w"))
 
 
 @query("q5_similar_incidents", bench=True, oracle=f"""WITH {TFIDF_CTES},
