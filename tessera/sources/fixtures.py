@@ -23,6 +23,8 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
     the columns it needs (Catalyst prunes through the views to the parquet scan).
     """
     key = id(spark)
+    # event times are UTC wall-clock values (as in the reference): pin the zone
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     if _registered.get(key) == sf_dir and spark.catalog.tableExists("incidents"):
         return
     for name in RAW_TABLES:
