@@ -14,20 +14,20 @@ from tessera.plans.registry import query
 SQL: dict[str, tuple[str, str | None]] = {
     "x1_inner_join": ("""
 SELECT i.incident_id, a.name FROM incidents i JOIN assets a ON i.country_txt = a.country
-WHERE i.iyear = 1997 AND a.status = 'Inactive'""", None),
+WHERE a.status = 'Inactive'""", None),
     "x1_left_join": ("""
 SELECT n.n_name, count(a.name) AS assets FROM nation n LEFT JOIN assets a ON a.country = n.n_name
 AND a.type = 'Port' GROUP BY n.n_name""", None),
     "x1_full_join": ("""
 SELECT coalesce(x.country_txt, y.country) AS country, x.deadly, y.inactive FROM
-(SELECT country_txt, count(*) AS deadly FROM incidents WHERE nkill >= 12 AND iyear = 1996 GROUP BY country_txt) x
+(SELECT country_txt, count(*) AS deadly FROM incidents WHERE nkill >= 12 GROUP BY country_txt) x
 FULL OUTER JOIN (SELECT country, count(*) AS inactive FROM assets WHERE status = 'Inactive' GROUP BY country) y
 ON x.country_txt = y.country""", None),
     "x1_semi_join": ("""
-SELECT incident_id FROM incidents i WHERE i.iyear = 1998 AND EXISTS
+SELECT incident_id FROM incidents i WHERE EXISTS
 (SELECT 1 FROM assets a WHERE a.country = i.country_txt AND a.status = 'Inactive')""", None),
     "x1_anti_join": ("""
-SELECT incident_id FROM incidents i WHERE i.iyear = 1998 AND NOT EXISTS
+SELECT incident_id FROM incidents i WHERE NOT EXISTS
 (SELECT 1 FROM assets a WHERE a.country = i.country_txt AND a.status = 'Inactive')""", None),
     "x3_rollup": ("""
 SELECT region_txt, attacktype1_txt, count(*) AS n, count(DISTINCT gname) AS groups,
@@ -49,7 +49,7 @@ FROM (SELECT country_txt, iyear, count(*) AS n FROM incidents GROUP BY country_t
 SELECT 'intersect' AS op, country FROM (SELECT country_txt AS country FROM incidents WHERE nkill >= 12
   INTERSECT SELECT country FROM assets WHERE status = 'Inactive') a
 UNION ALL SELECT 'except', country FROM (SELECT country FROM assets
-  EXCEPT SELECT country_txt FROM incidents WHERE iyear = 2001 AND nkill >= 12) b
+  EXCEPT SELECT country_txt FROM incidents WHERE nkill >= 500) b
 UNION ALL SELECT 'union', country FROM (SELECT country FROM assets WHERE type = 'Port'
   UNION SELECT country FROM assets WHERE type = 'Airbase') c""", None),
     "x6_scalars": ("""
