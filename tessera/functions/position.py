@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 1 << 16
+SALTS = 16
 
 
 def ordered_position(df: DataFrame, day_cols: Sequence[str], id_col: str,
@@ -33,3 +34,16 @@ def ordered_position(df: DataFrame, day_cols: Sequence[str], id_col: str,
     return (ranked.join(days, [*part, *day]).join(buckets, [*part, *day, "_bucket"])
             .withColumn(out, (F.col("_doff") + F.col("_boff") + F.col("_r") - 1).cast("long"))
             .drop("_bucket", "_doff", "_boff", "_r"))
+
+
+def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, salt_col: str) -> DataFrame:
+    """Top ``k`` rows per ``part`` by ``order`` in two stages (per salt, then per part).
+
+    Stage one keeps at most ``k`` rows per (part, salt), so a hot part reaches the
+    final window with at most ``k * SALTS`` rows, never its whole group.
+    """
+    salted = df.withColumn("_salt", F.abs(F.xxhash64(salt_col)) % SALTS)
+    w1 = Window.partitionBy(*part, "_salt").orderBy(*order)
+    stage1 = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    w2 = Window.partitionBy(*part).orderBy(*order)
+    return stage1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)

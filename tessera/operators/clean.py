@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.functions.expr import flag01, nonneg
+from tessera.functions.position import top_k
 
 BUSINESS_COLS = R.REQUIRED_COLS
 
@@ -165,16 +166,28 @@ def uniform_class_warning(df: DataFrame, target: str = "attacktype1_txt") -> Dat
     )
 
 
-def country_points(df: DataFrame, country: str, n: int = 500) -> DataFrame:
-    """One country's rows, first ``n`` in incident order (top-k, not a full sort)."""
-    return df.filter(F.col("country_txt") == country).orderBy("incident_id").limit(n)
+def country_points(df: DataFrame, country: str | None = None, n: int = 500) -> DataFrame:
+    """The first ``n`` rows in incident order of one country, or of every country.
+
+    One country is a filter plus a top-k (no full sort); every country is a salted
+    two-stage top-k per country, so a country holding a third of the rows never lands
+    whole in one task.
+    """
+    if country is not None:
+        return df.filter(F.col("country_txt") == country).orderBy("incident_id").limit(n)
+    return top_k(df, ["country_txt"], [F.asc("incident_id")], n, "incident_id").drop("rank")
 
 
-def map_points(df: DataFrame, year: int) -> DataFrame:
-    """Coordinates present and iyear = year (both predicates reach the scan)."""
-    return (df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-                      & (F.col("iyear") == year))
-            .select("incident_id", "latitude", "longitude", "country_txt", "nkill"))
+def map_points(df: DataFrame, year: int | None = None) -> DataFrame:
+    """Map points with coordinates, for year ``year`` or for every year.
+
+    Both predicates reach the scan; the all-years layer keeps ``iyear`` so a year
+    slider filters it (a partition-pruned read when the table is written by year).
+    """
+    keep = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    if year is not None:
+        keep = keep & (F.col("iyear") == year)
+    return df.filter(keep).select("incident_id", "iyear", "latitude", "longitude", "country_txt", "nkill")
 
 
 def down_sample(df: DataFrame, n: int = 10_000) -> DataFrame:

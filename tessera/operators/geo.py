@@ -128,9 +128,11 @@ def peak_cell(df: DataFrame) -> DataFrame:
     return cells.groupBy("country_txt").agg(F.max("n").alias("peak_cell_incidents"))
 
 
-def severity_layer(df: DataFrame, year: int) -> DataFrame:
-    """One year's severity-weighted country layer."""
-    return (df.filter(F.col("iyear") == year).groupBy("country_txt")
+def severity_layer(df: DataFrame, year: int | None = None) -> DataFrame:
+    """Severity-weighted country layer for year ``year``, or per (year, country)."""
+    keys = ["country_txt"] if year is not None else ["iyear", "country_txt"]
+    src = df.filter(F.col("iyear") == year) if year is not None else df
+    return (src.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("incidents"), round_even(F.sum("tsi"), 6).alias("total_tsi"),
                  round_even(F.avg("latitude"), 6).alias("mean_lat"),
                  round_even(F.avg("longitude"), 6).alias("mean_lon")))

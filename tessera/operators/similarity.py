@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.functions.expr import round_even
+from tessera.functions.position import top_k
 from tessera.session import materialize
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
-SALTS = 16
 
 
 def pseudo_document(df: DataFrame) -> Column:
@@ -107,15 +107,6 @@ def tfidf(tc: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     return w.select(key, "term", (F.col("w") / norm).alias("w"))
 
 
-def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, salt_col: str) -> DataFrame:
-    """Top ``k`` rows per ``part`` by ``order`` in two stages (per salt, then per part)."""
-    salted = df.withColumn("_salt", F.abs(F.xxhash64(salt_col)) % SALTS)
-    w1 = Window.partitionBy(*part, "_salt").orderBy(*order)
-    stage1 = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_salt")
-    w2 = Window.partitionBy(*part).orderBy(*order)
-    return stage1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
-
-
 def build_index(incidents: DataFrame) -> dict[str, DataFrame]:
     """The search index, built once and written to the shared folder: distinct
     documents (with multiplicity and largest id), the vocabulary and document vectors."""

@@ -217,11 +217,12 @@ def g11_asset_exposure(spark):
 
 @query("g12_severity_layer", oracle=f"""
 WITH {SCORED_INCIDENTS_CTE}
-SELECT country_txt, count(*) AS incidents, round_even(sum(tsi), 6) AS total_tsi,
+SELECT iyear, country_txt, count(*) AS incidents, round_even(sum(tsi), 6) AS total_tsi,
   round_even(avg(latitude), 6) AS mean_lat, round_even(avg(longitude), 6) AS mean_lon
-FROM scored WHERE iyear = 1997 GROUP BY country_txt""")
+FROM scored GROUP BY iyear, country_txt""")
 def g12_severity_layer(spark):
-    return geo.severity_layer(scored_incidents(spark), 1997)
+    """The layer for every year (the reference draws one selected year)."""
+    return geo.severity_layer(scored_incidents(spark))
 
 
 @query("g13_hotspot_extent", oracle=HOT_CTES + f"""
