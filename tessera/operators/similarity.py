@@ -60,12 +60,6 @@ def with_bigrams(toks: Column) -> Column:
     return F.concat(toks, bigrams)
 
 
-def explode_terms(df: DataFrame, doc_col: str, keys: list[str]) -> DataFrame:
-    """Q2: (keys, term) rows — tokens are materialised as a column first, then n-grams."""
-    return (df.select(*keys, tokens(F.col(doc_col)).alias("_toks"))
-            .select(*keys, F.explode(with_bigrams(F.col("_toks"))).alias("term")))
-
-
 def doc_key(doc: Column) -> Column:
     """128-bit document key (two independent 64-bit hashes): shuffles carry 16 bytes
     instead of the document text."""
@@ -79,9 +73,17 @@ def distinct_documents(incidents: DataFrame) -> DataFrame:
             .agg(F.first("doc").alias("doc"), F.count(F.lit(1)).alias("mult"), F.max("incident_id").alias("top_id")))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf) for every distinct document."""
-    return explode_terms(docs, "doc", ["doc_id"]).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, doc_col: str = "doc", keys: tuple[str, ...] = ("doc_id", "mult")) -> DataFrame:
+    """(keys, term, tf) for every distinct document.
+
+    Each document is one row, so tf is counted inside the row's own term array
+    (higher-order functions, no shuffle); ``mult`` rides along for the vocabulary.
+    """
+    terms = (docs.select(*keys, tokens(F.col(doc_col)).alias("_toks"))
+             .select(*keys, with_bigrams(F.col("_toks")).alias("_terms")))
+    counted = F.transform(F.array_distinct(F.col("_terms")), lambda t: F.struct(
+        t.alias("term"), F.size(F.filter(F.col("_terms"), lambda x: x == t)).cast("long").alias("tf")))
+    return terms.select(*keys, F.inline(counted))
 
 
 def vocabulary(docs: DataFrame, tc: DataFrame, min_df: int = R.VOCAB_MIN_DF,
@@ -92,8 +94,7 @@ def vocabulary(docs: DataFrame, tc: DataFrame, min_df: int = R.VOCAB_MIN_DF,
     is at most ``max_features`` rows, so it is safe to broadcast.
     """
     n = docs.select(F.sum("mult")).scalar()
-    stats = (tc.join(docs.select("doc_id", "mult"), "doc_id")
-             .groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("cf")))
+    stats = tc.groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("cf"))
     top = stats.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     return top.select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
@@ -163,8 +164,7 @@ def similar_incidents(incidents: DataFrame, queries: DataFrame, k: int = 10,
     index = index or build_index(incidents)
     docs, vocab, dvec = index["docs"], index["vocab"], index["vectors"]
     qdocs = queries.select(pseudo_document(queries).alias("query_doc")).distinct()
-    qtc = (explode_terms(qdocs, "query_doc", ["query_doc"])
-           .groupBy("query_doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+    qtc = term_counts(qdocs, "query_doc", ("query_doc",))
     qvec = tfidf(qtc, vocab, key="query_doc")
     scores = pruned_scores(qvec, dvec, docs, k)
     scores = scores.join(docs.select("doc_id", "top_id"), "doc_id").withColumn("skey", round_even("score", 9))

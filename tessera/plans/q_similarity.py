@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.operators import live, similarity
@@ -63,8 +62,7 @@ SELECT incident_id, term, count(*) AS tf FROM trm GROUP BY incident_id, term""")
 def q2_terms(spark):
     inc = spark.table("incidents")
     d = inc.select("incident_id", similarity.pseudo_document(inc).alias("doc"))
-    return (similarity.explode_terms(d, "doc", ["incident_id"])
-            .groupBy("incident_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return similarity.term_counts(d, "doc", ("incident_id",))
 
 
 @query("q3_vocabulary", oracle=f"""WITH {TFIDF_CTES}
