@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.token_counts import op1_token_counts
+from tessera.llm.token_output import op3_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_token_output": op3_token_output,
     "op6_exact_dedup": op6_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
