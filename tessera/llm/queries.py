@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tessera.llm.ngram_join import op8_ngram_join
 from tessera.llm.token_counts import op1_token_counts
 from tessera.llm.token_output import op3_token_output
+from tessera.llm.url_filters import op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_url_filters": op2_url_filters,
     "op3_token_output": op3_token_output,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
