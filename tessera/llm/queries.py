@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontamination import op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.ngram_join import op8_ngram_join
 from tessera.llm.token_counts import op1_token_counts
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
