@@ -53,3 +53,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             child = nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return child.union(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
         cur = nxt
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Every fifth document by crc32 of its id: labels of these are never learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(text, y) of at most ``bound`` labelled documents to fit a classifier on, held-out ones excluded.
+
+    The ids with the smallest hashes are taken; ``bound`` also bounds the broadcast.  Null labels
+    and ids are left out; of repeated labels the largest counts.
+    """
+    known = (labels.select(F.col(id_col).alias("_id"), F.col(target).cast("int").alias("y"))
+             .filter("_id IS NOT NULL AND y IS NOT NULL").filter(~held_out("_id"))
+             .groupBy("_id").agg(F.max("y").alias("y"))
+             .orderBy(F.xxhash64("_id"), "_id").limit(bound))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    return materialize(rows.join(F.broadcast(known), "_id").select("text", "y"), f"labelled-{target}")

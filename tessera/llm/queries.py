@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontamination import op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.ngram_join import op8_ngram_join
+from tessera.llm.quality import op10_quality
 from tessera.llm.token_counts import op1_token_counts
 from tessera.llm.token_output import op3_token_output
+from tessera.llm.toxicity import op7_toxicity
 from tessera.llm.url_filters import op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_token_output": op3_token_output,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}

@@ -29,22 +29,31 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 _PLACES = odd_numbers(1 << 12, 1)
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the batch, and the border of each text's words (n + 1 numbers)."""
+def byte_set(*which: int) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(which)] = True
+    return out
+
+
+WHITE = byte_set(0x20, *range(0x09, 0x0E))
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and each text's border in them (n + 1 numbers)."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     _, raw_offsets, raw = texts.buffers()
     offsets = np.frombuffer(raw_offsets, dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
     data = np.frombuffer(raw, dtype=np.uint8)[offsets[0]: offsets[-1]] if raw else np.zeros(0, dtype=np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last + 1 byte of every word, and the border of each text's words."""
+    black = ~between.take(data)
     if not len(data):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    white = np.zeros(256, dtype=bool)
-    white[[0x20, *range(0x09, 0x0E)]] = True
-    lower = np.arange(256, dtype=np.uint64) + U(1)
-    lower[0x41:0x5B] += U(32)
-    black = ~white.take(data)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True                      # a text's border ends a word
     begins = black.copy()
@@ -52,15 +61,36 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stops = black.copy()
     stops[:-1] &= ~black[1:] | cut[1:-1]
     first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    borders = np.searchsorted(first, offsets)
+    return first, last, np.searchsorted(first, offsets)
+
+
+_LOWER = np.arange(256, dtype=np.uint64) + U(1)
+_LOWER[0x41:0x5B] += U(32)
+
+
+def hash_words(data: np.ndarray, first: np.ndarray, last: np.ndarray, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Hash of every word, then of every word's first 4, 5, ... bytes where asked for.
+
+    Words of at most that many bytes are their own prefix.
+    """
     if not len(first):
-        return np.zeros(0, dtype=np.uint64), borders
-    inside = lower.take(data[black])         # the words' bytes one after the other
+        return [np.zeros(0, dtype=np.uint64)] * (1 + len(prefixes))
     size = last - first
     at = np.cumsum(size) - size
-    place = np.arange(len(inside)) - np.repeat(at, size)
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
     places = _PLACES if size.max() <= len(_PLACES) else odd_numbers(int(size.max()), 1)
-    return mix(np.add.reduceat(inside * places.take(place), at)), borders
+    inside = _LOWER.take(data.take(place + np.repeat(first, size))) * places.take(place)
+    if not prefixes:
+        return [mix(np.add.reduceat(inside, at))]
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(inside)])
+    return [mix(total[at + n] - total[at]) for n in (size, *(np.minimum(size, p) for p in prefixes))]
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the batch, and the border of each text's words (n + 1 numbers)."""
+    data, offsets = utf8(texts)
+    first, last, borders = spans(data, offsets)
+    return hash_words(data, first, last)[0], borders
 
 
 _ORDER = odd_numbers(SHINGLE, 2)
