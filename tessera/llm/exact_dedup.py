@@ -4,9 +4,9 @@
    Equal texts are collapsed before anything is moved: the grouping on (key, text) compares
    whole byte strings and combines on the map side, so a group with a third of all rows sends
    one row for each task.
-2. The directory: a histogram of distinct keys over the finest key prefixes is doubled from
-   depth 0 on; a bucket is the shortest prefix that holds at most ``capacity`` entries.  The
-   histogram has at most 2**MAX_DEPTH rows whatever the corpus, the directory fewer.
+2. The directory: from a histogram of keys over the finest key prefixes, overfull prefixes are
+   split in two from depth 0 on; a bucket is the shortest prefix that holds at most ``capacity``
+   entries.  Histogram and directory have at most 2**MAX_DEPTH rows whatever the corpus.
 3. The index files: entries are dealt out by ranges of buckets, so an owner task has whole key
    ranges; entries with the same key but other bytes are chained by their smallest doc_id.
 4. Every row looks up its chain entry by (key, digest).
@@ -33,21 +33,27 @@ def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(cell, depth, bucket) for each used cell, a key prefix of ``max_depth`` bits.
+def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
+    """The directory (cell, depth, bucket) and its depth: a cell is a key prefix of that many bits.
 
-    ``keys`` has one row for each index entry (column key).  Depth grows only under overfull
-    prefixes: a cell's bucket is its shortest prefix with at most ``capacity`` entries.
+    ``keys`` has one row for each index entry (column key).  Only overfull prefixes are split,
+    so a bucket is the shortest prefix that holds at most ``capacity`` entries; the directory is
+    as deep as its deepest bucket, and buckets of lesser depth stand in several cells.
     """
     cells = (keys.select(F.shiftrightunsigned("key", 64 - max_depth).alias("cell"))
              .groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
     # every prefix of a used cell with its number of entries
     prefixes = (cells.select("n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"), "cell")
                 .withColumn("prefix", F.expr(f"shiftright(cell, {max_depth} - depth)")))
-    held = prefixes.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    fits = held.filter((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    return (prefixes.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix")).alias("b"))
-            .select("cell", "b.depth", F.expr(f"shiftleft(b.prefix, {max_depth} - b.depth)").alias("bucket")))
+    held = materialize(prefixes.groupBy("depth", "prefix").agg(F.sum("n").alias("held")), "dedup-prefixes")
+    over = held.filter((F.col("held") > capacity) & (F.col("depth") < max_depth)).select("depth", "prefix")
+    whole = held.join(over, ["depth", "prefix"], "left_anti")
+    halves = over.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    buckets = whole.join(halves, ["depth", "prefix"], "left_semi").union(whole.filter("depth = 0")).select("depth", "prefix")
+    depth = buckets.agg(F.max("depth")).first()[0] or 0
+    first = F.expr(f"shiftleft(prefix, {depth} - depth)")
+    return buckets.select(F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - depth)") - 1)).alias("cell"),
+                          "depth", first.alias("bucket")), depth
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -60,9 +66,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = rows.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     entries = materialize(entries.select("key", F.sha2(F.col("norm"), 256).alias("text_sha256"), "keep_id", "group_size"),
                           "dedup-entries")
-    cells = directory(entries.select("key"), capacity, max_depth)
+    cells, depth = directory(entries.select("key"), capacity, max_depth)
     chain = Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")
-    index = (entries.withColumn("cell", F.shiftrightunsigned("key", 64 - max_depth)).join(cells, "cell")
+    # the directory has at most 2**max_depth rows, whatever the corpus
+    cell = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    index = (entries.withColumn("cell", cell).join(F.broadcast(cells), "cell")
              .withColumn("chain", F.row_number().over(chain) - 1))
     index = materialize(index.select("bucket", "depth", "key", "chain", "text_sha256", "keep_id", "group_size"),
                         "dedup-index")
