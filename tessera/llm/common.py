@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:

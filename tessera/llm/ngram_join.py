@@ -39,11 +39,12 @@ from tessera.llm.signature_tree import SignatureTree
 from tessera.llm.words import mix, shingles_of, words_of
 from tessera.session import materialize
 
-RANGE_BYTES = 24 << 20     # text bytes for each hash range: bounds what an owner task holds
-MAX_RANGES = 1 << 16
+RANGE_BYTES = 8 << 20      # text bytes for each hash range: bounds what an owner task holds
+RANGE_BITS = 20
 COMMON = 64                # documents of a window that share a shingle before the window counts it itself
 PART_TOKENS = 1 << 21      # shared shingles that one tree holds at most
-LOW = np.uint64((1 << 48) - 1)
+HIGH = np.uint64(64 - RANGE_BITS)
+LOW = np.uint64((1 << 64 - RANGE_BITS) - 1)
 
 PACKED = ("win string, rng int, doc array<long>, n array<long>, k1 array<long>, k2 array<long>, first array<int>, "
           "cdoc binary, ctok binary, tok binary, owner binary, freq binary")
@@ -51,8 +52,8 @@ FOUND = "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, prefix a
 
 
 def six(x: np.ndarray) -> bytes:
-    """The low 48 bits of each number."""
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The low bits of each name, in six bytes."""
+    return np.ascontiguousarray((x & LOW).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def unsix(raw: bytes) -> np.ndarray:
@@ -81,8 +82,9 @@ def pack(ranges: int):
             distinct = sorted(set(first))
             token = np.concatenate([sets[i] for i in distinct] or [np.zeros(0, dtype=np.uint64)])
             owner = np.repeat(np.array(distinct, dtype=np.uint16), [len(sets[i]) for i in distinct])
-            rng = ((token >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
-            token = (rng.astype(np.uint64) << np.uint64(48)) | (token & LOW)
+            # a shingle's name: its range, and the low bits of its hash
+            rng = ((token >> HIGH) * np.uint64(ranges) >> np.uint64(RANGE_BITS)).astype(np.int64)
+            token = (rng.astype(np.uint64) << HIGH) | (token & LOW)
             values, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
             common = count.take(inverse) > COMMON
             cval, ccount = values[count > COMMON], count[count > COMMON]
@@ -97,7 +99,7 @@ def pack(ranges: int):
             token, owner, rng = token[~common], owner[~common], rng[~common]
             order = np.argsort(rng, kind="stable")
             token, owner, rng = token[order], owner[order], rng[order]
-            crng = (cval >> np.uint64(48)).astype(np.int64)
+            crng = (cval >> HIGH).astype(np.int64)
             rows = []
             for r in np.union1d(rng, crng).tolist():
                 a, b = np.searchsorted(rng, [r, r + 1])
@@ -155,7 +157,7 @@ def finish_window(rows: pa.Table) -> pa.Table:
     head = rows.filter(rows["doc"].is_valid())
     body = rows.filter(rows["doc"].is_null())
     ranges = body["rng"].to_pylist()
-    high = lambda x, r: unsix(x) | np.uint64(r << 48)
+    high = lambda x, r: unsix(x) | np.uint64(r) << HIGH
     zero = [np.zeros(0, dtype=np.uint64)]
     token = np.concatenate(zero + [high(x, r) for x, r in zip(body["tok"].to_pylist(), ranges, strict=True)])
     owner = np.frombuffer(b"".join(body["owner"].to_pylist()), "<u2")
@@ -191,7 +193,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     arrow_limits(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = min(MAX_RANGES, max(4, -(-volume // RANGE_BYTES)))
+    ranges = min(1 << RANGE_BITS, max(4, -(-volume // RANGE_BYTES)))
     packed = rows.mapInArrow(pack(ranges), PACKED)
     counted = packed.groupBy("rng").applyInArrow(count_range, PACKED)
     return materialize(counted.groupBy("win").applyInArrow(finish_window, FOUND), "shingle-sets")

@@ -37,13 +37,10 @@ HIDDEN, GATE = 16, 8
 ROUNDS = 200
 THRESHOLD = 0.3
 
-# kinds of bytes inside words; every byte is of one kind
+# kinds of bytes inside words
 KINDS = (byte_set(*range(0x61, 0x7B)), byte_set(*range(0x41, 0x5B)), byte_set(*range(0x30, 0x3A)), byte_set(*range(0x80, 0x100)),
          byte_set(*b".,;:"), byte_set(*b"!?"), byte_set(*b"#$%&*"), byte_set(*b"|"), byte_set(*b"'\"()-"))
-KIND = np.full(256, len(KINDS), dtype=np.int64)
-for _i, _k in enumerate(KINDS):
-    KIND[_k] = _i
-N_KINDS = len(KINDS) + 1
+N_KINDS = len(KINDS) + 1   # and all other bytes
 FEATURES = N_KINDS + 8
 
 
@@ -63,10 +60,13 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         count = np.bincount(which, minlength=total)
         held = np.maximum(count, 1)
         letters = np.bincount(which, weights=size, minlength=total)
-        at = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(at - first, size)
-        kinds = np.bincount(np.repeat(which, size) * N_KINDS + KIND.take(data.take(place)), minlength=total * N_KINDS)
-        out[:, :N_KINDS] = kinds.reshape(total, N_KINDS) / np.maximum(letters, 1)[:, None]
+        # bytes of each kind from running counts; white space is of no kind
+        begin = np.flatnonzero(np.diff(which, prepend=-1))
+        end = np.append(begin[1:], len(first)) - 1
+        for k, kind in enumerate(KINDS):
+            run = np.concatenate([[0], np.cumsum(kind.take(data), dtype=np.uint32)])
+            out[which[begin], k] = (run[last[end]] - run[first[begin]]) / letters[which[begin]]
+        out[which[begin], N_KINDS - 1] = 1 - out[which[begin], :N_KINDS - 1].sum(axis=1)
         h = hash_words(data, first, last)[0]
         order = np.lexsort((h, which))
         sw, sh = which[order], h[order]

@@ -10,6 +10,7 @@ from tessera.llm.decontamination import op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.ngram_join import op8_ngram_join
 from tessera.llm.quality import op10_quality
+from tessera.llm.source_mixing import op4_source_mixing
 from tessera.llm.token_counts import op1_token_counts
 from tessera.llm.token_output import op3_token_output
 from tessera.llm.toxicity import op7_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
     "op3_token_output": op3_token_output,
+    "op4_source_mixing": op4_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,

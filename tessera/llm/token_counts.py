@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, table
+from tessera.llm.words import pieces
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -297,22 +298,23 @@ class Counter:
         return parts
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        """Tokens of each text; texts are taken in windows, of which each ends with a text."""
+        """Tokens of each text, taken in windows of about WINDOW characters."""
         out = np.zeros(len(texts), dtype=np.int64)
         pending, owners, size = [], [], 0
         for i, text in enumerate(texts):
             if not text:
                 continue
-            parts = self.segments(text) if "<" in text or len(self.special) > 1 else [text]
-            out[i] += len(parts) - 1
-            for p in parts:
+            segments = self.segments(text)
+            out[i] += len(segments) - 1
+            # a word always begins at the cuts of ``pieces``, so they change no count
+            for p in (p for s in segments for p in pieces(s, WINDOW)):
                 if p:
                     pending.append(p)
                     owners.append(i)
                     size += len(p) + 1
-            if size >= WINDOW:
-                self._window(pending, owners, out)
-                pending, owners, size = [], [], 0
+                if size >= WINDOW:
+                    self._window(pending, owners, out)
+                    pending, owners, size = [], [], 0
         self._window(pending, owners, out)
         return out
 

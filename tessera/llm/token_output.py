@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, table
 from tessera.llm.token_counts import tokenizer_text
+from tessera.llm.words import pieces
 from tessera.session import materialize, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 18        # a block closes with the document that reaches so many ids
 CHECKPOINT = 256           # ids between two bit offsets
+PIECE = 1 << 20            # characters that are split into words at once
 MAX_WORDS = 200_000        # remembered words of a task; forgotten all at once when full
 LONGEST = 18               # bits of a code word; one more than needed for larger vocabularies
 
@@ -60,7 +62,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.known: dict[str, np.ndarray] = {}
 
-    def encode(self, text: str) -> list[np.ndarray]:
+    def encode(self, text: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype="<u4"), *(np.concatenate(self._words(p)) for p in pieces(text, PIECE))])
+
+    def _words(self, text: str) -> list[np.ndarray]:
         words = text.translate(_BLANKS).split(" ")
         out = list(map(self.known.get, words))
         if any(x is None for x in out):
@@ -102,9 +107,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, order: list[str], width: s
     @F.pandas_udf("binary")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(shared.value)
-        end = np.array([end_id], dtype="<u4")
+        end = np.uint32(end_id)
         for batch in texts:
-            yield pd.Series([np.concatenate([*enc.encode(t), end]).astype(width).tobytes() for t in batch])
+            yield pd.Series([np.append(enc.encode(t), end).astype(width).tobytes() for t in batch])
 
     return docs.select(*order, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 

@@ -7,6 +7,8 @@ its words' hashes times odd numbers by place.  Both are 64 bits wide.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -68,13 +70,26 @@ _LOWER = np.arange(256, dtype=np.uint64) + U(1)
 _LOWER[0x41:0x5B] += U(32)
 
 
+PIECE = 1 << 21     # bytes of words that are hashed at once
+
+
 def hash_words(data: np.ndarray, first: np.ndarray, last: np.ndarray, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
     """Hash of every word, then of every word's first 4, 5, ... bytes where asked for.
 
     Words of at most that many bytes are their own prefix.
     """
-    if not len(first):
-        return [np.zeros(0, dtype=np.uint64)] * (1 + len(prefixes))
+    parts = [[np.zeros(0, dtype=np.uint64)] for _ in range(1 + len(prefixes))]
+    total = np.cumsum(last - first)
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PIECE, "right")))
+        for part, h in zip(parts, _hash_piece(data, first[lo:hi], last[lo:hi], prefixes), strict=True):
+            part.append(h)
+        lo = hi
+    return [np.concatenate(part) for part in parts]
+
+
+def _hash_piece(data: np.ndarray, first: np.ndarray, last: np.ndarray, prefixes: tuple[int, ...]) -> list[np.ndarray]:
     size = last - first
     at = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(at, size)
@@ -93,6 +108,20 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(data, first, last)[0], borders
 
 
+def pieces(text: str, size: int) -> list[str]:
+    """``text`` cut into pieces of about ``size`` characters, always before a blank or newline that
+    follows a visible ASCII character.  Without such a place there is no cut."""
+    out, lo = [], 0
+    while len(text) - lo > size:
+        cut = _CUT.search(text, lo + size)
+        if not cut:
+            break
+        out.append(text[lo: cut.start()])
+        lo = cut.start()
+    return [*out, text[lo:]]
+
+
+_CUT = re.compile(r"(?<=[!-~])[ \n]")
 _ORDER = odd_numbers(SHINGLE, 2)
 
 
