@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontamination import op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tessera.llm.license_scan import op5_license_scan
 from tessera.llm.ngram_join import op8_ngram_join
 from tessera.llm.quality import op10_quality
 from tessera.llm.source_mixing import op4_source_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_token_output": op3_token_output,
     "op4_source_mixing": op4_source_mixing,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
