@@ -46,9 +46,9 @@ PART_TOKENS = 1 << 21      # shared shingles that one tree holds at most
 HIGH = np.uint64(64 - RANGE_BITS)
 LOW = np.uint64((1 << 64 - RANGE_BITS) - 1)
 
-PACKED = ("win string, rng int, doc array<long>, n array<long>, k1 array<long>, k2 array<long>, first array<int>, "
+PACKED = ("win string, rng int, doc array<long>, row array<long>, n array<long>, k1 array<long>, k2 array<long>, first array<int>, "
           "cdoc binary, ctok binary, tok binary, owner binary, freq binary")
-FOUND = "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, prefix array<long>"
+FOUND = "doc_id long, row long, n_shingles long, k1 long, k2 long, tokens binary, prefix array<long>"
 
 
 def six(x: np.ndarray) -> bytes:
@@ -67,7 +67,7 @@ def _one(values, kind) -> pa.Array:
 
 
 def pack(ranges: int):
-    """Batches of (doc_id, text) -> a head row for each window and a row for each of its hash ranges."""
+    """Batches of (doc_id, text, row) -> a head row for each window and a row for each of its hash ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -92,6 +92,7 @@ def pack(ranges: int):
             empty = pa.array([b""], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([win]), pa.array([hash(keys[0]) % ranges], pa.int32()), _one(batch.column(0).to_pylist(), pa.int64()),
+                 _one(batch.column(2).to_pylist(), pa.int64()),
                  _one([len(s) for s in sets], pa.int64()), _one([k[0] for k in keys], pa.int64()),
                  _one([k[1] for k in keys], pa.int64()), _one(first, pa.int32()),
                  pa.array([owner[common].tobytes()]), pa.array([token[common].tobytes()]), empty, empty, empty],
@@ -105,7 +106,7 @@ def pack(ranges: int):
                 a, b = np.searchsorted(rng, [r, r + 1])
                 c, d = np.searchsorted(crng, [r, r + 1])
                 # a shingle that the window counted itself has no owner; its count stands instead
-                rows.append((win, r, None, None, None, None, None, ccount[c:d].astype("<u4").tobytes(), six(cval[c:d]),
+                rows.append((win, r, None, None, None, None, None, None, ccount[c:d].astype("<u4").tobytes(), six(cval[c:d]),
                              six(token[a:b]), owner[a:b].astype("<u2").tobytes(), b""))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True), _packed_schema(), strict=True)],
@@ -115,7 +116,7 @@ def pack(ranges: int):
 
 def _packed_schema() -> pa.Schema:
     ids = pa.list_(pa.int64())
-    return pa.schema([("win", pa.string()), ("rng", pa.int32()), ("doc", ids), ("n", ids), ("k1", ids), ("k2", ids),
+    return pa.schema([("win", pa.string()), ("rng", pa.int32()), ("doc", ids), ("row", ids), ("n", ids), ("k1", ids), ("k2", ids),
                       ("first", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("cdoc", "ctok", "tok", "owner", "freq"))])
 
 
@@ -144,7 +145,7 @@ def count_range(rows: pa.Table) -> pa.Table:
         many = freq[i] >= 2
         if not many.any() and not len(ctoks[i]):
             continue
-        out.append((win, r, None, None, None, None, None, freq[n + i].tobytes(), six(ctoks[i]),
+        out.append((win, r, None, None, None, None, None, None, freq[n + i].tobytes(), six(ctoks[i]),
                     six(toks[i][many]), np.frombuffer(owner, "<u2")[many].tobytes(), freq[i][many].tobytes()))
     if not out:
         return heads
@@ -172,7 +173,7 @@ def finish_window(rows: pa.Table) -> pa.Table:
     freq = np.concatenate([freq, cfreq[np.searchsorted(ctok, own)]])
     order = np.lexsort((token, freq, owner))
     token, owner = token[order], owner[order]
-    ids, sizes, k1, k2, first = (head[c][0].as_py() for c in ("doc", "n", "k1", "k2", "first"))
+    ids, row, sizes, k1, k2, first = (head[c][0].as_py() for c in ("doc", "row", "n", "k1", "k2", "first"))
     starts = np.searchsorted(owner, np.arange(len(ids) + 1))
     tokens: list[bytes | None] = [None] * len(ids)
     prefix: list[list[int] | None] = [None] * len(ids)
@@ -182,9 +183,9 @@ def finish_window(rows: pa.Table) -> pa.Table:
         if first[i] == i and n and free > 0:
             tokens[i] = np.sort(mine).tobytes()
             prefix[i] = mine[:free].view(np.int64).tolist()
-    return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+    return pa.table([pa.array(ids, pa.int64()), pa.array(row, pa.int64()), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                      pa.array(tokens, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "tokens", "prefix"])
+                    names=["doc_id", "row", "n_shingles", "k1", "k2", "tokens", "prefix"])
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,6 +193,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(1 << RANGE_BITS, max(4, -(-volume // RANGE_BYTES)))
     packed = rows.mapInArrow(pack(ranges), PACKED)
@@ -270,19 +272,39 @@ def find_links(blocks: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    """(doc_id, row, n_shingles, component_id) for every row of ``docs``; ``row`` is its text's xxhash64."""
     sets = shingle_sets(docs, id_col, text_col)
     links = find_links(blocks_of(sets), part_tokens)
     root = components(links)
     key = F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("k")
-    rows = sets.select("doc_id", "n_shingles", key)
+    rows = sets.select("doc_id", "row", "n_shingles", key)
     classes = rows.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
     classes = classes.join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     label = classes.join(least, "root").select("k", "component_id")
-    own = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.filter("n_shingles > 0").join(label, "k").select("doc_id", "n_shingles", "component_id").union(own)
+    own = rows.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.filter("n_shingles > 0").join(label, "k").select("doc_id", "row", "n_shingles", "component_id").union(own)
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the smallest doc_id stays.
+
+    Documents without words all stay.  Of rows with the same doc_id in one component, the one with
+    the smallest text hash stays, and of rows that repeat both, one.  Components in which no row has
+    a doc_id stay whole.
+    """
+    found = materialize(ngram_components(docs, id_col, text_col), "near-duplicates")
+    worded = found.filter("n_shingles > 0")
+    stay = (worded.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .groupBy("component_id").agg(F.min("row").alias("row")))
+    lost = worded.join(stay.withColumnRenamed("component_id", "doc_id"), ["doc_id", "row"], "left_anti").filter("component_id IS NOT NULL")
+    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("row").alias("_lost_row")).distinct()
+    row = F.xxhash64(F.col(text_col).cast("string"))
+    kept = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_lost_id")) & (row == F.col("_lost_row")), "left_anti")
+    if not worded.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
+        kept = kept.withColumn("_text_row", row).dropDuplicates([id_col, "_text_row"]).drop("_text_row")
+    return kept
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -166,8 +166,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, target: str = "quality", sampl
     return fit(Bags(np.concatenate([np.zeros((0, FEATURES)), *x]), cuts), got["y"].to_numpy(float))
 
 
-def scored(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with held_out, score and predicted."""
+def score_column(docs: DataFrame, labels: DataFrame, target: str = "quality", text_col: str = "text") -> F.Column:
+    """Fit on ``docs`` and ``labels``; the score of each text as a column."""
     spark = docs.sparkSession
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(fit_model(docs, labels, target))      # a few hundred weights
@@ -177,10 +177,20 @@ def scored(docs: DataFrame, labels: DataFrame, target: str = "quality", threshol
         for batch in texts:
             yield pd.Series(shared.value.scores(pa.array(batch, pa.large_string(), from_pandas=True)))
 
-    return (docs.withColumn("held_out", held_out()).withColumn("score", score(F.col("text").cast("string")))
+    return score(F.col(text_col).cast("string"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with held_out, score and predicted."""
+    return (docs.withColumn("held_out", held_out()).withColumn("score", score_column(docs, labels, target))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts."""
+    return docs.filter(score_column(docs, labels) >= threshold)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
