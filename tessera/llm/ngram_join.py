@@ -272,7 +272,10 @@ def find_links(blocks: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) for every row of ``docs``; ``row`` is its text's xxhash64."""
+    """(doc_id, row, n_shingles, component_id, component) for every row of ``docs``.
+
+    ``row`` is the text's xxhash64; ``component`` names the component even where rows repeat a doc_id.
+    """
     sets = shingle_sets(docs, id_col, text_col)
     links = find_links(blocks_of(sets), part_tokens)
     root = components(links)
@@ -281,28 +284,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = rows.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
     classes = classes.join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = classes.join(least, "root").select("k", "component_id")
-    own = rows.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.filter("n_shingles > 0").join(label, "k").select("doc_id", "row", "n_shingles", "component_id").union(own)
+    label = classes.join(least, "root").select("k", "component_id", F.col("root").alias("component"))
+    own = rows.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"),
+                                               F.lit(None).cast("string").alias("component"))
+    linked = rows.filter("n_shingles > 0").join(label, "k")
+    return linked.select("doc_id", "row", "n_shingles", "component_id", "component").union(own)
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the smallest doc_id stays.
 
     Documents without words all stay.  Of rows with the same doc_id in one component, the one with
-    the smallest text hash stays, and of rows that repeat both, one.  Components in which no row has
-    a doc_id stay whole.
+    the smallest text hash stays, and of rows that repeat both, one.  A null doc_id is the largest.
     """
     found = materialize(ngram_components(docs, id_col, text_col), "near-duplicates")
-    worded = found.filter("n_shingles > 0")
-    stay = (worded.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("component_id").agg(F.min("row").alias("row")))
-    lost = worded.join(stay.withColumnRenamed("component_id", "doc_id"), ["doc_id", "row"], "left_anti").filter("component_id IS NOT NULL")
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("row").alias("_lost_row")).distinct()
-    row = F.xxhash64(F.col(text_col).cast("string"))
-    kept = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_lost_id")) & (row == F.col("_lost_row")), "left_anti")
-    if not worded.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
-        kept = kept.withColumn("_text_row", row).dropDuplicates([id_col, "_text_row"]).drop("_text_row")
+    worded = found.filter("n_shingles > 0").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at"))
+    stay = worded.groupBy("component").agg(F.min("at").alias("first"))
+    lost = worded.join(stay, "component").filter(~F.col("at").eqNullSafe(F.col("first")))
+    lost = lost.select(F.col("at.doc_id").alias("lost_id"), F.col("at.row").alias("lost_row")).distinct()
+    # references by frame: the documents may have columns of any name
+    row = F.xxhash64(docs[text_col].cast("string"))
+    kept = docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["lost_id"]) & (row == lost["lost_row"]), "left_anti")
+    if not worded.groupBy("at").count().filter("count > 1").isEmpty():
+        name = "_" + max(docs.columns, key=len)
+        kept = kept.withColumn(name, row).dropDuplicates([id_col, name]).drop(name)
     return kept
 
 

@@ -86,9 +86,9 @@ def source_weights(docs: DataFrame, source_col: str, weights: DataFrame | None,
     return sorted((r["source"], float(r["w"] or least)) for r in rows)
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source",
+def _mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source",
                 block: int = BLOCK, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
-    """``docs`` with mix_block, mix_release, mix_deadline, mix_slot and mix_rank (rank in the source)."""
+    """(row, mix_rank, mix_block, mix_release, mix_deadline, mix_slot); ``row`` holds the document's columns."""
     spark = docs.sparkSession
     known = source_weights(docs, source_col, weights, temper)
     period = max(period, 4 * len(known))
@@ -113,17 +113,21 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     rows = rows.join(F.broadcast(by_source), "_source").withColumn("_turn", F.col("mix_block") % F.col("_share"))
     rows = rows.join(F.broadcast(plan.drop("_share")), ["_source", "_turn"])    # a row for each slot of a period
     return rows.select(
-        *[F.col(f"row.`{c}`") for c in docs.columns if c not in MIXED], "mix_rank", "mix_block",
-        F.expr(f"mix_block * {period} div _share").alias("mix_release"),
+        "row", "mix_rank", "mix_block", F.expr(f"mix_block * {period} div _share").alias("mix_release"),
         F.expr(f"((mix_block + 1) * {period} + _share - 1) div _share").alias("mix_deadline"),
         (F.expr("mix_block div _share") * period + F.col("_slot")).alias("mix_slot"))
 
 
-def in_mixed_order(docs: DataFrame, **how) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, **how) -> DataFrame:
+    """``docs`` with mix_rank (in the source), mix_block, mix_release, mix_deadline and mix_slot."""
+    return _mixed(docs, weights, **how).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in MIXED], *MIXED)
+
+
+def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, **how) -> DataFrame:
     """``docs`` with its own columns, dealt out and sorted by slot: files written from it hold the mix."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["mix_slot", "mix_rank"]
-    return mix_sources(docs, **how).repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop(*MIXED)
+    return _mixed(docs, weights, **how).repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("row.*")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
