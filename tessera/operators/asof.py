@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 def asof_join(left: DataFrame, right: DataFrame, *, key: str, left_time: str, right_time: str,
               right_id: str, right_cols: list[str], bucket_seconds: int = 3600) -> DataFrame:
     """Left rows with ``right_id`` and ``right_cols`` of the latest right row (same key,
-    right_time < left_time); NULLs when there is none."""
+    right_time < left_time); NULLs when there is none.  Of right rows at one instant the one with
+    the largest id is the latest."""
     rt = F.col(right_time).cast("timestamp")
     lt = F.col(left_time).cast("timestamp")
     payload = F.struct(F.col(right_time).cast("timestamp").alias("_t"), F.col(right_id).alias("_id"),
@@ -29,7 +30,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, key: str, left_time: str, ri
     both = r.withColumn("_l", F.lit(None).cast(lrow.schema["_l"].dataType)).unionByName(lrow)
     both = both.withColumn("_b", F.floor(F.unix_timestamp("_ts") / bucket_seconds))
     # right rows at the same instant are not "before": order right after left at ties
-    w = (Window.partitionBy("_k", "_b").orderBy("_ts", F.desc("_side"))
+    w = (Window.partitionBy("_k", "_b").orderBy("_ts", F.desc("_side"), F.col("_p._id"))
          .rowsBetween(Window.unboundedPreceding, -1))
     inside = both.withColumn("_prev", F.last("_p", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
     per_bucket = (r.withColumn("_b", F.floor(F.unix_timestamp("_ts") / bucket_seconds))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.functions.expr import normalize_country, ordered_rules, source_id
+from tessera.session import materialize
 
 GDELT_DATE_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
 AS_OF = "2024-01-31 00:00:00"
@@ -71,41 +72,39 @@ def country_candidates(centroids: DataFrame) -> DataFrame:
             .filter(F.col("cand") != ""))
 
 
-def _grams_expr(max_words_col: str) -> Column:
-    return F.expr(
-        f"""flatten(transform(sequence(0, size(w) - 1), i ->
-              transform(sequence(1, least({max_words_col}, size(w) - i)), k -> array_join(slice(w, i + 1, k), ' '))))""")
+MAX_COUNTRIES = 10_000  # names that the match table may hold
 
 
 def enrich_with_centroids(live: DataFrame, centroids: DataFrame,
                           id_col: str = "article_id") -> DataFrame:
     """L7 + L8: exact normalised country first, else a whole-word country name in the title.
 
-    Both tiers are equi-joins: the title tier joins the title's word n-grams (up to
-    the longest candidate's word count) to the candidate names — a whole-word match
-    is an equal n-gram — and the first candidate in country order wins.  Unmatched
-    rows keep their country and get NULL coordinates.  Candidates are one row per
-    country (a bounded dimension).
+    The countries are a bounded dimension (its size is checked): they become one map from
+    normalised name to the first country of that name, which a scalar subquery hands to
+    the scan of the feed.  A whole-word match is an equal word n-gram of the title; of
+    several the first country in order wins.  The feed is read once, joined with nothing and
+    not shuffled, so a country or word that most articles share costs nothing extra.
+    Unmatched rows keep their country and get NULL coordinates.
     """
-    cands = country_candidates(centroids)
-    max_words = cands.agg(F.max(F.size(F.split("cand", " "))).alias("mw"))
-    exact = (live.select(id_col, normalize_country("country").alias("cand"))
-             .join(cands, "cand")
-             .groupBy(id_col).agg(F.min_by(F.struct("country_txt", "centroid_lat", "centroid_lon"),
-                                            F.col("country_txt")).alias("m")))
-    unmatched = live.join(exact.select(id_col), id_col, "left_anti")
-    mw = max_words.select(F.coalesce(F.first("mw"), F.lit(1))).scalar()
-    grams = (unmatched.select(id_col, F.split(normalize_country("title"), " ").alias("w"))
-             .withColumn("mw", mw)
-             .select(id_col, F.explode(_grams_expr("mw")).alias("cand")))
-    by_title = (grams.join(cands, "cand")
-                .groupBy(id_col).agg(F.min_by(F.struct("country_txt", "centroid_lat", "centroid_lon"),
-                                               F.col("country_txt")).alias("m")))
-    matched = exact.unionByName(by_title)
-    out = live.join(matched, id_col, "left")
-    return (out.withColumn("country", F.coalesce(F.col("m.country_txt"), F.col("country")))
-            .withColumn("latitude", F.col("m.centroid_lat"))
-            .withColumn("longitude", F.col("m.centroid_lon")).drop("m"))
+    names = (country_candidates(centroids).groupBy("cand")
+             .agg(F.min(F.struct("country_txt", "centroid_lat", "centroid_lon")).alias("m")))
+    names = materialize(names, "country-names")
+    if names.count() > MAX_COUNTRIES:
+        raise ValueError(f"more than {MAX_COUNTRIES} country names")
+    known = names.agg(F.map_from_entries(F.collect_list(F.struct("cand", "m"))).alias("known"),
+                      F.coalesce(F.max(F.size(F.split("cand", " "))), F.lit(1)).alias("words"))
+    known = known.select(F.struct("known", "words")).scalar()
+    grams = """array_distinct(flatten(transform(sequence(1, size(_w)), i -> transform(
+      sequence(1, least(_known.words, size(_w) - i + 1)), k -> array_join(slice(_w, i, k), ' ')))))"""
+    first = "array_min(transform(array_intersect(%s, map_keys(_known.known)), g -> _known.known[g]))"
+    row = F.struct(*[F.col(f"`{c}`") for c in live.columns])
+    out = live.select(row.alias("_row"), known.alias("_known"), normalize_country("country").alias("_c"),
+                      F.split(normalize_country("title"), " ").alias("_w"))
+    out = out.withColumn("_m", F.coalesce(F.expr("try_element_at(_known.known, _c)"), F.expr(first % grams)))
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in live.columns if c not in ("country", "latitude", "longitude")]
+    out = out.select(*kept, F.coalesce("_m.country_txt", "_row.country").alias("country"),
+                     F.col("_m.centroid_lat").alias("latitude"), F.col("_m.centroid_lon").alias("longitude"))
+    return out.select(*dict.fromkeys([*live.columns, "latitude", "longitude"]))
 
 
 def historical_fallback(incidents: DataFrame, limit: int = 50, as_of: str = AS_OF) -> DataFrame:
@@ -170,12 +169,6 @@ def to_incident_rows(enriched: DataFrame, as_of: str = AS_OF) -> DataFrame:
         F.lit("GDELT").alias("source_label"), title.alias("original_title"), "severity")
 
 
-LIVE_COLUMNS = ["source_id", "ingested_at", "iyear", "imonth", "iday", "country_txt", "region_txt",
-                "city", "attacktype1_txt", "weaptype1_txt", "targtype1_txt", "gname", "latitude",
-                "longitude", "nkill", "nwound", "success", "suicide", "source_label",
-                "original_title", "severity"]
-
-
 def new_rows(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """L13 delta: drop ids already stored (anti join), then one row per id (first wins)."""
     fresh = candidates.join(stored.select("source_id"), "source_id", "left_anti")
@@ -184,9 +177,11 @@ def new_rows(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def ingest_log_row(spark: SparkSession, batch: DataFrame, source: str, as_of: str = AS_OF) -> DataFrame:
-    """Run id (hash of the batch's ids), time, source, rows added — one aggregate."""
+    """Run id, time, source, rows added.  The run id is a hash of the number of ids and
+    their combined (order-free) hash: one aggregate of fixed size."""
+    ids = F.xxhash64("source_id")
     return batch.agg(
-        F.substring(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(F.xxhash64("source_id")))), 256),
+        F.substring(F.sha2(F.concat_ws(":", F.hex(F.bit_xor(ids)), F.count(F.lit(1)).cast("string")), 256),
                     1, 12).alias("run_id"),
         F.count(F.lit(1)).cast("int").alias("rows_added")).select(
         "run_id", F.lit(as_of).alias("run_at"), F.lit(source).alias("source"), "rows_added")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,15 +52,16 @@ def write_bounds(bounds: DataFrame, path: str) -> None:
 
 
 def read_bounds(spark: SparkSession, path: str | None) -> DataFrame:
-    """S15 source: stored bounds, or the default (0, 5) when absent or unreadable."""
+    """S15 source: stored bounds, or the default (0, 5) when there are none; any other read error is raised."""
     default = spark.createDataFrame([R.DEFAULT_BOUNDS], BOUNDS_SCHEMA)
     if not path:
         return default
     try:
         stored = spark.read.schema(BOUNDS_SCHEMA).parquet(path)
-        stored.limit(1).collect()
-    except Exception:  # missing path: the reference falls back to its default
-        return default
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return default
+        raise
     return stored.select(F.coalesce("min_raw", F.lit(R.DEFAULT_BOUNDS[0])).alias("min_raw"),
                          F.coalesce("max_raw", F.lit(R.DEFAULT_BOUNDS[1])).alias("max_raw"))
 

@@ -78,7 +78,7 @@ def c7_dedupe(spark):
     return clean.dedupe_rows(spark.table("incidents").select("incident_id", *R.REQUIRED_COLS))
 
 
-_PREP_SQL = f"""
+PREPARED_SQL = f"""
 WITH c3 AS (
   SELECT incident_id, {BUSINESS} FROM incidents
   WHERE iyear BETWEEN 2000 AND 2020 AND trim(attacktype1_txt) IS NOT NULL
@@ -100,7 +100,7 @@ c6 AS (
 SELECT min(incident_id) AS incident_id, {BUSINESS} FROM c6 GROUP BY {BUSINESS}"""
 
 
-@query("c8_prepare_chronological", oracle=_PREP_SQL)
+@query("c8_prepare_chronological", oracle=PREPARED_SQL)
 def c8_prepare_chronological(spark):
     return clean.prepare(spark.table("incidents"))
 

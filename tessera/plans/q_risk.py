@@ -13,6 +13,12 @@ from tessera.plans.registry import query
 
 PERIOD = (1999, 2001)  # F13 / R9 / R12 window; previous = 1996-1998
 W = R.RISK_WEIGHTS
+_LEVEL_SQL = "CASE level " + " ".join(f"WHEN '{lv}' THEN '{t}'" for lv, t in R.LEVEL_RECOMMENDATION) + " END"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 
 RISK_CTES = f"""{LIVE_CTES},
 pc AS (SELECT country_txt, count(*) AS n_country, avg(nkill) AS mean_kill FROM scored
@@ -102,14 +108,13 @@ mix AS (SELECT country AS country_txt, string_agg(event, ', ' ORDER BY r) AS eve
   GROUP BY country),
 facts AS (SELECT b.country_txt, b.historical_incidents, b.historical_fatalities, c.activity_delta_pct, a.top_area,
   rl.score, rl.level, rl.live_n, rl.c_activity, rl.c_recent, rl.c_fatalities, rl.c_density, rl.c_instability,
-  coalesce(m.event_mix, 'No live events matched') AS event_mix
+  coalesce(m.event_mix, '{risk.NO_LIVE}') AS event_mix
   FROM base b LEFT JOIN chg2 c USING (country_txt) LEFT JOIN area a USING (country_txt)
   LEFT JOIN rl USING (country_txt) LEFT JOIN mix m USING (country_txt))"""
 
 
 def _facts(spark):
-    hist, r = _risk(spark)
-    return risk.report_facts(hist, live_feed(spark), r, *PERIOD)
+    return risk.report_facts(scored_incidents(spark), live_feed(spark), *PERIOD)
 
 
 @query("r9_report_facts", oracle=f"""WITH {FACTS_CTES}
@@ -123,7 +128,16 @@ def r9_report_facts(spark):
                     "level", "live_n", "event_mix")
 
 
-@query("r10_report_text")
+_LINES_SQL = "printf(" + _q("\n".join(risk.REPORT_LINES)) + ", "
+
+
+@query("r10_report_text", oracle=f"""WITH {FACTS_CTES}
+SELECT country_txt, {_LINES_SQL} country_txt, '{PERIOD[0]}-{PERIOD[1]}', lower(level), score, historical_incidents,
+  CAST(historical_fatalities AS BIGINT), CASE WHEN activity_delta_pct IS NULL
+    THEN 'No earlier period of equal length to compare with.'
+    ELSE printf('Against the period of equal length before: %+.1f%%.', round_even(activity_delta_pct, 1)) END,
+  coalesce(top_area, '{risk.NO_AREA}'), coalesce(live_n, 0), event_mix, {', '.join(f'round_even({c}, 1)' for c in
+  ('c_activity', 'c_recent', 'c_fatalities', 'c_density', 'c_instability'))}, {_LEVEL_SQL}) AS report FROM facts""")
 def r10_report_text(spark):
     return risk.report_text(_facts(spark), f"{PERIOD[0]}-{PERIOD[1]}")
 
@@ -149,9 +163,6 @@ def l17_grounding_context(spark):
     return f.select("country_txt", ctx.alias("context"))
 
 
-_LEVEL_SQL = "CASE level " + " ".join(f"WHEN '{lv}' THEN '{t}'" for lv, t in R.LEVEL_RECOMMENDATION) + " END"
-
-
 @query("r11_level_recommendation", oracle=f"""WITH {RISK_CTES}
 SELECT country_txt, level, {_LEVEL_SQL} AS recommendation FROM rl""")
 def r11_level_recommendation(spark):
@@ -159,10 +170,6 @@ def r11_level_recommendation(spark):
     return r.select("country_txt", "level", risk.level_recommendation(F.col("level")).alias("recommendation"))
 
 
-def _q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def _rec_sql() -> str:
     bands = " UNION ALL ".join(
         f"SELECT {lo} AS band_lo, {order} AS seq, {_q(cat)} AS category, {_q(act)} AS action, "
@@ -199,8 +206,7 @@ UNION ALL SELECT country_txt, 30, '{surge[0]}', '{surge[1]}', CASE WHEN score >=
 
 @query("r12_recommendations", oracle=_rec_sql())
 def r12_recommendations(spark):
-    hist, r = _risk(spark)
-    inp = risk.recommendation_inputs(hist, live_feed(spark), r, *PERIOD)
+    inp = risk.recommendation_inputs(scored_incidents(spark), live_feed(spark), *PERIOD)
     return risk.recommendations(inp)
 
 

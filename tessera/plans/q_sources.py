@@ -6,23 +6,52 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.operators import clean, live
+from tessera.plans.q_clean import PREPARED_SQL
 from tessera.plans.q_live import LIVE_CTES, LIVE_ROWS_SQL, live_feed
 from tessera.plans.registry import query
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 from tessera.sources import files, store
 
 INC_COLS = [f.name for f in files.INCIDENT_SCHEMA.fields]
 HIST = ", ".join(store.HISTORY_COLS)
 
 
-@query("s1_csv_scan", oracle=f"SELECT {', '.join(INC_COLS)} FROM incidents")
+# A file as users have them: columns in another order among others, text with quotes, commas and newlines.
+_WIDE_CITY_SQL = "concat(city, ', \"', iyear, '\"', chr(10), 'east')"
+
+
+def _write_wide(spark, path):
+    city = F.concat("city", F.lit(', "'), F.col("iyear").cast("string"), F.lit('"\neast'))
+    inc = spark.table("incidents").select(*INC_COLS).withColumn("city", city)
+    other = {"eventid_note": F.concat(F.lit("note, "), F.col("incident_id").cast("string")), "extended": F.lit("0"),
+             "summary": F.concat(F.lit('said "'), F.col("gname"), F.lit('",\nthen left'))}
+    order = sorted(INC_COLS[::2]) + ["summary"] + sorted(INC_COLS[1::2], reverse=True)
+    files.write_csv(inc.withColumns(other).select("eventid_note", *order, "extended"), path)
+
+
+@query("s1_csv_scan", oracle=f"SELECT {', '.join(INC_COLS)} FROM incidents".replace("city", f"{_WIDE_CITY_SQL} AS city"))
 def s1_csv_scan(spark):
-    """S7 sink then S1 scan with an explicit schema: the incident table round-trips."""
+    """A wide CSV read by column name into the incident schema."""
     path = scratch_path(spark, "incidents-csv")
-    files.write_csv(spark.table("incidents").select(*INC_COLS), path)
+    _write_wide(spark, path)
     return files.read_incident_csv(spark, path)
 
 
+@query("s1_csv_problems", oracle="""
+SELECT 2 * count(*) AS rows, count(*) AS bad_rows, count(*) AS wrong_iyear, 0 AS wrong_imonth, 0 AS missing_columns FROM region""")
+def s1_csv_problems(spark):
+    """Rows that do not fit the header and values of the wrong type are counted."""
+    path = scratch_path(spark, "broken-csv")
+    header = ",".join(INC_COLS)
+    good = F.concat_ws(",", *[F.lit("nineteen") if c == "iyear" else F.lit("1") for c in INC_COLS])
+    broken = F.concat_ws(",", *[F.lit("1") for _ in range(len(INC_COLS) + 3)])
+    rows = spark.table("region").select(F.explode(F.array(good, broken)).alias("value"))
+    one_file = rows.coalesce(1).select(F.lit(1).alias("o"), "value").unionByName(
+        spark.createDataFrame([(0, header)], "o int, value string")).coalesce(1).sortWithinPartitions("o")
+    one_file.select("value").write.text(path)
+    return files.csv_problems(spark, path).select("rows", "bad_rows", "wrong_iyear", "wrong_imonth", "missing_columns")
+
+
 @query("s2_sql_over_dataset", oracle="""
 SELECT country_txt, count(*) AS n, CAST(sum(CASE WHEN success = 1 THEN 1 ELSE 0 END) AS BIGINT) AS successes
 FROM incidents GROUP BY country_txt""")
@@ -34,14 +63,14 @@ FROM incidents GROUP BY country_txt""")
 
 @query("s4_raw_load_inferred", oracle="""
 SELECT CAST(incident_id AS BIGINT) AS incident_id, CAST(iyear AS INT) AS iyear, country_txt,
-  CAST(nkill AS DOUBLE) AS nkill FROM incidents""")
+  CAST(nkill AS DOUBLE) AS nkill, """ + f"{_WIDE_CITY_SQL} AS city FROM incidents")
 def s4_raw_load_inferred(spark):
     """An unknown CSV read with type inference, then typed."""
     path = scratch_path(spark, "incidents-raw-csv")
-    files.write_csv(spark.table("incidents").select(*INC_COLS), path)
+    _write_wide(spark, path)
     raw = files.read_incident_csv(spark, path, schema=None)
     return raw.select(F.col("incident_id").cast("bigint"), F.col("iyear").cast("int"), "country_txt",
-                      F.col("nkill").cast("double"))
+                      F.col("nkill").cast("double"), "city")
 
 
 @query("s5_alias_rename", oracle=f"SELECT incident_id, {HIST} FROM incidents")
@@ -58,14 +87,13 @@ def s6_required_columns(spark):
     return checked.agg(F.count(F.lit(1)).alias("rows_checked"))
 
 
-@query("s7_prepared_csv_sink", oracle=None)
+@query("s7_prepared_csv_sink", oracle=PREPARED_SQL)
 def s7_prepared_csv_sink(spark):
     """The cleaned table written as CSV and read back (rows as c8)."""
     path = scratch_path(spark, "prepared-csv")
     prepared = clean.prepare(spark.table("incidents"))
     files.write_csv(prepared, path)
-    schema = prepared.schema
-    return spark.read.option("header", True).option("encoding", "ISO-8859-1").schema(schema).csv(path)
+    return files.read_incident_csv(spark, path, prepared.schema)
 
 
 _S8_SQL = """
@@ -91,11 +119,26 @@ def s9_asset_json(spark):
     return files.read_assets(spark, path)
 
 
-@query("s10_store_tables")
-def s10_store_tables(spark):
-    """Idempotent create (twice), then the live table (empty) with its fixed schema."""
+# the rows that a store holds after an ingest of the whole feed: one of each id, the first article
+STORED_SQL = f"""WITH {LIVE_CTES},
+lrows AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY article_id) AS rn
+  FROM ({LIVE_ROWS_SQL}) r) t WHERE rn = 1)"""
+
+
+def _stored(spark, times: int = 1):
+    """A fresh store with the whole feed ingested ``times`` times, each as a batch of its own."""
     root = scratch_path(spark, "store")
     store.ensure_tables(spark, root)
+    rows = materialize(_live_rows(spark), "live-rows")
+    for batch in range(times):
+        store.ingest(spark, root, rows, str(batch))
+    return root
+
+
+@query("s10_store_tables", oracle=f"{STORED_SQL}\nSELECT {', '.join(store.LIVE_SCHEMA.names)} FROM lrows")
+def s10_store_tables(spark):
+    """The live table after creation (twice) and two ingests of the same feed."""
+    root = _stored(spark, 2)
     store.ensure_tables(spark, root)
     return store.read_live(spark, root)
 
@@ -121,6 +164,14 @@ def s12_combined_fallback(spark):
     return store.load_combined(spark, spark.table("incidents"), scratch_path(spark, "missing-store"))
 
 
+@query("s12_combined_load", oracle=f"""{STORED_SQL}
+SELECT {HIST}, 'GTD' AS data_source FROM incidents
+UNION ALL SELECT {HIST}, source_label AS data_source FROM lrows""")
+def s12_combined_load(spark):
+    """The combined table with a live table present."""
+    return store.load_combined(spark, spark.table("incidents"), _stored(spark))
+
+
 @query("s13_store_stats", oracle=f"""WITH {LIVE_CTES},
 lrows AS ({LIVE_ROWS_SQL})
 SELECT (SELECT count(*) FROM incidents) AS gtd_rows, count(*) AS live_rows,
@@ -137,14 +188,20 @@ def s14_live_listing(spark):
         "source_id", "iyear", "imonth", "iday", "country_txt", "original_title")
 
 
-@query("s14_ingest_log")
+@query("s14_ingest_log", oracle=f"""WITH {LIVE_CTES},
+lrows AS ({LIVE_ROWS_SQL}),
+early AS (SELECT DISTINCT source_id FROM lrows JOIN live_articles a USING (article_id)
+  WHERE a.seendate < TIMESTAMP '2024-01-16 00:00:00'),
+late AS (SELECT DISTINCT source_id FROM lrows WHERE source_id NOT IN (SELECT source_id FROM early))
+SELECT '{live.AS_OF}' AS run_at, 'GDELT' AS source, CAST(n AS INT) AS rows_added FROM (
+  SELECT count(*) AS n FROM early UNION ALL SELECT count(*) FROM late) t WHERE n > 0""")
 def s14_ingest_log(spark):
     """Two ingests into a fresh store (first half of the month, then all): the log, newest first."""
     root = scratch_path(spark, "store")
-    rows = _live_rows(spark)
+    rows = materialize(_live_rows(spark), "live-rows")
     seen = spark.table("live_articles").select("article_id", "seendate")
     first = rows.join(seen, "article_id").filter(
         F.col("seendate") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")).drop("seendate")
     store.ingest(spark, root, first, "1")
     store.ingest(spark, root, rows, "2")
-    return store.log_listing(store.read_log(spark, root))
+    return store.log_listing(store.read_log(spark, root)).select("run_at", "source", "rows_added")

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import geo
+from tessera.functions.expr import normalize_country_sql
+from tessera.operators import geo, risk
 from tessera.operators.prep import scored_incidents
-from tessera.plans.q_live import LIVE_CTES, live_feed
+from tessera.plans.q_live import EVENT_SQL, LIVE_CTES, SEV_SQL, live_feed
+from tessera.plans.q_risk import RISK_COLS_SQL, RISK_CTES
+from tessera.plans.q_sources import STORED_SQL
 from tessera.plans.registry import query
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 from tessera.sources import store
 from tessera.streaming import ingest as st
 
@@ -22,25 +25,31 @@ def _run_ingest(spark, with_risk: bool = False):
     root = scratch_path(spark, "stream-store")
     risk_path = scratch_path(spark, "risk-snapshots") if with_risk else None
     hist = scored_incidents(spark)
-    st.ingest_stream(spark, src, root, geo.country_centroids(hist), scratch_path(spark, "ckpt-ingest"),
+    centroids = materialize(geo.country_centroids(hist), "centroids")  # read by every micro-batch
+    st.ingest_stream(spark, src, root, centroids, scratch_path(spark, "ckpt-ingest"),
                      history=hist if with_risk else None, risk_path=risk_path)
     return root, risk_path
 
 
-@query("st1_stream_ingest")
+_TITLED = "source_id, original_title, severity, attacktype1_txt, country_txt"
+
+
+@query("st1_stream_ingest", oracle=f"{STORED_SQL}\nSELECT {_TITLED} FROM lrows")
 def st1_stream_ingest(spark):
-    """Articles as a file stream -> watermark dedupe -> idempotent store; the stored rows."""
+    """Articles as a file stream -> idempotent store; what the title decides of the stored rows."""
     root, _ = _run_ingest(spark)
-    return store.read_live(spark, root)
+    return store.read_live(spark, root).select(*_TITLED.split(", "))
 
 
-@query("st5_stream_risk_refresh")
+@query("st5_stream_risk_refresh", oracle=f"""{STORED_SQL.replace('lrows AS', 'stored AS')},
+{RISK_CTES.removeprefix(LIVE_CTES + ',').replace('FROM livefeed GROUP BY 1', "FROM (SELECT country_txt AS country, severity FROM stored) s GROUP BY 1")}
+SELECT {RISK_COLS_SQL} FROM rl""")
 def st5_stream_risk_refresh(spark):
     """Risk snapshot per micro-batch (stream-static join); the last snapshot."""
     _, risk_path = _run_ingest(spark, with_risk=True)
     snaps = spark.read.parquet(risk_path)
     last = snaps.select(F.max("batch_id")).scalar()
-    return snaps.filter(F.col("batch_id") == last).drop("batch")
+    return risk.round_components(snaps.filter(F.col("batch_id") == last).drop("batch", "batch_id"))
 
 
 _LB = ", ".join(
@@ -67,11 +76,30 @@ def st4_surge_alerts(spark):
     return st.surge_alerts(live_feed(spark), "2 days", 20)
 
 
-@query("st4_stream_surge")
-def st4_stream_surge(spark):
-    """The same windows as a stream with a watermark (append mode, per source country)."""
+def _landed(spark):
     src = scratch_path(spark, "article-files")
     st.write_article_files(spark.table("live_articles"), src)
-    out = scratch_path(spark, "surge-out")
-    st.surge_stream(spark, src, out, scratch_path(spark, "ckpt-surge"))
-    return spark.read.parquet(out)
+    return src, scratch_path(spark, "counts"), scratch_path(spark, "ckpt-counts")
+
+
+@query("st4_stream_surge", oracle=f"""
+SELECT time_bucket(INTERVAL 2 DAY, seendate, TIMESTAMP '1970-01-01') AS window_start,
+  {normalize_country_sql('source_country')} AS ckey, count(*) AS n
+FROM live_articles GROUP BY 1, 2 HAVING count(*) >= 20""")
+def st4_stream_surge(spark):
+    """The same windows as a stream in update mode, per source country."""
+    return st.surge_stream(spark, *_landed(spark))
+
+
+@query("st3_stream_tumbling", oracle=f"""
+SELECT date_trunc('day', seendate) AS window_start, {EVENT_SQL} AS event, {SEV_SQL} AS severity, count(*) AS n
+FROM live_articles GROUP BY 1, 2, 3""")
+def st3_stream_tumbling(spark):
+    return st.tumbling_stream(spark, *_landed(spark))
+
+
+@query("st2_stream_lookback", oracle=" UNION ALL ".join(
+    f"SELECT source_country AS country, '{n}' AS lookback, count(*) AS n FROM live_articles "
+    f"WHERE seendate > {AS_OF} - INTERVAL {m} MINUTE AND seendate <= {AS_OF} GROUP BY 1" for n, m in st.LOOKBACKS))
+def st2_stream_lookback(spark):
+    return st.lookback_stream(spark, *_landed(spark))

@@ -23,19 +23,59 @@ INCIDENT_SCHEMA = T.StructType([
 TABLE_TOKEN = "incidents"
 
 
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+
+
+def read_csv_text(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
+                  multi_line: bool = True) -> tuple[DataFrame, list[str]]:
+    """Every column of a header CSV as text, and ``_bad`` for rows that do not fit the header.
+
+    Fields may hold quoted commas, doubled quotes and newlines.  Newlines in fields mean that
+    a file is read by one task; ``multi_line=False`` splits large files that have none.
+    The header's names are read first, so column order does not matter; files of a folder must
+    share one header (else the read fails).
+    """
+    reader = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).option("multiLine", multi_line)
+    names = reader.option("inferSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_bad"]])
+    df = (reader.schema(schema).option("enforceSchema", False).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_bad").csv(path))
+    return df, names
+
+
 def read_incident_csv(spark: SparkSession, path: str, schema: T.StructType | None = INCIDENT_SCHEMA,
-                      encoding: str = "ISO-8859-1") -> DataFrame:
-    """Header CSV in latin1.  An explicit schema by default; ``schema=None``
-    infers types (one extra pass — only for unknown files).  Column pruning and
-    filters still reach the scan."""
-    reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+                      encoding: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
+    """The columns of ``schema`` by name, in any order among others.
+
+    Columns that the file lacks are NULL, and so are values that are not of their type
+    (``csv_problems`` counts both).  Rows that do not fit the header are left out and counted there.
+    ``schema=None`` infers types of all columns (one extra pass, for unknown files).
+    """
+    if schema is None:
+        return (spark.read.options(**CSV_OPTIONS).option("encoding", encoding).option("multiLine", multi_line)
+                .option("inferSchema", True).csv(path))
+    df, names = read_csv_text(spark, path, encoding, multi_line)
+    return df.filter("_bad IS NULL").select(*[
+        F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema.fields])
+
+
+def csv_problems(spark: SparkSession, path: str, schema: T.StructType = INCIDENT_SCHEMA,
+                 encoding: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
+    """One row: rows, rows that do not fit the header, missing columns, and for each column the
+    values that are not of its type."""
+    df, names = read_csv_text(spark, path, encoding, multi_line)
+    here = [f for f in schema.fields if f.name in names]
+    wrong = [F.count_if(F.col("_bad").isNull() & F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull())
+             .alias(f"wrong_{f.name}") for f in here if not isinstance(f.dataType, T.StringType)]
+    missing = F.lit(len(schema.fields) - len(here)).alias("missing_columns")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_bad").isNotNull()).alias("bad_rows"),
+                  *wrong).withColumn("missing_columns", missing)
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "ISO-8859-1") -> None:
-    """Header CSV (one file per partition)."""
-    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+    """Header CSV (one file per partition), quoted so that any text can be read back."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS).option("encoding", encoding).csv(path)
 
 
 def query_data(spark: SparkSession, sql: str, table: str = TABLE_TOKEN) -> DataFrame:

@@ -40,24 +40,23 @@ def article_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -
 
 
 def ingest_stream(spark: SparkSession, source: str, store_root: str, centroids: DataFrame,
-                  checkpoint: str, watermark: str = "1 day", history: DataFrame | None = None,
-                  risk_path: str | None = None) -> None:
-    """ST1 (+ ST5): dedupe by stable id within the watermark, then per micro-batch:
-    classify, dedupe (title, url), enrich, map to rows and ingest idempotently.  With
-    ``history`` and ``risk_path`` every batch also rewrites the all-country risk
-    snapshot (stream-static join against the history)."""
-    s = article_stream(spark, source).withColumn("source_id", source_id(F.col("title")))
-    s = s.withWatermark("seen_ts", watermark).dropDuplicatesWithinWatermark(["source_id"])
+                  checkpoint: str, history: DataFrame | None = None, risk_path: str | None = None) -> None:
+    """ST1 (+ ST5): per micro-batch classify, dedupe (title, url), enrich, map to rows and ingest
+    idempotently.  Ids that are stored already are dropped by the ingest's anti-join, so there is no
+    watermark and articles may arrive in any order.  With ``history`` and ``risk_path`` every batch
+    also rewrites the all-country risk snapshot (the history is collapsed once for all batches)."""
+    s = article_stream(spark, source)
+    past = risk.history_summary(history) if history is not None and risk_path is not None else None
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         raw = batch.select(*ARTICLE_FILE_SCHEMA.names)
         arts = live.dedupe_articles(live.articles_frame(raw))
         rows = live.to_incident_rows(live.enrich_with_centroids(arts, centroids))
         store.ingest(spark, store_root, rows, str(epoch))
-        if history is not None and risk_path is not None:
+        if past is not None:
             lv = store.read_live(spark, store_root).select(
                 F.col("country_txt").alias("country"), "severity")
-            snap = risk.country_risk(history, lv).withColumn("batch_id", F.lit(epoch))
+            snap = risk.country_risk_of(past, risk.live_summary(lv)).withColumn("batch_id", F.lit(epoch))
             snap.write.mode("overwrite").parquet(f"{risk_path}/batch={epoch}")
 
     q = (s.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
@@ -89,16 +88,55 @@ def surge_alerts(events: DataFrame, width: str = "2 days", min_events: int = 20)
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "country", "n"))
 
 
-def surge_stream(spark: SparkSession, source: str, out: str, checkpoint: str, width: str = "2 days",
-                 min_events: int = 20, watermark: str = "1 day") -> None:
-    """ST4 (stream): windowed counts per source country with a watermark, append mode —
-    a window is emitted once the watermark passes its end; late rows are dropped."""
-    s = article_stream(spark, source)
-    counts = (s.withWatermark("seen_ts", watermark)
-              .groupBy(F.window("seen_ts", width).alias("w"), normalize_country("source_country").alias("ckey"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    alerts = counts.filter(F.col("n") >= min_events).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "ckey", "n")
-    q = (alerts.writeStream.outputMode("append").format("parquet").option("path", out)
+def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The counts that an update-mode stream has written so far: the newest batch of each key."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+    return newest
+
+
+def count_stream(spark: SparkSession, counts: DataFrame, out: str, checkpoint: str) -> None:
+    """Run ``counts`` (keys and n) in update mode: each batch writes the counts that it changed.
+
+    There is no watermark, so no article is late and no window waits for one to pass; the state is
+    a count for each window and key.  A replayed batch overwrites its own folder.
+    """
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    q = (counts.writeStream.outputMode("update").foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def surge_stream(spark: SparkSession, source: str, out: str, checkpoint: str, width: str = "2 days",
+                 min_events: int = 20) -> DataFrame:
+    """ST4 (stream): windowed counts per source country; returns the windows that have reached
+    ``min_events`` in what has been read so far."""
+    s = article_stream(spark, source)
+    counts = (s.groupBy(F.window("seen_ts", width).alias("w"), normalize_country("source_country").alias("ckey"))
+              .agg(F.count(F.lit(1)).alias("n"))
+              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "ckey", "n"))
+    count_stream(spark, counts, out, checkpoint)
+    return latest_counts(spark, out, ["window_start", "ckey"]).filter(F.col("n") >= min_events)
+
+
+def tumbling_stream(spark: SparkSession, source: str, out: str, checkpoint: str, width: str = "1 day") -> DataFrame:
+    """ST3 (stream): articles per tumbling window, event type and severity."""
+    s = article_stream(spark, source)
+    events = s.select(F.col("seen_ts").alias("date"), live.classify_event(F.col("title")).alias("event"),
+                      live.classify_severity(F.col("title")).alias("severity"))
+    count_stream(spark, tumbling_counts(events, width), out, checkpoint)
+    return latest_counts(spark, out, ["window_start", "event", "severity"])
+
+
+def lookback_stream(spark: SparkSession, source: str, out: str, checkpoint: str, as_of: str = live.AS_OF) -> DataFrame:
+    """ST2 (stream): articles per source country in each lookback before ``as_of``, kept as one
+    running count for each country and lookback."""
+    t, end = F.col("seendate"), F.lit(as_of).cast("timestamp_ntz")
+    hits = F.filter(F.array(*[F.when((t > end - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(m))) & (t <= end), F.lit(name))
+                              for name, m in LOOKBACKS]), lambda x: x.isNotNull())
+    counts = (article_stream(spark, source).select(F.col("source_country").alias("country"), F.explode(hits).alias("lookback"))
+              .groupBy("country", "lookback").agg(F.count(F.lit(1)).alias("n")))
+    count_stream(spark, counts, out, checkpoint)
+    return latest_counts(spark, out, ["country", "lookback"])
