@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 BUCKET = 1 << 16
 SALTS = 16
 
@@ -20,20 +22,53 @@ SALTS = 16
 def ordered_position(df: DataFrame, day_cols: Sequence[str], id_col: str,
                      partition_cols: Sequence[str] = (), out: str = "pos") -> DataFrame:
     """Attach the 0-based position of each row in order (day_cols..., id_col) within
-    ``partition_cols`` (ids must be unique within a partition)."""
+    ``partition_cols`` (ids must be unique within a partition).
+
+    The input is written once and read from there.  The width of an id bucket follows from the
+    ids' range and number, so sparse ids fill their buckets as dense ones do.
+    """
     part, day = list(partition_cols), list(day_cols)
-    rows = df.withColumn("_bucket", F.floor(F.col(id_col) / BUCKET))
-    days = rows.groupBy(*part, *day).agg(F.count(F.lit(1)).alias("_dn"))
-    wd = Window.partitionBy(*part).orderBy(*day).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_doff", F.coalesce(F.sum("_dn").over(wd), F.lit(0))).drop("_dn")
+    rows = materialize(df, "ordered-rows")
+    ids = rows.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count(id_col).alias("n")).first()
+    width = max(1, (int(ids["hi"] or 0) - int(ids["lo"] or 0) + 1) * BUCKET // max(ids["n"], 1))
+    rows = rows.withColumn("_bucket", F.floor((F.col(id_col) - F.lit(int(ids["lo"] or 0))) / width))
+    running = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, keys, order: F.coalesce(F.sum(n).over(running(keys, order)), F.lit(0))
     buckets = rows.groupBy(*part, *day, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = Window.partitionBy(*part, *day).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
-    wr = Window.partitionBy(*part, *day, "_bucket").orderBy(id_col)
-    ranked = rows.withColumn("_r", F.row_number().over(wr))
-    return (ranked.join(days, [*part, *day]).join(buckets, [*part, *day, "_bucket"])
-            .withColumn(out, (F.col("_doff") + F.col("_boff") + F.col("_r") - 1).cast("long"))
-            .drop("_bucket", "_doff", "_boff", "_r"))
+    offset = buckets.withColumn("_off", before("_bn", [*part, *day], ["_bucket"]))
+    if day:
+        days = buckets.groupBy(*part, *day).agg(F.sum("_bn").alias("_dn"))
+        days = days.withColumn("_doff", before("_dn", part, day)).drop("_dn")
+        offset = offset.join(days, [*part, *day]).withColumn("_off", F.col("_off") + F.col("_doff")).drop("_doff")
+    rank = F.row_number().over(Window.partitionBy(*part, *day, "_bucket").orderBy(id_col))
+    return (rows.withColumn("_r", rank).join(offset.drop("_bn"), [*part, *day, "_bucket"])
+            .withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("long")).drop("_bucket", "_off", "_r"))
+
+
+def grouped_median(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """Exact median of each of ``cols`` per ``key`` (the mean of the two middle values).
+
+    Values are counted first (combined in every task); whole-number buckets of the values tell in
+    which bucket a middle rank lies, and only that bucket's values are ranked.  No task holds
+    all values of a hot key.
+    """
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x"))
+    counts = materialize(long.filter("x.v IS NOT NULL").groupBy(key, F.col("x.c").alias("c"), F.col("x.v").alias("v"))
+                         .agg(F.count(F.lit(1)).alias("n")), "median-counts").withColumn("b", F.floor("v"))
+    up = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    buckets = counts.groupBy(key, "c", "b").agg(F.sum("n").alias("bn"))
+    buckets = buckets.withColumn("upto", F.sum("bn").over(up([key, "c"], "b")))
+    total = buckets.groupBy(key, "c").agg(F.max("upto").alias("all"))
+    ranks = total.select(key, "c", F.explode(F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2))).alias("rank"))
+    holds = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("bn"))
+    middle = buckets.join(ranks, [key, "c"]).filter(holds).select(key, "c", "b", "rank", (F.col("upto") - F.col("bn")).alias("before"))
+    inside = (counts.join(middle.select(key, "c", "b").distinct(), [key, "c", "b"], "left_semi")
+              .withColumn("upto", F.sum("n").over(up([key, "c", "b"], "v"))))
+    found = (inside.join(middle, [key, "c", "b"])
+             .filter((F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("n"))))
+    medians = found.groupBy(key, "c").agg((F.min("v") * 0.5 + F.max("v") * 0.5).alias("median"))
+    pick = [F.max(F.when(F.col("c") == c, F.col("median"))).alias(c) for c in cols]
+    return medians.groupBy(key).agg(*pick)
 
 
 def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, salt_col: str) -> DataFrame:

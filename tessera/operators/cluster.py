@@ -29,8 +29,6 @@ from tessera.functions.expr import haversine_km, round_even
 from tessera.operators import geo
 from tessera.session import checkpoint_dir, materialize
 
-MAX_ROUNDS = 200
-
 
 def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str] = (),
            id_col: str = "incident_id", lat: str = "latitude", lon: str = "longitude",
@@ -117,7 +115,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     und = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))),
                       "cc-edges")
     labels = nodes.select("node", F.col("node").alias("label")).distinct()
-    for _ in range(MAX_ROUNDS):
+    while True:
         nb = (und.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b")
               .groupBy("a").agg(F.min("lb").alias("nmin")))
         step = (labels.join(nb.withColumnRenamed("a", "node"), "node", "left")
@@ -131,7 +129,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if changed == 0:
             return labels
-    raise RuntimeError(f"connected components did not converge in {MAX_ROUNDS} rounds")
 
 
 def hotspot_summary(clustered: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import chord_for_km, haversine_km, round_even, unit_xyz
+from tessera.functions.position import grouped_median
 
 
 def with_cells(df: DataFrame, km: float, fine: bool, lat: str = "latitude",
@@ -86,27 +87,13 @@ def pairs_within(left: DataFrame, right: DataFrame, km: float, *, keys: Sequence
     return cand.filter(cond).drop("_cx", "_cy", "_cz", "_nx", "_ny", "_nz")
 
 
-def prefix_columns(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in df.columns])
-
-
-# ---- G1 / G7 / G8 / G9 / G12 ---------------------------------------------------------
-
-def distance_to(df: DataFrame, lat2: str, lon2: str, out: str = "dist_km") -> DataFrame:
-    """G1 applied row-wise."""
-    return df.withColumn(out, haversine_km("latitude", "longitude", lat2, lon2))
-
+# ---- G7 / G8 / G9 / G12 ---------------------------------------------------------------
 
 def country_centroids(df: DataFrame) -> DataFrame:
-    """Median latitude / longitude per country (rows with coordinates only).
-
-    ``median`` keeps a value->count map per group, so memory follows the number of
-    distinct coordinates of a country, not its row count.
-    """
-    return (df.filter(F.col("country_txt").isNotNull() & F.col("latitude").isNotNull()
-                      & F.col("longitude").isNotNull())
-            .groupBy("country_txt")
-            .agg(F.median("latitude").alias("centroid_lat"), F.median("longitude").alias("centroid_lon")))
+    """Median latitude / longitude per country (rows with coordinates only)."""
+    located = df.filter(F.col("country_txt").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    return (grouped_median(located, "country_txt", ["latitude", "longitude"])
+            .withColumnsRenamed({"latitude": "centroid_lat", "longitude": "centroid_lon"}))
 
 
 def grid_density(df: DataFrame, cell_deg: float = 1.0) -> DataFrame:
@@ -147,18 +134,18 @@ def radius_summary(points: DataFrame, incidents: DataFrame, km: float,
     A cell range join (no per-point scan); points without incidents stay (count 0).
     """
     q = points.select(point_key, F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
+    # incidents collapse to places and attack types before any pair is made
     inc = (incidents.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-           .select(F.col("incident_id").alias("r_incident_id"), F.col("latitude").alias("r_latitude"),
-                   F.col("longitude").alias("r_longitude"), F.col("nkill").alias("r_nkill"),
-                   F.col("nwound").alias("r_nwound"), F.col("attacktype1_txt").alias("r_attack")))
-    pairs = pairs_within(q, inc, km)
-    agg = pairs.groupBy(point_key).agg(
-        F.count(F.lit(1)).alias("incidents"),
-        round_even(F.sum(F.col("r_nkill") + F.col("r_nwound")), 6).alias("casualties"),
-        F.mode("r_attack", True).alias("dominant_attack"))
+           .groupBy(F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"), F.col("attacktype1_txt").alias("r_attack"))
+           .agg(F.count(F.lit(1)).alias("r_n"), F.sum(F.col("nkill") + F.col("nwound")).alias("r_casualties")))
+    by_type = (pairs_within(q, inc, km).groupBy(point_key, "r_attack")
+               .agg(F.sum("r_n").alias("n"), F.sum("r_casualties").alias("casualties")))
+    top = F.min(F.when(F.col("r_attack").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("r_attack").alias("a"))))
+    agg = by_type.groupBy(point_key).agg(
+        F.sum("n").alias("incidents"), round_even(F.sum("casualties"), 6).alias("casualties"), top.alias("top"))
     return (points.select(point_key).join(agg, point_key, "left")
-            .withColumn("incidents", F.coalesce("incidents", F.lit(0)))
-            .withColumn("casualties", F.coalesce("casualties", F.lit(0.0))))
+            .select(point_key, F.coalesce("incidents", F.lit(0)).alias("incidents"),
+                    F.coalesce("casualties", F.lit(0.0)).alias("casualties"), F.col("top.a").alias("dominant_attack")))
 
 
 def asset_exposure(assets: DataFrame, incidents: DataFrame, hotspots: DataFrame,
@@ -166,8 +153,9 @@ def asset_exposure(assets: DataFrame, incidents: DataFrame, hotspots: DataFrame,
     """Incidents and hotspots within ``km`` of each asset, and the nearest hotspot."""
     q = assets.select("name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
     inc = (incidents.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-           .select(F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude")))
-    n_inc = pairs_within(q, inc, km).groupBy("name").agg(F.count(F.lit(1)).alias("incidents_within"))
+           .groupBy(F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"))
+           .agg(F.count(F.lit(1)).alias("r_n")))                     # places, not incidents
+    n_inc = pairs_within(q, inc, km).groupBy("name").agg(F.sum("r_n").alias("incidents_within"))
     hs = hotspots.select(F.col("cluster").alias("r_cluster"), F.col("centroid_lat").alias("r_latitude"),
                          F.col("centroid_lon").alias("r_longitude"))
     hp = pairs_within(q, hs, km)

@@ -9,6 +9,8 @@ never tree by tree.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -38,10 +40,16 @@ def training_frame(incidents: DataFrame) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, train_fraction: float = 0.8) -> DataFrame:
-    """M1: first floor(0.8 n) rows in (iyear, imonth, iday, incident_id) order are train."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    cut = F.floor(n * F.lit(train_fraction))
-    return ordered_position(df, DAY, "incident_id").withColumn("is_train", F.col("pos") < cut)
+    """M1: first floor(0.8 n) rows in (iyear, imonth, iday, incident_id) order are train.
+
+    The split is written once; what follows reads the table."""
+    return _split_at(ordered_position(df, DAY, "incident_id"), train_fraction)
+
+
+def _split_at(placed: DataFrame, train_fraction: float) -> DataFrame:
+    placed = materialize(placed, "split")
+    n = placed.count()
+    return placed.withColumn("is_train", F.col("pos") < F.floor(F.lit(n) * F.lit(train_fraction)))
 
 
 def overlap_rows(split: DataFrame, cols=CAT_COLS + NUM_COLS) -> DataFrame:
@@ -57,31 +65,39 @@ def train_medians(split: DataFrame, cols=NUM_COLS) -> DataFrame:
 
 
 def impute(split: DataFrame, medians: DataFrame, cat_cols=CAT_COLS, num_cols=NUM_COLS) -> DataFrame:
-    """M3: categorical NULL -> 'Unknown'; numeric NULL -> train median (scalar subqueries)."""
+    """M3: categorical NULL -> 'Unknown'; numeric NULL -> train median (one row, read once)."""
+    row = medians.first()
     fills = {c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in cat_cols}
-    for c in num_cols:
-        fills[c] = F.coalesce(F.col(c).cast("double"), medians.select(F.first(c)).scalar())
+    fills |= {c: F.coalesce(F.col(c).cast("double"), F.lit(row[c]).cast("double")) for c in num_cols}
     return split.withColumns(fills)
 
 
-def ordinal_dictionaries(train: DataFrame, cols=CAT_COLS) -> dict[str, DataFrame]:
-    """M4 fit: per column, sorted distinct train values -> code 0..k-1.
+MAX_BROADCAST = 1_000_000  # dictionary entries
 
-    The rank window runs over the distinct-value table (bounded by the column's
-    cardinality), not over rows.
+
+def ordinal_dictionaries(train: DataFrame, cols=CAT_COLS) -> DataFrame:
+    """M4 fit: (col, value, code): per column, sorted distinct train values -> code 0..k-1.
+
+    All columns are collected in one pass; the rank window runs over the distinct values
+    (bounded by a column's cardinality), not over rows.
     """
-    out = {}
-    for c in cols:
-        vals = train.select(F.col(c).alias("value")).distinct()
-        out[c] = vals.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("double"))
-    return out
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in cols])
+    vals = train.select(F.explode(pairs).alias("x")).select("x.col", "x.value").distinct()
+    rank = F.row_number().over(Window.partitionBy("col").orderBy("value"))
+    return materialize(vals.withColumn("code", (rank - 1).cast("double")), "dictionaries")
 
 
-def ordinal_encode(df: DataFrame, dicts: dict[str, DataFrame], suffix: str = "_code") -> DataFrame:
-    """M4 transform: join each dictionary; unseen values -> -1."""
+def ordinal_encode(df: DataFrame, dicts: DataFrame, cols=CAT_COLS, suffix: str = "_code") -> DataFrame:
+    """M4 transform: look each column up; unseen values -> -1.
+
+    The dictionaries' size is checked: up to ``MAX_BROADCAST`` entries go to every task, so a value
+    that most rows share moves no rows; larger ones are joined.
+    """
+    small = dicts.count() <= MAX_BROADCAST
     out = df
-    for c, d in dicts.items():
-        out = (out.join(d.withColumnRenamed("value", c).withColumnRenamed("code", c + suffix), c, "left")
+    for c in cols:
+        d = dicts.filter(F.col("col") == c).select(F.col("value").alias(c), F.col("code").alias(c + suffix))
+        out = (out.join(F.broadcast(d) if small else d, c, "left")
                .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(-1.0))))
     return out
 
@@ -116,14 +132,20 @@ def prepared_attack_data(incidents: DataFrame):
     split = chronological_split(training_frame(incidents))
     split = impute(split, train_medians(split))
     dicts = ordinal_dictionaries(split.filter("is_train"))
-    labels = label_dictionary(split)
+    labels = materialize(label_dictionary(split), "attack-labels")
     data = ordinal_encode(split, dicts).join(
-        labels.withColumnRenamed("value", TARGET), TARGET)
+        F.broadcast(labels.withColumnRenamed("value", TARGET)), TARGET)  # one row for each class
     # written once: the forest makes several passes over its input
     keep = ["incident_id", TARGET, "label", "is_train", "pos", *CAT_COLS, *NUM_COLS,
             *[c + "_code" for c in CAT_COLS], *DAY[1:]]
-    data = materialize(data.select(*keep), "attack-prepared")
-    return data, {c: materialize(d, f"attack-dict-{c}") for c, d in dicts.items()}, materialize(labels, "attack-labels")
+    return materialize(data.select(*keep), "attack-prepared"), dicts, labels
+
+
+def bins_for(data: DataFrame, features: list[str]) -> int:
+    """Bins that keep every code of the encoded columns apart."""
+    codes = [c for c in features if c.endswith("_code")]
+    top = data.agg(*[F.max(c).alias(c) for c in codes]).first()
+    return max(32, *[int(top[c] or 0) + 3 for c in codes])
 
 
 def feature_names(cat_cols=CAT_COLS, num_cols=NUM_COLS) -> list[str]:
@@ -131,20 +153,20 @@ def feature_names(cat_cols=CAT_COLS, num_cols=NUM_COLS) -> list[str]:
 
 
 def forest(num_trees: int = 300, max_depth: int = 8, min_leaf: int = 2, seed: int = 42,
-           features: list[str] | None = None) -> Pipeline:
+           features: list[str] | None = None, max_bins: int = 32) -> Pipeline:
     """M7: assembler + random forest (balanced weights via ``weight``; sqrt features)."""
     feats = features or feature_names()
     return Pipeline(stages=[
         VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                               featureSubsetStrategy="sqrt", maxBins=64, seed=seed)])
+                               featureSubsetStrategy="sqrt", maxBins=max_bins, seed=seed)])
 
 
 def fit_attack_model(data: DataFrame, num_trees: int = 300, seed: int = 42) -> PipelineModel:
     train = data.filter("is_train")
     weighted = materialize(train.join(F.broadcast(class_weights(train)), "label"), "attack-train")
-    return forest(num_trees, seed=seed).fit(weighted)
+    return forest(num_trees, seed=seed, max_bins=bins_for(weighted, feature_names())).fit(weighted)
 
 
 def class_report(pred: DataFrame) -> DataFrame:
@@ -178,15 +200,25 @@ def weighted_f1(pred: DataFrame) -> DataFrame:
 
 def attack_metrics(model: PipelineModel, data: DataFrame) -> DataFrame:
     """M8: train / test accuracy, overfit gap, weighted F1 on test, row counts — one row."""
-    pred = model.transform(data).select("label", "prediction", "is_train")
-    ok = (F.col("prediction") == F.col("label")).cast("int")
-    tr = F.col("is_train").cast("int")
-    acc = pred.agg((F.sum(ok * tr) / F.sum(tr)).alias("train_accuracy"),
-                   (F.sum(ok * (1 - tr)) / F.sum(1 - tr)).alias("test_accuracy"),
-                   F.sum(tr).alias("train_rows"), F.sum(1 - tr).alias("test_rows"))
-    f1 = weighted_f1(pred.filter("not is_train")).select(F.first("weighted_f1")).scalar()
+    return prediction_metrics(model.transform(data).select("label", "prediction", "is_train"))
+
+
+def prediction_metrics(pred: DataFrame) -> DataFrame:
+    """M8 from (label, prediction, is_train) rows."""
+    counts = materialize(pred.groupBy("label", "prediction", "is_train").agg(F.count(F.lit(1)).alias("n")), "prediction-counts")
+    right = F.when(F.col("prediction") == F.col("label"), F.col("n")).otherwise(0)
+    of = lambda c, train: F.sum(F.when(F.col("is_train") == train, c).otherwise(0))
+    acc = counts.agg((of(right, True) / of(F.col("n"), True)).alias("train_accuracy"),
+                     (of(right, False) / of(F.col("n"), False)).alias("test_accuracy"),
+                     of(F.col("n"), True).alias("train_rows"), of(F.col("n"), False).alias("test_rows"))
+    test = counts.filter("not is_train")
+    seen = test.groupBy("label").agg(F.sum("n").alias("support"), F.sum(right).alias("tp"))
+    said = test.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("said"))
+    # 2PR / (P + R) = 2 tp / (support + said)
+    f1 = (seen.join(said, "label", "left")
+          .agg((F.sum(2 * F.col("tp") * F.col("support") / (F.col("support") + F.coalesce("said", F.lit(0)))) / F.sum("support")).alias("f")))
     return (acc.withColumn("overfit_gap", F.col("train_accuracy") - F.col("test_accuracy"))
-            .withColumn("weighted_f1", f1))
+            .withColumn("weighted_f1", f1.select("f").scalar()))
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel, names: list[str] | None = None) -> DataFrame:
@@ -208,19 +240,24 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = TARGET) -> DataFram
 
 
 def cross_validate(data: DataFrame, k: int = 5, num_trees: int = 300, seed: int = 42) -> DataFrame:
-    """Accuracy per fold (train on the other folds), plus mean and std rows."""
+    """Accuracy per fold (train on the other folds), plus mean and std rows (k + 2 rows)."""
     folded = materialize(stratified_folds(data, k), "cv-folds")
-    spark = data.sparkSession
-    rows = []
+    scores = []
     for f in range(k):
-        tr = folded.filter(F.col("fold") != f).withColumn("is_train", F.lit(True))
-        te = folded.filter(F.col("fold") == f)
+        tr = folded.filter(F.col("fold") != f)
         weighted = materialize(tr.join(F.broadcast(class_weights(tr)), "label"), "cv-train")
-        model = forest(num_trees, seed=seed).fit(weighted)
-        acc = accuracy(model.transform(te)).collect()[0]["accuracy"]
-        rows.append((f, float(acc)))
-    scores = spark.createDataFrame(rows, "fold int, accuracy double")
-    return scores
+        model = forest(num_trees, seed=seed, max_bins=bins_for(weighted, feature_names())).fit(weighted)
+        scores.append(accuracy(model.transform(folded.filter(F.col("fold") == f))).withColumn("fold", F.lit(f)))
+    each = materialize(functools.reduce(DataFrame.unionByName, scores), "cv-scores")
+    return fold_summary(each)
+
+
+def fold_summary(scores: DataFrame) -> DataFrame:
+    """(fold, accuracy) with rows 'mean' and 'std' (population) added."""
+    both = scores.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
+    rows = both.select(F.explode(F.array(F.struct(F.lit("mean").alias("fold"), F.col("mean").alias("accuracy")),
+                                         F.struct(F.lit("std").alias("fold"), F.col("std").alias("accuracy")))).alias("r"))
+    return scores.select(F.col("fold").cast("string"), "accuracy").unionByName(rows.select("r.fold", "r.accuracy"))
 
 
 # ---- M12 / M13 ------------------------------------------------------------------------
@@ -241,31 +278,27 @@ def threat_data(incidents: DataFrame) -> DataFrame:
     split 80/20 by stored row order (incident_id)."""
     df = incidents.dropna(subset=THREAT_CATS)
     df = threat_band(df).withColumns({"nkill": nonneg("nkill"), "nwound": nonneg("nwound")})
-    dicts = ordinal_dictionaries(df, THREAT_CATS)
-    enc = ordinal_encode(df, dicts)
-    labels = label_dictionary(enc, "threat_level")
-    enc = enc.join(labels.withColumnRenamed("value", "threat_level"), "threat_level")
-    n = enc.select(F.count(F.lit(1))).scalar()
-    pos = ordered_position(enc.withColumn("_one", F.lit(0)), ["_one"], "incident_id")
-    return materialize(pos.withColumn("is_train", F.col("pos") < F.floor(n * F.lit(0.8))).drop("_one"),
-                       "threat-prepared")
+    df = materialize(df, "threat-rows")
+    enc = ordinal_encode(df, ordinal_dictionaries(df, THREAT_CATS), THREAT_CATS)
+    labels = label_dictionary(df, "threat_level")
+    enc = enc.join(F.broadcast(labels.withColumnRenamed("value", "threat_level")), "threat_level")  # three rows
+    return _split_at(ordered_position(enc, [], "incident_id"), 0.8)
 
 
 def fit_threat_model(data: DataFrame, num_trees: int = 200, seed: int = 42) -> PipelineModel:
     train = data.filter("is_train")
     feats = [c + "_code" for c in THREAT_CATS] + ["nkill", "nwound"]
     weighted = materialize(train.join(F.broadcast(class_weights(train)), "label"), "threat-train")
-    return forest(num_trees, seed=seed, features=feats).fit(weighted)
+    return forest(num_trees, seed=seed, features=feats, max_bins=bins_for(weighted, feats)).fit(weighted)
 
 
 # ---- M14 / M15 ------------------------------------------------------------------------
 
-def save_model(model: PipelineModel, dicts: dict[str, DataFrame], labels: DataFrame, medians: DataFrame,
+def save_model(model: PipelineModel, dicts: DataFrame, labels: DataFrame, medians: DataFrame,
                path: str) -> None:
     """The pipeline plus encoder dictionaries, label map and medians as tables."""
     model.write().overwrite().save(f"{path}/pipeline")
-    for c, d in dicts.items():
-        d.write.mode("overwrite").parquet(f"{path}/dict_{c}")
+    dicts.write.mode("overwrite").parquet(f"{path}/dictionaries")
     labels.write.mode("overwrite").parquet(f"{path}/labels")
     medians.write.mode("overwrite").parquet(f"{path}/medians")
 
@@ -273,7 +306,7 @@ def save_model(model: PipelineModel, dicts: dict[str, DataFrame], labels: DataFr
 def load_and_score(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     """Batch scoring of new rows with the stored artifacts (unseen -> -1)."""
     model = PipelineModel.load(f"{path}/pipeline")
-    dicts = {c: spark.read.parquet(f"{path}/dict_{c}") for c in CAT_COLS}
+    dicts = spark.read.parquet(f"{path}/dictionaries")
     labels = spark.read.parquet(f"{path}/labels")
     medians = spark.read.parquet(f"{path}/medians")
     prepared = ordinal_encode(impute(rows, medians), dicts)

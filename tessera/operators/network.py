@@ -67,3 +67,18 @@ def network_nodes(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups on at least one edge (isolates dropped), sized by incidents."""
     ends = edges.select(F.col("g1").alias("gname")).union(edges.select(F.col("g2").alias("gname")))
     return groups.join(ends.distinct(), "gname", "left_semi")
+
+
+def region_networks(df: DataFrame, threshold: float = 0.8, min_incidents: int = 50) -> DataFrame:
+    """N6 for every region in one pass: (region_txt, g1, g2, similarity).
+
+    A group's rows in one region are a group of their own, and features carry the region, so pairs
+    of different regions share none.
+    """
+    mark = "\u0001"
+    known = df.filter(F.col("gname").isNotNull() & (F.col("gname") != "Unknown") & F.col("region_txt").isNotNull())
+    prof = group_profiles(known.withColumn("gname", F.concat_ws(mark, "region_txt", "gname")), min_incidents)
+    prof = prof.withColumn("feature", F.concat(F.substring_index("gname", mark, 1), F.lit(mark), F.col("feature")))
+    edges = similarity_edges(prof, threshold)
+    return edges.select(F.substring_index("g1", mark, 1).alias("region_txt"), F.substring_index("g1", mark, -1).alias("g1"),
+                        F.substring_index("g2", mark, -1).alias("g2"), "similarity")

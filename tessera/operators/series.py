@@ -78,12 +78,14 @@ def trend_forecast(series: DataFrame, key: str = "cluster", horizon: int = 5) ->
                       "lo95": F.col("forecast") * 0.6, "hi95": F.col("forecast") * 1.4}))
 
 
-def timeline(df: DataFrame, year_min: int, year_max: int) -> DataFrame:
-    """yearly incidents and fatalities in a year range with year-over-year change.
+def timeline(df: DataFrame, year_min: int | None = None, year_max: int | None = None) -> DataFrame:
+    """yearly incidents and fatalities (in a year range, if given) with year-over-year change.
 
     ``lag`` runs over the yearly aggregate (one row per year), never over rows.
     """
-    yearly = (df.filter(F.col("iyear").between(year_min, year_max)).groupBy("iyear")
+    year = F.col("iyear")
+    yearly = (df.filter((year >= (year if year_min is None else F.lit(year_min))) & (year <= (year if year_max is None else F.lit(year_max))))
+              .groupBy("iyear")
               .agg(F.count(F.lit(1)).alias("incidents"), F.sum("nkill").alias("fatalities")))
     prev = F.lag("incidents").over(Window.orderBy("iyear"))
     return (yearly.withColumn("prev_incidents", prev)

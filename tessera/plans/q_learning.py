@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import round_even
 from tessera.operators import ml
 from tessera.plans.registry import query
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 
 BASE_SQL = """base AS (SELECT * REPLACE (CASE WHEN attacktype1_txt = 'Hostage Taking (Barricade Incident)'
     THEN 'Hostage Taking (Kidnapping)' ELSE attacktype1_txt END AS attacktype1_txt) FROM incidents
@@ -94,15 +94,17 @@ _TRAINED: dict = {}
 
 
 def _attack(spark, trees: int = 300):
-    """Prepared data and the fitted forest; one fit per session, input and size (the
-    same data and seed give the same model, so M7-M15 share it)."""
-    from tessera.sources.fixtures import _registered
-    key = (id(spark), _registered.get(id(spark)), trees)
+    """Prepared data and the fitted forest.  The same data, seed and size give the same model:
+    M7-M15 share the one that belongs to this data's fingerprint."""
+    data, dicts, labels = ml.prepared_attack_data(spark.table("incidents"))
+    if not trees:
+        return data, dicts, labels, None
+    seen = data.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*data.columns))).first()
+    key = (spark.sparkContext.applicationId, trees, *seen)
     if key not in _TRAINED:
-        data, dicts, labels = ml.prepared_attack_data(spark.table("incidents"))
-        model = ml.fit_attack_model(data, trees) if trees else None
-        _TRAINED[key] = (data, dicts, labels, model)
-    return _TRAINED[key]
+        _TRAINED.clear()
+        _TRAINED[key] = ml.fit_attack_model(data, trees)
+    return data, dicts, labels, _TRAINED[key]
 
 
 @query("m7_attack_forest_predictions")
@@ -123,6 +125,43 @@ def m9_confusion_matrix(spark):
     return ml.confusion_matrix(model.transform(data.filter("not is_train")))
 
 
+_RULE_SQL = """maj AS (SELECT attacktype1_txt AS m FROM split WHERE is_train GROUP BY attacktype1_txt
+  ORDER BY count(*) DESC, attacktype1_txt LIMIT 1),
+rule AS (SELECT weaptype1_txt, attacktype1_txt AS pred FROM (SELECT weaptype1_txt, attacktype1_txt,
+  row_number() OVER (PARTITION BY weaptype1_txt ORDER BY count(*) DESC, attacktype1_txt) AS rn
+  FROM split WHERE is_train AND weaptype1_txt IS NOT NULL GROUP BY 1, 2) t WHERE rn = 1),"""
+
+
+def _rule_predictions(spark):
+    """(label, prediction, is_train) of the train-majority attack type per weapon type (the overall
+    majority for unseen weapons)."""
+    s = _split(spark)
+    tr = s.filter("is_train")
+    rule = (tr.filter(F.col("weaptype1_txt").isNotNull()).groupBy("weaptype1_txt")
+            .agg(F.mode(ml.TARGET, True).alias("pred")))
+    maj = tr.select(F.mode(ml.TARGET, True)).scalar()
+    return (s.join(F.broadcast(rule), "weaptype1_txt", "left")     # one row for each weapon type
+            .select(F.col(ml.TARGET).alias("label"), F.coalesce("pred", maj).alias("prediction"), "is_train"))
+
+
+@query("m8_rule_predictor_metrics", oracle=f"""WITH {BASE_SQL},
+{_RULE_SQL}
+p AS (SELECT s.attacktype1_txt AS label, coalesce(r.pred, (SELECT m FROM maj)) AS prediction, s.is_train
+  FROM split s LEFT JOIN rule r USING (weaptype1_txt)),
+tp AS (SELECT label, sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS tp, count(*) AS support FROM p WHERE NOT is_train GROUP BY label),
+np AS (SELECT prediction AS label, count(*) AS said FROM p WHERE NOT is_train GROUP BY prediction),
+f AS (SELECT sum(2 * tp * support / (support + coalesce(said, 0))) / sum(support) AS f1 FROM tp LEFT JOIN np USING (label)),
+a AS (SELECT sum(CASE WHEN is_train AND prediction = label THEN 1 ELSE 0 END) / sum(CASE WHEN is_train THEN 1 ELSE 0 END) AS tr,
+  sum(CASE WHEN NOT is_train AND prediction = label THEN 1 ELSE 0 END) / sum(CASE WHEN NOT is_train THEN 1 ELSE 0 END) AS te,
+  CAST(sum(CASE WHEN is_train THEN 1 ELSE 0 END) AS BIGINT) AS train_rows, CAST(sum(CASE WHEN NOT is_train THEN 1 ELSE 0 END) AS BIGINT) AS test_rows FROM p)
+SELECT round_even(tr, 6) AS train_accuracy, round_even(te, 6) AS test_accuracy, train_rows, test_rows,
+  round_even(tr - te, 6) AS overfit_gap, round_even((SELECT f1 FROM f), 6) AS weighted_f1 FROM a""")
+def m8_rule_predictor_metrics(spark):
+    """M8's figures on a deterministic predictor."""
+    m = ml.prediction_metrics(_rule_predictions(spark))
+    return m.withColumns({c: round_even(c, 6) for c in ("train_accuracy", "test_accuracy", "overfit_gap", "weighted_f1")})
+
+
 @query("m9_rule_predictor_report", oracle=f"""WITH {BASE_SQL},
 maj AS (SELECT attacktype1_txt AS m FROM split WHERE is_train GROUP BY attacktype1_txt
   ORDER BY count(*) DESC, attacktype1_txt LIMIT 1),
@@ -140,19 +179,44 @@ SELECT label, round_even(precision, 6) AS precision, round_even(recall, 6) AS re
   round_even(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1,
   support FROM r2""")
 def m9_rule_predictor_report(spark):
-    """M9's report formula on a deterministic predictor: the train-majority attack type
-    per weapon type (train majority for unseen weapons)."""
-    s = _split(spark)
-    tr = s.filter("is_train")
-    rule = (tr.filter(F.col("weaptype1_txt").isNotNull()).groupBy("weaptype1_txt")
-            .agg(F.mode(ml.TARGET, True).alias("pred")))
-    maj = tr.select(F.mode(ml.TARGET, True)).scalar()
-    p = (s.filter("not is_train").join(rule, "weaptype1_txt", "left")
-         .select(F.col(ml.TARGET).alias("label"), F.coalesce("pred", maj).alias("prediction")))
+    """M9's report formula on a deterministic predictor."""
+    p = _rule_predictions(spark).filter("not is_train")
     rep = ml.class_report(p)
     return rep.select("label", *[round_even(c, 6).alias(c) for c in ["precision", "recall", "f1"]], "support")
 
 
+_FOLD_SQL = f"""WITH {BASE_SQL},
+f AS (SELECT attacktype1_txt AS label, coalesce(weaptype1_txt, 'none') AS weapon, CAST(floor(5 * (row_number() OVER (PARTITION BY
+  attacktype1_txt ORDER BY iyear, imonth, iday, incident_id) - 1) / count(*) OVER (PARTITION BY attacktype1_txt)) AS INT) AS fold
+  FROM base),
+rule AS (SELECT k.fold, f.weapon, f.label AS pred, row_number() OVER (PARTITION BY k.fold, f.weapon ORDER BY count(*) DESC, f.label) AS rn
+  FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY k.fold, f.weapon, f.label),
+acc AS (SELECT f.fold, sum(CASE WHEN r.pred = f.label THEN 1 ELSE 0 END) / count(*) AS accuracy
+  FROM f LEFT JOIN rule r ON r.fold = f.fold AND r.weapon = f.weapon AND r.rn = 1 GROUP BY f.fold)
+"""
+
+
+@query("m10_rule_cross_validation", oracle=_FOLD_SQL + """
+SELECT CAST(fold AS VARCHAR) AS fold, round_even(accuracy, 9) AS accuracy FROM acc
+UNION ALL SELECT 'mean', round_even(avg(accuracy), 9) FROM acc
+UNION ALL SELECT 'std', round_even(stddev_pop(accuracy), 9) FROM acc""")
+def m10_rule_cross_validation(spark):
+    """M10's folds, mean and std on a deterministic predictor: the most frequent attack type per weapon
+    in the other folds."""
+    f = ml.stratified_folds(ml.training_frame(spark.table("incidents")))
+    n = f.groupBy("fold", F.coalesce("weaptype1_txt", F.lit("none")).alias("weapon"), F.col(ml.TARGET).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+    n = materialize(n, "rule-counts")                     # folds x weapons x classes
+    other = (n.select(F.col("fold").alias("own"), "weapon", "label", "n", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+             .filter("fold <> own").groupBy("fold", "weapon", "label").agg(F.sum("n").alias("n")))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("pred")))
+    rule = other.groupBy("fold", "weapon").agg(best.alias("b")).select("fold", "weapon", "b.pred")
+    scored = n.join(rule, ["fold", "weapon"], "left")
+    right = F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0)
+    each = scored.groupBy("fold").agg((F.sum(right) / F.sum("n")).alias("accuracy"))
+    return ml.fold_summary(each).withColumn("accuracy", round_even("accuracy", 9))
+
+
 @query("m10_cv_fold_sizes", oracle=f"""WITH {BASE_SQL},
 f AS (SELECT attacktype1_txt, CAST(floor(5 * (row_number() OVER (PARTITION BY attacktype1_txt
   ORDER BY iyear, imonth, iday, incident_id) - 1) / count(*) OVER (PARTITION BY attacktype1_txt)) AS INT) AS fold

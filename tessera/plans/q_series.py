@@ -92,12 +92,12 @@ def f8_trend_fallback_forecast(spark):
 @query("f12_timeline_yoy", oracle=f"""
 WITH {SCORED_INCIDENTS_CTE},
 y AS (SELECT iyear, count(*) AS incidents, sum(nkill) AS fatalities FROM scored
-  WHERE iyear BETWEEN 1996 AND 2001 GROUP BY iyear)
+  WHERE iyear IS NOT NULL GROUP BY iyear)
 SELECT iyear, incidents, round_even(fatalities, 6) AS fatalities,
   lag(incidents) OVER (ORDER BY iyear) AS prev_incidents,
   round_even(CASE WHEN lag(incidents) OVER (ORDER BY iyear) > 0 THEN (incidents - lag(incidents) OVER (ORDER BY iyear))
     / lag(incidents) OVER (ORDER BY iyear) * 100 END, 6) AS yoy_change_pct FROM y""")
 def f12_timeline_yoy(spark):
-    t = series.timeline(scored_incidents(spark), 1996, 2001)
+    t = series.timeline(scored_incidents(spark))
     return t.withColumns({"fatalities": round_even("fatalities", 6),
                           "yoy_change_pct": round_even("yoy_change_pct", 6)})
