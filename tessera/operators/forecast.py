@@ -1,203 +1,178 @@
 """ARIMA order selection, hold-out validation and forecasts for every series.
 
-Spark groups the yearly series by key (one hotspot or country per group; a group is
-a few dozen yearly points, bounded by the year span) and runs a small numpy fit per
-group with ``applyInPandas``; all series are fitted in parallel in one job.
-
-The fit is conditional least squares (CSS): for a fixed MA coefficient theta the
-residuals are linear in the AR coefficients (filter w by 1/(1 + theta L), then
-regress on lags), so phi has a closed form and theta is searched on a grid then
-refined.  theta is kept invertible (|theta| < 1).  The reference uses exact
-state-space likelihood without invertibility limits, so chosen orders and interval
-widths can differ; the nine candidate orders, the AIC rule (first wins ties), the
-hold-out rule, clipping and the linear-trend fallback are the same.
+Each series is one row with its yearly values as an array (bounded by the span of years), and
+everything is column expressions over rows of (series, order): no Python runs in the tasks.
+
+The fit is conditional least squares with zeros before the first value.  With u_t = w_t - theta
+u_{t-1} the residuals are linear in the AR coefficients, so these follow from running sums of u
+(normal equations); theta is searched on a grid in (-1, 1), then refined around the best.  All nine
+orders are tried on every series with two values or more, and all are judged on the same points,
+the second to the last, so their AIC can be compared.  The reference uses exact state-space
+likelihood, so chosen orders and interval widths can differ; the candidate orders, the AIC rule
+(first wins ties), the hold-out rule, clipping and the linear-trend fallback are the same.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rules as R
 from tessera.operators import series as S
-
-THETA_GRID = np.linspace(-0.95, 0.95, 39)
-
-
-def _lags(u: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Targets u[p:] and the matrix of their p lags."""
-    y = u[p:]
-    x = np.column_stack([u[p - i:len(u) - i] for i in range(1, p + 1)]) if p else np.zeros((len(y), 0))
-    return y, x
-
-
-def _css(w: np.ndarray, p: int, q: int, theta: float):
-    u = w.copy()
-    if q:
-        for t in range(len(w)):
-            u[t] = w[t] - theta * (u[t - 1] if t else 0.0)
-    y, x = _lags(u, p)
-    phi = np.linalg.lstsq(x, y, rcond=None)[0] if p else np.zeros(0)
-    e = y - (x @ phi if p else 0.0)
-    return phi, e
-
-
-def fit_arima(y: np.ndarray, order: tuple[int, int, int]) -> dict | None:
-    """CSS fit; None when the series is too short for the order."""
-    p, d, q = order
-    w = np.diff(y, n=d) if d else y.astype(float)
-    k = p + q + 1
-    if len(w) - p < k + 1:
-        return None
-    best = None
-    thetas = THETA_GRID if q else [0.0]
-    for _ in range(2 if q else 1):
-        for th in thetas:
-            phi, e = _css(w, p, q, th)
-            sse = float(e @ e)
-            if best is None or sse < best[0] - 1e-15:
-                best = (sse, th, phi, e)
-        if q:  # refine around the grid winner
-            thetas = np.clip(np.linspace(best[1] - 0.05, best[1] + 0.05, 21), -0.99, 0.99)
-    sse, th, phi, e = best
-    n_eff = len(e)
-    sigma2 = max(sse / n_eff, 1e-12)
-    aic = n_eff * math.log(sigma2) + 2 * k
-    return dict(order=order, phi=phi, theta=th if q else 0.0, sigma2=sigma2, aic=aic, w=w, e=e, y=y)
-
-
-def select_order(y: np.ndarray) -> dict | None:
-    """lowest AIC over the nine orders, first wins ties."""
-    best = None
-    for order in R.ARIMA_ORDERS:
-        f = fit_arima(y, order)
-        if f is not None and (best is None or f["aic"] < best["aic"]):
-            best = f
-    return best
-
-
-def forecast(fit: dict, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Point forecasts and their variances (psi weights) for ``steps`` ahead."""
-    p, d, q = fit["order"]
-    phi, th, w, e = fit["phi"], fit["theta"], list(fit["w"]), fit["e"]
-    last_e = float(e[-1]) if (q and len(e)) else 0.0
-    wf = []
-    for h in range(steps):
-        hist = w + wf
-        v = sum(phi[i] * hist[-1 - i] for i in range(p)) if p else 0.0
-        if q and h == 0:
-            v += th * last_e
-        wf.append(v)
-    psi = [1.0]
-    for j in range(1, steps):
-        v = sum(phi[i] * psi[j - 1 - i] for i in range(p) if j - 1 - i >= 0)
-        if q and j == 1:
-            v += th
-        psi.append(v)
-    psi = np.array(psi)
-    if d:
-        yf = fit["y"][-1] + np.cumsum(wf)
-        psi = np.cumsum(psi)
-    else:
-        yf = np.array(wf)
-    var = fit["sigma2"] * np.cumsum(psi ** 2)
-    return np.asarray(yf, dtype=float), var
-
-
-def _trend(y: np.ndarray, steps: int) -> np.ndarray:
-    t = np.arange(len(y), dtype=float)
-    slope = np.polyfit(t, y, 1)[0] if len(y) >= 2 else 0.0
-    icpt = y.mean() - slope * t.mean()
-    return icpt + slope * np.arange(len(y), len(y) + steps)
-
-
-FORECAST_SCHEMA = ("key long, kind string, iyear int, p int, d int, q int, aic double, theta double, "
-                   "actual double, value double, lo80 double, hi80 double, lo95 double, hi95 double, "
-                   "model string, rmse double, mae double, mape double")
-
-
-def _rows_for(key, years: np.ndarray, y: np.ndarray, test_years: int, horizon: int,
-              cutoff: int | None, min_train: int, min_test: int) -> list[dict]:
-    out: list[dict] = []
-    base = dict(key=key, iyear=None, p=None, d=None, q=None, aic=None, theta=None, actual=None, value=None,
-                lo80=None, hi80=None, lo95=None, hi95=None, model=None, rmse=None, mae=None, mape=None)
-    if cutoff is not None:  # fixed cut-off back-test
-        tr, te = y[years <= cutoff], y[(years > cutoff) & (years <= cutoff + test_years)]
-        if len(tr) < min_train or len(te) < min_test:
-            return out
-        fit = select_order(tr)
-        pred = forecast(fit, len(te))[0] if fit else _trend(tr, len(te))
-        pred = np.maximum(pred, 0)
-        err = te - pred
-        out.append({**base, "kind": "backtest", "model": "arima" if fit else "trend",
-                    "p": fit["order"][0] if fit else 0, "d": fit["order"][1] if fit else 1,
-                    "q": fit["order"][2] if fit else 0,
-                    "mae": float(np.mean(np.abs(err))),
-                    "mape": float(np.mean(np.abs(err) / np.maximum(te, 1.0)) * 100)})
-        return out
-    n = len(y)
-    n_test = min(test_years, max(1, n // 3))
-    tr, te, te_years = y[:n - n_test], y[n - n_test:], years[n - n_test:]
-    fit = select_order(tr)
-    lr = np.maximum(_trend(tr, n_test), 0)
-    if fit is not None:
-        order = fit["order"]
-        hold = forecast(fit, n_test)[0]          # not clipped, as in the reference
-        out.append({**base, "kind": "order", "p": order[0], "d": order[1], "q": order[2],
-                    "aic": float(fit["aic"]), "theta": float(fit["theta"])})
-    else:
-        order = (0, 1, 0)
-        hold = lr
-        out.append({**base, "kind": "order", "p": 0, "d": 1, "q": 0})
-    for yr, a, v, b in zip(te_years, te, hold, lr):
-        out.append({**base, "kind": "holdout", "iyear": int(yr), "actual": float(a), "value": float(v),
-                    "lo80": float(b)})  # lo80 carries the trend prediction on hold-out rows
-    for name, pred in (("arima", hold), ("trend", lr)):
-        err = te - pred
-        out.append({**base, "kind": "metric", "model": name, "rmse": float(np.sqrt(np.mean(err ** 2))),
-                    "mae": float(np.mean(np.abs(err)))})
-    full = fit_arima(y, order)
-    fut_years = np.arange(years[-1] + 1, years[-1] + 1 + horizon)
-    if full is not None:
-        mean, var = forecast(full, horizon)
-        sd = np.sqrt(var)
-        rows = zip(np.maximum(mean, 0), np.maximum(mean - R.Z80 * sd, 0), np.maximum(mean + R.Z80 * sd, 0),
-                   np.maximum(mean - R.Z95 * sd, 0), np.maximum(mean + R.Z95 * sd, 0))
-        model = "arima"
-    else:  # F8 fallback
-        m = np.maximum(_trend(y, horizon), 0)
-        rows = zip(m, m * 0.8, m * 1.2, m * 0.6, m * 1.4)
-        model = "trend"
-    for yr, (m, l8, h8, l9, h9) in zip(fut_years, rows):
-        out.append({**base, "kind": "forecast", "iyear": int(yr), "value": float(m), "lo80": float(l8),
-                    "hi80": float(h8), "lo95": float(l9), "hi95": float(h9), "model": model})
-    return out
-
-
-def forecast_all(series: DataFrame, key: str = "cluster", test_years: int = 3, horizon: int = 5,
-                 cutoff: int | None = None, min_train: int = 5, min_test: int = 3) -> DataFrame:
-    """F4/F5/F7 (or F9 with ``cutoff``) for every series of (key, iyear, value) at once."""
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("iyear")
-        rows = _rows_for(int(pdf[key].iloc[0]), pdf["iyear"].to_numpy(), pdf["value"].to_numpy(float),
-                         test_years, horizon, cutoff, min_train, min_test)
-        cols = [c.split()[0] for c in FORECAST_SCHEMA.split(", ")]
-        return pd.DataFrame(rows, columns=cols)
-    s = series.select(F.col(key).cast("long").alias(key), F.col("iyear").cast("int"),
-                      F.col("value").cast("double"))
-    return s.groupBy(key).applyInPandas(per_series, FORECAST_SCHEMA).withColumnRenamed("key", key)
-
-
-def interval_widths(forecasts: DataFrame, ranked: DataFrame, key: str = "cluster", top: int = 3) -> DataFrame:
+from tessera.session import materialize
+
+GRID, FINE = 39, 21                       # values of theta: -0.95, -0.90, ..., then 0.005 apart
+FLOOR = 1e-9                              # of the series' own sum of squares
+
+# One value w_t of the series (differenced where d = 1) at the 0-based place t.
+_W = "(get(y, {t}) - if(d = 1, coalesce(get(y, {t} - 1), get(y, {t})), 0D))"
+_STEP = "(" + _W.format(t="t") + " - {th} * a.u)"
+# Running sums of u_t with its two predecessors, t = 1 .. n-1.
+_SUMS = """aggregate(sequence(1, n - 1),
+  named_struct('u', """ + _W.format(t="0") + """, 'u1', 0D, 'u2', 0D, 's00', 0D, 's01', 0D, 's02', 0D, 's11', 0D, 's12', 0D, 's22', 0D),
+  (a, t) -> named_struct('u', {step}, 'u1', a.u, 'u2', a.u1, 's00', a.s00 + {step} * {step}, 's01', a.s01 + {step} * a.u,
+    's02', a.s02 + {step} * a.u1, 's11', a.s11 + a.u * a.u, 's12', a.s12 + a.u * a.u1, 's22', a.s22 + a.u1 * a.u1))"""
+# AR coefficients from the sums s (in place of a singular pair, the first alone).
+_DET = "(s.s11 * s.s22 - s.s12 * s.s12)"
+_PAIR = f"(p = 2 AND {_DET} > 1e-12 * s.s11 * s.s22)"
+PHI1 = f"CASE WHEN {_PAIR} THEN (s.s01 * s.s22 - s.s02 * s.s12) / {_DET} WHEN p >= 1 AND s.s11 > 0 THEN s.s01 / s.s11 ELSE 0 END"
+PHI2 = f"CASE WHEN {_PAIR} THEN (s.s02 * s.s11 - s.s01 * s.s12) / {_DET} ELSE 0 END"
+SSE = f"greatest(s.s00 - ({PHI1}) * s.s01 - ({PHI2}) * s.s02, {FLOOR} * s.s00, 1e-12)"
+
+
+def _sums(theta: str) -> str:
+    return _SUMS.format(step=_STEP.format(th=theta))
+
+
+def _once(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` computed once and bound to ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _best_theta(thetas: str) -> str:
+    """The theta of least squared error in an array of them (the smallest of equal ones)."""
+    return (f"array_min(transform({thetas}, th -> " + _once(_sums("th"), "s", f"named_struct('sse', CAST({SSE} AS DOUBLE), 'th', th)") + ")).th")
+
+
+_GRID = f"if(q = 1, transform(sequence(0, {GRID - 1}), i -> (i - 19) * 0.05D), array(0D))"
+_FINE = f"if(q = 1, transform(sequence(0, {FINE - 1}), i -> greatest(-0.99D, least(0.99D, t0 + (i - 10) * 0.005D))), array(0D))"
+_FIT = _once(_best_theta(_GRID), "t0", _once(_best_theta(_FINE), "t1", _once(
+    _sums("t1"), "s", f"named_struct('theta', t1, 'phi1', CAST({PHI1} AS DOUBLE), 'phi2', CAST({PHI2} AS DOUBLE), 'sse', CAST({SSE} AS DOUBLE), 's', s)")))
+
+
+def fit_orders(rows: DataFrame) -> DataFrame:
+    """``rows`` (key.., y, n, p, d, q) with theta, phi1, phi2, sigma2, aic and the last u's (struct s).
+
+    Written once: a fit is the dear part, and what follows reads its columns several times."""
+    out = materialize(rows.withColumn("fit", F.expr(_FIT)), "arima-fits").select(*rows.columns, "fit.*")
+    out = out.withColumn("sigma2", F.col("sse") / (F.col("n") - 1)).drop("sse")
+    return out.withColumn("aic", (F.col("n") - 1) * F.log("sigma2") + 2 * (F.col("p") + F.col("q") + 1))
+
+
+def select_order(arrays: DataFrame, key: str) -> DataFrame:
+    """of the nine orders the one with the lowest AIC, first wins ties; (key, y, n) with n >= 2."""
+    orders = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q"))
+                       for i, (p, d, q) in enumerate(R.ARIMA_ORDERS)])
+    fits = fit_orders(arrays.filter("n >= 2").select(key, "y", "n", F.explode(orders).alias("o")).select(key, "y", "n", "o.*"))
+    best = F.min(F.struct("aic", "seq", "p", "d", "q", "theta", "phi1", "phi2", "sigma2", "s", "y", "n"))
+    return fits.groupBy(key).agg(best.alias("m")).select(key, "m.*")
+
+
+# State after h steps: the last two values of w, the level, the last two psi weights, their sum and the
+# sum of squared error weights.
+_V = "(phi1 * a.v1 + phi2 * a.v2 + if(h = 1, theta * e, 0D))"
+_PSI = "if(h = 1, 1D, phi1 * a.p1 + phi2 * a.p2 + if(h = 2, theta, 0D))"
+_NEXT = f"""named_struct('v1', {_V}, 'v2', a.v1, 'level', a.level + {_V}, 'p1', {_PSI}, 'p2', a.p1, 'ps', a.ps + {_PSI},
+  'sq', a.sq + power(if(d = 1, a.ps, 0D) + {_PSI}, 2))"""
+
+
+def forecast(fits: DataFrame, steps: str, key: str) -> DataFrame:
+    """(key, h, mean, var) for h = 1 .. ``steps`` (a SQL expression over the fit's row)."""
+    start = ("named_struct('v1', " + _W.format(t="n - 1") + ", 'v2', if(n >= 2, " + _W.format(t="n - 2")
+             + ", 0D), 'level', get(y, n - 1), 'p1', 0D, 'p2', 0D, 'ps', 0D, 'sq', 0D)")
+    rows = fits.withColumn("e", F.expr("s.u - phi1 * s.u1 - phi2 * s.u2"))
+    rows = rows.withColumn("path", F.expr(
+        f"slice(aggregate(sequence(1, {steps}), array({start}), (l, h) -> "
+        f"concat(l, transform(array(element_at(l, -1)), a -> {_NEXT}))), 2, {steps})"))
+    return (rows.select(key, "d", "sigma2", F.posexplode("path").alias("h", "f"))
+            .select(key, (F.col("h") + 1).alias("h"), F.when(F.col("d") == 1, F.col("f.level")).otherwise(F.col("f.v1")).alias("mean"),
+                    (F.col("sigma2") * F.col("f.sq")).alias("var")))
+
+
+def as_arrays(rows: DataFrame, key: str) -> DataFrame:
+    """(key, y, n): the values of (key, iyear, value) in year order; a series has a value for each year."""
+    pairs = F.array_sort(F.collect_list(F.struct("iyear", F.col("value").cast("double").alias("value"))))
+    return (rows.groupBy(key).agg(pairs.alias("v"))
+            .select(key, F.transform("v", lambda x: x["value"]).alias("y"), F.size("v").alias("n")))
+
+
+def holdout(series: DataFrame, key: str = "cluster", test_years: int = 3) -> tuple[DataFrame, DataFrame]:
+    """F4 + F5: the order of each series' training years, and its predictions of the years held out.
+
+    Series with fewer than two training years get order (0, 1, 0) and the trend's predictions.
+    """
+    split = materialize(S.holdout_split(series, key, test_years), "forecast-split")
+    train = as_arrays(split.filter(~F.col("is_test")), key)
+    fits = materialize(select_order(train, key), "forecast-orders")
+    spans = split.groupBy(key).agg(F.max("n_test").alias("n_test"), (F.max("y1") - F.max("n_test")).alias("last"))
+    steps = forecast(fits.join(spans, key), "n_test", key).join(spans, key)
+    arima = steps.select(key, (F.col("last") + F.col("h")).alias("iyear"), F.col("mean").alias("arima"))
+    trend = S.trend_holdout(series, key, test_years)
+    held = (trend.join(arima, [key, "iyear"], "left")
+            .select(key, "iyear", "actual", F.coalesce("arima", "lr_pred").alias("arima_pred"), "lr_pred"))
+    orders = spans.select(key).join(fits, key, "left").select(
+        key, F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("d", F.lit(1)).alias("d"), F.coalesce("q", F.lit(0)).alias("q"), "aic", "theta")
+    return orders, held
+
+
+def forecasts(series: DataFrame, key: str = "cluster", test_years: int = 3, horizon: int = 5) -> DataFrame:
+    """F7 (F8 where no fit is possible): years after the last one with 80 % and 95 % intervals."""
+    orders, _ = holdout(series, key, test_years)
+    whole = as_arrays(series, key).filter("n >= 2").join(orders.select(key, "p", "d", "q"), key)
+    last = series.groupBy(key).agg(F.max("iyear").alias("last"))
+    path = forecast(fit_orders(whole), str(horizon), key).join(last, key)
+    sd = F.sqrt("var")
+    clip = lambda c: F.greatest(c, F.lit(0.0))
+    arima = path.select(
+        key, (F.col("last") + F.col("h")).alias("iyear"), clip(F.col("mean")).alias("forecast"),
+        clip(F.col("mean") - R.Z80 * sd).alias("lo80"), clip(F.col("mean") + R.Z80 * sd).alias("hi80"),
+        clip(F.col("mean") - R.Z95 * sd).alias("lo95"), clip(F.col("mean") + R.Z95 * sd).alias("hi95"), F.lit("arima").alias("model"))
+    short = series.join(whole.select(key), key, "left_anti")
+    return arima.unionByName(S.trend_forecast(short, key, horizon).withColumn("model", F.lit("trend")))
+
+
+def holdout_errors(held: DataFrame, key: str = "cluster") -> DataFrame:
+    """RMSE and MAE of both models on the years held out."""
+    both = held.select(key, "actual", F.explode(F.array(
+        F.struct(F.lit("arima").alias("model"), F.col("arima_pred").alias("pred")),
+        F.struct(F.lit("trend").alias("model"), F.col("lr_pred").alias("pred")))).alias("m")).select(key, "actual", "m.*")
+    err = F.col("actual") - F.col("pred")
+    return both.groupBy(key, "model").agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"))
+
+
+def backtest(series: DataFrame, key: str = "cluster", cutoff: int = 2014, test_years: int = 3, min_train: int = 5,
+             min_test: int = 3) -> DataFrame:
+    """train up to ``cutoff``, predict the ``test_years`` after it; MAE and MAPE (actuals below 1 count as 1).
+
+    Series with fewer than ``min_train`` or ``min_test`` years are left out; where no order can be fitted
+    (a single training year) the last value is carried on, which is order (0, 1, 0).
+    """
+    train = as_arrays(series.filter(F.col("iyear") <= cutoff), key).filter(F.col("n") >= min_train)
+    test = series.filter((F.col("iyear") > cutoff) & (F.col("iyear") <= cutoff + test_years))
+    full = test.groupBy(key).agg(F.count(F.lit(1)).alias("n_test")).filter(F.col("n_test") >= min_test)
+    fits = materialize(select_order(train.join(full.select(key), key), key), "backtest-orders")
+    path = forecast(fits, str(test_years), key).withColumn("iyear", F.col("h") + cutoff)
+    still = train.filter("n < 2").select(key, F.get("y", F.lit(0)).alias("mean"), F.explode(F.sequence(F.lit(1), F.lit(test_years))).alias("h"))
+    path = path.select(key, "iyear", "mean").unionByName(still.select(key, (F.col("h") + cutoff).alias("iyear"), "mean"))
+    err = F.abs(F.col("value") - F.greatest("mean", F.lit(0.0)))
+    scores = test.join(full.select(key), key).join(path, [key, "iyear"]).groupBy(key).agg(
+        F.avg(err).alias("mae"), (F.avg(err / F.greatest("value", F.lit(1.0))) * 100).alias("mape"))
+    order = fits.select(key, "p", "d", "q")
+    return scores.join(order, key, "left").select(key, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("p", 0), ("d", 1), ("q", 0))], "mae", "mape")
+
+
+def interval_widths(future: DataFrame, ranked: DataFrame, key: str = "cluster", top: int = 3) -> DataFrame:
     """mean 80 % / 95 % interval width per top-``top`` hotspot."""
-    f = forecasts.filter(F.col("kind") == "forecast").join(
-        ranked.filter(F.col("rank") <= top).select(key, "rank"), key)
+    f = future.join(ranked.filter(F.col("rank") <= top).select(key, "rank"), key)
     return f.groupBy(key, "rank").agg(F.avg(F.col("hi80") - F.col("lo80")).alias("width80"),
                                       F.avg(F.col("hi95") - F.col("lo95")).alias("width95"))
-
-
-__all__ = ["forecast_all", "interval_widths", "fit_arima", "select_order", "forecast", "S"]

@@ -9,6 +9,7 @@ from tessera.operators import series
 from tessera.operators.prep import scored_incidents
 from tessera.plans.registry import query
 from tessera.plans.sqlparts import SCORED_INCIDENTS_CTE
+from tessera.session import materialize
 
 
 @query("f11_country_year_totals", bench=True, oracle=f"""
@@ -25,7 +26,8 @@ def f11_country_year_totals(spark):
 def hotspot_series(spark, value: str = "tsi"):
     from tessera.plans.q_spatial import hotspots
     _, clustered, _ = hotspots(spark)
-    return series.yearly_series(clustered.filter(F.col("cluster") >= 0), "cluster", value)
+    # written once: splits, fits and spans read it several times
+    return materialize(series.yearly_series(clustered.filter(F.col("cluster") >= 0), "cluster", value), "hotspot-series")
 
 
 def _series_ctes() -> str:
@@ -47,6 +49,9 @@ hold AS (SELECT s.cluster, s.iyear, s.value AS actual,
   WHERE s.is_test)"""
 
 
+SERIES_CTES = _series_ctes()
+
+
 @query("f1_hotspot_yearly_series", oracle=_series_ctes() + """
 SELECT cluster, iyear, round_even(value, 6) AS value FROM ser""")
 def f1_hotspot_yearly_series(spark):
