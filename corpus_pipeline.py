@@ -53,7 +53,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     docs, order = in_file_order(docs)
     path = scratch_path(spark, "pipeline-tokens")
     write_token_files(docs, tokenizer_text(TOKENIZER), path, order)
-    return read_ids(spark, path).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return read_ids(spark, path, with_ids=False).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-BATCH_ROWS = 2000
-BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -19,6 +20,12 @@ def arrow_limits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Let a Python worker hand freed Arrow buffers back to the system: workers live on between
+    stages, and what their memory pool kept would add up."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, table
+from tessera.llm.common import arrow_limits, give_back, table
 from tessera.llm.words import SHINGLE, mix, odd_numbers, shingles_of, words_of
 
 BITS, BLOCKS, RADIUS = 256, 32, 72
@@ -198,6 +198,7 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            give_back()
             for b in batches:
                 hits = shared.value.matches(b.column(1))
                 if hits:
@@ -220,6 +221,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text") ->
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            give_back()
             for b in batches:
                 keep = np.ones(b.num_rows, dtype=bool)
                 keep[[hit[0] for hit in shared.value.matches(b.column(at))]] = False

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, components, table
+from tessera.llm.common import arrow_limits, components, give_back, table
 from tessera.llm.signature_tree import SignatureTree
 from tessera.llm.words import mix, shingles_of, words_of
 from tessera.session import materialize
@@ -71,6 +71,7 @@ def pack(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(b for b in batches if b.num_rows):
             hashes, borders = shingles_of(*words_of(batch.column(1)))
@@ -122,6 +123,7 @@ def _packed_schema() -> pa.Schema:
 
 def count_range(rows: pa.Table) -> pa.Table:
     """One hash range: answer each window with its shingles that are in two or more documents."""
+    give_back()
     heads = rows.filter(rows["doc"].is_valid())
     body = rows.filter(rows["doc"].is_null())
     if not body.num_rows:

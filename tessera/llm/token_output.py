@@ -24,6 +24,9 @@ gives no blocks.  Very long texts make a block of their own.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, table
-from tessera.llm.token_counts import tokenizer_text
+from tessera.llm.common import arrow_limits, give_back, table
+from tessera.llm.token_counts import byte_alphabet, tokenizer_text
 from tessera.llm.words import pieces
 from tessera.session import materialize, scratch_path
 
@@ -43,51 +46,104 @@ END_ID = 2
 BLOCK_IDS = 1 << 18        # a block closes with the document that reaches so many ids
 CHECKPOINT = 256           # ids between two bit offsets
 PIECE = 1 << 20            # characters that are split into words at once
-MAX_WORDS = 200_000        # remembered words of a task; forgotten all at once when full
+MAX_WORDS = 300_000        # remembered words of a task, and as many that were in use before them
 LONGEST = 18               # bits of a code word; one more than needed for larger vocabularies
 
 
 # -- encoding texts -----------------------------------------------------------------------
 
+class Words(dict):
+    """Ids (bytes) by word (bytes); unknown words are looked up among those in use before, else learnt."""
+
+    def __init__(self, learn, old: dict) -> None:
+        super().__init__()
+        self.learn, self.old = learn, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, which sees every distinct word once.
 
-    The tokenizer drops white space and no rule of it looks across ASCII white space, so a
-    text's ids are its words' ids one after the other.
+    A tokenizer that drops white space has no rule that looks across it, so a text's ids are its
+    words' ids one after the other.  If it also lower-cases, ASCII letters are lower-cased first,
+    except where this could make a special string or compose with a combining mark.  A word of
+    lower-case Latin letters is one piece of the tokenizer and goes to the library's merge model
+    directly, and marks that follow it are a piece of their own.  All other words go through the
+    whole tokenizer.  Tokenizers of other kinds get whole texts.
     """
 
-    def __init__(self, tokenizer: str) -> None:
+    def __init__(self, tokenizer: str, width: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([np.zeros(0, dtype="<u4"), *(np.concatenate(self._words(p)) for p in pieces(text, PIECE))])
-
-    def _words(self, text: str) -> list[np.ndarray]:
-        words = text.translate(_BLANKS).split(" ")
-        out = list(map(self.known.get, words))
-        if any(x is None for x in out):
-            new = list({w for w, x in zip(words, out, strict=True) if x is None})
+        spec = json.loads(tokenizer)
+        self.tokenizer, self.width = Tokenizer.from_str(tokenizer), width
+        self.merge = self.tokenizer.model.tokenize
+        split = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.by_word = (spec["model"].get("end_of_word_suffix") is not None and len(split) == 1 and split[0]["behavior"] == "Removed"
+                        and split[0]["invert"] and split[0]["pattern"].get("Regex") == WORD_PATTERN)
+        self.lower = self.by_word and any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        self.special = [t["content"].encode().lower() for t in spec["added_tokens"]]
+        size = np.dtype(width).itemsize
+        raw = np.arange(self.tokenizer.get_vocab_size(), dtype=width).tobytes()
+        self.raw = [raw[i: i + size] for i in range(0, len(raw), size)]         # bytes of each id
+        self.known = Words(self._learn, {})
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
+
+    def _learn(self, word: bytes) -> bytes:
+        raw = self.raw
+        if self.lower and word.isalpha() and word.islower():                     # ASCII letters stand for themselves
+            return b"".join([raw[t.id] for t in self.merge(word.decode())])
+        text = word.decode("utf-8", "surrogatepass")
+        plain = LATIN.match(text) if self.lower else None
+        if not plain or plain[1] != plain[1].lower():
+            return self._whole(text)
+        stem, tail = plain.groups()
+        ids = b"".join([raw[t.id] for t in self.merge(stem.encode().decode("latin-1").translate(BYTE_CHARS))])
+        return ids + self.known[tail.encode()] if tail else ids
+
+    def _split(self, text: str) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass")
+        if self.lower:
+            low = data.lower()
+            if b"\xcc" not in data and b"\xcd" not in data and not any(s in low for s in self.special):
+                data = low
+        return data.split()
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text in ``width``, end to end."""
+        if not self.by_word:
+            return self._whole(text)
+        out = []
+        for part in pieces(text, PIECE):
             if len(self.known) > MAX_WORDS:
-                self.known.clear()
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            fresh = {w: np.array(e.ids, dtype="<u4") for w, e in zip(new, found, strict=True)}
-            self.known.update(fresh)
-            out = [fresh[w] if x is None else x for w, x in zip(words, out, strict=True)]
-        return out
+                self.known.old = {}
+                self.known = Words(self._learn, self.known)
+            out.append(b"".join(map(self.known.__getitem__, self._split(part))))
+        return b"".join(out)
 
 
-_BLANKS = {c: " " for c in range(0x09, 0x0E)}
-_encoders: dict[str, WordEncoder] = {}
+# the pattern of words that the tokenizer keeps (a fixed value); nothing of it holds white space
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# Latin letters, of which lower-case ones stay as they are, then ASCII marks without the apostrophe
+LATIN = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)\\Z")
+BYTE_CHARS = {b: c for c, b in byte_alphabet().items()}
+_encoders: dict[tuple[str, str], WordEncoder] = {}
 
 
-def encoder(tokenizer: str) -> WordEncoder:
-    if tokenizer not in _encoders:
+def encoder(tokenizer: str, width: str) -> WordEncoder:
+    if (tokenizer, width) not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
         _encoders.clear()
-        _encoders[tokenizer] = WordEncoder(tokenizer)
-    return _encoders[tokenizer]
+        _encoders[tokenizer, width] = WordEncoder(tokenizer, width)
+    return _encoders[tokenizer, width]
 
 
 def id_width(tokenizer: str) -> str:
@@ -106,10 +162,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, order: list[str], width: s
 
     @F.pandas_udf("binary")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(shared.value)
-        end = np.uint32(end_id)
+        give_back()
+        enc = encoder(shared.value, width)
+        end = np.array([end_id], dtype=width).tobytes()
         for batch in texts:
-            yield pd.Series([np.append(enc.encode(t), end).astype(width).tobytes() for t in batch])
+            yield pd.Series([enc.encode(text) + end for text in batch])
 
     return docs.select(*order, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
@@ -245,6 +302,7 @@ def write_blocks(encoded: DataFrame, lengths: np.ndarray, order: list[str], key:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         shard, code = TaskContext.get().partitionId(), Code(shared.value)
         docs, parts, held, start, block = [], [], 0, 0, 0
 
@@ -277,8 +335,10 @@ def write_blocks(encoded: DataFrame, lengths: np.ndarray, order: list[str], key:
     spark.createDataFrame([(bytes(lengths),)], "lengths binary").write.mode("overwrite").parquet(f"{path}/code")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Decode the files: (shard, doc, start, n_tokens, ids, ids_crc32), ``start`` over all shards."""
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode the files: (shard, doc, start, n_tokens, ids_crc32, ids), ``start`` over all shards.
+
+    ``ids`` are little-endian unsigned 32-bit integers; without them only the digests leave a task."""
     arrow_limits(spark)
     lengths = spark.read.parquet(f"{path}/code").first()["lengths"]
     shared = spark.sparkContext.broadcast(np.frombuffer(lengths, dtype=np.uint8))
@@ -286,21 +346,22 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     kind = blocks.schema["doc"].dataType.elementType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         code = Code(shared.value)
         for b in batches:
             for row in range(b.num_rows):
                 col = lambda name, row=row, b=b: b.column(b.schema.get_field_index(name))[row]
                 length = np.asarray(col("length").values)
-                ids = code.decode(col("payload").as_py(), np.asarray(col("offsets").values), int(length.sum()))
+                ids = code.decode(col("payload").as_py(), np.asarray(col("offsets").values), int(length.sum())).astype("<u4", copy=False)
                 cuts = np.cumsum(length)
-                raw = [p.astype("<u4").tobytes() for p in np.split(ids, cuts[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([col("shard").as_py()] * len(length), pa.int32()), col("doc").values,
-                     pa.array(cuts - length + col("start").as_py()), pa.array(length), pa.array(raw, pa.binary()),
-                     pa.array([zlib.crc32(r) for r in raw], pa.int64())],
-                    names=["shard", "doc", "at", "n_tokens", "ids", "ids_crc32"])
-
-    rows = blocks.mapInArrow(decode, f"shard int, doc {kind}, at long, n_tokens long, ids binary, ids_crc32 long")
+                flat = memoryview(ids).cast("B")
+                raw = [flat[4 * (b - n): 4 * b] for b, n in zip(cuts.tolist(), length.tolist(), strict=True)]
+                out = [pa.array([col("shard").as_py()] * len(length), pa.int32()), col("doc").values,
+                       pa.array(cuts - length + col("start").as_py()), pa.array(length), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(raw, pa.binary())] * with_ids,
+                                                 names=["shard", "doc", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+
+    rows = blocks.mapInArrow(decode, f"shard int, doc {kind}, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     # one row for each shard: as many as the writer had tasks
     total = (blocks.select("shard", F.expr("aggregate(length, 0L, (a, x) -> a + x)").alias("n"))
              .groupBy("shard").agg(F.sum("n").alias("n")))
@@ -326,4 +387,4 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch_path(spark, "token-files")
     write_token_files(docs, tokenizer_text(TOKENIZER), path, ["doc_id"])
-    return read_ids(spark, path).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return read_ids(spark, path, with_ids=False).select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -61,7 +61,7 @@ def test_words_have_the_ids_of_the_whole_text(monkeypatch):
         monkeypatch.setattr(op, "MAX_WORDS", words)
         monkeypatch.setattr(op, "PIECE", piece)
         enc = op.WordEncoder(op.tokenizer_text(op.TOKENIZER), "<u2")
-        assert enc.by_word and [[*np.frombuffer(x, "<u2").tolist(), op.END_ID] for x in enc.encode(texts)] == want
+        assert enc.by_word and [[*np.frombuffer(enc.encode(t), "<u2").tolist(), op.END_ID] for t in texts] == want
 
 
 def test_other_tokenizers_get_whole_texts():
@@ -69,7 +69,7 @@ def test_other_tokenizers_get_whole_texts():
     texts = ["The  quick brown fox.", "", "don't"]
     want = [Tokenizer.from_str(spec).encode(t).ids for t in texts]
     enc = op.WordEncoder(spec, op.id_width(spec))
-    assert not enc.by_word and [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == want
+    assert not enc.by_word and [np.frombuffer(enc.encode(t), "<u2").tolist() for t in texts] == want
 
 
 def test_query_reads_back_what_was_written(spark, monkeypatch):
