@@ -179,7 +179,6 @@ WEATHER_RULES = dict(visibility_critical=1.0, visibility_degraded=5.0,
                      wind_critical=15.0, wind_degraded=8.0,
                      rain_critical=10.0, rain_degraded=2.0,
                      heat_critical=45.0, cold_critical=-15.0)
-WEATHER_STATUS_RANK = [("Good", 0), ("Degraded", 1), ("Critical", 2)]
 
 # ---- Fixed values: forecasting -------------------------------------------------------
 ARIMA_ORDERS = [(1, 1, 1), (1, 1, 0), (0, 1, 1), (2, 1, 1), (1, 0, 1), (2, 1, 0),

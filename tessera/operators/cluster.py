@@ -12,7 +12,8 @@ Plan (see geo.py for the cell grid):
    core with no pair work at all — the hot-spot-of-a-third-of-the-rows case.
 3. Neighbour counts only for points of light cells: a cell range join + exact test.
 4. Core cells are graph nodes (all core points of a cell are mutual neighbours);
-   an edge joins two cells holding a core pair within eps.  Components by
+   an edge joins two cells holding a core pair within eps, found by halving boxes and not
+   by pairing points (``cell_edges``).  Components by
    min-label propagation with pointer jumping; each round is written as a table
    in the shared checkpoint folder; the driver only sees the count of changed labels.
 5. Number clusters, attach border points, join back to every incident.
@@ -25,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import haversine_km, round_even
+from tessera.functions.expr import chord_for_km, haversine_km, round_even, unit_xyz
 from tessera.operators import geo
 from tessera.session import checkpoint_dir, materialize
 
@@ -75,16 +76,7 @@ def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str
     nodes = core.groupBy(*keys, "_cx", "_cy", "_cz").agg(F.min("pid").alias("node"))
     core_n = materialize(core.join(nodes, [*keys, "_cx", "_cy", "_cz"]), "dbscan-core")
     nodes = core_n.select(*keys, "_cx", "_cy", "_cz", "node").distinct()
-    other_core = core_n.select(*keys, F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"),
-                               F.col("_cz").alias("_nz"), F.col("node").alias("node_b"),
-                               F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
-    edges = (core_n.join(adj, [*keys, "_cx", "_cy", "_cz"])
-             .filter((F.col("_nx") != F.col("_cx")) | (F.col("_ny") != F.col("_cy"))
-                     | (F.col("_nz") != F.col("_cz")))
-             .join(other_core, [*keys, "_nx", "_ny", "_nz"])
-             .filter(F.col("node") < F.col("node_b"))
-             .filter(haversine_km("latitude", "longitude", "q_lat", "q_lon") <= eps_km)
-             .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+    edges = cell_edges(core_n, nodes, adj, eps_km, keys)
     labels = connected_components(nodes.select("node"), edges)
 
     # 5. numbering, border points, back to rows
@@ -105,6 +97,67 @@ def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str
     return rows.join(labelled_pts, [*keys, "latitude", "longitude"]).select(id_col, *keys, out)
 
 
+POINT_TESTS = 64   # point pairs of two boxes that are tested one by one
+
+
+def cell_edges(core: DataFrame, nodes: DataFrame, adj: DataFrame, eps_km: float, keys: Sequence[str]) -> DataFrame:
+    """Distinct (a, b), a < b, of adjacent core cells with two core points within ``eps_km``.
+
+    Never all pairs of two cells' points: a cell is a box around its points, and of two boxes the
+    largest and the smallest possible distance are known.  Surely near boxes settle their cells,
+    surely far ones go, boxes of few points are tested point by point, and the rest are halved along each
+    axis.  As soon as one pair of boxes is near, nothing more of its cells is looked at, so the
+    work follows the number of points and not its square.
+    """
+    side, chord = geo.cell_side(eps_km, True), chord_for_km(eps_km)
+    x, y, z = unit_xyz("latitude", "longitude")
+    pts = core.select("node", "pid", "latitude", "longitude", x.alias("x"), y.alias("y"), z.alias("z"))
+
+    def at(level: int) -> DataFrame:
+        width = side / 2 ** level
+        return pts.withColumns({"s" + c: F.floor(F.col(c) / width) for c in "xyz"})
+
+    def boxes(level: int) -> DataFrame:
+        ends = [f(c).alias(n + c) for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        return at(level).groupBy("node", "sx", "sy", "sz").agg(F.count(F.lit(1)).alias("n"), *ends)
+
+    def side_of(box: DataFrame, p: str) -> DataFrame:
+        return box.select(*[F.col(c).alias(p + c) for c in box.columns])
+
+    near_cells = (adj.join(nodes, [*keys, "_cx", "_cy", "_cz"])
+                  .join(nodes.select(*keys, F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"), F.col("_cz").alias("_nz"),
+                                     F.col("node").alias("other")), [*keys, "_nx", "_ny", "_nz"])
+                  .filter("node < other").select(F.col("node").alias("a_node"), F.col("other").alias("b_node")))
+    box = materialize(boxes(0), "dbscan-boxes")
+    pairs = near_cells.join(side_of(box, "a_"), "a_node").join(side_of(box, "b_"), "b_node")
+    far2 = sum(F.pow(F.greatest(F.col("a_hi" + c) - F.col("b_lo" + c), F.col("b_hi" + c) - F.col("a_lo" + c)), F.lit(2)) for c in "xyz")
+    near2 = sum(F.pow(F.greatest(F.lit(0.0), F.col("a_lo" + c) - F.col("b_hi" + c), F.col("b_lo" + c) - F.col("a_hi" + c)), F.lit(2)) for c in "xyz")
+    found, level = None, 0
+    while True:
+        judged = materialize(pairs.filter(near2 <= chord ** 2 * (1 + 1e-9)).withColumn("_near", far2 <= chord ** 2 * (1 - 1e-9)), "dbscan-box-pairs")
+        settled = judged.filter("_near").select("a_node", "b_node").distinct()
+        rest = judged.join(settled, ["a_node", "b_node"], "left_anti")
+        few = F.col("a_n") * F.col("b_n") <= POINT_TESTS
+        here = at(level)
+        side_a = here.select(*[F.col(c).alias("a_" + c) for c in ("node", "sx", "sy", "sz", "latitude", "longitude")])
+        side_b = here.select(*[F.col(c).alias("b_" + c) for c in ("node", "sx", "sy", "sz", "latitude", "longitude")])
+        tested = (rest.filter(few).select("a_node", "a_sx", "a_sy", "a_sz", "b_node", "b_sx", "b_sy", "b_sz")
+                  .join(side_a, ["a_node", "a_sx", "a_sy", "a_sz"]).join(side_b, ["b_node", "b_sx", "b_sy", "b_sz"])
+                  .filter(haversine_km("a_latitude", "a_longitude", "b_latitude", "b_longitude") <= eps_km)
+                  .select("a_node", "b_node").distinct())
+        now = materialize(settled.union(tested).distinct(), "dbscan-cell-edges")
+        found = now if found is None else found.union(now)
+        rest = rest.filter(~few).join(now, ["a_node", "b_node"], "left_anti")
+        if rest.isEmpty():
+            return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        level += 1
+        halves = boxes(level)
+        kids = lambda p: side_of(halves, p).withColumns({f"{p}u{c}": F.floor(F.col(f"{p}s{c}") / 2) for c in "xyz"})
+        up = rest.select("a_node", "b_node", *[F.col(f"{p}s{c}").alias(f"{p}u{c}") for p in ("a_", "b_") for c in "xyz"])
+        pairs = (up.join(kids("a_"), ["a_node", "a_ux", "a_uy", "a_uz"]).join(kids("b_"), ["b_node", "b_ux", "b_uy", "b_uz"])
+                 .drop("a_ux", "a_uy", "a_uz", "b_ux", "b_uy", "b_uz"))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Min-label propagation with pointer jumping: returns (node, label=min node of component).
 

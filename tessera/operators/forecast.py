@@ -109,7 +109,8 @@ def as_arrays(rows: DataFrame, key: str) -> DataFrame:
 def holdout(series: DataFrame, key: str = "cluster", test_years: int = 3) -> tuple[DataFrame, DataFrame]:
     """F4 + F5: the order of each series' training years, and its predictions of the years held out.
 
-    Series with fewer than two training years get order (0, 1, 0) and the trend's predictions.
+    Series with one training year get order (0, 1, 0) and the trend's predictions; those with none have
+    no predictions.
     """
     split = materialize(S.holdout_split(series, key, test_years), "forecast-split")
     train = as_arrays(split.filter(~F.col("is_test")), key)

@@ -3,8 +3,8 @@
 Scale plan: an incident's pseudo-document is a function of six labels and three
 bands, so incidents collapse to distinct documents with a multiplicity first; term
 statistics (document frequency, corpus frequency) are sums of multiplicities and all
-weighting and scoring runs on distinct documents.  Scoring is an inverted-index
-join (query terms = document terms) with partial aggregation.  The top k incidents
+weighting and scoring runs on distinct documents.  Scoring multiplies batches of document
+vectors with a block of queries and keeps each batch's best.  The top k incidents
 of a query lie in its k best documents (ranked by score, then the document's largest
 incident id), so only those expand back to incidents; per-document and per-query
 top-k are salted two-stage windows, never one task per hot key.
@@ -12,6 +12,10 @@ top-k are salted two-stage windows, never one task per hot key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,94 +91,119 @@ def term_counts(docs: DataFrame, doc_col: str = "doc", keys: tuple[str, ...] = (
 
 
 def vocabulary(docs: DataFrame, tc: DataFrame, min_df: int = R.VOCAB_MIN_DF,
-               max_features: int = R.VOCAB_MAX_FEATURES) -> DataFrame:
+               max_features: int | None = R.VOCAB_MAX_FEATURES) -> DataFrame:
     """Q3: df >= min_df, then the top ``max_features`` terms by corpus frequency (term asc on ties).
 
-    Returns (term, df, idf) with the smoothed idf ln((1+n)/(1+df)) + 1; the vocabulary
+    ``max_features=None`` keeps all terms.  Returns (term, df, idf) with the smoothed idf ln((1+n)/(1+df)) + 1; the vocabulary
     is at most ``max_features`` rows, so it is safe to broadcast.
     """
     n = docs.select(F.sum("mult")).scalar()
     stats = tc.groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("cf"))
-    top = stats.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    top = stats.filter(F.col("df") >= min_df)
+    top = top if max_features is None else top.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     return top.select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def tfidf(tc: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """Q4: (1 + ln tf) * idf on vocabulary terms, L2-normalised per document
     (the norm is a window over one document's terms)."""
-    w = (tc.join(F.broadcast(vocab.select("term", "idf")), "term")
+    w = (tc.join(F.broadcast(vocab.drop("df")), "term")
          .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", (F.col("w") / norm).alias("w"))
+    kept = ["no"] if "no" in vocab.columns else ["term"]
+    return w.select(key, *kept, (F.col("w") / norm).alias("w"))
 
 
 def build_index(incidents: DataFrame) -> dict[str, DataFrame]:
-    """The search index, built once and written to the shared folder: distinct
-    documents (with multiplicity and largest id), the vocabulary and document vectors."""
+    """The search index, built once and written to the shared folder: distinct documents (with
+    multiplicity and largest id), the numbered vocabulary, and a row of term numbers and weights for
+    each document."""
     docs = materialize(distinct_documents(incidents), "simindex-docs")
     tc = term_counts(docs)
     vocab = materialize(vocabulary(docs, tc), "simindex-vocab")
-    dvec = materialize(tfidf(tc, vocab), "simindex-vectors")
-    return {"docs": docs, "vocab": vocab, "vectors": dvec}
+    vectors = tfidf(tc, numbered(vocab)).groupBy("doc_id").agg(
+        F.collect_list(F.struct("no", "w")).alias("v")).join(docs.select("doc_id", "top_id"), "doc_id")
+    vectors = materialize(vectors.select("doc_id", "top_id", F.transform("v", lambda x: x["no"]).alias("no"),
+                                         F.transform("v", lambda x: x["w"]).alias("w")), "simindex-vectors")
+    return {"docs": docs, "vocab": vocab, "vectors": vectors}
+
+
+def numbered(vocab: DataFrame) -> DataFrame:
+    """The vocabulary with term numbers 0, 1, ... (a window over at most ``max_features`` rows)."""
+    return vocab.withColumn("no", F.row_number().over(Window.orderBy("term")) - 1)
 
 
-RARE_SHARE = 0.05
+QUERY_BLOCK = 256   # query documents that are scored together
 
 
-def pruned_scores(qvec: DataFrame, dvec: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Exact (query_doc, doc, score) for every document that can reach a query's top k.
+def best_documents(vectors: DataFrame, queries: DataFrame, terms: int, k: int) -> DataFrame:
+    """The ``k`` best documents of each query: (query_doc, doc_id, top_id, score), exact.
 
-    Max-score pruning: a term is rare when at most ``RARE_SHARE`` of the documents
-    hold it.  Candidates share a rare term with the query and are scored exactly.  A
-    document sharing only common terms scores at most UB = sum(wq * max wd) over the
-    query's common terms; when UB (rounded up) is below the k-th candidate score the
-    query is done, otherwise the query falls back to the full inverted-index join.
-    The per-term statistics are one row per vocabulary term (<= 3000, broadcast).
+    ``queries`` is (query_doc, no, w).  A block of queries becomes a dense matrix (terms x block, a
+    size that does not depend on the corpus) that goes to every task; a batch of documents is
+    multiplied with it, and each batch passes on its own ``k`` best, so nothing of the size of
+    documents x queries is ever written.  Ranks go by the score at 1e-9, then the larger top_id.
     """
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    tstats = dvec.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.max("w").alias("maxw"))
-    tstats = tstats.withColumn("rare", F.col("postings") <= F.greatest(F.lit(float(k)), n_docs * RARE_SHARE))
-    q = qvec.join(F.broadcast(tstats), "term")
-    d = dvec.withColumnRenamed("w", "wd")
-    ub = (q.groupBy("query_doc")
-          .agg(F.sum(F.when(~F.col("rare"), F.col("w") * F.col("maxw")).otherwise(0.0)).alias("ub")))
-    cand = (q.filter("rare").select("query_doc", "term").join(d.select("doc_id", "term"), "term")
-            .select("query_doc", "doc_id").distinct())
-    cand_scores = (cand.join(d, "doc_id").join(qvec.withColumnRenamed("w", "wq"), ["query_doc", "term"])
-                   .groupBy("query_doc", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
-    cand_scores = materialize(cand_scores, "simquery-candidates")
-    kth = (top_k(cand_scores.withColumn("skey", round_even("score", 9)), ["query_doc"], [F.desc("skey")], k, "doc_id")
-           .filter(F.col("rank") == k).select("query_doc", F.col("skey").alias("kth")))
-    # UB is compared after rounding up at the same 1e-9 grain as the ranking key
-    done = (ub.join(kth, "query_doc").filter(F.ceil(F.col("ub") * 1e9) / 1e9 < F.col("kth"))
-            .select("query_doc"))
-    full_q = qvec.join(done, "query_doc", "left_anti")
-    full = (full_q.withColumnRenamed("w", "wq").join(d, "term")
-            .groupBy("query_doc", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
-    return cand_scores.join(done, "query_doc", "left_semi").unionByName(full)
+    spark, out = vectors.sparkSession, None
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    schema = f"query_doc string, doc_id {kind}, top_id long, score double"
+    names = [r["query_doc"] for r in queries.select("query_doc").distinct().orderBy("query_doc").toLocalIterator()]
+    for lo in range(0, len(names), QUERY_BLOCK):
+        block = names[lo: lo + QUERY_BLOCK]
+        at = {name: i for i, name in enumerate(block)}
+        matrix = np.zeros((terms, len(block)))
+        for r in queries.filter(F.col("query_doc").between(block[0], block[-1])).toLocalIterator():
+            matrix[r["no"], at[r["query_doc"]]] = r["w"]
+        shared = spark.sparkContext.broadcast((block, matrix))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block, matrix = shared.value
+            for b in batches:
+                no = b.column(2)
+                start = np.asarray(no.offsets)[:-1] - no.offsets[0].as_py()
+                full = np.flatnonzero(np.diff(np.asarray(no.offsets)))
+                scores = np.zeros((b.num_rows, len(block)))
+                if len(full):
+                    parts = matrix[np.asarray(no.flatten())] * np.asarray(b.column(3).flatten())[:, None]
+                    scores[full] = np.add.reduceat(parts, start[full], axis=0)
+                top = np.asarray(b.column(1))
+                for j, name in enumerate(block):
+                    some = np.flatnonzero(scores[:, j] > 0)
+                    some = some[np.lexsort((-top[some], -np.rint(scores[some, j] * 1e9)))][:k]
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * len(some)), b.column(0).take(pa.array(some)), pa.array(top[some]), pa.array(scores[some, j])],
+                            names=["query_doc", "doc_id", "top_id", "score"])
+
+        found = vectors.select("doc_id", "top_id", "no", "w").mapInArrow(score, schema)
+        out = found if out is None else out.union(found)
+    out = out if out is not None else spark.createDataFrame([], schema)
+    ranked = out.withColumn("skey", round_even("score", 9))
+    return top_k(ranked, ["query_doc"], [F.desc("skey"), F.desc("top_id")], k, "top_id").drop("rank")
 
 
 def similar_incidents(incidents: DataFrame, queries: DataFrame, k: int = 10,
-                      index: dict[str, DataFrame] | None = None) -> DataFrame:
+                      index: dict[str, DataFrame] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Q5: for every distinct query document, the ``k`` most similar incidents.
 
     ``queries`` has the incident columns of Q1 (one row per query; duplicates collapse).
-    Output: query_doc, rank, incident_id, similarity_score, similarity_pct.
+    Output: query_doc, rank, incident_id, similarity_score, similarity_pct and the incidents' ``columns``.
     """
     index = index or build_index(incidents)
-    docs, vocab, dvec = index["docs"], index["vocab"], index["vectors"]
+    vocab = materialize(numbered(index["vocab"]), "simquery-vocab")
     qdocs = queries.select(pseudo_document(queries).alias("query_doc")).distinct()
-    qtc = term_counts(qdocs, "query_doc", ("query_doc",))
-    qvec = tfidf(qtc, vocab, key="query_doc")
-    scores = pruned_scores(qvec, dvec, docs, k)
-    scores = scores.join(docs.select("doc_id", "top_id"), "doc_id").withColumn("skey", round_even("score", 9))
-    best_docs = materialize(  # <= k documents per query
-        top_k(scores, ["query_doc"], [F.desc("skey"), F.desc("top_id")], k, "doc_id").drop("rank"),
-        "simquery-best-docs")
-    ids = (incidents.select("incident_id", doc_key(pseudo_document(incidents)).alias("doc_id"))
-           .join(best_docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    qvec = materialize(tfidf(term_counts(qdocs, "query_doc", ("query_doc",)), vocab, key="query_doc"), "simquery-vectors")
+    best_docs = materialize(best_documents(index["vectors"], qvec, vocab.count(), k), "simquery-best-docs")
+    rows = incidents.select(*dict.fromkeys(["incident_id", *(columns or [])]), doc_key(pseudo_document(incidents)).alias("doc_id"))
+    # k documents of each query: their number is checked before they go to every task
+    wanted = best_docs.select("doc_id").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    ids = rows.join(wanted, "doc_id", "left_semi")
     doc_ids = top_k(ids, ["doc_id"], [F.desc("incident_id")], k, "incident_id").drop("rank")
     expanded = best_docs.join(doc_ids, "doc_id")
     out = top_k(expanded, ["query_doc"], [F.desc("skey"), F.desc("incident_id")], k, "incident_id")
     return out.select("query_doc", "rank", "incident_id", round_even("score", 6).alias("similarity_score"),
-                      round_even(F.col("score") * 100, 1).alias("similarity_pct"))
+                      round_even(F.col("score") * 100, 1).alias("similarity_pct"), *(columns or []))
+
+
+MAX_BROADCAST = 100_000  # document keys

@@ -132,7 +132,7 @@ _LINES_SQL = "printf(" + _q("\n".join(risk.REPORT_LINES)) + ", "
 
 
 @query("r10_report_text", oracle=f"""WITH {FACTS_CTES}
-SELECT country_txt, {_LINES_SQL} country_txt, '{PERIOD[0]}-{PERIOD[1]}', lower(level), score, historical_incidents,
+SELECT country_txt, {_LINES_SQL} country_txt, '{PERIOD[0]}-{PERIOD[1]}', upper(level), score, historical_incidents,
   CAST(historical_fatalities AS BIGINT), CASE WHEN activity_delta_pct IS NULL
     THEN 'No earlier period of equal length to compare with.'
     ELSE printf('Against the period of equal length before: %+.1f%%.', round_even(activity_delta_pct, 1)) END,

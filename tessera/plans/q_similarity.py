@@ -92,6 +92,8 @@ sc AS (SELECT query_doc, incident_id, sum(qn.w * dn.w) AS score FROM qn JOIN dn
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_doc ORDER BY round_even(score, 9) DESC, incident_id DESC)
   AS rank FROM sc)
 SELECT query_doc, rank, incident_id, round_even(score, 6) AS similarity_score,
-  round_even(score * 100, 1) AS similarity_pct FROM rk WHERE rank <= 10""")
+  round_even(score * 100, 1) AS similarity_pct, i.iyear, i.country_txt, i.city, i.attacktype1_txt, i.gname, i.nkill
+FROM rk JOIN incidents i USING (incident_id) WHERE rank <= 10""")
 def q5_similar_incidents(spark):
-    return similarity.similar_incidents(spark.table("incidents"), _queries(spark), 10)
+    return similarity.similar_incidents(spark.table("incidents"), _queries(spark), 10,
+                                        columns=["iyear", "country_txt", "city", "attacktype1_txt", "gname", "nkill"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,8 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or conf
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    local = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(local)
+    local = tempfile.mkdtemp(prefix="run-ckpt-")  # a local session's own, gone with it
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    sc.setCheckpointDir(f"file://{local}")
     return sc.getCheckpointDir() or local
 
 

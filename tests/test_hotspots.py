@@ -87,31 +87,104 @@ def test_yearly_gap_fill(spark):
     assert got == {2000: 2.0, 2001: 0.0, 2002: 4.0}
 
 
-def test_forecast_shapes():
-    y = np.array([3, 4, 2, 5, 6, 4, 7, 8, 7, 9, 10, 11], dtype=float)
-    rows = forecast._rows_for(0, np.arange(2000, 2012), y, 3, 4, None, 5, 3)
-    kinds = [r["kind"] for r in rows]
-    assert kinds.count("order") == 1 and kinds.count("holdout") == 3 and kinds.count("forecast") == 4
-    fut = [r for r in rows if r["kind"] == "forecast"]
-    assert all(r["value"] >= 0 and r["lo80"] <= r["value"] <= r["hi80"] and r["lo95"] <= r["lo80"] for r in fut)
-    assert {r["model"] for r in rows if r["kind"] == "metric"} == {"arima", "trend"}
-    y2 = np.array([5, 6, 5, 7, 8, 8, 9, 11, 10, 12], dtype=float)
-    rows2 = forecast._rows_for(0, np.arange(2010, 2020), y2, 2, 3, None, 5, 3)
-    assert len([r for r in rows2 if r["kind"] == "forecast" and r["value"] >= 0]) == 3
-
-
-def test_css_recovers_ar1():
+def _series(spark, *values):
+    rows = [(k, 2000 + t, float(v)) for k, vs in enumerate(values) for t, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "cluster long, iyear int, value double")
+
+
+def test_forecast_shapes(spark):
+    s = _series(spark, [3, 4, 2, 5, 6, 4, 7, 8, 7, 9, 10, 11], [5, 6, 5, 7, 8, 8, 9, 11, 10, 12], [4.0], [1, 2])
+    orders, held = forecast.holdout(s)
+    assert {r["cluster"]: (r["p"], r["d"], r["q"]) for r in orders.collect()}.keys() == {0, 1, 2, 3}
+    # a single year is held out and leaves nothing to train on
+    assert {(r["cluster"], r["count"]) for r in held.groupBy("cluster").count().collect()} == {(0, 3), (1, 3), (3, 1)}
+    errors = forecast.holdout_errors(held).collect()
+    assert {r["model"] for r in errors} == {"arima", "trend"} and all(r["rmse"] >= r["mae"] >= 0 for r in errors)
+    future = forecast.forecasts(s, horizon=4).collect()
+    assert {(r["cluster"], r["iyear"]) for r in future} >= {(0, 2012), (0, 2015), (1, 2010), (2, 2001), (3, 2005)} and len(future) == 16
+    assert all(0 <= r["lo95"] <= r["lo80"] <= r["forecast"] <= r["hi80"] <= r["hi95"] for r in future)
+    assert {r["cluster"]: r["model"] for r in future} == {0: "arima", 1: "arima", 2: "trend", 3: "arima"}
+
+
+def plain_css(y, p, d, q, theta):
+    """The same sums with numpy: phi and squared error on the points 1 .. n-1."""
+    w = np.array(y, float) if d == 0 else np.concatenate([[0.0], np.diff(y)])
+    u = w.copy()
+    for t in range(1, len(u)):
+        u[t] = w[t] - theta * u[t - 1]
+    lag = lambda k: np.concatenate([np.zeros(k), u[:-k]])[1:] if k else u[1:]
+    x = np.stack([lag(k) for k in range(1, p + 1)], axis=1) if p else np.zeros((len(u) - 1, 0))
+    phi = np.linalg.lstsq(x, lag(0), rcond=None)[0] if p else np.zeros(0)
+    e = lag(0) - x @ phi
+    return phi, float(e @ e)
+
+
+def test_fits_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    y = np.cumsum(rng.normal(size=25)) + 10
+    rows = [(i, y.tolist(), 25, p, d, q) for i, (p, d, q) in enumerate([(1, 1, 1), (1, 1, 0), (0, 1, 1), (2, 1, 1), (1, 0, 1), (2, 1, 0), (0, 0, 0)])]
+    fits = forecast.fit_orders(spark.createDataFrame(rows, "cluster int, y array<double>, n int, p int, d int, q int")).collect()
+    for r in fits:
+        phi, sse = plain_css(y, r["p"], r["d"], r["q"], r["theta"])
+        assert np.allclose([r["phi1"], r["phi2"]][: len(phi)], phi) and abs(r["sigma2"] * 24 - sse) < 1e-6
+        if r["q"]:
+            grid = [plain_css(y, r["p"], r["d"], 1, t)[1] for t in np.linspace(-0.95, 0.95, 39)]
+            assert sse <= min(grid) + 1e-9
+
+
+def test_css_recovers_ar1(spark):
     rng = np.random.default_rng(7)
-    e = rng.normal(size=400)
     w = np.zeros(400)
     for t in range(1, 400):
-        w[t] = 0.6 * w[t - 1] + e[t]
-    fit = forecast.fit_arima(w, (1, 0, 0))
-    assert abs(fit["phi"][0] - 0.6) < 0.1
-
-
-def test_forecast_all_in_spark(spark):
-    rows = [(k, 2000 + t, float(v)) for k in (1, 2) for t, v in enumerate([3, 4, 2, 5, 6, 4, 7, 8, 7, 9, 10, 11])]
-    s = spark.createDataFrame(rows, "cluster long, iyear int, value double")
-    out = forecast.forecast_all(s, "cluster", 3, 4)
-    assert out.filter("kind = 'forecast'").groupBy("cluster").count().filter("count = 4").count() == 2
+        w[t] = 0.6 * w[t - 1] + rng.normal()
+    fit = forecast.fit_orders(spark.createDataFrame([(0, w.tolist(), 400, 1, 0, 0)], "cluster int, y array<double>, n int, p int, d int, q int"))
+    assert abs(fit.first()["phi1"] - 0.6) < 0.1
+
+
+def test_random_walk_intervals(spark):
+    """Order (0, 1, 0): the last value is carried on and the variance grows by sigma2 each year."""
+    fit = forecast.fit_orders(spark.createDataFrame([(0, [1.0, 3.0, 2.0, 6.0], 4, 0, 1, 0)], "cluster int, y array<double>, n int, p int, d int, q int"))
+    got = forecast.forecast(fit, "3", "cluster").orderBy("h").collect()
+    sigma2 = (4 + 1 + 16) / 3
+    assert [r["mean"] for r in got] == [6.0] * 3 and np.allclose([r["var"] for r in got], [sigma2, 2 * sigma2, 3 * sigma2])
+
+
+def test_backtest_rules(spark):
+    s = _series(spark, [5, 6, 7, 8, 9, 10, 11, 12], [5, 6, 7, 8], [0, 0, 0, 0, 0, 0, 0, 0])
+    got = {r["cluster"]: r for r in forecast.backtest(s, cutoff=2004).collect()}
+    assert set(got) == {0, 2} and got[2]["mae"] == 0 and got[2]["mape"] == 0 and got[0]["mape"] < 20
+
+
+def test_dense_box_is_not_all_pairs(spark):
+    """Distinct points in one box of the size of eps: box pairs, point tests included, grow about linearly."""
+    seen = {}
+    real = cluster.materialize
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "dbscan-box-pairs":
+            seen[len(pts)] = seen.get(len(pts), 0) + out.count()
+        return out
+
+    cluster.materialize = counting
+    try:
+        rng = np.random.default_rng(1)
+        for n in (2_000, 50_000):
+            pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.random((n, 2)) * 0.8)]
+            lab = cluster.dbscan(spark.createDataFrame(pts, "incident_id long, latitude double, longitude double"), 100.0, 15)
+            assert lab.filter("cluster = 0").count() == n
+    finally:
+        cluster.materialize = real
+    assert seen[50_000] <= 30 * max(seen[2_000], 50)
+
+
+def test_separated_rings_need_the_finest_boxes(spark):
+    """Two dense walls 10.2 km apart: far at eps 10 and near at eps 10.4, whatever lies behind them."""
+    rng = np.random.default_rng(2)
+    left = [(i, float(a) * 0.3, -float(b) * 0.05) for i, (a, b) in enumerate(rng.random((600, 2)))]
+    right = [(1000 + i, float(a) * 0.3, 0.0917 + float(b) * 0.05) for i, (a, b) in enumerate(rng.random((600, 2)))]
+    rows = left + right + [(5000, 0.15, 0.0), (5001, 0.15, 0.0917)]
+    df = spark.createDataFrame(rows, "incident_id long, latitude double, longitude double")
+    for eps, clusters in ((10.0, 2), (10.4, 1)):
+        got = {r["incident_id"]: r["cluster"] for r in cluster.dbscan(df, eps, 5).collect()}
+        assert [got[i] for i, _, _ in rows] == brute_dbscan([r[1:] for r in rows], eps, 5) and len(set(got.values())) == clusters

@@ -1,10 +1,6 @@
-"""Named queries against their DuckDB oracle at sf0.001 (the driver runs sf0.01).
-
-By default a fast subset runs; TESSERA_ALL_ORACLES=1 runs every query with an oracle.
-"""
+"""Every named query with an oracle against DuckDB at sf0.001 (the driver runs sf0.01)."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -13,12 +9,7 @@ from tessera.plans.registry import load_all
 from tessera.sources.fixtures import RAW_TABLES, with_fixtures
 
 REG = load_all()
-FAST = ["s3_typed_projection", "c8_prepare_chronological", "c9_class_distribution", "t2_severity_stored_bounds",
-        "t3_severity_self_normalised", "f11_country_year_totals", "g8_peak_cell", "g9_country_centroids",
-        "l8_centroid_enrichment", "l12_live_rows", "r6_country_risk", "r12_recommendations", "n2_group_profiles",
-        "q3_vocabulary", "m1_chronological_split", "m4_ordinal_encoding", "st2_lookback_counts", "x2_asof_join",
-        "x4_windows", "s8_article_json"]
-NAMES = [n for n, q in REG.items() if q.oracle] if os.environ.get("TESSERA_ALL_ORACLES") else FAST
+NAMES = [n for n, q in REG.items() if q.oracle]
 
 
 def _norm(v):

@@ -67,3 +67,34 @@ def test_saved_model_scores_new_rows(spark, small):
 def test_threat_band(spark):
     df = spark.createDataFrame([(1.0, 1.0), (5.0, 5.0), (None, 20.0)], "nkill double, nwound double")
     assert [r["threat_level"] for r in ml.threat_band(df).collect()] == ["LOW", "MEDIUM", "HIGH"]
+
+
+def test_whole_rows_and_any_block_of_queries(spark, monkeypatch):
+    rows = [(r[0] + 3 * c,) + r[1:] for c in range(8) for r in ROWS]
+    corpus, queries = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(ROWS, SCHEMA)
+    want = sorted(map(tuple, similarity.similar_incidents(corpus, queries, 4, columns=["gname", "iyear"]).collect()))
+    assert {len(r) for r in want} == {7} and len(want) == 12
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 1)
+    assert sorted(map(tuple, similarity.similar_incidents(corpus, queries, 4, columns=["gname", "iyear"]).collect())) == want
+    assert similarity.vocabulary(similarity.distinct_documents(corpus), similarity.term_counts(similarity.distinct_documents(corpus)),
+                                 max_features=None).count() > 10
+
+
+def test_cross_validation_threat_and_contributions(spark, small):
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    rows = {r["fold"]: r["accuracy"] for r in ml.cross_validate(data, 3, num_trees=5).collect()}
+    each = [rows[str(i)] for i in range(3)]
+    assert set(rows) == {"0", "1", "2", "mean", "std"} and abs(rows["mean"] - sum(each) / 3) < 1e-12
+    assert abs(rows["std"] - (sum((x - rows["mean"]) ** 2 for x in each) / 3) ** 0.5) < 1e-12
+    model = ml.fit_attack_model(data, num_trees=5)
+    ranked = ml.feature_importance(spark, model).orderBy("rank").collect()
+    assert len(ranked) == len(ml.feature_names()) and abs(sum(r["importance"] for r in ranked) - 1) < 1e-9
+    assert [r["importance"] for r in ranked] == sorted((r["importance"] for r in ranked), reverse=True)
+    fills = {f: 0.0 for f in ml.feature_names()}
+    few = data.filter("not is_train").select("incident_id", *fills).limit(20)
+    top = ml.occlusion_contributions(model, few, fills).groupBy("incident_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
+    assert len(top) == 20 and all(r["n"] == 3 and r["r"] == 3 for r in top)
+    threat = ml.threat_data(spark.table("incidents"))
+    pos = [r["pos"] for r in threat.orderBy("incident_id").select("pos").collect()]
+    assert pos == list(range(len(pos)))
+    assert ml.attack_metrics(ml.fit_threat_model(threat, 20), threat).first()["test_accuracy"] > 0.8
