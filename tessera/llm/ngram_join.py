@@ -315,3 +315,19 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i:
+    array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS shingle FROM words),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT s.a, s.b FROM shared s JOIN size x ON x.doc_id = s.a JOIN size y ON y.doc_id = s.b
+    WHERE 100 * s.c >= 75 * (x.n + y.n - s.c)),
+reach AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.node),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, least.component_id
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.node = d.doc_id
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontamination import op9_decontamination
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.license_scan import op5_license_scan
-from tessera.llm.ngram_join import op8_ngram_join
+from tessera.llm.ngram_join import OP8_SQL, op8_ngram_join
 from tessera.llm.quality import op10_quality
 from tessera.llm.source_mixing import op4_source_mixing
 from tessera.llm.token_counts import op1_token_counts
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}
