@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,27 @@ def arrow_limits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def give_back() -> None:
-    """Let a Python worker hand freed Arrow buffers back to the system: workers live on between
-    stages, and what their memory pool kept would add up."""
+KEPT_BYTES = 1 << 20     # freed blocks from this size on go back to the system at once
+
+
+_held: dict[str, dict] = {}
+
+
+def give_back(keep: str = "") -> dict:
+    """Let a Python worker drop and hand back memory: workers live on between stages, and what their
+    allocators and operators kept would add up.
+
+    Returns what the operator named ``keep`` remembers in this worker; all others' is dropped.  (The
+    allocator's thresholds are for glibc; other libraries have no such setting.)
+    """
+    for name in [n for n in _held if n != keep]:
+        del _held[name]
     pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-1, KEPT_BYTES)        # M_TRIM_THRESHOLD
+        libc.mallopt(-3, KEPT_BYTES)        # M_MMAP_THRESHOLD
+    return _held.setdefault(keep, {}) if keep else {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

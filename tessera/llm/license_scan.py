@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, table
+from tessera.llm.common import arrow_limits, give_back, table
 from tessera.llm.toxicity import BETWEEN
 from tessera.llm.words import hash_words, spans, utf8
 from tessera.session import materialize
@@ -163,6 +163,7 @@ def own_licences(files: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
 
     @F.pandas_udf("license string, similarity double, share double")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         for texts in batches:
             yield pd.DataFrame(shared.value.scan(pa.array(texts, pa.large_string(), from_pandas=True)),
                                columns=["license", "similarity", "share"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, held_out, labelled_sample, table
+from tessera.llm.common import arrow_limits, give_back, held_out, labelled_sample, table
 from tessera.llm.toxicity import sigmoid
 from tessera.llm.words import byte_set, hash_words, spans, utf8
 
@@ -174,6 +174,7 @@ def score_column(docs: DataFrame, labels: DataFrame, target: str = "quality", te
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()
         for batch in texts:
             yield pd.Series(shared.value.scores(pa.array(batch, pa.large_string(), from_pandas=True)))
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, table
+from tessera.llm.common import arrow_limits, give_back, table
 from tessera.llm.words import pieces
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -341,15 +341,13 @@ class Counter:
         np.add.at(out, owners, per_part)
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(tokenizer: str) -> Counter:
-    """One compiled counter for each tokenizer and Python worker."""
-    if tokenizer not in _counters:
-        _counters.clear()
-        _counters[tokenizer] = Counter(tokenizer)
-    return _counters[tokenizer]
+    """The Python worker's compiled counter."""
+    known = give_back("token counts")
+    if tokenizer not in known:
+        known.clear()
+        known[tokenizer] = Counter(tokenizer)
+    return known[tokenizer]
 
 
 def tokenizer_text(name: str) -> str:

@@ -135,15 +135,16 @@ WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # Latin letters, of which lower-case ones stay as they are, then ASCII marks without the apostrophe
 LATIN = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)\\Z")
 BYTE_CHARS = {b: c for c, b in byte_alphabet().items()}
-_encoders: dict[tuple[str, str], WordEncoder] = {}
 
 
 def encoder(tokenizer: str, width: str) -> WordEncoder:
-    if (tokenizer, width) not in _encoders:
+    """The Python worker's encoder with the words it has learnt."""
+    known = give_back("token ids")
+    if (tokenizer, width) not in known:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
-        _encoders.clear()
-        _encoders[tokenizer, width] = WordEncoder(tokenizer, width)
-    return _encoders[tokenizer, width]
+        known.clear()
+        known[tokenizer, width] = WordEncoder(tokenizer, width)
+    return known[tokenizer, width]
 
 
 def id_width(tokenizer: str) -> str:
@@ -162,7 +163,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, order: list[str], width: s
 
     @F.pandas_udf("binary")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        give_back()
         enc = encoder(shared.value, width)
         end = np.array([end_id], dtype=width).tobytes()
         for batch in texts:
