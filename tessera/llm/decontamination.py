@@ -12,9 +12,12 @@ one shingle of all of them.
   for every block value the items that near.  So no item within the radius is missed.
 * Candidates within the radius are compared exactly: weighted Jaccard similarity of the two
   multisets of shingles, sum of minima over sum of maxima, at least 0.75.
+* Where shingles repeat, in the item or within a window's length in the document, the repeated
+  one rules most bits and the radius says nothing.  Such pairs do not go by fingerprints: the sum
+  of minima is counted for every window that shares a shingle with the item (``_sweep``).
 
-At similarity 0.75 two windows differ in 44 of 256 bits on average (standard deviation 6); the
-radius leaves more than four and a half standard deviations.
+Where all shingles count once, two windows at similarity 0.75 differ in 44 of 256 bits on average
+(standard deviation 6); the radius leaves more than four and a half standard deviations.
 
 The benchmark goes to the tasks in blocks of bounded size, one after the other; documents are
 read where they are, with no shuffle.  Null texts and texts without words hold nothing and are
@@ -41,6 +44,7 @@ NEAR = RADIUS // BLOCKS            # differing bits that the nearest block has a
 LEAST, OUT_OF = 3, 4               # similarity of 3/4 or more
 ITEMS, ITEM_BYTES = 2000, 8 << 20  # of the benchmark in one block
 STRIP = 1 << 14                    # shingles whose bits are summed at once
+SWEEP = 1 << 18                    # shared shingles counted at once, whole items
 SALTS = odd_numbers(BITS // 64, 3)
 
 
@@ -61,6 +65,20 @@ def sequences(words: np.ndarray, borders: np.ndarray, n: int) -> tuple[np.ndarra
     return hashes, first
 
 
+def nearest_repeat(shingles: np.ndarray, cuts: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Least distance of two equal shingles in each text, for the texts that hold ``hits``."""
+    held = np.zeros(len(cuts) - 1, dtype=bool)
+    held[np.searchsorted(cuts, hits, "right") - 1] = True
+    place = np.flatnonzero(np.repeat(held, np.diff(cuts)))
+    row = np.searchsorted(cuts, place, "right") - 1
+    order = np.lexsort((shingles[place], row))
+    place, row = place[order], row[order]
+    same = np.flatnonzero((shingles[place][1:] == shingles[place][:-1]) & (row[1:] == row[:-1]))
+    gap = np.full(len(cuts) - 1, np.iinfo(np.int64).max)
+    np.minimum.at(gap, row[same], place[same + 1] - place[same])
+    return gap
+
+
 class Benchmark:
     """Index of a block of items."""
 
@@ -73,10 +91,12 @@ class Benchmark:
         self.bags = [Counter(p.tolist()) for p in self.parts]
         # shingle -> items that have it
         owner = np.repeat(np.arange(len(ids)), self.count)
-        pairs = np.unique(np.stack([shingles, owner.astype(np.uint64)], axis=1), axis=0) if len(shingles) else np.zeros((0, 2), np.uint64)
+        pairs, self.amount = (np.unique(np.stack([shingles, owner.astype(np.uint64)], axis=1), axis=0, return_counts=True)
+                              if len(shingles) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)))
         self.keys, start = np.unique(pairs[:, 0], return_index=True)
         self.start = np.concatenate([start, [len(pairs)]])
         self.owner = pairs[:, 1].astype(np.int64)
+        self.repeats = np.bincount(self.owner, weights=self.amount > 1, minlength=len(ids)) > 0
         self.prints = np.zeros((len(ids), BITS // 8), dtype=np.uint8)
         for i, p in enumerate(self.parts):
             if len(p):
@@ -109,8 +129,13 @@ class Benchmark:
             if len(hits):
                 many = np.diff(self.start)[slot[hits]]
                 at = np.repeat(hits, many)
-                item = self.owner.take(np.repeat(self.start[slot[hits]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-                                       + np.arange(int(many.sum())))
+                pair = np.repeat(self.start[slot[hits]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+                item = self.owner.take(pair)
+                gap = nearest_repeat(shingles, cuts, hits)
+                exact = self.repeats[item] | (gap.take(np.searchsorted(cuts, at, "right") - 1) < self.count[item])
+                exact &= self.words[item] >= SHINGLE
+                self._sweep(at[exact], pair[exact], slot, cuts, best)
+                at, item = at[~exact], item[~exact]
                 for n in self.sizes:
                     self._windows(n, np.unique(at[self.words[item] == n]), shingles, cuts, best)
         return [(row, item, sim, at) for (row, item), (sim, at) in best.items()]
@@ -119,6 +144,49 @@ class Benchmark:
         i = int(np.searchsorted(self.keys, np.uint64(key)))
         return self.owner[self.start[i]: self.start[i + 1]].tolist()
 
+    def _sweep(self, at: np.ndarray, pair: np.ndarray, slot: np.ndarray, cuts: np.ndarray, best: dict) -> None:
+        """Best window of every document and item of the shared shingles (place, pair of shingle and item).
+
+        The r-th place of a shingle that the item has c times adds to the sum of minima of the windows
+        that hold it, but not the place c places before: an interval of first shingles.
+        """
+        order = np.lexsort((at, slot[at], self.owner[pair]))
+        at, pair = at[order], pair[order]
+        item = self.owner[pair]
+        borders = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
+        a = 0
+        while a < len(borders) - 1:
+            b = max(a + 1, int(np.searchsorted(borders, borders[a] + SWEEP, "right")) - 1)
+            self._sums(at[borders[a]: borders[b]], pair[borders[a]: borders[b]], cuts, best)
+            a = b
+
+    def _sums(self, at: np.ndarray, pair: np.ndarray, cuts: np.ndarray, best: dict) -> None:
+        item, count, row = self.owner[pair], self.amount[pair], np.searchsorted(cuts, at, "right") - 1
+        size, here = self.count[item], np.arange(len(at))
+        new = (np.diff(pair, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0)
+        chain = np.maximum.accumulate(np.where(new, here, 0))
+        before = np.where(here - count >= chain, at[np.maximum(here - count, 0)] + 1, 0)
+        lo = np.maximum(np.maximum(at - size + 1, cuts[row]), before)
+        hi = np.minimum(at, np.maximum(cuts[row + 1] - size, cuts[row]))
+        some = lo <= hi
+        wide = int(cuts[-1]) + 1
+        edge = np.concatenate([item[some] * wide + lo[some], item[some] * wide + hi[some] + 1])
+        step = np.repeat([1, -1], int(some.sum()))
+        order = np.argsort(edge, kind="stable")
+        edge, both = edge[order], np.cumsum(step[order])
+        last = np.append(np.diff(edge) > 0, True)[: len(edge)]
+        edge, both = edge[last], both[last]
+        edge, both = edge[both > 0], both[both > 0]
+        item, first = edge // wide, edge % wide
+        row = np.searchsorted(cuts, first, "right") - 1
+        union = np.minimum(self.count[item], np.diff(cuts)[row]) + self.count[item] - both
+        good = np.flatnonzero(OUT_OF * both >= LEAST * union)
+        good = good[np.lexsort((first[good], -both[good], row[good], item[good]))]
+        good = good[(np.diff(item[good], prepend=-1) != 0) | (np.diff(row[good], prepend=-1) != 0)]
+        for r, i, sim, w in zip(row[good].tolist(), item[good].tolist(), (both[good] / union[good]).tolist(),
+                                (first[good] - cuts[row[good]]).tolist(), strict=True):
+            best[r, i] = (sim, w)
+
     def _windows(self, n: int, hits: np.ndarray, shingles: np.ndarray, cuts: np.ndarray, best: dict) -> None:
         """Fingerprint the windows of ``n`` words around ``hits`` and compare the candidates."""
         if not len(hits):

@@ -40,3 +40,22 @@ def test_awkward_rows_and_empty_tables(awkward, bench):
     assert kept.columns == awkward.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, None, 6, 11]))
     assert op.benchmark_matches(awkward.limit(0), bench).count() == 0 and op.benchmark_matches(awkward, bench.limit(0)).count() == 0
     assert op.decontaminated(awkward, bench.limit(0)).count() == len(ROWS)
+
+
+@pytest.mark.parametrize(("length", "run"), [(220, 24), (300, 34)])
+def test_repeated_runs(spark, length, run):
+    """A run of equal words rules the fingerprint but costs little similarity."""
+    rnd = random.Random(length)
+    items, docs = [], []
+    for k in range(6):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(length)]
+        at = rnd.randrange(10, length - run - 10)
+        plain, equal, other = w[at:at + run], ["row"] * run, [f"z{k}"] * run
+        for i, (a, b) in enumerate([(equal, plain), (plain, equal), (equal, other), (plain, other)]):
+            items.append((10 * k + i, " ".join([*w[:at], *a, *w[at + run:]])))
+            docs.append((10 * k + i, " ".join(["before", *["row"] * rnd.randrange(9), *w[:at], *b, *w[at + run:], "after", "it"])))
+        docs.append((10 * k + 9, " ".join([*w[:at + 4], *["row"] * 900])))
+    want = leaks(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in op.benchmark_matches(d, b).collect()}
+    assert got == want and sum(1 for s, _ in want.values() if s < 0.8) >= 12
