@@ -2,11 +2,16 @@
 
 1. Document frequencies of all terms (hashed to ``DIMS`` places) are counted over the whole
    corpus; idf = ln((1 + N) / (1 + df)) + 1.
-2. Every line of a file, its leading paragraph (a header of several lines) and the whole file are
-   compared with the licence templates by sparse TF-IDF cosine; the best of at least ``LEAST``
-   is the file's own licence.  A unit can only reach this if it has one of a template's anchor
-   terms (without these the template keeps less than LEAST of its length), so only files and
-   lines with an anchor are weighed; none that could match is passed over.
+2. Units of a file are its lines, windows of up to ``WINDOW`` lines with terms (notices that are
+   wrapped, empty comment lines or not), paragraphs and runs of up to ``RUN`` of them, comment
+   blocks and the whole file.  Units are compared by sparse TF-IDF cosine with the notices of
+   ``TEMPLATES``, and all but lines and windows with the standard texts in ``licences``, there with
+   1 + ln(count) for the count, as the common words of a long text would rule it.  The best of at
+   least ``LEAST`` is the file's own licence; a standard text goes before the notices, as licence
+   texts quote notices.  A unit's cosine is at most the length of the part of a template whose terms
+   the file has, so files in which no template keeps LEAST of its length are passed over; a line or
+   window can only reach it if it has one of a notice's anchor terms (without these the notice keeps
+   less than LEAST), and only those are weighed.  None that could match is passed over.
 3. A file of which the licence's unit makes up at least ``SHARE`` of the terms, or which is named
    like one, is a licence file.  A directory's licence is that of most of its licence files (ties:
    the alphabetically first).
@@ -21,7 +26,9 @@ are files of their own.  Extra columns are ignored; an empty table gives no rows
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from importlib.resources import files as package_files
 
 import numpy as np
 import pandas as pd
@@ -37,6 +44,11 @@ from tessera.session import materialize
 DIMS = 1 << 18
 LEAST = 0.7
 SHARE = 0.5
+WINDOW = 8             # lines
+RUN = 6                # paragraphs; MIT, BSD and ISC texts have fewer
+TERMS = 1 << 20        # of units weighed at once
+COMMENT = re.compile(rb"\s*(//|#|\*|;|--|%|!|'|dnl\b|rem\b)", re.IGNORECASE)
+OPENS, CLOSES = re.compile(rb"\s*(/\*|<!--|\(\*|\{-)"), (b"*/", b"-->", b"*)", b"-}")
 NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
 # (licence, notice), fixed values: notices as files carry them
@@ -45,6 +57,8 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
                    "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("BSD-2-Clause", "Use of this source code is governed by a two-clause BSD style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
@@ -56,10 +70,16 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                "License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
                 "License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -69,6 +89,50 @@ TEMPLATES = (
 )
 
 
+def standard_texts() -> list[tuple[str, str]]:
+    """(licence, whole text).  The AGPL's is the GPL's with its name and its section on networks."""
+    texts = {f.name[:-4]: f.read_text() for f in package_files("tessera.llm").joinpath("licences").iterdir() if f.name.endswith(".txt")}
+    affero = re.sub(r"(?i)\bGNU general", "GNU Affero General", texts["GPL-3.0"])
+    texts["AGPL-3.0"] = affero + """
+Remote Network Interaction; if you modify the Program, your modified version must prominently offer all users interacting with it
+remotely through a computer network an opportunity to receive the Corresponding Source of your version by providing access to the
+Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software."""
+    return sorted(texts.items())
+
+
+def units_of(text: bytes, line: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) term of the lines and windows that hold an anchor, and of the larger units.
+
+    ``line`` has the line of each term, ``held`` says which are anchors.
+    """
+    used, start = np.unique(line, return_index=True)
+    start = np.append(start, len(line))
+    n, small = len(used), []
+    anchors = np.concatenate([[0], np.cumsum(held)])
+    for k in range(1, min(WINDOW, n) + 1):
+        pairs = np.stack([start[: n - k + 1], start[k:]], axis=1)
+        small.append(pairs[anchors[pairs[:, 1]] > anchors[pairs[:, 0]]])
+    # paragraphs end at lines without terms; comment blocks go on over these
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(used) > 1) + 1, [n]])
+    large = [(cut[i], cut[min(i + k, len(cut) - 1)]) for k in range(1, RUN + 1) for i in range(len(cut) - 1)]
+    inside, first = b"", -1
+    for at, one in enumerate([*text.split(b"\n"), b""]):
+        opens = None if inside else OPENS.match(one)
+        if first < 0 and (opens or COMMENT.match(one)):
+            first = at
+        elif first >= 0 and not (inside or opens or COMMENT.match(one)):
+            large.append((np.searchsorted(used, first), np.searchsorted(used, at)))
+            first = -1
+        if opens:
+            inside = CLOSES[(b"/*", b"<!--", b"(*", b"{-").index(opens[1])]
+        if inside and inside in one:
+            inside = b""
+    if first >= 0:
+        large.append((np.searchsorted(used, first), n))
+    large = np.unique(np.array([*large, (0, n)]), axis=0)
+    return np.concatenate(small), start[large[large[:, 1] > large[:, 0]]]
+
+
 def places_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Place and first byte of every term, border of each text's terms, and the bytes."""
     data, offsets = utf8(texts)
@@ -97,57 +161,74 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Templates:
-    """TF-IDF vectors of the templates, and their anchor terms."""
+    """TF-IDF vectors of the notices and of the standard texts, and the notices' anchor terms."""
 
     def __init__(self, templates, df: np.ndarray, n: int, least: float) -> None:
         self.idf, self.least = np.log((1 + n) / (1 + df)) + 1, least
-        self.names = [name for name, _ in templates]
-        place, _, borders, _ = places_of(pa.array([text for _, text in templates], pa.string()))
+        texts = standard_texts()
+        self.notices, self.names = len(templates), [name for name, _ in [*templates, *texts]]
+        place, _, borders, _ = places_of(pa.array([text for _, text in [*templates, *texts]], pa.string()))
         self.terms = np.unique(place)
         self.number = np.full(DIMS, -1, dtype=np.int64)
         self.number[self.terms] = np.arange(len(self.terms))
-        self.matrix = np.zeros((len(templates), len(self.terms)))
+        self.matrix = np.zeros((len(self.names), len(self.terms)))
         self.anchor = np.zeros(DIMS, dtype=bool)
         for i, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True)):
-            np.add.at(self.matrix[i], self.number[place[a:b]], self.idf[place[a:b]])
+            own, count = np.unique(place[a:b], return_counts=True)
+            self.matrix[i][self.number[own]] = (count if i < self.notices else 1 + np.log(count)) * self.idf[own]
             self.matrix[i] /= np.linalg.norm(self.matrix[i])
-            # heaviest terms, until the others cannot reach ``least`` (Cauchy-Schwarz)
-            order = np.argsort(-self.matrix[i], kind="stable")
-            rest = np.sqrt(np.maximum(1 - np.cumsum(self.matrix[i][order] ** 2), 0))
-            self.anchor[self.terms[order[: int(np.argmax(rest < least)) + 1]]] = True
-
-    def best(self, place: np.ndarray, unit: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best template and its cosine for each unit of terms."""
-        both, count = np.unique(unit * DIMS + place, return_counts=True)
-        unit, place = both // DIMS, both % DIMS
-        weight = count * self.idf[place]
-        norm = np.sqrt(np.bincount(unit, weights=weight ** 2, minlength=units))
-        known = self.number[place] >= 0
-        dots = np.zeros((units, len(self.names)))
-        np.add.at(dots, unit[known], self.matrix[:, self.number[place[known]]].T * weight[known][:, None])
-        dots /= np.maximum(norm, 1e-12)[:, None]
-        return dots.argmax(axis=1), dots.max(axis=1, initial=0)
+            if i < self.notices:
+                # heaviest terms, until the others cannot reach ``least`` (Cauchy-Schwarz)
+                order = np.argsort(-self.matrix[i], kind="stable")
+                rest = np.sqrt(np.maximum(1 - np.cumsum(self.matrix[i][order] ** 2), 0))
+                self.anchor[self.terms[order[: int(np.argmax(rest < least)) + 1]]] = True
+        self.square = np.ascontiguousarray((self.matrix ** 2).T)
+
+    def possible(self, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The rows that have enough of a template's terms for one of their units to match it."""
+        known = np.flatnonzero(self.number.take(place) >= 0)
+        both = np.unique(row[known] * len(self.terms) + self.number.take(place[known]))
+        row, term = both // len(self.terms), both % len(self.terms)
+        out = []
+        start = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        for a, b in zip(start[:-1], start[1:], strict=True):
+            if self.square[term[a:b]].sum(axis=0).max() >= self.least ** 2 - 1e-9:
+                out.append(int(row[a]))
+        return np.array(out, dtype=np.int64)
+
+    def best(self, mine: np.ndarray, units: np.ndarray, texts: bool) -> list[tuple[float, str, int]]:
+        """(-cosine, licence, -terms) of the units that match a notice or a standard text."""
+        found = []
+        size = units[:, 1] - units[:, 0]
+        border = np.concatenate([[0], np.cumsum(size)])
+        which = slice(self.notices, None) if texts else slice(0, self.notices)
+        a = 0
+        while a < len(units):
+            b = max(a + 1, int(np.searchsorted(border, border[a] + TERMS, "right")) - 1)
+            unit = np.repeat(np.arange(b - a), size[a:b])
+            at = np.arange(len(unit)) + np.repeat(units[a:b, 0] - (border[a:b] - border[a]), size[a:b])
+            both, count = np.unique(unit * DIMS + mine[at], return_counts=True)
+            unit, place = both // DIMS, both % DIMS
+            weight = (1 + np.log(count) if texts else count) * self.idf[place]
+            norm = np.sqrt(np.bincount(unit, weights=weight ** 2, minlength=b - a))
+            known = self.number[place] >= 0
+            unit, term, weight = unit[known], self.number[place[known]], weight[known]
+            for name, vector in zip(self.names[which], self.matrix[which], strict=True):
+                cosine = np.bincount(unit, weights=vector[term] * weight, minlength=b - a) / norm
+                found += [(-round(float(cosine[i]), 12), name, -int(size[a + i])) for i in np.flatnonzero(cosine >= self.least)]
+            a = b
+        return found
 
     def scan(self, texts: pa.Array) -> list[tuple[str | None, float, float]]:
         """(licence, cosine, share of the terms in the licence's unit) of each text."""
         place, first, borders, data = places_of(texts)
+        ends = utf8(texts)[1]
         out: list[tuple[str | None, float, float]] = [(None, 0.0, 0.0)] * len(texts)
-        hits = np.flatnonzero(self.anchor.take(place))
-        for row in np.unique(np.searchsorted(borders, hits, "right") - 1).tolist():
-            lo, hi = int(borders[row]), int(borders[row + 1])
-            mine, at = place[lo:hi], first[lo:hi]
-            span = data[at[0]: at[-1] + 1]
-            line = np.searchsorted(np.flatnonzero(span == 10) + at[0], at)
-            held = self.anchor.take(mine)
-            lines = np.unique(line[held])
-            some = np.isin(line, lines)
-            # a blank line ends the leading paragraph
-            empty = np.flatnonzero(np.diff(line) > 1)
-            head = np.arange(len(mine)) <= (empty[0] if len(empty) else -1)
-            unit = np.concatenate([np.searchsorted(lines, line[some]), np.full(int(head.sum()), len(lines)), np.full(len(mine), len(lines) + 1)])
-            which, cosine = self.best(np.concatenate([mine[some], mine[head], mine]), unit, len(lines) + 2)
-            size = np.bincount(unit, minlength=len(lines) + 2)
-            good = [(-round(float(c), 12), self.names[w], -int(s)) for w, c, s in zip(which, cosine, size, strict=True) if c >= self.least]
+        for row in self.possible(place, np.repeat(np.arange(len(texts)), np.diff(borders))).tolist():
+            mine, at = place[borders[row]: borders[row + 1]], first[borders[row]: borders[row + 1]] - ends[row]
+            span = data[ends[row]: ends[row + 1]]
+            small, large = units_of(span.tobytes(), np.searchsorted(np.flatnonzero(span == 10), at), self.anchor.take(mine))
+            good = self.best(mine, large, True) or self.best(mine, np.concatenate([small, large]), False)
             if good:
                 c, name, s = min(good)
                 out[row] = (name, -c, -s / len(mine))

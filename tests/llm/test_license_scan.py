@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -81,3 +82,46 @@ def test_directories(spark):
 def test_awkward_rows_and_empty_table(spark, awkward, rows):
     files = awkward.withColumn("path", awkward["text"]) if rows else awkward.limit(0).withColumn("path", awkward["text"])
     assert op.license_scan(files, "doc_id").count() == len(rows)
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU{1} General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version."""
+
+
+def test_standard_files_and_wrapped_headers(spark):
+    """Licence files and headers as real files have them, beside the corpus that sets the weights."""
+    code = "\nimport os\n" + "".join(f"def f{i}(a):\n    return os.path.join(a, 'the name of {i}')\n" for i in range(40))
+    mark = lambda m, t: "".join(f"{m} {x}".rstrip() + "\n" for x in ["Copyright 2020 Some Body", "", *t.split("\n")])
+    want, files = {}, []
+
+    def add(path, name, text):
+        want[path] = name
+        files.append((len(files), path, text))
+
+    texts = dict(op.standard_texts())
+    assert len(texts) >= 12
+    for name, text in texts.items():
+        add(f"{name}/LICENSE", name, f"The {name} Licence\n\nCopyright (c) 2020 Some Body\n\n{text}")
+        add(f"{name}/src/a.py", name, code)                                    # handed down
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"):
+        add(f"x/{name}.py", name, mark("#", texts[name]) + code)
+        add(f"x/{name}.c", name, f"/*\n Copyright 2020 Some Body\n\n{texts[name]}*/\n{code}")
+        add(f"x/{name}.md", name, f"About\n\nwords on what this does\n\n{texts[name]}\n\n{code}")
+    for m in ("#", "//", " *", "--"):
+        add(f"x/apache-{len(files)}", "Apache-2.0", mark(m, APACHE) + code)
+        for name, how in (("GPL-2.0", (";", "", ";", "2")), ("GPL-3.0", (":", "", ",", "3")), ("AGPL-3.0", (":", " Affero", ",", "3")),
+                          ("LGPL-3.0", (":", " Lesser", ",", "3"))):
+            add(f"x/{name}-{len(files)}", name, mark(m, GPL.format(*how)) + code)
+    plain = Path(op.__file__).parents[2] / "README.md"
+    add("y/plain.md", None, plain.read_text().split("op5_license_scan")[0])
+    docs = [(1000 + r[0], f"corpus/{r[0]}", r[1]) for r in read(MIDDLE, "documents")]
+    got = op.license_scan(spark.createDataFrame(files + docs, "doc_id long, path string, text string"), "doc_id")
+    got = {r.path: r.license for r in got.filter("id < 1000").collect()}
+    assert {p: (got[p], n) for p, n in want.items() if got[p] != n} == {}
