@@ -73,3 +73,33 @@ def test_awkward_rows_and_empty_table(awkward):
     assert sorted(rows, key=repr) == brute([(r[0], r[3]) for r in ROWS], 2, op.PERIOD)
     assert op.in_mixed_order(awkward).count() == len(ROWS)
     assert op.mix_sources(awkward.limit(0)).count() == 0
+
+
+TARGETS = [([1 / 3] + [2 / 57] * 19, [700] * 20), ([(1 / i) ** 0.5 for i in range(1, 51)], [3000 // i + 1 for i in range(1, 51)]),
+           ([1e4, 1e4, 10], [5000, 5000, 7]), ([1e-5, 1, 0.3], [3, 3000, 900]), ([1], [5])]
+
+
+@pytest.mark.parametrize(("weights", "blocks"), TARGETS)
+def test_less_than_one_block_from_the_target_weights(weights, blocks):
+    target = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    done, last = [0] * len(weights), -1
+    for s, k, release, deadline, slot in op.run_plan(weights, blocks):
+        assert release == k / target[s] // 1 and deadline == -(-(k + 1) / target[s] // 1) and release <= slot < deadline
+        assert k == done[s] and slot > last
+        done[s], last = k + 1, slot
+        for x in (s, slot % len(weights)):
+            assert done[x] == blocks[x] or abs(target[x] * (slot + 1) - done[x]) < 1
+    assert done == blocks
+
+
+def test_documents_follow_the_target_weights(spark):
+    """One source of a third beside 19 alike, and a source far below a thousandth."""
+    docs = spark.createDataFrame([(i, f"s{i % 20:02d}" if i % 1000 else "tiny") for i in range(20_000)], "doc_id long, source string")
+    given = {"tiny": 1e-4, "s01": 10.0, **{f"s{i:02d}": 20 / 19 for i in range(20) if i != 1}}
+    weights = spark.createDataFrame(list(given.items()), "source string, weight double")
+    total = sum(map(Fraction, given.values()))
+    rows = op.mix_sources(docs, weights, block=1).collect()
+    assert len(rows) == 20_000 == len({r.mix_slot for r in rows})
+    for r in rows:
+        w = Fraction(given[r.source]) / total
+        assert r.mix_block / w // 1 <= r.mix_slot < -(-(r.mix_block + 1) / w // 1)
