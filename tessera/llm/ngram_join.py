@@ -309,7 +309,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["lost_id"]) & (row == lost["lost_row"]), "left_anti")
     if not worded.groupBy("at").count().filter("count > 1").isEmpty():
         name = "_" + max(docs.columns, key=len)
-        kept = kept.withColumn(name, row).dropDuplicates([id_col, name]).drop(name)
+        # rows without words get a number of their own
+        words = F.coalesce(docs[text_col].cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        kept = kept.withColumns({name: row, "_" + name: F.when(~words, F.monotonically_increasing_id())})
+        kept = kept.dropDuplicates([id_col, name, "_" + name]).drop(name, "_" + name)
     return kept
 
 

@@ -82,3 +82,10 @@ def test_awkward_rows_and_empty_table(awkward):
     # the texts of 1, 2, 10, 12 and of a row without id are one group; the other text of 1 is a group of its own
     assert ids == sorted(map(str, [1, 1, 3, 4, 5, 6, 7, 8, 11, None]))
     assert op.one_of_each_group(awkward.limit(0)).count() == 0
+
+
+def test_rows_without_words_stay_beside_repeated_rows(spark):
+    empty = [(1, ""), (1, ""), (2, None), (2, None), (None, " \t"), (None, " \t")]
+    for rows in (empty, [*empty, (3, "some words"), (3, "some words")]):
+        kept = op.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [*empty, *rows[6:7]]))
