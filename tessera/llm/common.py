@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,3 +100,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int,
              .orderBy(F.xxhash64("_id"), "_id").limit(bound))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     return materialize(rows.join(F.broadcast(known), "_id").select("text", "y"), f"labelled-{target}")
+
+
+def one_thread() -> None:
+    """Let numpy's matrix products in this Python worker use one thread: Spark's tasks fill the cores already,
+    and threads waiting for each other on small products cost more than the products.  (Where numpy's library is
+    another one than OpenBLAS, nothing changes.)"""
+    maps = Path("/proc/self/maps")
+    found = {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else set()
+    for lib in map(ctypes.CDLL, found):
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break

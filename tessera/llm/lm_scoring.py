@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_limits, give_back, table
+from tessera.llm.common import arrow_limits, give_back, one_thread, table
 from tessera.llm.words import hash_words, spans, utf8
 from tessera.session import materialize
 
@@ -46,7 +46,7 @@ CONTEXT, WIDTH = 3, 16
 NOISE, BATCH = 64, 512
 ROUNDS, RATE = 4, 0.15
 SENT = 1 << 19                   # word counts that every task gets, at most
-SCORED = 1024                    # tokens whose class scores are computed at once
+SCORED = 512                     # tokens whose class scores are computed at once
 FIXED = 1 << 16                  # parameters are added up as whole multiples of 1 / FIXED
 
 
@@ -257,6 +257,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, id_col: str = "
 
         def steps(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             give_back()
+            one_thread()
             flat, squares, vocabulary, share = shared.value
             m, squares, seen = Model(flat.copy()), squares.copy(), 0
             rng = np.random.default_rng((k, TaskContext.get().partitionId()))
@@ -299,6 +300,7 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
+        one_thread()
         flat, vocabulary, words, log_n, log_mass, log_end, end_known = shared.value
         m = Model(flat)
         for b in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back, table
+from tessera.llm.common import give_back, one_thread, table
 from tessera.session import materialize
 
 SCALE = 1024
@@ -151,6 +151,7 @@ def entry_sums(vectors: DataFrame, books: np.ndarray, length: int) -> np.ndarray
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
+        one_thread()
         trees = [Gnat(b) for b in shared.value]
         total = np.zeros((parts * entries, width + 1), dtype=np.int64)
         for lot in in_lots(batches):
@@ -199,6 +200,7 @@ def encode(vectors: DataFrame, books: np.ndarray, length: int) -> DataFrame:
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
+        one_thread()
         trees = [Gnat(b) for b in shared.value]
         for lot in in_lots(batches):
             x = matrix(lot.column(2).chunk(0), length)
