@@ -1,7 +1,7 @@
 """Operator 13: language-model scores of a log-bilinear neural model trained with noise contrast.
 
 Tokens are the words of a text, A-Z lower-cased, and one end.  The model has ``CLASSES`` classes: the most
-frequent words of the training documents, the end, and ``TAILS`` classes of all other words by their first three bytes.
+frequent words of the training documents, the end, and ``TAILS`` classes of all other words by their first two bytes.
 With vectors r of the context classes, q of the predicted ones and position weights c,
 
     P(class | context) = softmax_class(q_class . sum_j c_j * r_(context j) + b_class)
@@ -38,8 +38,8 @@ from tessera.llm.common import arrow_limits, give_back, one_thread, table
 from tessera.llm.words import hash_words, spans, utf8
 from tessera.session import materialize
 
-CLASSES, TAILS = 512, 192
-PREFIX = 3                       # bytes of a rare word that decide its class
+CLASSES, TAILS = 256, 192
+PREFIX = 2                       # bytes of a rare word that decide its class
 END = TAILS                      # class of the end; frequent words come after it
 PAD = CLASSES                    # context before a text
 CONTEXT, WIDTH = 3, 16
@@ -147,7 +147,7 @@ class Model:
                 z -= z.max(axis=1, keepdims=True)
             own = z[np.arange(len(c)), c].copy()
             np.exp(z, out=z)
-            out[lo: lo + SCORED] = own - np.log(z.sum(axis=1))
+            out[lo: lo + SCORED] = own - np.log(z @ np.ones(CLASSES, dtype=z.dtype))
         return out / np.log(10)
 
 
@@ -316,11 +316,15 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
             p[tail] += own[tail] - log_mass[classes[tail]]
             add = lambda x: np.bincount(t.owner, weights=x, minlength=docs_in)
             lost = ~known & ~t.is_end
-            key, n = np.unique(np.stack([t.owner[lost], t.word[lost]]), axis=1, return_counts=True) if lost.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            cut = pa.array(np.searchsorted(key[0], np.arange(docs_in + 1)), pa.int32())
+            owner, word = t.owner[lost], t.word[lost]
+            order = np.lexsort((word, owner))
+            owner, word = owner[order], word[order]
+            new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(word, prepend=0) != 0) | (np.arange(len(word)) == 0))
+            n = np.diff(np.append(new, len(word)))
+            cut = pa.array(np.searchsorted(owner[new], np.arange(docs_in + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(t.n), pa.array(add(known | t.is_end & end_known).astype(np.int64)),
-                 pa.array(add(own) - floor * t.n), pa.array(add(p)), pa.ListArray.from_arrays(cut, pa.array(key[1])),
+                 pa.array(add(own) - floor * t.n), pa.array(add(p)), pa.ListArray.from_arrays(cut, pa.array(word[new])),
                  pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int32)))],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times"])
 
