@@ -3,8 +3,9 @@
 Scale plan: an incident's pseudo-document is a function of six labels and three
 bands, so incidents collapse to distinct documents with a multiplicity first; term
 statistics (document frequency, corpus frequency) are sums of multiplicities and all
-weighting and scoring runs on distinct documents.  Scoring multiplies batches of document
-vectors with a block of queries and keeps each batch's best.  The top k incidents
+weighting and scoring runs on distinct documents.  The index holds posting lists in blocks of alike
+documents with each list's highest weight; a query opens the blocks whose bound reaches its
+k-th best score so far.  The top k incidents
 of a query lie in its k best documents (ranked by score, then the document's largest
 incident id), so only those expand back to incidents; per-document and per-query
 top-k are salted two-stage windows, never one task per hot key.
@@ -12,10 +13,12 @@ top-k are salted two-stage windows, never one task per hot key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +97,7 @@ def vocabulary(docs: DataFrame, tc: DataFrame, min_df: int = R.VOCAB_MIN_DF,
                max_features: int | None = R.VOCAB_MAX_FEATURES) -> DataFrame:
     """Q3: df >= min_df, then the top ``max_features`` terms by corpus frequency (term asc on ties).
 
-    ``max_features=None`` keeps all terms.  Returns (term, df, idf) with the smoothed idf ln((1+n)/(1+df)) + 1; the vocabulary
-    is at most ``max_features`` rows, so it is safe to broadcast.
+    ``max_features=None`` keeps all terms.  Returns (term, df, idf) with the smoothed idf ln((1+n)/(1+df)) + 1.
     """
     n = docs.select(F.sum("mult")).scalar()
     stats = tc.groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("cf"))
@@ -106,80 +108,235 @@ def vocabulary(docs: DataFrame, tc: DataFrame, min_df: int = R.VOCAB_MIN_DF,
 
 def tfidf(tc: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """Q4: (1 + ln tf) * idf on vocabulary terms, L2-normalised per document
-    (the norm is a window over one document's terms)."""
-    w = (tc.join(F.broadcast(vocab.drop("df")), "term")
+    (the norm is a window over one document's terms).  A vocabulary of checked size is broadcast."""
+    small = vocab.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    terms = vocab.drop("df")
+    w = (tc.join(F.broadcast(terms) if small else terms, "term")
          .withColumn("w", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     kept = ["no"] if "no" in vocab.columns else ["term"]
     return w.select(key, *kept, (F.col("w") / norm).alias("w"))
 
 
-def build_index(incidents: DataFrame) -> dict[str, DataFrame]:
-    """The search index, built once and written to the shared folder: distinct documents (with
-    multiplicity and largest id), the numbered vocabulary, and a row of term numbers and weights for
-    each document."""
-    docs = materialize(distinct_documents(incidents), "simindex-docs")
-    tc = term_counts(docs)
-    vocab = materialize(vocabulary(docs, tc), "simindex-vocab")
-    vectors = tfidf(tc, numbered(vocab)).groupBy("doc_id").agg(
-        F.collect_list(F.struct("no", "w")).alias("v")).join(docs.select("doc_id", "top_id"), "doc_id")
-    vectors = materialize(vectors.select("doc_id", "top_id", F.transform("v", lambda x: x["no"]).alias("no"),
-                                         F.transform("v", lambda x: x["w"]).alias("w")), "simindex-vectors")
-    return {"docs": docs, "vocab": vocab, "vectors": vectors}
-
-
 def numbered(vocab: DataFrame) -> DataFrame:
-    """The vocabulary with term numbers 0, 1, ... (a window over at most ``max_features`` rows)."""
-    return vocab.withColumn("no", F.row_number().over(Window.orderBy("term")) - 1)
+    """The vocabulary with a number for each term (its own hash, so that no order over all terms is needed)."""
+    return vocab.withColumn("no", F.xxhash64("term"))
 
 
-QUERY_BLOCK = 256   # query documents that are scored together
+BLOCK = 256          # documents of a block
+SUPER = 256          # blocks whose highest weights are kept in one row
+CHUNK = 512          # queries that meet a block or its highest weights together
+FIRST = 8            # blocks that each query opens before it has a threshold
+SLACK = 2e-9         # scores are ranked at 1e-9; bounds give way by more
+BLOCK_SCHEMA = ("block long, h1 array<long>, h2 array<long>, top array<long>, term array<long>, high array<double>, "
+                "first array<int>, doc array<int>, w array<double>")
 
 
-def best_documents(vectors: DataFrame, queries: DataFrame, terms: int, k: int) -> DataFrame:
-    """The ``k`` best documents of each query: (query_doc, doc_id, top_id, score), exact.
+def document_vectors(docs: DataFrame, tc: DataFrame, vocab: DataFrame) -> tuple[DataFrame, Callable]:
+    """(documents in the order of their texts, a function of their batches that gives (doc_id, top_id, v)).
 
-    ``queries`` is (query_doc, no, w).  A block of queries becomes a dense matrix (terms x block, a
-    size that does not depend on the corpus) that goes to every task; a batch of documents is
-    multiplied with it, and each batch passes on its own ``k`` best, so nothing of the size of
-    documents x queries is ever written.  Ranks go by the score at 1e-9, then the larger top_id.
+    With a vocabulary of checked size the function weighs a document's own terms, so that only the documents'
+    rows are moved; else weights come from joins and the function has nothing to do.
+    """
+    few = vocab.limit(MAX_BROADCAST + 1).toPandas()
+    if len(few) > MAX_BROADCAST:
+        weights = tfidf(tc, numbered(vocab)).groupBy("doc_id").agg(F.collect_list(F.struct("no", "w")).alias("v"))
+        rows = materialize(weights.join(docs.select("doc_id", "top_id", "doc"), "doc_id"), "simindex-vectors")
+        return rows.repartitionByRange("doc").sortWithinPartitions("doc").select("doc_id", "top_id", "v"), iter
+    number = numbered(vocab).select("term", "no").toPandas().set_index("term")["no"]
+    shared = docs.sparkSession.sparkContext.broadcast((few["term"].tolist(), few["idf"].to_numpy(), number.loc[few["term"]].to_numpy()))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, idf, no = shared.value
+        known = pa.array(term, pa.string())
+        for b in batches:
+            lists = b.column(2)
+            at = pc.index_in(lists.flatten(), value_set=known)
+            doc = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+            held = np.asarray(at.is_valid())
+            pair, tf = np.unique(doc[held] * len(term) + np.asarray(at.drop_null()), return_counts=True)
+            doc, at = pair // max(len(term), 1), pair % max(len(term), 1)
+            w = (1 + np.log(tf)) * idf[at]
+            w /= np.sqrt(np.bincount(doc, weights=w * w, minlength=b.num_rows))[doc]
+            v = pa.StructArray.from_arrays([pa.array(no[at]), pa.array(w)], names=["no", "w"])
+            cuts = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(cuts, v)], names=["doc_id", "top_id", "v"])
+
+    rows = (docs.select("doc_id", "top_id", "doc").repartitionByRange("doc").sortWithinPartitions("doc")
+            .select("doc_id", "top_id", tokens(F.col("doc")).alias("_toks")).select("doc_id", "top_id", with_bigrams(F.col("_toks")).alias("terms")))
+    return rows, weigh
+
+
+def posting_blocks(laid: DataFrame, weigh: Callable) -> DataFrame:
+    """Blocks of up to ``BLOCK`` documents with their posting lists.
+
+    Documents come in the order of their texts (``document_vectors``), so that
+    alike documents share a block and the highest weights of its lists say much about it.
+    A row holds the documents' keys, the block's terms, each term's highest weight, and its list (documents'
+    places in the block and weights) between ``first`` and the next one.
     """
-    spark, out = vectors.sparkSession, None
-    kind = vectors.schema["doc_id"].dataType.simpleString()
-    schema = f"query_doc string, doc_id {kind}, top_id long, score double"
-    names = [r["query_doc"] for r in queries.select("query_doc").distinct().orderBy("query_doc").toLocalIterator()]
-    for lo in range(0, len(names), QUERY_BLOCK):
-        block = names[lo: lo + QUERY_BLOCK]
-        at = {name: i for i, name in enumerate(block)}
-        matrix = np.zeros((terms, len(block)))
-        for r in queries.filter(F.col("query_doc").between(block[0], block[-1])).toLocalIterator():
-            matrix[r["no"], at[r["query_doc"]]] = r["w"]
-        shared = spark.sparkContext.broadcast((block, matrix))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, matrix = shared.value
-            for b in batches:
-                no = b.column(2)
-                start = np.asarray(no.offsets)[:-1] - no.offsets[0].as_py()
-                full = np.flatnonzero(np.diff(np.asarray(no.offsets)))
-                scores = np.zeros((b.num_rows, len(block)))
-                if len(full):
-                    parts = matrix[np.asarray(no.flatten())] * np.asarray(b.column(3).flatten())[:, None]
-                    scores[full] = np.add.reduceat(parts, start[full], axis=0)
-                top = np.asarray(b.column(1))
-                for j, name in enumerate(block):
-                    some = np.flatnonzero(scores[:, j] > 0)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held = TaskContext.get().partitionId(), 0, []
+        for b in weigh(batches):
+            held.append(b)
+            while sum(x.num_rows for x in held) >= BLOCK:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                yield block(rows.slice(0, BLOCK), (part << 32) + made)
+                made += 1
+                held = rows.slice(BLOCK).to_batches()
+        if sum(x.num_rows for x in held):
+            yield block(pa.Table.from_batches(held).combine_chunks(), (part << 32) + made)
+
+    def block(rows: pa.Table, number: int) -> pa.RecordBatch:
+        key, lists = rows.column("doc_id").combine_chunks(), rows.column("v").combine_chunks()
+        if isinstance(key, pa.ChunkedArray):
+            key, lists = pa.concat_arrays(key.chunks), pa.concat_arrays(lists.chunks)
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
+        term, w = np.asarray(flat.field("no")), np.asarray(flat.field("w"))
+        order = np.lexsort((doc, term))
+        doc, term, w = doc[order], term[order], w[order]
+        first = np.flatnonzero(np.diff(term, prepend=term[:1] - 1)) if len(term) else np.zeros(0, dtype=np.int64)
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), one(key.field("h1").to_numpy(), pa.int64()), one(key.field("h2").to_numpy(), pa.int64()),
+             one(rows.column("top_id").to_numpy(), pa.int64()), one(term[first], pa.int64()),
+             one(np.maximum.reduceat(w, first) if len(first) else w, pa.float64()), one(first.astype(np.int32), pa.int32()),
+             one(doc.astype(np.int32), pa.int32()), one(w, pa.float64())], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
+
+    return laid.mapInArrow(pack, BLOCK_SCHEMA)
+
+
+def block_bounds(blocks: DataFrame) -> DataFrame:
+    """(super, block[], first[], term[], high[]): the highest weights of up to ``SUPER`` blocks in one row."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held = TaskContext.get().partitionId(), 0, []
+
+        def row() -> pa.RecordBatch:
+            start = np.cumsum([0, *[len(t) for _, t, _ in held]])[:-1]
+            one = lambda x, kind: pa.array([x], pa.list_(kind))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + made]), one([n for n, _, _ in held], pa.int64()), one(start, pa.int32()),
+                 one(np.concatenate([t for _, t, _ in held]), pa.int64()), one(np.concatenate([h for _, _, h in held]), pa.float64())],
+                names=["super", "block", "first", "term", "high"])
+
+        for b in batches:
+            for n, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if len(t):
+                    held.append((n, t.values.to_numpy(), h.values.to_numpy()))
+                if len(held) == SUPER:
+                    yield row()
+                    made, held = made + 1, []
+        if held:
+            yield row()
+
+    return blocks.select("block", "term", "high").mapInArrow(
+        pack, "super long, block array<long>, first array<int>, term array<long>, high array<double>")
+
+
+def build_index(incidents: DataFrame) -> dict[str, DataFrame]:
+    """The search index, built once and written to the shared folder: distinct documents (with
+    multiplicity and largest id), the vocabulary, blocks of posting lists, and the blocks' highest weights."""
+    docs = materialize(distinct_documents(incidents), "simindex-docs")
+    tc = term_counts(docs)
+    vocab = materialize(vocabulary(docs, tc), "simindex-vocab")
+    blocks = materialize(posting_blocks(*document_vectors(docs, tc, vocab)), "simindex-blocks")
+    return {"docs": docs, "vocab": vocab, "blocks": blocks, "bounds": materialize(block_bounds(blocks), "simindex-bounds")}
+
+
+class Chunk:
+    """Some queries as one matrix over a list of terms."""
+
+    def __init__(self, queries: list[dict]) -> None:
+        self.no = np.array([q["q"] for q in queries], dtype=np.int64)
+        self.least = np.array([q["least"] for q in queries])
+        self.term = np.concatenate([np.array([x["no"] for x in q["v"]], dtype=np.int64) for q in queries])
+        self.w = np.concatenate([np.array([x["w"] for x in q["v"]]) for q in queries])
+        self.at = np.repeat(np.arange(len(queries)), [len(q["v"]) for q in queries])
+
+    def matrix(self, terms: np.ndarray) -> np.ndarray:
+        """Weights (term, query) for the given sorted terms."""
+        out = np.zeros((len(terms), len(self.no)))
+        if len(terms):
+            at = np.minimum(np.searchsorted(terms, self.term), len(terms) - 1)
+            same = terms[at] == self.term
+            out[at[same], self.at[same]] = self.w[same]
+        return out
+
+
+def bounded_blocks(bounds: DataFrame, chunks: DataFrame, number: int, most: int | None) -> DataFrame:
+    """(q, block, bound) of the blocks that may hold a score of at least each query's ``least``; with ``most``, only that many
+    of each row of ``bounds``, the highest ones.  Each chunk of queries meets each row of highest weights once."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                chunk, term = Chunk(r["queries"]), np.array(r["term"], dtype=np.int64)
+                every, place = np.unique(term, return_inverse=True)
+                per_list = chunk.matrix(every)[place] * np.array(r["high"])[:, None]
+                bound = np.add.reduceat(per_list, np.array(r["first"]), axis=0)          # (block, query)
+                good = (bound > 0) & (bound >= chunk.least - SLACK)
+                if most is not None and len(bound) > most:
+                    cut = -np.partition(-bound, most - 1, axis=0)[most - 1]
+                    good &= bound >= cut
+                at, q = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.no[q]), pa.array(np.array(r["block"], dtype=np.int64)[at]), pa.array(bound[at, q])],
+                                                 names=["q", "block", "bound"])
+
+    rows = bounds.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+    return rows.join(chunks, "chunk").select("block", "first", "term", "high", "queries").mapInArrow(judge, "q long, block long, bound double")
+
+
+def opened(blocks: DataFrame, pairs: DataFrame, queries: DataFrame, number: int, k: int) -> DataFrame:
+    """(q, h1, h2, top_id, score): of every (q, block) pair, the block's ``k`` best documents with a score of at least ``least``."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                of = lambda c, r=r: r[c].values.to_numpy(zero_copy_only=False)
+                chunk, doc, first = Chunk(r["queries"].as_py()), of("doc"), of("first")
+                dense = np.zeros((len(of("top")), len(first)))
+                dense[doc, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))] = of("w")
+                scores, top = dense @ chunk.matrix(of("term")), of("top")
+                for j, q in enumerate(chunk.no):
+                    some = np.flatnonzero((scores[:, j] > 0) & (scores[:, j] >= chunk.least[j] - SLACK))
                     some = some[np.lexsort((-top[some], -np.rint(scores[some, j] * 1e9)))][:k]
                     if len(some):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * len(some)), b.column(0).take(pa.array(some)), pa.array(top[some]), pa.array(scores[some, j])],
-                            names=["query_doc", "doc_id", "top_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q)), pa.array(of("h1")[some]), pa.array(of("h2")[some]),
+                                                          pa.array(top[some]), pa.array(scores[some, j])], names=["q", "h1", "h2", "top_id", "score"])
 
-        found = vectors.select("doc_id", "top_id", "no", "w").mapInArrow(score, schema)
-        out = found if out is None else out.union(found)
-    out = out if out is not None else spark.createDataFrame([], schema)
-    ranked = out.withColumn("skey", round_even("score", 9))
-    return top_k(ranked, ["query_doc"], [F.desc("skey"), F.desc("top_id")], k, "top_id").drop("rank")
+    asked = (pairs.select("q", "block").join(queries, "q").groupBy("block", F.pmod("q", F.lit(number)).alias("_some"))
+             .agg(F.collect_list(F.struct("q", "least", "v")).alias("queries")).drop("_some"))          # about CHUNK queries a row
+    return blocks.join(asked, "block").drop("high").mapInArrow(score, "q long, h1 long, h2 long, top_id long, score double")
+
+
+def best_documents(blocks: DataFrame, bounds: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best documents of each query: (query_doc, doc_id, top_id, score, skey), exact.
+
+    ``queries`` is (query_doc, no, w).  The sum of a query's weights times a block's highest ones bounds all scores in
+    the block.  First each query opens its ``FIRST`` highest blocks; its k-th best score there is its
+    threshold, and the second round opens every other block whose bound reaches that.  All
+    queries go together, as rows.  Ranks go by the score at 1e-9, then the larger top_id.
+    """
+    rows = queries.groupBy("query_doc").agg(F.collect_list(F.struct("no", "w")).alias("v"))
+    rows = materialize(rows.withColumn("q", F.monotonically_increasing_id()), "simquery-rows")
+    number = max(1, -(-rows.count() // CHUNK))
+    order = [F.desc("skey"), F.desc("top_id")]
+
+    def together(q: DataFrame) -> DataFrame:
+        return q.groupBy(F.pmod(F.xxhash64("q"), F.lit(number)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("q", "least", "v")).alias("queries"))
+
+    start = rows.select("q", F.lit(0.0).alias("least"), "v")
+    highest = top_k(bounded_blocks(bounds, together(start), number, FIRST), ["q"], [F.desc("bound"), F.asc("block")], FIRST, "block")
+    first = materialize(highest.select("q", "block"), "simquery-first-blocks")
+    seen = opened(blocks, first, start, number, k).withColumn("skey", round_even("score", 9))
+    seen = materialize(top_k(seen, ["q"], order, k, "top_id"), "simquery-first")
+    least = seen.filter(F.col("rank") == k).select("q", F.col("skey").alias("least"))
+    asked = materialize(rows.select("q", "v").join(least, "q", "left").withColumn("least", F.coalesce("least", F.lit(0.0))), "simquery-asked")
+    more = bounded_blocks(bounds, together(asked), number, None).join(first, ["q", "block"], "left_anti")
+    more = opened(blocks, more, asked, number, k).withColumn("skey", round_even("score", 9))
+    best = top_k(seen.drop("rank").unionByName(more), ["q"], order, k, "top_id").drop("rank")
+    return (best.join(rows.select("q", "query_doc"), "q")
+            .select("query_doc", F.struct("h1", "h2").alias("doc_id"), "top_id", "score", "skey"))
 
 
 def similar_incidents(incidents: DataFrame, queries: DataFrame, k: int = 10,
@@ -190,10 +347,10 @@ def similar_incidents(incidents: DataFrame, queries: DataFrame, k: int = 10,
     Output: query_doc, rank, incident_id, similarity_score, similarity_pct and the incidents' ``columns``.
     """
     index = index or build_index(incidents)
-    vocab = materialize(numbered(index["vocab"]), "simquery-vocab")
+    vocab = numbered(index["vocab"])
     qdocs = queries.select(pseudo_document(queries).alias("query_doc")).distinct()
     qvec = materialize(tfidf(term_counts(qdocs, "query_doc", ("query_doc",)), vocab, key="query_doc"), "simquery-vectors")
-    best_docs = materialize(best_documents(index["vectors"], qvec, vocab.count(), k), "simquery-best-docs")
+    best_docs = materialize(best_documents(index["blocks"], index["bounds"], qvec, k), "simquery-best-docs")
     rows = incidents.select(*dict.fromkeys(["incident_id", *(columns or [])]), doc_key(pseudo_document(incidents)).alias("doc_id"))
     # k documents of each query: their number is checked before they go to every task
     wanted = best_docs.select("doc_id").distinct()

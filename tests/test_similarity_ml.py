@@ -1,5 +1,7 @@
 """Similar incidents and classifier quality bands."""
 
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from tessera.operators import ml, similarity
@@ -74,12 +76,49 @@ def test_whole_rows_and_any_block_of_queries(spark, monkeypatch):
     corpus, queries = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(ROWS, SCHEMA)
     want = sorted(map(tuple, similarity.similar_incidents(corpus, queries, 4, columns=["gname", "iyear"]).collect()))
     assert {len(r) for r in want} == {7} and len(want) == 12
-    monkeypatch.setattr(similarity, "QUERY_BLOCK", 1)
+    for name in ("CHUNK", "BLOCK", "SUPER", "FIRST"):
+        monkeypatch.setattr(similarity, name, 1)
     assert sorted(map(tuple, similarity.similar_incidents(corpus, queries, 4, columns=["gname", "iyear"]).collect())) == want
     assert similarity.vocabulary(similarity.distinct_documents(corpus), similarity.term_counts(similarity.distinct_documents(corpus)),
                                  max_features=None).count() > 10
 
 
+def test_blocks_are_skipped(spark, small, monkeypatch):
+    """Every pair's score against plain numpy; few blocks are opened; a large vocabulary goes by joins."""
+    from tessera.plans.q_similarity import _queries
+    inc = spark.table("incidents")
+    docs = similarity.distinct_documents(inc)
+    tc = similarity.term_counts(docs)
+    vocab = similarity.vocabulary(docs, tc)
+    weights, asked = defaultdict(dict), defaultdict(dict)
+    for r in similarity.tfidf(tc, vocab).collect():
+        weights[r.doc_id][r.term] = r.w
+    q = _queries(spark)
+    qvec = similarity.tfidf(similarity.term_counts(q.select(similarity.pseudo_document(q).alias("query_doc")).distinct(), "query_doc", ("query_doc",)),
+                            similarity.numbered(vocab), key="query_doc")
+    number = {r.no: r.term for r in similarity.numbered(vocab).collect()}
+    for r in qvec.collect():
+        asked[r.query_doc][number[r.no]] = r.w
+    top = {r.doc_id: r.top_id for r in docs.collect()}
+    want = set()
+    for name, v in asked.items():
+        scores = [(round(sum(w * d.get(t, 0) for t, w in v.items()), 9), top[i]) for i, d in weights.items()]
+        want |= {(name, t, s) for s, t in sorted((x for x in scores if x[0] > 0), reverse=True)[:10]}
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "FIRST", 2)
+    pairs = []
+    real = similarity.opened
+    monkeypatch.setattr(similarity, "opened", lambda b, p, *rest: pairs.append(p.count()) or real(b, p, *rest))
+    for most in (similarity.MAX_BROADCAST, 10):
+        monkeypatch.setattr(similarity, "MAX_BROADCAST", most)
+        pairs.clear()
+        index = similarity.build_index(inc)
+        got = similarity.best_documents(index["blocks"], index["bounds"], qvec, 10).collect()
+        assert {(r.query_doc, r.top_id, round(r.skey, 9)) for r in got} == want and len(got) == len(want)
+        blocks = index["blocks"].count()
+        assert blocks > 20 and len(pairs) == 2 and sum(pairs) < blocks * len(asked) / 2
+
+
 def test_cross_validation_threat_and_contributions(spark, small):
     data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
     rows = {r["fold"]: r["accuracy"] for r in ml.cross_validate(data, 3, num_trees=5).collect()}
