@@ -10,7 +10,8 @@ Plan (see geo.py for the cell grid):
    main size cut for geocoded data; all later work is on distinct points.
 2. Fine cells (side chord/sqrt 3): a cell whose weight reaches min_samples is all
    core with no pair work at all — the hot-spot-of-a-third-of-the-rows case.
-3. Neighbour counts only for points of light cells: a cell range join + exact test.
+3. Neighbour counts only for points of light cells: a cell range join + exact test where cells hold few points,
+   counts of halved boxes (``box_counts``) where they hold many.
 4. Core cells are graph nodes (all core points of a cell are mutual neighbours);
    an edge joins two cells holding a core pair within eps, found by halving boxes and not
    by pairing points (``cell_edges``).  Components by
@@ -48,7 +49,7 @@ def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str
     pts = materialize(geo.with_cells(pts, eps_km, True), "dbscan-distinct")
 
     # 2. cell weights; heavy cells are all core
-    cells = pts.groupBy(*keys, "_cx", "_cy", "_cz").agg(F.sum("w").alias("cell_w"))
+    cells = pts.groupBy(*keys, "_cx", "_cy", "_cz").agg(F.sum("w").alias("cell_w"), F.count(F.lit(1)).alias("cell_n"))
     heavy = cells.filter(F.col("cell_w") >= min_samples).select(*keys, "_cx", "_cy", "_cz")
 
     adj = geo.cell_adjacency(cells, cells, geo.reach(True), keys)
@@ -57,16 +58,21 @@ def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str
                        F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"),
                        F.col("w").alias("qw"))
 
-    # 3. neighbour pairs for points in light cells (exact haversine test)
+    # 3. neighbour counts of points in light cells: pairs with cells of few points, boxes of the others
     light_pts = pts.join(heavy, [*keys, "_cx", "_cy", "_cz"], "left_anti")
-    pairs = (light_pts.select(*keys, "_cx", "_cy", "_cz", "pid", "latitude", "longitude")
-             .join(adj, [*keys, "_cx", "_cy", "_cz"])
+    near = light_pts.select(*keys, "_cx", "_cy", "_cz", "pid", "latitude", "longitude").join(adj, [*keys, "_cx", "_cy", "_cz"])
+    large = [F.col(c).alias(n) for c, n in zip(("_cx", "_cy", "_cz"), ("_nx", "_ny", "_nz"), strict=True)]
+    large = cells.filter(F.col("cell_n") > FEW).select(*keys, *large)
+    pairs = (near.join(large, [*keys, "_nx", "_ny", "_nz"], "left_anti")
              .join(other, [*keys, "_nx", "_ny", "_nz"])
              .filter(haversine_km("latitude", "longitude", "q_lat", "q_lon") <= eps_km)
              .select(*keys, "pid", "qid", "qw"))
     pairs = materialize(pairs, "dbscan-light-pairs")
-    light_core = (pairs.groupBy(*keys, "pid").agg(F.sum("qw").alias("n"))
-                  .filter(F.col("n") >= min_samples).select(*keys, "pid"))
+    counts = pairs.groupBy(*keys, "pid").agg(F.sum("qw").alias("n"))
+    beside = near.drop("_cx", "_cy", "_cz").join(large, [*keys, "_nx", "_ny", "_nz"], "left_semi")
+    if not large.isEmpty() and not beside.isEmpty():
+        counts, pairs = box_counts(beside, other.join(large, [*keys, "_nx", "_ny", "_nz"], "left_semi"), counts, pairs, eps_km, min_samples, keys)
+    light_core = counts.filter(F.col("n") >= min_samples).select(*keys, "pid")
     heavy_core = pts.join(heavy, [*keys, "_cx", "_cy", "_cz"], "left_semi").select(*keys, "pid")
     core_ids = light_core.unionByName(heavy_core)
     core = pts.join(core_ids, [*keys, "pid"], "left_semi").select(
@@ -98,6 +104,61 @@ def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str
 
 
 POINT_TESTS = 64   # point pairs of two boxes that are tested one by one
+FEW = 64           # points of a cell, and
+OPENED = 16        # of a smaller box, that are tested one by one against a light point
+
+
+def box_counts(beside: DataFrame, points: DataFrame, counts: DataFrame, pairs: DataFrame, eps_km: float, min_samples: int,
+               keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Neighbour counts of light points beside cells of many points: (counts, pairs).
+
+    ``beside`` is a row for each light point and such a cell, ``points`` the cells' points.  A cell is a box
+    around its points, halved along each axis from level to level.  A box surely within ``eps_km`` counts whole,
+    a box surely beyond goes, and only boxes on the border are opened: point by point where they hold few, else by their halves.
+    Points that have reached ``min_samples`` stop there, so the work follows the border and not the cells'
+    points.  ``counts`` has every light point's total (at least ``min_samples`` for those that stopped); ``pairs`` gets all
+    neighbours of the points below ``min_samples``, whose boxes hold fewer points than that.
+    """
+    side, chord = geo.cell_side(eps_km, True), chord_for_km(eps_km)
+    x, y, z = unit_xyz("q_lat", "q_lon")
+    pts = materialize(points.withColumns({"x": x, "y": y, "z": z}), "dbscan-large-cells")
+    cell, sub = [*keys, "_nx", "_ny", "_nz"], ["sx", "sy", "sz"]
+
+    def at(level: int) -> DataFrame:
+        return pts.withColumns({"s" + c: F.floor(F.col(c) / (side / 2 ** level)) for c in "xyz"})
+
+    def boxes(level: int) -> DataFrame:
+        ends = [f(c).alias(n + c) for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        return at(level).groupBy(*cell, *sub).agg(F.count(F.lit(1)).alias("n"), F.sum("qw").alias("bw"), *ends)
+
+    px, py, pz = unit_xyz("latitude", "longitude")
+    todo = beside.withColumns({"px": px, "py": py, "pz": pz}).join(boxes(0), cell)
+    far2 = sum(F.pow(F.greatest(F.abs(F.col("p" + c) - F.col("lo" + c)), F.abs(F.col("p" + c) - F.col("hi" + c))), F.lit(2)) for c in "xyz")
+    near2 = sum(F.pow(F.greatest(F.lit(0.0), F.col("lo" + c) - F.col("p" + c), F.col("p" + c) - F.col("hi" + c)), F.lit(2)) for c in "xyz")
+    whole, level = [], 0
+    while True:
+        judged = materialize(todo.filter(near2 <= chord ** 2 * (1 + 1e-9)).withColumn("_inside", far2 <= chord ** 2 * (1 - 1e-9)), "dbscan-point-boxes")
+        inside = judged.filter("_inside").select(*keys, "pid", *cell[len(keys):], *sub, "bw")
+        whole.append((level, inside))
+        tested = (judged.filter(~F.col("_inside") & (F.col("n") <= OPENED)).select(*cell, *sub, "pid", "latitude", "longitude")
+                  .join(at(level).select(*cell, *sub, "qid", "qw", "q_lat", "q_lon"), [*cell, *sub])
+                  .filter(haversine_km("latitude", "longitude", "q_lat", "q_lon") <= eps_km).select(*keys, "pid", "qid", "qw"))
+        tested = materialize(tested, "dbscan-border-pairs")
+        pairs = pairs.unionByName(tested)
+        more = inside.select(*keys, "pid", F.col("bw").alias("n")).unionByName(tested.select(*keys, "pid", F.col("qw").alias("n")))
+        counts = materialize(counts.unionByName(more).groupBy(*keys, "pid").agg(F.sum("n").alias("n")), "dbscan-light-counts")
+        done = counts.filter(F.col("n") >= min_samples).select(*keys, "pid")
+        rest = judged.filter(~F.col("_inside") & (F.col("n") > OPENED)).join(done, [*keys, "pid"], "left_anti")
+        if rest.isEmpty():
+            break
+        level += 1
+        halves = boxes(level).withColumns({f"u{c}": F.floor(F.col("s" + c) / 2) for c in "xyz"})
+        up = rest.select(*cell, "pid", "latitude", "longitude", "px", "py", "pz", *[F.col("s" + c).alias("u" + c) for c in "xyz"])
+        todo = up.join(halves, [*cell, "ux", "uy", "uz"]).drop("ux", "uy", "uz")
+    for lev, inside in whole:                       # neighbours of points that stay below: fewer than min_samples each
+        below = inside.join(done, [*keys, "pid"], "left_anti")
+        pairs = pairs.unionByName(below.drop("bw").join(at(lev).select(*cell, *sub, "qid", "qw"), [*cell, *sub]).select(*keys, "pid", "qid", "qw"))
+    return counts, pairs
 
 
 def cell_edges(core: DataFrame, nodes: DataFrame, adj: DataFrame, eps_km: float, keys: Sequence[str]) -> DataFrame:

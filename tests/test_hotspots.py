@@ -188,3 +188,49 @@ def test_separated_rings_need_the_finest_boxes(spark):
     for eps, clusters in ((10.0, 2), (10.4, 1)):
         got = {r["incident_id"]: r["cluster"] for r in cluster.dbscan(df, eps, 5).collect()}
         assert [got[i] for i, _, _ in rows] == brute_dbscan([r[1:] for r in rows], eps, 5) and len(set(got.values())) == clusters
+
+
+def test_light_points_beside_a_dense_cell(spark, monkeypatch):
+    """15 light points around a cell of 100,000 points: only boxes on the border are opened."""
+    rng = np.random.default_rng(12)
+    eps = 100.0
+    dense = rng.uniform([10.0, 20.0], [10.4, 20.4], (100_000, 2))
+    around = [(10.2 + 1.05 * np.cos(a), 20.2 + 1.05 * np.sin(a)) for a in np.linspace(0, 6.2, 15)]
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate([*around, *dense])]
+    looked = []
+    real = cluster.materialize
+
+    def count(df, name):
+        out = real(df, name)
+        if name in ("dbscan-light-pairs", "dbscan-point-boxes", "dbscan-border-pairs"):
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "materialize", count)
+    df = spark.createDataFrame(rows, "incident_id long, latitude double, longitude double")
+    neighbours = [int((brute_km(r[1], r[2], dense) <= eps).sum()) for r in rows[:15]]
+    assert 0 < sum(n > 0 for n in neighbours)
+    least = sorted(neighbours)[7] + 1                     # some light points reach it, some don't
+    lab = {r["incident_id"]: r["cluster"] for r in cluster.dbscan(df, eps, least).collect()}
+    assert {lab[i] for i in range(15, len(rows))} == {0}
+    assert [lab[i] for i in range(15)] == [0 if n else -1 for n in neighbours]
+    assert 0 < sum(looked) < 100_000
+
+
+def brute_km(lat, lon, points):
+    a, b = np.radians(points[:, 0]), np.radians(points[:, 1])
+    h = np.sin((a - np.radians(lat)) / 2) ** 2 + np.cos(a) * np.cos(np.radians(lat)) * np.sin((b - np.radians(lon)) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.sqrt(h))
+
+
+def test_box_counts_match_brute_force(spark, monkeypatch):
+    """Every cell goes by boxes, down to single points."""
+    monkeypatch.setattr(cluster, "FEW", 0)
+    monkeypatch.setattr(cluster, "OPENED", 1)
+    rng = np.random.default_rng(5)
+    for eps, least, spread in ((20.0, 6, 1.0), (30.0, 40, 0.6)):
+        pts = np.round(rng.normal([45.0, 7.0], spread, (300, 2)), 4)
+        rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(pts)]
+        lab = {r["incident_id"]: r["cluster"] for r in cluster.dbscan(spark.createDataFrame(rows, "incident_id long, latitude double, longitude double"),
+                                                                      eps, least).collect()}
+        assert [lab[i] for i in range(300)] == brute_dbscan([r[1:] for r in rows], eps, least)
