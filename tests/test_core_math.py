@@ -82,3 +82,38 @@ def test_prefix_filter_is_exact(spark, small):
                     want.add((a, b))
         got = {(r["g1"], r["g2"]) for r in network.similarity_edges(prof, t).collect()}
         assert got == want, t
+
+
+def test_one_feature_of_all_groups(spark, monkeypatch):
+    """20,000 groups share a heavy feature: its postings go as pairs of small parts, far angles never meet."""
+    rows = []
+    for i in range(20_000):
+        far = i % 2                                    # half the groups hold little of it: their angle is far off
+        rows += [(f"g{i:05d}", "all", 0.3 if far else 0.85), (f"g{i:05d}", f"own{i % 2}{i // 2 % 2500:04d}", 1.0 if far else 0.5268)]
+    prof = spark.createDataFrame(rows, "gname string, feature string, weight double").repartition(8)
+    held = {}
+    real = network.materialize
+    monkeypatch.setattr(network, "materialize", lambda df, name: held.setdefault(name, real(df, name)))
+    edges = network.similarity_edges(prof, 0.8)
+    got = edges.collect()
+    want = {(f"g{a:05d}", f"g{b:05d}") for a in range(20_000) for b in range(a + 5000, 20_000, 5000)}
+    assert {(r["g1"], r["g2"]) for r in got} == want and len(got) == len(want)
+    parts = held["network-parts"].selectExpr("frank", "angle", "size(groups) AS n").collect()
+    assert max(r["n"] for r in parts) < 2 * network.PART
+    assert len({r["angle"] for r in parts if r["n"] > 5}) >= 1
+
+
+def test_angles_of_postings_are_cut(spark):
+    """Groups on one feature at all angles, parts of a few groups, against brute force."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vec = {f"g{i:03d}": {"all": float(rng.random()) + 0.01, f"f{i % 7}": float(rng.random()), f"h{i % 11}": float(rng.random())} for i in range(150)}
+    prof = spark.createDataFrame([(g, f, w) for g, v in vec.items() for f, w in v.items()], "gname string, feature string, weight double")
+    norm = {g: math.sqrt(sum(w * w for w in v.values())) for g, v in vec.items()}
+    for t, part in ((0.2, 256), (0.9, 3), (0.99, 256), (1.0, 4)):
+        want = {(a, b) for a in vec for b in vec if a < b and sum(w * vec[b].get(f, 0) for f, w in vec[a].items()) / norm[a] / norm[b] >= t}
+        network.PART, before = part, network.PART
+        try:
+            assert {(r["g1"], r["g2"]) for r in network.similarity_edges(prof, t).collect()} == want
+        finally:
+            network.PART = before
