@@ -1,21 +1,24 @@
 """Exact row positions in a total order without a single-partition window.
 
-position = (rows of earlier days) + (rows of earlier id buckets that day) + (rank in
-bucket).  Windows run over the day table (one row per partition-key and day) and
-over the per-day bucket table; the only row-grain window is inside one id bucket
-(at most ``BUCKET`` ids), so a hot day or a hot class never lands in one task.
+Rows are sorted once by ranges of the whole order (sampled, so that ranges hold about the same
+number of rows whatever the values are) and written with their place in their range.
+position = (rows of earlier ranges) + (place in the range); within partition columns, less the first
+position of the partition.  The only window runs over one row for each range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-BUCKET = 1 << 16
+RANGE_BITS = 33        # monotonically_increasing_id: the range above, the place in it below
+PARTS_SENT = 100_000   # partitions whose first positions are broadcast
 SALTS = 16
 
 
@@ -24,25 +27,22 @@ def ordered_position(df: DataFrame, day_cols: Sequence[str], id_col: str,
     """Attach the 0-based position of each row in order (day_cols..., id_col) within
     ``partition_cols`` (ids must be unique within a partition).
 
-    The input is written once and read from there.  The width of an id bucket follows from the
-    ids' range and number, so sparse ids fill their buckets as dense ones do.
+    The sorted input is written once and read from there.  Neither a hot day, a hot partition nor an id
+    far from all others makes a range large: the ranges split the whole order.
     """
-    part, day = list(partition_cols), list(day_cols)
-    rows = materialize(df, "ordered-rows")
-    ids = rows.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count(id_col).alias("n")).first()
-    width = max(1, (int(ids["hi"] or 0) - int(ids["lo"] or 0) + 1) * BUCKET // max(ids["n"], 1))
-    rows = rows.withColumn("_bucket", F.floor((F.col(id_col) - F.lit(int(ids["lo"] or 0))) / width))
-    running = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda n, keys, order: F.coalesce(F.sum(n).over(running(keys, order)), F.lit(0))
-    buckets = rows.groupBy(*part, *day, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    offset = buckets.withColumn("_off", before("_bn", [*part, *day], ["_bucket"]))
-    if day:
-        days = buckets.groupBy(*part, *day).agg(F.sum("_bn").alias("_dn"))
-        days = days.withColumn("_doff", before("_dn", part, day)).drop("_dn")
-        offset = offset.join(days, [*part, *day]).withColumn("_off", F.col("_off") + F.col("_doff")).drop("_doff")
-    rank = F.row_number().over(Window.partitionBy(*part, *day, "_bucket").orderBy(id_col))
-    return (rows.withColumn("_r", rank).join(offset.drop("_bn"), [*part, *day, "_bucket"])
-            .withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("long")).drop("_bucket", "_off", "_r"))
+    part, order = list(partition_cols), [*partition_cols, *day_cols, id_col]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(placed, "ordered-rows").withColumns({"_range": F.shiftright("_at", RANGE_BITS), "_place": F.col("_at").bitwiseAND((1 << RANGE_BITS) - 1)})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # a row for each range: as many as the sort has tasks
+    rows = rows.join(F.broadcast(ranges.drop("_n")), "_range").withColumn(out, (F.col("_off") + F.col("_place")).cast("long")).drop("_at", "_range", "_place", "_off")
+    if not part:
+        return rows
+    first = materialize(rows.groupBy(*part).agg(F.min(out).alias("_first")), "ordered-parts").withColumnsRenamed({c: f"_of_{c}" for c in part})
+    first = F.broadcast(first) if first.limit(PARTS_SENT + 1).count() <= PARTS_SENT else first
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part])
+    return rows.join(first, same).withColumn(out, F.col(out) - F.col("_first")).drop("_first", *[f"_of_{c}" for c in part])
 
 
 def grouped_median(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

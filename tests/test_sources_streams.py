@@ -70,6 +70,29 @@ def test_positions_of_sparse_ids(spark):
     assert ordered_position(df.limit(0), ["day"], "id").count() == 0
 
 
+def test_ranges_stay_small(spark, monkeypatch):
+    """An id far from all others, a hot day and a hot class: ranges hold about the same number of rows."""
+    from tessera.functions import position
+    ids = [*range(0, 40_000, 2), 9 * 10 ** 18]
+    rows = [(i, 0 if i % 10 else i % 7, None if i % 9 == 0 else "hot" if i % 100 else f"c{i % 3}") for i in ids]
+    df = spark.createDataFrame(rows, "id long, day int, class string").repartition(8)
+    held = []
+    real = position.materialize
+    monkeypatch.setattr(position, "materialize", lambda d, name: held.append((name, real(d, name))) or held[-1][1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # small ranges would be joined
+    try:
+        for day, part in (([], []), (["day"], []), (["day"], ["class"])):
+            got = {r["id"]: r["pos"] for r in ordered_position(df, day, "id", part).collect()}
+            seen = {}
+            for i, d, c in sorted(rows, key=lambda r: ((r[2] or "") if part else "", r[1] if day else 0, r[0])):
+                seen[c if part else 0] = seen.get(c if part else 0, -1) + 1
+                assert got[i] == seen[c if part else 0]
+        sizes = [[r["count"] for r in t.groupBy(F.shiftright("_at", position.RANGE_BITS)).count().collect()] for name, t in held if name == "ordered-rows"]
+        assert len(sizes) == 3 and all(len(s) == 8 and max(s) < 2 * len(ids) / 8 for s in sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_grouped_median(spark):
     rows = [("a", float((i * 37) % 11) / 2, None if i % 4 else -float(i)) for i in range(41)] + [("b", -3.25, 1.0), ("b", 8.5, None), ("c", None, None)]
     got = {r["k"]: (r["x"], r["y"]) for r in grouped_median(spark.createDataFrame(rows, "k string, x double, y double"), "k", ["x", "y"]).collect()}
