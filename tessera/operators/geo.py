@@ -106,6 +106,31 @@ def grid_density(df: DataFrame, cell_deg: float = 1.0) -> DataFrame:
                           "center_lon": (F.col("cell_lon") + 0.5) * cell_deg}))
 
 
+def hex_cells(df: DataFrame, size: float = 1.0, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Attach axial coordinates ``hex_q, hex_r`` of hexagons with a corner at the top and sides of ``size`` degrees.
+
+    The point's fractional cube coordinates (q, r, -q-r) are rounded, and the one that moved
+    farthest is set from the other two.
+    """
+    x, y = F.col(lon) / size, F.col(lat) / size
+    cube = df.withColumns({"_q": x * (math.sqrt(3.0) / 3) - y / 3, "_r": y * (2.0 / 3)}).withColumn("_s", -F.col("_q") - F.col("_r"))
+    near = {c: F.floor(F.col(f"_{c}") + 0.5) for c in "qrs"}
+    cube = cube.withColumns({f"_n{c}": e for c, e in near.items()}).withColumns({f"_d{c}": F.abs(F.col(f"_n{c}") - F.col(f"_{c}")) for c in "qrs"})
+    far_q = (F.col("_dq") > F.col("_dr")) & (F.col("_dq") > F.col("_ds"))
+    far_r = ~far_q & (F.col("_dr") > F.col("_ds"))
+    return cube.withColumns({"hex_q": F.when(far_q, -F.col("_nr") - F.col("_ns")).otherwise(F.col("_nq")),
+                             "hex_r": F.when(far_r, -F.col("_nq") - F.col("_ns")).otherwise(F.col("_nr"))}).drop(*[f"_{k}{c}" for k in ("", "n", "d") for c in "qrs"])
+
+
+def hex_density(df: DataFrame, size: float = 1.0) -> DataFrame:
+    """Incidents and severity per hexagon, with the hexagon's centre."""
+    pts = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    return (hex_cells(pts, size).groupBy("hex_q", "hex_r")
+            .agg(F.count(F.lit(1)).alias("incidents"), round_even(F.sum("tsi"), 6).alias("total_tsi"))
+            .withColumns({"center_lat": round_even(F.col("hex_r") * (1.5 * size), 6),
+                          "center_lon": round_even((F.col("hex_q") + F.col("hex_r") / 2) * (math.sqrt(3.0) * size), 6)}))
+
+
 def peak_cell(df: DataFrame) -> DataFrame:
     """Per country, incidents in its busiest 0.1-degree cell (numpy rounding)."""
     pts = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())

@@ -10,7 +10,10 @@ never tree by tree.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules as R
 from tessera.functions.expr import nonneg
 from tessera.functions.position import ordered_position
-from tessera.session import materialize
+from tessera.session import materialize, scratch_path
 
 CAT_COLS = ["country_txt", "region_txt", "weaptype1_txt", "targtype1_txt", "gname"]
 NUM_COLS = ["iyear", "success", "suicide", "nkill", "nwound"]
@@ -338,3 +341,92 @@ def occlusion_contributions(model: PipelineModel, rows: DataFrame, fills: dict[s
         (F.element_at("base_p", cls) - F.element_at(vector_to_array("probability"), cls)).alias("contribution"))
     w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("contribution")), "feature")
     return contrib.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+# ---- M15: contributions along tree paths ------------------------------------------------
+
+def forest_nodes(model: PipelineModel) -> DataFrame:
+    """The forest as a table: tree, node, class shares, and (inner nodes) feature, threshold or left categories, children."""
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "forest")
+    model.stages[-1].write().overwrite().save(path)
+    n = F.col("nodeData")
+    total = F.aggregate(n["impurityStats"], F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), F.transform(n["impurityStats"], lambda x: x / total).alias("shares"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
+        n["split"]["leftCategoriesOrThreshold"].alias("cut"), n["split"]["numCategories"].alias("categories"))
+
+
+class Forest:
+    """The node table as arrays; all trees' nodes laid end to end."""
+
+    def __init__(self, nodes: pd.DataFrame) -> None:
+        nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
+        size = nodes.groupby("tree").size().to_numpy()
+        self.root = np.cumsum(size) - size
+        at = {(t, n): i for i, (t, n) in enumerate(zip(nodes["tree"], nodes["node"], strict=True))}
+        child = lambda c: np.array([at.get((t, n), -1) for t, n in zip(nodes["tree"], nodes[c], strict=True)])
+        self.share = np.array(nodes["shares"].tolist(), dtype=np.float64)
+        self.inner = (nodes["left"] >= 0).to_numpy()
+        self.left, self.right = child("left"), child("right")
+        self.feature = np.where(self.inner, nodes["feature"], 0).astype(np.int64)
+        self.threshold = np.array([c[0] if len(c) else 0.0 for c in nodes["cut"]])
+        self.listed = {i: np.array(nodes["cut"][i]) for i in np.flatnonzero(self.inner & (nodes["categories"] >= 0).to_numpy())}
+
+    def step(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The next node of every (row, tree); leaves stay."""
+        value = np.take_along_axis(x, self.feature[at], axis=1)
+        left = value <= self.threshold[at]
+        for node, categories in self.listed.items():
+            here = at == node
+            left[here] = np.isin(value[here], categories)
+        return np.where(self.inner[at], np.where(left, self.left[at], self.right[at]), at)
+
+    def explain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class, base share, probability, contribution of each feature) of every row's most probable class."""
+        trees, (n, width) = len(self.root), x.shape
+        start = np.tile(self.root, (n, 1))
+        at = start
+        while not np.array_equal(after := self.step(x, at), at):
+            at = after
+        shares = self.share[at].mean(axis=1)
+        best = shares.argmax(axis=1)
+        contribution, at = np.zeros(n * width), start
+        while not np.array_equal(after := self.step(x, at), at):
+            moved = (self.share[after, best[:, None]] - self.share[at, best[:, None]]) / trees
+            contribution += np.bincount((np.arange(n)[:, None] * width + self.feature[at]).ravel(), weights=np.where(after != at, moved, 0.0).ravel(),
+                                        minlength=n * width)
+            at = after
+        return best, self.share[self.root][:, best].mean(axis=0), shares[np.arange(n), best], contribution.reshape(n, width)
+
+
+def path_contributions(model: PipelineModel, rows: DataFrame, names: list[str] | None = None, id_col: str = "incident_id") -> DataFrame:
+    """(id, prediction, base, probability, contributions): how the predicted class's probability comes about.
+
+    A row walks down every tree; at each split the change of the class's share goes to the split's feature.  The mean
+    share at the roots plus all contributions is the forest's probability, exactly.  The node table goes to the tasks:
+    its size depends on the forest, not on the rows.
+    """
+    names = names or feature_names()
+    shared = rows.sparkSession.sparkContext.broadcast(Forest(forest_nodes(model).toPandas()))
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 1024):
+                part = b.iloc[lo: lo + 1024]
+                best, base, probability, each = shared.value.explain(part[names].to_numpy(np.float64))
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "prediction": best.astype(float), "base": base, "probability": probability,
+                                    "contributions": [dict(zip(names, e.tolist(), strict=True)) for e in each]})
+
+    kind = dict(rows.dtypes)[id_col]
+    return rows.select(id_col, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(
+        explain, f"{id_col} {kind}, prediction double, base double, probability double, contributions map<string, double>")
+
+
+def load_and_explain(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """New rows scored with a saved model, with the contributions to the predicted class: predicted_attack, probability, base, contributions."""
+    model = PipelineModel.load(f"{path}/pipeline")
+    prepared = ordinal_encode(impute(rows, spark.read.parquet(f"{path}/medians")), spark.read.parquet(f"{path}/dictionaries"))
+    names = spark.read.parquet(f"{path}/labels").select(F.col("label").alias("prediction"), F.col("value").alias("predicted_attack"))
+    return path_contributions(model, prepared).join(F.broadcast(names), "prediction", "left").drop("prediction")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import sketch
 from tessera.operators.asof import asof_join
 from tessera.plans.registry import query
+from tessera.session import materialize
 
 SQL: dict[str, tuple[str, str | None]] = {
     # assets are one row for each country, so no incident meets many of them
@@ -27,7 +29,7 @@ ON x.country_txt = y.country""", None),
     "x1_semi_join": ("""
 SELECT incident_id FROM incidents i WHERE EXISTS (SELECT 1 FROM assets a WHERE a.country = i.country_txt)""", None),
     "x1_anti_join": ("""
-SELECT incident_id FROM incidents i WHERE NOT EXISTS (SELECT 1 FROM assets a WHERE a.country = i.country_txt)""", None),
+SELECT incident_id FROM incidents i WHERE NOT EXISTS (SELECT 1 FROM assets a WHERE a.country = i.country_txt AND a.type = 'Port')""", None),
     "x3_rollup": ("""
 SELECT region_txt, attacktype1_txt, count(*) AS n, count(DISTINCT gname) AS groups,
   round(sum(nkill) FILTER (WHERE success = 1), 6) AS kill_success
@@ -102,3 +104,26 @@ def x7_approx_distinct(spark):
     return spark.table("incidents").groupBy("region_txt").agg(
         F.approx_count_distinct("gname", 0.05).alias("approx_groups"),
         F.countDistinct("gname").alias("exact_groups"))
+
+
+SPAN_ERROR = 0.08      # five standard errors of a sketch
+
+
+@query("x7_sketch_spans", oracle="""
+WITH y AS (SELECT DISTINCT iyear FROM incidents),
+s AS (SELECT a.iyear AS from_, b.iyear AS to_ FROM y a JOIN y b ON a.iyear <= b.iyear)
+SELECT region_txt, from_, to_, count(DISTINCT city) AS exact, TRUE AS within FROM incidents i
+JOIN s ON i.iyear BETWEEN s.from_ AND s.to_ WHERE city IS NOT NULL GROUP BY region_txt, from_, to_""")
+def x7_sketch_spans(spark):
+    """Distinct cities per region over every span of years, from stored yearly sketches; exact counts beside them."""
+    inc = spark.table("incidents").select("region_txt", "iyear", "city")
+    years = inc.agg(F.collect_set("iyear").alias("y"))               # a row of all years
+    spans = years.select("y", F.explode("y").alias("from_")).select("from_", F.explode("y").alias("to_")).filter("from_ <= to_")
+    spans = materialize(spans, "spans")
+    store = materialize(sketch.stored_sketches(inc, ["region_txt"], "iyear", "city"), "sketches")
+    united = sketch.distinct_over(store, spans, ["region_txt"], "iyear")
+    days = spans.withColumn("iyear", F.explode(F.sequence("from_", "to_")))
+    exact = (inc.filter("city IS NOT NULL").distinct().join(days, "iyear").groupBy("region_txt", "from_", "to_")
+             .agg(F.countDistinct("city").alias("exact")))
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * SPAN_ERROR
+    return united.join(exact, ["region_txt", "from_", "to_"]).select("region_txt", "from_", "to_", "exact", within.alias("within"))

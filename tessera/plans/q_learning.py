@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import round_even
@@ -278,3 +279,62 @@ def m15_occlusion_contributions(spark):
                    *[F.mode(c, True).alias(c) for c in feats if c.endswith("_code")]).collect()[0].asDict()
     rows = data.filter("not is_train").select("incident_id", *feats)
     return ml.occlusion_contributions(model, rows, {f: fills[f] for f in feats})
+
+
+@query("m15_path_contributions", oracle=f"""WITH {BASE_SQL}
+SELECT incident_id, TRUE AS additive, TRUE AS same_prediction, 10 AS features FROM split WHERE NOT is_train""")
+def m15_path_contributions(spark):
+    """Base plus contributions against the probability that the forest itself gives, for every test row."""
+    data, _, _, model = _attack(spark)
+    rows = data.filter("not is_train").select("incident_id", *ml.feature_names())
+    ours = ml.path_contributions(model, rows)
+    theirs = model.transform(rows).select("incident_id", F.col("prediction").alias("said"), F.array_max(vector_to_array("probability")).alias("p"))
+    total = F.aggregate(F.map_values("contributions"), F.col("base"), lambda a, x: a + x)
+    return ours.join(theirs, "incident_id").select("incident_id", (F.abs(total - F.col("p")) < 1e-9).alias("additive"),
+                                                   (F.col("prediction") == F.col("said")).alias("same_prediction"), F.size("contributions").alias("features"))
+
+
+@query("m7_predictions_known", oracle=f"""WITH {BASE_SQL}
+SELECT incident_id, TRUE AS known FROM split WHERE NOT is_train""")
+def m7_predictions_known(spark):
+    """Every test row has a prediction among the train classes."""
+    data, _, labels, model = _attack(spark)
+    said = model.transform(data.filter("not is_train")).select("incident_id", "prediction")
+    known = F.broadcast(labels.select(F.col("label").alias("prediction"), F.lit(True).alias("known")))
+    return said.join(known, "prediction", "left").select("incident_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("m9_matrix_support", oracle=f"""WITH {BASE_SQL}
+SELECT attacktype1_txt AS value, count(*) AS support FROM split WHERE NOT is_train GROUP BY 1""")
+def m9_matrix_support(spark):
+    """The confusion matrix's rows sum to the classes' test rows."""
+    data, _, labels, model = _attack(spark)
+    matrix = ml.confusion_matrix(model.transform(data.filter("not is_train")))
+    return matrix.groupBy("label").agg(F.sum("n").alias("support")).join(F.broadcast(labels), "label").select("value", "support")
+
+
+@query("m11_importance_sums", oracle="SELECT 10 AS features, CAST(1.0 AS DOUBLE) AS total, TRUE AS none_negative")
+def m11_importance_sums(spark):
+    _, _, _, model = _attack(spark)
+    return ml.feature_importance(spark, model).agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 9).alias("total"),
+                                                   (F.min("importance") >= 0).alias("none_negative"))
+
+
+@query("m13_threat_support", oracle="""
+SELECT count(*) - CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS test_rows, TRUE AS accurate FROM incidents""")
+def m13_threat_support(spark):
+    """The threat forest is scored on the last fifth; its label derives from two inputs, so it must find it nearly always."""
+    data = ml.threat_data(spark.table("incidents"))
+    m = ml.attack_metrics(ml.fit_threat_model(data, 20), data)
+    return m.select("test_rows", (F.col("test_accuracy") > 0.8).alias("accurate"))
+
+
+@query("m14_roundtrip_differences", oracle=f"""WITH {BASE_SQL}
+SELECT count(*) AS rows, 0 AS different FROM split WHERE NOT is_train""")
+def m14_roundtrip_differences(spark):
+    """Test rows scored as new rows by the saved and reloaded model, against the model itself."""
+    data, _, labels, model = _attack(spark)
+    again = m14_model_roundtrip(spark)
+    first = model.transform(data.filter("not is_train")).select("incident_id", F.col("prediction").alias("label")).join(F.broadcast(labels), "label")
+    both = again.join(first, "incident_id")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("predicted_attack").eqNullSafe(F.col("value"))).cast("int").alias("different"))

@@ -37,19 +37,20 @@ def s1_csv_scan(spark):
     return files.read_incident_csv(spark, path)
 
 
+# every tenth incident has a year in words, every tenth three fields too many
 @query("s1_csv_problems", oracle="""
-SELECT 2 * count(*) AS rows, count(*) AS bad_rows, count(*) AS wrong_iyear, 0 AS wrong_imonth, 0 AS missing_columns FROM region""")
+SELECT count(*) AS rows, count(*) FILTER (WHERE incident_id % 10 = 3) AS bad_rows, count(*) FILTER (WHERE incident_id % 10 = 7) AS wrong_iyear,
+  0 AS wrong_imonth, 0 AS missing_columns FROM incidents""")
 def s1_csv_problems(spark):
-    """Rows that do not fit the header and values of the wrong type are counted."""
+    """Rows that do not fit the header and values of the wrong type are counted, over all incidents."""
     path = scratch_path(spark, "broken-csv")
-    header = ",".join(INC_COLS)
-    good = F.concat_ws(",", *[F.lit("nineteen") if c == "iyear" else F.lit("1") for c in INC_COLS])
-    broken = F.concat_ws(",", *[F.lit("1") for _ in range(len(INC_COLS) + 3)])
-    rows = spark.table("region").select(F.explode(F.array(good, broken)).alias("value"))
-    one_file = rows.coalesce(1).select(F.lit(1).alias("o"), "value").unionByName(
-        spark.createDataFrame([(0, header)], "o int, value string")).coalesce(1).sortWithinPartitions("o")
-    one_file.select("value").write.text(path)
-    return files.csv_problems(spark, path).select("rows", "bad_rows", "wrong_iyear", "wrong_imonth", "missing_columns")
+    text = spark.table("incidents").select(*[F.col(c).cast("string").alias(c) for c in INC_COLS])
+    kind = F.col("incident_id").cast("long") % 10
+    files.write_csv(text.filter(kind != 3).withColumn("iyear", F.when(kind == 7, "nineteen").otherwise(F.col("iyear"))), f"{path}/part=a")
+    last = INC_COLS[-1]                                   # without quotes the last column's commas make more fields
+    plain = text.filter(kind == 3).select(*[F.lit("1").alias(c) for c in INC_COLS[:-1]], F.lit("1,2,3,4").alias(last))
+    plain.write.option("header", True).option("quote", "").csv(f"{path}/part=b")
+    return files.csv_problems(spark, f"{path}/part=*").select("rows", "bad_rows", "wrong_iyear", "wrong_imonth", "missing_columns")
 
 
 @query("s2_sql_over_dataset", oracle="""

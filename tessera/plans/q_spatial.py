@@ -168,6 +168,20 @@ def g7_grid_density(spark):
     return geo.grid_density(scored_incidents(spark), 1.0)
 
 
+@query("g7_hex_density", oracle=f"""
+WITH {SCORED_INCIDENTS_CTE},
+c AS (SELECT tsi, longitude * (sqrt(3.0) / 3) - latitude / 3 AS q, latitude * (2.0 / 3) AS r FROM scored
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+n AS (SELECT *, floor(q + 0.5) AS nq, floor(r + 0.5) AS nr, floor(-q - r + 0.5) AS ns, abs(floor(q + 0.5) - q) AS dq,
+  abs(floor(r + 0.5) - r) AS dr, abs(floor(-q - r + 0.5) + q + r) AS ds FROM c),
+h AS (SELECT tsi, CAST(CASE WHEN dq > dr AND dq > ds THEN -nr - ns ELSE nq END AS BIGINT) AS hex_q,
+  CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -nq - ns ELSE nr END AS BIGINT) AS hex_r FROM n)
+SELECT hex_q, hex_r, count(*) AS incidents, round_even(sum(tsi), 6) AS total_tsi, round_even(hex_r * 1.5, 6) AS center_lat,
+  round_even((hex_q + hex_r / 2) * sqrt(3.0), 6) AS center_lon FROM h GROUP BY hex_q, hex_r""")
+def g7_hex_density(spark):
+    return geo.hex_density(scored_incidents(spark), 1.0)
+
+
 @query("g8_peak_cell", oracle=f"""
 WITH {SCORED_INCIDENTS_CTE},
 c AS (SELECT country_txt, round_even(latitude * 10, 0) AS a, round_even(longitude * 10, 0) AS b, count(*) AS n

@@ -117,3 +117,16 @@ def test_angles_of_postings_are_cut(spark):
             assert {(r["g1"], r["g2"]) for r in network.similarity_edges(prof, t).collect()} == want
         finally:
             network.PART = before
+
+
+def test_points_lie_in_the_nearest_hexagon(spark):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), 1.0) for a, b in rng.uniform([-80, -179], [80, 179], (400, 2))]
+    from tessera.operators import geo
+    got = geo.hex_cells(spark.createDataFrame(rows, "latitude double, longitude double, tsi double"), 2.5).collect()
+    centre = lambda q, r: (1.5 * 2.5 * r, math.sqrt(3) * 2.5 * (q + r / 2))
+    for x in got:
+        d = {(i, j): math.dist(centre(x.hex_q + i, x.hex_r + j), (x.latitude, x.longitude)) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+        assert min(d, key=d.get) == (0, 0) and d[0, 0] <= 2.5 + 1e-9
+    assert geo.hex_density(spark.createDataFrame(rows, "latitude double, longitude double, tsi double"), 2.5).agg({"incidents": "sum"}).first()[0] == 400

@@ -137,3 +137,45 @@ def test_cross_validation_threat_and_contributions(spark, small):
     pos = [r["pos"] for r in threat.orderBy("incident_id").select("pos").collect()]
     assert pos == list(range(len(pos)))
     assert ml.attack_metrics(ml.fit_threat_model(threat, 20), threat).first()["test_accuracy"] > 0.8
+
+
+def test_path_contributions_add_up(spark, small):
+    """Against a walk by hand over every tree; a saved model explains new rows in one call."""
+    import numpy as np
+
+    from tessera.session import scratch_path
+    data, dicts, labels = ml.prepared_attack_data(spark.table("incidents"))
+    model = ml.fit_attack_model(data, num_trees=7)
+    names = ml.feature_names()
+    rows = data.filter("not is_train").select("incident_id", *names).orderBy("incident_id").limit(25)
+    nodes = {(r.tree, r.node): r for r in ml.forest_nodes(model).collect()}
+    p = {r.incident_id: list(r.probability) for r in model.transform(rows).collect()}
+    got = {r.incident_id: r for r in ml.path_contributions(model, rows).collect()}
+    for r in rows.collect():
+        want, base, best = dict.fromkeys(names, 0.0), 0.0, int(np.argmax(p[r.incident_id]))
+        for t in range(7):
+            n = nodes[t, 0]
+            base += n.shares[best] / 7
+            while n.left >= 0:
+                f = names[n.feature]
+                after = nodes[t, n.left if (r[f] <= n.cut[0] if n.categories < 0 else r[f] in n.cut) else n.right]
+                want[f] += (after.shares[best] - n.shares[best]) / 7
+                n = after
+        g = got[r.incident_id]
+        assert g.prediction == best and abs(g.base - base) < 1e-9 and abs(g.probability - p[r.incident_id][best]) < 1e-9
+        assert all(abs(g.contributions[f] - want[f]) < 1e-9 for f in names) and abs(base + sum(want.values()) - g.probability) < 1e-9
+    path = scratch_path(spark, "t-explained")
+    split = ml.chronological_split(ml.training_frame(spark.table("incidents")))
+    ml.save_model(model, dicts, labels, ml.train_medians(split), path)
+    new = split.filter("not is_train").select("incident_id", *ml.CAT_COLS, *ml.NUM_COLS).limit(5)
+    out = ml.load_and_explain(spark, path, new).collect()
+    assert len(out) == 5 and all(abs(r.base + sum(r.contributions.values()) - r.probability) < 1e-9 and r.predicted_attack for r in out)
+
+
+def test_listed_categories_go_left():
+    import numpy as np
+    import pandas as pd
+    nodes = pd.DataFrame({"tree": [0, 0, 0], "node": [0, 1, 2], "shares": [[0.5, 0.5], [1.0, 0.0], [0.0, 1.0]], "left": [1, -1, -1], "right": [2, -1, -1],
+                          "feature": [0, -1, -1], "cut": [[3.0, 1.0], [], []], "categories": [4, -1, -1]})
+    best, base, p, each = ml.Forest(nodes).explain(np.array([[1.0], [2.0], [3.0]]))
+    assert best.tolist() == [0, 1, 0] and base.tolist() == [0.5] * 3 and p.tolist() == [1.0] * 3 and each.ravel().tolist() == [0.5] * 3
