@@ -106,6 +106,7 @@ def dbscan(df: DataFrame, eps_km: float, min_samples: int, *, keys: Sequence[str
 POINT_TESTS = 64   # point pairs of two boxes that are tested one by one
 FEW = 64           # points of a cell, and
 OPENED = 16        # of a smaller box, that are tested one by one against a light point
+DEEPEST = 30       # halvings after which points are alike in doubles
 
 
 def box_counts(beside: DataFrame, points: DataFrame, counts: DataFrame, pairs: DataFrame, eps_km: float, min_samples: int,
@@ -140,7 +141,8 @@ def box_counts(beside: DataFrame, points: DataFrame, counts: DataFrame, pairs: D
         judged = materialize(todo.filter(near2 <= chord ** 2 * (1 + 1e-9)).withColumn("_inside", far2 <= chord ** 2 * (1 - 1e-9)), "dbscan-point-boxes")
         inside = judged.filter("_inside").select(*keys, "pid", *cell[len(keys):], *sub, "bw")
         whole.append((level, inside))
-        tested = (judged.filter(~F.col("_inside") & (F.col("n") <= OPENED)).select(*cell, *sub, "pid", "latitude", "longitude")
+        few = (F.col("n") <= OPENED) | F.lit(level >= DEEPEST)
+        tested = (judged.filter(~F.col("_inside") & few).select(*cell, *sub, "pid", "latitude", "longitude")
                   .join(at(level).select(*cell, *sub, "qid", "qw", "q_lat", "q_lon"), [*cell, *sub])
                   .filter(haversine_km("latitude", "longitude", "q_lat", "q_lon") <= eps_km).select(*keys, "pid", "qid", "qw"))
         tested = materialize(tested, "dbscan-border-pairs")
@@ -148,7 +150,7 @@ def box_counts(beside: DataFrame, points: DataFrame, counts: DataFrame, pairs: D
         more = inside.select(*keys, "pid", F.col("bw").alias("n")).unionByName(tested.select(*keys, "pid", F.col("qw").alias("n")))
         counts = materialize(counts.unionByName(more).groupBy(*keys, "pid").agg(F.sum("n").alias("n")), "dbscan-light-counts")
         done = counts.filter(F.col("n") >= min_samples).select(*keys, "pid")
-        rest = judged.filter(~F.col("_inside") & (F.col("n") > OPENED)).join(done, [*keys, "pid"], "left_anti")
+        rest = judged.filter(~F.col("_inside") & ~few).join(done, [*keys, "pid"], "left_anti")
         if rest.isEmpty():
             break
         level += 1

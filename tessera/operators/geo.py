@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import chord_for_km, haversine_km, round_even, unit_xyz
 from tessera.functions.position import grouped_median
+from tessera.session import materialize
 
 
 def with_cells(df: DataFrame, km: float, fine: bool, lat: str = "latitude",
@@ -152,19 +154,66 @@ def severity_layer(df: DataFrame, year: int | None = None) -> DataFrame:
 
 # ---- G10 / G11 / G13 -----------------------------------------------------------------
 
+OPENED = 16      # rows of a border box that are tested one by one
+DEEPEST = 30     # halvings after which places are alike in doubles
+
+
+def radius_sums(points: DataFrame, rows: DataFrame, km: float, key: str, by: Sequence[str] = (), sums: Sequence[str] = ()) -> DataFrame:
+    """(key, by, sums): totals of ``rows`` within ``km`` of each point, from a hierarchy of boxes.
+
+    ``points`` is (key, latitude, longitude), ``rows`` (r_latitude, r_longitude, by, sums).  Cells around a point are boxes
+    around their rows, halved along each axis from level to level.  A box surely within the radius
+    adds its sums, a box surely outside goes, and only boxes on the border are opened, down to ``OPENED`` rows, which
+    are tested one by one.  The work of a point follows its circle's border, not its area.
+    """
+    by, sums, side, chord = list(by), list(sums), cell_side(km, False), chord_for_km(km)
+    cell, sub = ["_nx", "_ny", "_nz"], ["sx", "sy", "sz"]
+    x, y, z = unit_xyz("r_latitude", "r_longitude")
+    pts = rows.withColumns({"x": x, "y": y, "z": z})
+    pts = materialize(pts.withColumns({f"_n{c}": F.floor(F.col(c) / side) for c in "xyz"}), "radius-rows")
+
+    def at(level: int) -> DataFrame:
+        return pts.withColumns({"s" + c: F.floor(F.col(c) / (side / 2 ** level)) for c in "xyz"})
+
+    def boxes(level: int) -> DataFrame:
+        ends = [f(c).alias(n + c) for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        return at(level).groupBy(*cell, *sub).agg(F.count(F.lit(1)).alias("n"), *ends)
+
+    px, py, pz = unit_xyz("latitude", "longitude")
+    around = neighbour_cells(with_cells(points, km, False), 1).drop("_cx", "_cy", "_cz")
+    todo = around.withColumns({"px": px, "py": py, "pz": pz}).join(boxes(0), cell)
+    far2 = sum(F.pow(F.greatest(F.abs(F.col("p" + c) - F.col("lo" + c)), F.abs(F.col("p" + c) - F.col("hi" + c))), F.lit(2)) for c in "xyz")
+    near2 = sum(F.pow(F.greatest(F.lit(0.0), F.col("lo" + c) - F.col("p" + c), F.col("p" + c) - F.col("hi" + c)), F.lit(2)) for c in "xyz")
+    total, level = [], 0
+    while True:
+        judged = materialize(todo.filter(near2 <= chord ** 2 * (1 + 1e-9)).withColumn("_inside", far2 <= chord ** 2 * (1 - 1e-9)), "radius-boxes")
+        few = (F.col("n") <= OPENED) | F.lit(level >= DEEPEST)
+        whole = at(level).groupBy(*cell, *sub, *by).agg(*[F.sum(c).alias(c) for c in sums])
+        total.append(judged.filter("_inside").select(key, *cell, *sub).join(whole, [*cell, *sub]).select(key, *by, *sums))
+        border = judged.filter(~F.col("_inside") & few).select(key, "latitude", "longitude", *cell, *sub)
+        total.append(border.join(at(level).select(*cell, *sub, "r_latitude", "r_longitude", *by, *sums), [*cell, *sub])
+                     .filter(haversine_km("latitude", "longitude", "r_latitude", "r_longitude") <= km).select(key, *by, *sums))
+        rest = judged.filter(~F.col("_inside") & ~few)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, total).groupBy(key, *by).agg(*[F.sum(c).alias(c) for c in sums])
+        level += 1
+        halves = boxes(level).withColumns({f"u{c}": F.floor(F.col("s" + c) / 2) for c in "xyz"})
+        up = rest.select(key, "latitude", "longitude", "px", "py", "pz", *cell, *[F.col("s" + c).alias("u" + c) for c in "xyz"])
+        todo = up.join(halves, [*cell, "ux", "uy", "uz"]).drop("ux", "uy", "uz")
+
+
 def radius_summary(points: DataFrame, incidents: DataFrame, km: float,
                    point_key: str = "name", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """For many query points, incidents within ``km``: count, casualties, dominant type.
 
-    A cell range join (no per-point scan); points without incidents stay (count 0).
+    Sums over whole boxes and a test of the places on the border (``radius_sums``); points without incidents stay (count 0).
     """
     q = points.select(point_key, F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
     # incidents collapse to places and attack types before any pair is made
     inc = (incidents.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
            .groupBy(F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"), F.col("attacktype1_txt").alias("r_attack"))
-           .agg(F.count(F.lit(1)).alias("r_n"), F.sum(F.col("nkill") + F.col("nwound")).alias("r_casualties")))
-    by_type = (pairs_within(q, inc, km).groupBy(point_key, "r_attack")
-               .agg(F.sum("r_n").alias("n"), F.sum("r_casualties").alias("casualties")))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("nkill") + F.col("nwound")).alias("casualties")))
+    by_type = radius_sums(q, inc, km, point_key, ["r_attack"], ["n", "casualties"])
     top = F.min(F.when(F.col("r_attack").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("r_attack").alias("a"))))
     agg = by_type.groupBy(point_key).agg(
         F.sum("n").alias("incidents"), round_even(F.sum("casualties"), 6).alias("casualties"), top.alias("top"))
@@ -179,8 +228,8 @@ def asset_exposure(assets: DataFrame, incidents: DataFrame, hotspots: DataFrame,
     q = assets.select("name", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
     inc = (incidents.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
            .groupBy(F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"))
-           .agg(F.count(F.lit(1)).alias("r_n")))                     # places, not incidents
-    n_inc = pairs_within(q, inc, km).groupBy("name").agg(F.sum("r_n").alias("incidents_within"))
+           .agg(F.count(F.lit(1)).alias("incidents_within")))                     # places, not incidents
+    n_inc = radius_sums(q, inc, km, "name", sums=["incidents_within"])
     hs = hotspots.select(F.col("cluster").alias("r_cluster"), F.col("centroid_lat").alias("r_latitude"),
                          F.col("centroid_lon").alias("r_longitude"))
     hp = pairs_within(q, hs, km)

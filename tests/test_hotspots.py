@@ -234,3 +234,35 @@ def test_box_counts_match_brute_force(spark, monkeypatch):
         lab = {r["incident_id"]: r["cluster"] for r in cluster.dbscan(spark.createDataFrame(rows, "incident_id long, latitude double, longitude double"),
                                                                       eps, least).collect()}
         assert [lab[i] for i in range(300)] == brute_dbscan([r[1:] for r in rows], eps, least)
+
+
+def test_radius_sums_follow_the_border(spark, monkeypatch):
+    """60,000 places around three points: sums equal brute force, tested places are few."""
+    from tessera.operators import geo
+    rng = np.random.default_rng(4)
+    places = rng.uniform([40.0, 5.0], [44.0, 10.0], (60_000, 2))
+    points = [("a", 42.0, 7.5), ("b", 40.1, 5.1), ("c", -10.0, 100.0)]
+    rows = [(float(a), float(b), f"t{i % 3}" if i % 4 else None, 1, float(i % 5)) for i, (a, b) in enumerate(places)]
+    df = spark.createDataFrame(rows, "r_latitude double, r_longitude double, r_attack string, n long, casualties double")
+    q = spark.createDataFrame(points, "name string, latitude double, longitude double")
+    opened = []
+    real = geo.materialize
+
+    def count(d, name):
+        out = real(d, name)
+        if name == "radius-boxes":
+            opened.append(out.filter(f"NOT _inside AND n <= {geo.OPENED}").agg({"n": "sum"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(geo, "materialize", count)
+    for km in (120.0, 150.0):
+        opened.clear()
+        got = {(r["name"], r["r_attack"]): (r["n"], r["casualties"]) for r in geo.radius_sums(q, df, km, "name", ["r_attack"], ["n", "casualties"]).collect()}
+        want = {}
+        for name, lat, lon in points:
+            for i in np.flatnonzero(brute_km(lat, lon, places) <= km):
+                k = (name, rows[i][2])
+                n, c = want.get(k, (0, 0.0))
+                want[k] = (n + 1, c + rows[i][4])
+        assert got == want and sum(n for n, _ in want.values()) > 10_000
+        assert 0 < sum(opened) < sum(n for n, _ in want.values()) / 3
