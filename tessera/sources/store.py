@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import live
+from tessera.session import materialize
 
 LIVE_SCHEMA = T.StructType([
     T.StructField("source_id", T.StringType()), T.StructField("ingested_at", T.StringType()),
@@ -35,7 +36,7 @@ HISTORY_COLS = ["iyear", "imonth", "iday", "country_txt", "region_txt", "city",
                 "success", "suicide"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -43,15 +44,51 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def ensure_tables(spark: SparkSession, root: str) -> None:
-    """Create the live and log tables when absent (idempotent)."""
+    """Create the live and log tables and the table of ids when absent (idempotent)."""
     for name, schema in (("live_events", LIVE_SCHEMA), ("event_log", LOG_SCHEMA)):
         path = f"{root}/{name}"
-        if not _exists(spark, path):
+        if not exists(spark, path):
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=init")
+    if not exists(spark, f"{root}/live_ids"):       # a store from before: its ids are dealt out once
+        _write_ids(spark.read.parquet(f"{root}/live_events").select("source_id", F.col("batch").cast("string").alias("batch")), root)
 
 
-def read_live(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(LIVE_SCHEMA).parquet(f"{root}/live_events").select(*LIVE_SCHEMA.names)
+ID_BUCKETS = 32
+
+
+def id_bucket() -> F.Column:
+    return F.pmod(F.xxhash64("source_id"), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _write_ids(ids: DataFrame, root: str) -> None:
+    """Add (source_id, batch) to the table of ids; a replayed batch overwrites its own folders."""
+    (ids.withColumn("bucket", id_bucket()).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket", "batch").parquet(f"{root}/live_ids"))
+
+
+def stored_ids(spark: SparkSession, root: str, rows: DataFrame, batch_id: str) -> DataFrame:
+    """The stored ids that may equal one of ``rows``, without those of this batch's own folder (so a replay sees the same state).
+
+    Ids lie in folders by hash: only the folders that the rows' own ids fall into are read, so a batch's
+    cost does not grow with the store.
+    """
+    touched = [r[0] for r in rows.select(id_bucket()).distinct().collect()]          # ID_BUCKETS numbers at most
+    paths = [p for b in touched if b is not None and exists(spark, p := f"{root}/live_ids/bucket={b}")]
+    if not paths:
+        return spark.createDataFrame([], "source_id string")
+    ids = spark.read.schema("source_id string, bucket int, batch string").option("basePath", f"{root}/live_ids").parquet(*paths)
+    return ids.filter(F.col("batch") != F.lit(str(batch_id))).select("source_id")
+
+
+def read_live(spark: SparkSession, root: str, without: str | None = None) -> DataFrame:
+    """The live table, or what it holds besides one batch."""
+    rows = spark.read.schema(T.StructType([*LIVE_SCHEMA.fields, T.StructField("batch", T.StringType())])).parquet(f"{root}/live_events")
+    return (rows if without is None else rows.filter(F.col("batch") != F.lit(without))).select(*LIVE_SCHEMA.names)
+
+
+def read_batch(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
+    """The rows that one batch added."""
+    return spark.read.schema(LIVE_SCHEMA).parquet(f"{root}/live_events/batch={batch_id}").select(*LIVE_SCHEMA.names)
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
@@ -67,24 +104,19 @@ def ingest(spark: SparkSession, root: str, rows: DataFrame, batch_id: str, sourc
     the same folder.
     """
     ensure_tables(spark, root)
-    stored = _stored_except(spark, root, batch_id)
-    fresh = live.new_rows(rows, stored).select(*LIVE_SCHEMA.names)
+    rows = materialize(rows, "ingest-rows")
+    fresh = live.new_rows(rows, stored_ids(spark, root, rows, batch_id)).select(*LIVE_SCHEMA.names)
     out = f"{root}/live_events/batch={batch_id}"
     fresh.write.mode("overwrite").parquet(out)
     written = spark.read.parquet(out)
     count = written.count()
     if count:
+        _write_ids(written.select("source_id", F.lit(str(batch_id)).alias("batch")), root)
         live.ingest_log_row(spark, written, source, as_of).write.mode("overwrite").parquet(
             f"{root}/event_log/batch={batch_id}")
     return count
 
 
-def _stored_except(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
-    """Stored ids excluding this batch's own folder (so a replay sees the same state)."""
-    t = spark.read.parquet(f"{root}/live_events")
-    return t.filter(F.col("batch").cast("string") != F.lit(str(batch_id))).select("source_id")
-
-
 def combined(history: DataFrame, live_rows: DataFrame) -> DataFrame:
     """History (16 columns + 'GTD') UNION ALL live (16 columns + its source label)."""
     h = history.select(*HISTORY_COLS, F.lit("GTD").alias("data_source"))
@@ -94,7 +126,7 @@ def combined(history: DataFrame, live_rows: DataFrame) -> DataFrame:
 
 def load_combined(spark: SparkSession, history: DataFrame, root: str | None) -> DataFrame:
     """The combined table; history alone when the live table is missing."""
-    if root is None or not _exists(spark, f"{root}/live_events"):
+    if root is None or not exists(spark, f"{root}/live_events"):
         return combined(history, spark.createDataFrame([], LIVE_SCHEMA))
     return combined(history, read_live(spark, root))
 

@@ -44,7 +44,8 @@ def ingest_stream(spark: SparkSession, source: str, store_root: str, centroids:
     """ST1 (+ ST5): per micro-batch classify, dedupe (title, url), enrich, map to rows and ingest
     idempotently.  Ids that are stored already are dropped by the ingest's anti-join, so there is no
     watermark and articles may arrive in any order.  With ``history`` and ``risk_path`` every batch
-    also rewrites the all-country risk snapshot (the history is collapsed once for all batches)."""
+    also writes the all-country risk snapshot: the history is collapsed once for all batches, and the live
+    counts are running sums to which a batch adds its own new rows (``running_summary``)."""
     s = article_stream(spark, source)
     past = risk.history_summary(history) if history is not None and risk_path is not None else None
 
@@ -54,9 +55,8 @@ def ingest_stream(spark: SparkSession, source: str, store_root: str, centroids:
         rows = live.to_incident_rows(live.enrich_with_centroids(arts, centroids))
         store.ingest(spark, store_root, rows, str(epoch))
         if past is not None:
-            lv = store.read_live(spark, store_root).select(
-                F.col("country_txt").alias("country"), "severity")
-            snap = risk.country_risk_of(past, risk.live_summary(lv)).withColumn("batch_id", F.lit(epoch))
+            live_counts = running_summary(spark, store_root, f"{risk_path}-sums", epoch)
+            snap = risk.country_risk_of(past, live_counts).withColumn("batch_id", F.lit(epoch))
             snap.write.mode("overwrite").parquet(f"{risk_path}/batch={epoch}")
 
     q = (s.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
@@ -64,6 +64,24 @@ def ingest_stream(spark: SparkSession, source: str, store_root: str, centroids:
     q.awaitTermination()
 
 
+def running_summary(spark: SparkSession, store_root: str, path: str, epoch: int) -> DataFrame:
+    """ST5: counts of all stored rows by country and severity after batch ``epoch``, from the counts after the batch before
+    and this batch's new rows.  Only the first batch reads what the store held already.  A replay reads the same
+    earlier counts and overwrites its own."""
+    counted = lambda rows: risk.live_summary(rows.select(F.col("country_txt").alias("country"), "severity"))
+    new = counted(store.read_batch(spark, store_root, str(epoch)))
+    sums = spark.read.schema(f"{new.schema.simpleString()[7:-1].replace(':', ' ').replace(',', ', ')}, batch long")
+    earlier = sums.parquet(path).filter(F.col("batch") < epoch).agg(F.max("batch")).first()[0] if store.exists(spark, path) else None
+    if earlier is None:
+        before = counted(store.read_live(spark, store_root, without=str(epoch)))
+    else:
+        before = sums.parquet(path).filter(F.col("batch") == earlier).drop("batch")
+    keys = [c for c in new.columns if c != "n"]
+    both = before.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
+    both.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+    return spark.read.parquet(f"{path}/batch={epoch}")
+
+
 def lookback_counts(events: DataFrame, as_of: str = live.AS_OF) -> DataFrame:
     """ST2 (batch): articles per country in each lookback before ``as_of`` (one pass)."""
     t = F.col("date").cast("timestamp_ntz")

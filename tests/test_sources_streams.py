@@ -60,6 +60,53 @@ def test_streams_take_files_in_any_order(spark, small):
     assert ids.count() == ids.distinct().count() == articles.select(F.lower(F.trim("title"))).distinct().count()
 
 
+def test_a_batch_reads_touched_buckets_only(spark, small):
+    from tessera.operators import live
+    from tessera.plans.q_live import live_feed
+    from tessera.sources import store
+    rows = live.to_incident_rows(live_feed(spark)).orderBy("source_id")
+    root = scratch_path(spark, "t-buckets")
+    first, few = rows.limit(60), rows.limit(63).orderBy(F.desc("source_id")).limit(5)
+    assert store.ingest(spark, root, first, "1") == first.select("source_id").distinct().count()
+    want = {r[0] for r in few.select(store.id_bucket()).collect()}
+    seen = {int(f.split("bucket=")[1].split("/")[0]) for f in store.stored_ids(spark, root, few, "2").inputFiles()}
+    every = {r[0] for r in first.select(store.id_bucket()).collect()}
+    assert seen == want & every and len(seen) < len(every) / 4
+    known = {r[0] for r in first.select("source_id").collect()}
+    fresh = {r[0] for r in few.select("source_id").collect()} - known
+    assert store.ingest(spark, root, few, "2") == len(fresh) == store.ingest(spark, root, few, "2")     # a replay adds the same rows
+    ids = [r[0] for r in store.read_live(spark, root).select("source_id").collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == known | fresh
+
+
+def test_running_risk_equals_batch_after_every_batch(spark, small, monkeypatch):
+    """Counts after each batch against the whole store read again; only the first batch reads it."""
+    from tessera.operators import risk
+    from tessera.operators.prep import scored_incidents
+    from tessera.sources import store
+    src, root, out = (scratch_path(spark, f"t-risk-{x}") for x in ("src", "store", "out"))
+    ingest.write_article_files(spark.table("live_articles"), src)
+    checked, whole = [], []
+    real, read = ingest.running_summary, store.read_live
+
+    def compare(spark, store_root, path, epoch):
+        got = real(spark, store_root, path, epoch)
+        all_rows = read(spark, store_root).select(F.col("country_txt").alias("country"), "severity")
+        assert sorted(map(str, got.collect())) == sorted(map(str, risk.live_summary(all_rows).select(*got.columns).collect()))
+        checked.append(epoch)
+        return got
+
+    monkeypatch.setattr(ingest, "running_summary", compare)
+    monkeypatch.setattr(store, "read_live", lambda *a, **k: whole.append(1) or read(*a, **k))
+    hist = scored_incidents(spark)
+    from tessera.operators import geo
+    ingest.ingest_stream(spark, src, root, geo.country_centroids(hist), scratch_path(spark, "ckpt"), hist, out)
+    assert len(checked) > 2 and len(whole) == 1
+    last = spark.read.parquet(out).filter(F.col("batch_id") == max(checked))
+    lv = read(spark, root).select(F.col("country_txt").alias("country"), "severity")
+    assert last.count() == risk.country_risk(hist, lv).count() > 0
+
+
 def test_positions_of_sparse_ids(spark):
     ids = [i * 10 ** 9 + (i * 7919) % 13 for i in range(300)]
     df = spark.createDataFrame([(i, i % 3) for i in ids], "id long, day int")
