@@ -72,41 +72,54 @@ def country_candidates(centroids: DataFrame) -> DataFrame:
             .filter(F.col("cand") != ""))
 
 
-MAX_COUNTRIES = 10_000  # names that the match table may hold
+MAX_COUNTRIES = 2_000  # names that the map of the scan may hold; more are joined
 
 
 def enrich_with_centroids(live: DataFrame, centroids: DataFrame,
                           id_col: str = "article_id") -> DataFrame:
     """L7 + L8: exact normalised country first, else a whole-word country name in the title.
 
-    The countries are a bounded dimension (its size is checked): they become one map from
-    normalised name to the first country of that name, which a scalar subquery hands to
-    the scan of the feed.  A whole-word match is an equal word n-gram of the title; of
-    several the first country in order wins.  The feed is read once, joined with nothing and
-    not shuffled, so a country or word that most articles share costs nothing extra.
-    Unmatched rows keep their country and get NULL coordinates.
+    A whole-word match is an equal word n-gram of the title; of several the first country in
+    order wins.  Unmatched rows keep their country and get NULL coordinates.  Up to
+    ``MAX_COUNTRIES`` names are a map that a scalar subquery hands to the scan of the feed: it is
+    joined with nothing and not shuffled, so a country or word that most articles share costs
+    nothing extra.  More names are joined with the n-grams (``_joined_matches``).
     """
     names = (country_candidates(centroids).groupBy("cand")
              .agg(F.min(F.struct("country_txt", "centroid_lat", "centroid_lon")).alias("m")))
     names = materialize(names, "country-names")
-    if names.count() > MAX_COUNTRIES:
-        raise ValueError(f"more than {MAX_COUNTRIES} country names")
-    known = names.agg(F.map_from_entries(F.collect_list(F.struct("cand", "m"))).alias("known"),
-                      F.coalesce(F.max(F.size(F.split("cand", " "))), F.lit(1)).alias("words"))
-    known = known.select(F.struct("known", "words")).scalar()
-    grams = """array_distinct(flatten(transform(sequence(1, size(_w)), i -> transform(
-      sequence(1, least(_known.words, size(_w) - i + 1)), k -> array_join(slice(_w, i, k), ' ')))))"""
-    first = "array_min(transform(array_intersect(%s, map_keys(_known.known)), g -> _known.known[g]))"
+    size = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(F.split("cand", " "))), F.lit(1)).alias("words")).first()
     row = F.struct(*[F.col(f"`{c}`") for c in live.columns])
-    out = live.select(row.alias("_row"), known.alias("_known"), normalize_country("country").alias("_c"),
-                      F.split(normalize_country("title"), " ").alias("_w"))
-    out = out.withColumn("_m", F.coalesce(F.expr("try_element_at(_known.known, _c)"), F.expr(first % grams)))
+    out = live.select(row.alias("_row"), normalize_country("country").alias("_c"), normalize_country("title").alias("_t"))
+    if size["n"] <= MAX_COUNTRIES:
+        known = names.agg(F.map_from_entries(F.collect_list(F.struct("cand", "m")))).scalar()
+        first = "array_min(transform(array_intersect(%s, map_keys(_known)), g -> _known[g]))"
+        out = out.withColumn("_known", known)
+        out = out.withColumn("_m", F.coalesce(F.expr("try_element_at(_known, _c)"), F.expr(first % _grams(size["words"]))))
+    else:
+        out = _joined_matches(out, names, size["words"])
     kept = [F.col(f"_row.`{c}`").alias(c) for c in live.columns if c not in ("country", "latitude", "longitude")]
     out = out.select(*kept, F.coalesce("_m.country_txt", "_row.country").alias("country"),
                      F.col("_m.centroid_lat").alias("latitude"), F.col("_m.centroid_lon").alias("longitude"))
     return out.select(*dict.fromkeys([*live.columns, "latitude", "longitude"]))
 
 
+def _grams(words: int) -> str:
+    """SQL for the distinct runs of up to ``words`` words of ``_t``."""
+    w = "split(_t, ' ')"
+    return f"""array_distinct(flatten(transform(sequence(1, size({w})), i -> transform(
+      sequence(1, least({words}, size({w}) - i + 1)), k -> array_join(slice({w}, i, k), ' ')))))"""
+
+
+def _joined_matches(rows: DataFrame, names: DataFrame, words: int) -> DataFrame:
+    """``rows`` (_row, _c, _t) with their match _m by joins: equal names first, then the n-grams of each distinct title
+    that has none.  Repeated titles collapse before the join, and AQE splits those that many rows share."""
+    exact = rows.join(names.select(F.col("cand").alias("_c"), F.col("m").alias("_exact")), "_c", "left")
+    grams = exact.filter(F.col("_exact").isNull()).select("_t").distinct().select("_t", F.explode(F.expr(_grams(words))).alias("cand"))
+    titled = grams.join(names, "cand").groupBy("_t").agg(F.min("m").alias("_titled"))
+    return exact.join(titled, "_t", "left").withColumn("_m", F.coalesce("_exact", "_titled"))
+
+
 def historical_fallback(incidents: DataFrame, limit: int = 50, as_of: str = AS_OF) -> DataFrame:
     """The newest ``limit`` incidents shaped as live events (top-k, not a full sort)."""
     top = incidents.orderBy(F.desc("iyear"), F.desc("imonth"), F.desc("iday"),

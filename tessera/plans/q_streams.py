@@ -87,7 +87,7 @@ SELECT time_bucket(INTERVAL 2 DAY, seendate, TIMESTAMP '1970-01-01') AS window_s
   {normalize_country_sql('source_country')} AS ckey, count(*) AS n
 FROM live_articles GROUP BY 1, 2 HAVING count(*) >= 20""")
 def st4_stream_surge(spark):
-    """The same windows as a stream in update mode, per source country."""
+    """The same windows as a stream, per source country."""
     return st.surge_stream(spark, *_landed(spark))
 
 
@@ -103,3 +103,23 @@ def st3_stream_tumbling(spark):
     f"WHERE seendate > {AS_OF} - INTERVAL {m} MINUTE AND seendate <= {AS_OF} GROUP BY 1" for n, m in st.LOOKBACKS))
 def st2_stream_lookback(spark):
     return st.lookback_stream(spark, *_landed(spark))
+
+
+@query("st2_moving_lookbacks", oracle=f"""
+WITH t AS (SELECT source_country AS country, seendate,
+  time_bucket(INTERVAL 6 HOUR, seendate - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01')
+    + unnest(generate_series(1, 28)) * INTERVAL 6 HOUR AS as_of FROM live_articles)
+SELECT country, as_of, {", ".join(f"CAST(sum(CASE WHEN seendate > as_of - INTERVAL {m} MINUTE THEN 1 ELSE 0 END) AS BIGINT) AS n_{n}" for n, m in st.LOOKBACKS)}
+FROM t GROUP BY 1, 2""")
+def st2_moving_lookbacks(spark):
+    """All lookbacks at every sixth hour, from the stream's panes of 15 minutes."""
+    return st.moving_lookbacks(st.pane_stream(spark, *_landed(spark)))
+
+
+@query("st3_stream_sliding", oracle="""
+WITH t AS (SELECT source_country AS country, time_bucket(INTERVAL 6 HOUR, seendate, TIMESTAMP '1970-01-01')
+    - unnest(generate_series(0, 3)) * INTERVAL 6 HOUR AS window_start FROM live_articles)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, country, count(*) AS n FROM t GROUP BY 1, 2, 3""")
+def st3_stream_sliding(spark):
+    """Windows of a day that start every six hours, as a stream with state that ends."""
+    return st.sliding_stream(spark, *_landed(spark))

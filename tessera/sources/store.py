@@ -43,6 +43,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, if it is there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ensure_tables(spark: SparkSession, root: str) -> None:
     """Create the live and log tables and the table of ids when absent (idempotent)."""
     for name, schema in (("live_events", LIVE_SCHEMA), ("event_log", LOG_SCHEMA)):

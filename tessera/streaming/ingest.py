@@ -106,55 +106,114 @@ def surge_alerts(events: DataFrame, width: str = "2 days", min_events: int = 20)
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "country", "n"))
 
 
-def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The counts that an update-mode stream has written so far: the newest batch of each key."""
-    rows = spark.read.parquet(path)
-    newest = rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
-    return newest
+PANE = "15 minutes"      # every lookback is a whole number of panes
+LATENESS = "3 days"      # event time for which a window stays open after its end
 
 
-def count_stream(spark: SparkSession, counts: DataFrame, out: str, checkpoint: str) -> None:
-    """Run ``counts`` (keys and n) in update mode: each batch writes the counts that it changed.
+def _open_path(out: str, epoch: int) -> str:
+    return f"{out}/closed=false/batch={epoch}"
 
-    There is no watermark, so no article is late and no window waits for one to pass; the state is
-    a count for each window and key.  A replayed batch overwrites its own folder.
+
+def window_counts(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, width: str, slide: str | None = None,
+                  lateness: str = LATENESS) -> None:
+    """Counts per event-time window and key of a stream ``events`` (column ``at`` and the keys), as a table under ``out``.
+
+    The state is the table of open windows: a batch adds its rows to the counts that the batch before left open.  Windows
+    that ended ``lateness`` before the latest event time of the earlier batches are closed: their counts go to the closed
+    part, and the state forgets them.  A row later than that opens its window again with its own count alone, which closes
+    in the same batch and is added to the stored ones when the table is read, so no row is dropped however late it comes.
+    Each batch reads the state and the clock of the one before and overwrites its own, so a replay changes nothing.
+    Rows without a time are in no window.
     """
-    def per_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+    keys = [c for c in events.columns if c != "at"]
+    window = F.window("at", width, slide) if slide else F.window("at", width)
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(per_batch)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        clock = spark.read.parquet(f"{out}-clock/batch={epoch - 1}").first()[0] if epoch else None
+        rows = batch.select(window.alias("w"), *keys, "at").select("w.start", "w.end", *keys, F.lit(1).cast("long").alias("n"), "at")
+        if epoch and store.exists(spark, _open_path(out, epoch - 1)):
+            rows = rows.unionByName(spark.read.parquet(_open_path(out, epoch - 1)))
+        ended = F.lit(False) if clock is None else F.col("end") <= F.lit(clock).cast("timestamp_ntz") - F.expr(f"INTERVAL {lateness}")
+        counts = rows.groupBy("start", "end", *keys).agg(F.sum("n").alias("n"), F.max("at").alias("at"))
+        (counts.withColumn("closed", ended).withColumn("batch", F.lit(epoch)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("closed", "batch").parquet(out))
+        parts = [p for p in (_open_path(out, epoch), f"{out}/closed=true/batch={epoch}") if store.exists(spark, p)]
+        seen = spark.read.parquet(*parts).agg(F.max("at")).first()[0] if parts else None
+        latest = max((t for t in (clock, seen) if t is not None), default=None)
+        (spark.range(1, numPartitions=1).select(F.lit(latest).cast("timestamp_ntz").alias("clock"))
+         .write.mode("overwrite").parquet(f"{out}-clock/batch={epoch}"))
+        for old in (_open_path(out, epoch - 2), f"{out}-clock/batch={epoch - 2}"):     # no replay reads these
+            store.remove(spark, old)
+
+    q = (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def window_totals(spark: SparkSession, out: str) -> DataFrame:
+    """(window_start, window_end, keys, n) of ``window_counts``: all closed counts and those that the last batch left open."""
+    rows = spark.read.parquet(out)
+    last = rows.select(F.max("batch")).scalar()
+    keys = [c for c in rows.columns if c not in ("start", "end", "n", "at", "closed", "batch")]
+    return (rows.filter(F.col("closed") | (F.col("batch") == last))
+            .groupBy(F.col("start").alias("window_start"), F.col("end").alias("window_end"), *keys).agg(F.sum("n").alias("n")))
+
+
 def surge_stream(spark: SparkSession, source: str, out: str, checkpoint: str, width: str = "2 days",
-                 min_events: int = 20) -> DataFrame:
+                 min_events: int = 20, lateness: str = LATENESS) -> DataFrame:
     """ST4 (stream): windowed counts per source country; returns the windows that have reached
     ``min_events`` in what has been read so far."""
-    s = article_stream(spark, source)
-    counts = (s.groupBy(F.window("seen_ts", width).alias("w"), normalize_country("source_country").alias("ckey"))
-              .agg(F.count(F.lit(1)).alias("n"))
-              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "ckey", "n"))
-    count_stream(spark, counts, out, checkpoint)
-    return latest_counts(spark, out, ["window_start", "ckey"]).filter(F.col("n") >= min_events)
+    events = article_stream(spark, source).select(F.col("seendate").alias("at"), normalize_country("source_country").alias("ckey"))
+    window_counts(spark, events, out, checkpoint, width, lateness=lateness)
+    return window_totals(spark, out).filter(F.col("n") >= min_events).select("window_start", "ckey", "n")
 
 
 def tumbling_stream(spark: SparkSession, source: str, out: str, checkpoint: str, width: str = "1 day") -> DataFrame:
     """ST3 (stream): articles per tumbling window, event type and severity."""
-    s = article_stream(spark, source)
-    events = s.select(F.col("seen_ts").alias("date"), live.classify_event(F.col("title")).alias("event"),
-                      live.classify_severity(F.col("title")).alias("severity"))
-    count_stream(spark, tumbling_counts(events, width), out, checkpoint)
-    return latest_counts(spark, out, ["window_start", "event", "severity"])
+    events = article_stream(spark, source).select(F.col("seendate").alias("at"), live.classify_event(F.col("title")).alias("event"),
+                                                  live.classify_severity(F.col("title")).alias("severity"))
+    window_counts(spark, events, out, checkpoint, width)
+    return window_totals(spark, out).select("window_start", "event", "severity", "n")
+
+
+def sliding_stream(spark: SparkSession, source: str, out: str, checkpoint: str, width: str = "1 day", slide: str = "6 hours") -> DataFrame:
+    """ST3 (stream): articles per source country in windows of ``width`` that start every ``slide``."""
+    events = article_stream(spark, source).select(F.col("seendate").alias("at"), F.col("source_country").alias("country"))
+    window_counts(spark, events, out, checkpoint, width, slide)
+    return window_totals(spark, out).select("window_start", "window_end", "country", "n")
+
+
+def pane_stream(spark: SparkSession, source: str, out: str, checkpoint: str) -> DataFrame:
+    """ST2 (stream): (pane_end, country, n), articles per source country in panes of 15 minutes.  A lookback holds its
+    end but not its start, so an article on a border belongs to the pane that ends there."""
+    events = article_stream(spark, source).select((F.col("seendate") - F.expr("INTERVAL 1 MICROSECOND")).alias("at"),
+                                                  F.col("source_country").alias("country"))
+    window_counts(spark, events, out, checkpoint, PANE)
+    return window_totals(spark, out).select(F.col("window_end").alias("pane_end"), "country", "n")
+
+
+def lookbacks_at(panes: DataFrame, as_of: str = live.AS_OF) -> DataFrame:
+    """ST2: (country, lookback, n) at one time, a whole number of panes; lookbacks without articles give no row."""
+    t, end = F.col("pane_end"), F.lit(as_of).cast("timestamp_ntz")
+    hits = F.filter(F.array(*[F.when((t > end - F.expr(f"INTERVAL {m} MINUTES")) & (t <= end), F.lit(name)) for name, m in LOOKBACKS]),
+                    lambda x: x.isNotNull())
+    return (panes.select("country", "n", F.explode(hits).alias("lookback"))
+            .groupBy("country", "lookback").agg(F.sum("n").alias("n")))
+
+
+def moving_lookbacks(panes: DataFrame, every: str = "6 hours") -> DataFrame:
+    """ST2: all lookbacks of every country at every tick of the clock (``every``: whole panes) at which the longest is not
+    empty.  Each pane goes to the ticks that still see it, and the counts combine before the shuffle."""
+    longest = f"INTERVAL {max(m for _, m in LOOKBACKS)} MINUTES"
+    first = F.window(F.col("pane_end") - F.expr("INTERVAL 1 MICROSECOND"), every)
+    ticks = (panes.select("country", "n", "pane_end", first.alias("w"))
+             .select("country", "n", "pane_end", F.explode(F.sequence(
+                 F.col("w.end"), F.col("pane_end") + F.expr(longest) - F.expr("INTERVAL 1 MICROSECOND"), F.expr(f"INTERVAL {every}"))).alias("as_of")))
+    aggs = [F.sum(F.when(F.col("pane_end") > F.col("as_of") - F.expr(f"INTERVAL {m} MINUTES"), F.col("n")).otherwise(0)).alias(f"n_{name}")
+            for name, m in LOOKBACKS]
+    return ticks.groupBy("country", "as_of").agg(*aggs)
 
 
 def lookback_stream(spark: SparkSession, source: str, out: str, checkpoint: str, as_of: str = live.AS_OF) -> DataFrame:
-    """ST2 (stream): articles per source country in each lookback before ``as_of``, kept as one
-    running count for each country and lookback."""
-    t, end = F.col("seendate"), F.lit(as_of).cast("timestamp_ntz")
-    hits = F.filter(F.array(*[F.when((t > end - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(m))) & (t <= end), F.lit(name))
-                              for name, m in LOOKBACKS]), lambda x: x.isNotNull())
-    counts = (article_stream(spark, source).select(F.col("source_country").alias("country"), F.explode(hits).alias("lookback"))
-              .groupBy("country", "lookback").agg(F.count(F.lit(1)).alias("n")))
-    count_stream(spark, counts, out, checkpoint)
-    return latest_counts(spark, out, ["country", "lookback"])
+    """ST2 (stream): articles per source country in each lookback before ``as_of``."""
+    return lookbacks_at(pane_stream(spark, source, out, checkpoint), as_of)

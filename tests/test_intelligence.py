@@ -27,6 +27,21 @@ def test_title_match_and_median_centroid(spark):
     assert out[2]["country"] == "Unknown" and out[2]["latitude"] is None
 
 
+def test_country_names_beyond_the_map_are_joined(spark, monkeypatch):
+    cent = spark.createDataFrame([(n, float(i), -float(i)) for i, n in enumerate(["Iraq", "iraq ", "South Sudan", "Sudan", "Sri Lanka", None])],
+                                 "country_txt string, centroid_lat double, centroid_lon double")
+    titles = ["Blast in Iraq", "Talks in South Sudan", "Sudan and Iraq meet", "No Iraqi news", "", None, "Sri Lanka", "  SRI   LANKA  floods"]
+    rows = [(i, c, t) for i, (c, t) in enumerate((c, t) for c in ("Unknown", "SUDAN", None, "") for t in titles * 3)]
+    lv = spark.createDataFrame(rows, "article_id long, country string, title string")
+    by_map = live.enrich_with_centroids(lv, cent).collect()
+    monkeypatch.setattr(live, "MAX_COUNTRIES", 0)
+    joined = live.enrich_with_centroids(lv, cent)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, by_map)) and len(by_map) == len(rows)
+    found = {(r["title"], r["country"]) for r in by_map if r["article_id"] < 8}
+    assert {("Blast in Iraq", "Iraq"), ("Talks in South Sudan", "South Sudan"), ("Sudan and Iraq meet", "Iraq"), ("No Iraqi news", "Unknown")} <= found
+    assert live.enrich_with_centroids(lv, cent.limit(0)).filter("latitude is not null").count() == 0
+
+
 def test_report_text_has_country_and_score(spark):
     facts = spark.createDataFrame(
         [("Iraq", 1, 5.0, None, "Baghdad", 42, "Medium", 3, 1.0, 2.0, 3.0, 4.0, 5.0, "Border Clash")],

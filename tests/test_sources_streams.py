@@ -60,6 +60,50 @@ def test_streams_take_files_in_any_order(spark, small):
     assert ids.count() == ids.distinct().count() == articles.select(F.lower(F.trim("title"))).distinct().count()
 
 
+def test_window_state_ends_and_late_rows_count(spark, monkeypatch):
+    """100 batches, one hour each but every seventh: that one is days late.  The stream equals the batch count after
+    every run, and the open windows stay few."""
+    import datetime as dt
+    start = dt.datetime(2024, 1, 1)
+    hours = [h if h % 7 else max(h - 60, 0) for h in range(100)]
+    src, out = scratch_path(spark, "t-hours"), scratch_path(spark, "t-windows")
+    rows = [(i, start + dt.timedelta(hours=h, minutes=m), "k" if m else "j") for i, h in enumerate(hours) for m in (0, 5, 59)]
+    files_df = spark.createDataFrame(rows, "i int, at timestamp_ntz, k string")
+    (files_df.repartition(1).sortWithinPartitions("i").write.option("maxRecordsPerFile", 3).parquet(src))
+    held, real = [], ingest.store.remove
+    monkeypatch.setattr(ingest.store, "remove", lambda s, p: held.append(
+        spark.read.parquet(f"{out}/closed=false").groupBy("batch").count().agg(F.max("count")).first()[0]) if "-clock" in p else real(s, p))
+    local = src.removeprefix("file:")
+    for name in os.listdir(local):      # read in the order written
+        if name.startswith("part-"):
+            os.utime(f"{local}/{name}", (1_700_000_000 + 100 * int(name.split("-c")[-1].split(".")[0]),) * 2)
+    stream = spark.readStream.schema(files_df.schema).option("maxFilesPerTrigger", 1).parquet(src).select("at", "k")
+    ingest.window_counts(spark, stream, out, scratch_path(spark, "ckpt"), "2 hours", "1 hour", lateness="6 hours")
+    want = {}
+    for _, t, k in rows:
+        h = t.replace(minute=0)
+        for back in (0, 1):
+            want[h - dt.timedelta(hours=back), k] = want.get((h - dt.timedelta(hours=back), k), 0) + 1
+    got = {(r["window_start"], r["k"]): r["n"] for r in ingest.window_totals(spark, out).collect()}
+    assert got == want
+    # windows of two hours, closed six hours after their end (one batch later): ten starts and two keys
+    assert len(held) == 100 and max(held) <= 24
+
+
+def test_lookbacks_on_borders(spark):
+    import datetime as dt
+    end = dt.datetime(2024, 1, 31)
+    times = [end, end - dt.timedelta(minutes=15), end - dt.timedelta(minutes=15) + dt.timedelta(microseconds=1), end + dt.timedelta(microseconds=1),
+             end - dt.timedelta(days=7), end - dt.timedelta(days=7) + dt.timedelta(microseconds=1)]
+    rows = spark.createDataFrame([(t, "x") for t in times], "at timestamp_ntz, country string")
+    panes = (rows.groupBy(F.window(F.col("at") - F.expr("INTERVAL 1 MICROSECOND"), ingest.PANE).alias("w"), "country").count()
+             .select(F.col("w.end").alias("pane_end"), "country", F.col("count").alias("n")))
+    want = {n: sum(end - dt.timedelta(minutes=m) < t <= end for t in times) for n, m in ingest.LOOKBACKS}
+    assert {r["lookback"]: r["n"] for r in ingest.lookbacks_at(panes).collect()} == want
+    moving = ingest.moving_lookbacks(panes).filter(F.col("as_of") == F.lit(end)).first()
+    assert {n: moving[f"n_{n}"] for n, _ in ingest.LOOKBACKS} == want
+
+
 def test_a_batch_reads_touched_buckets_only(spark, small):
     from tessera.operators import live
     from tessera.plans.q_live import live_feed
