@@ -1,14 +1,15 @@
 """Operator 6: exact dedup over an extendible-hash index on shared files (DataFrame operations only).
 
-1. Every row's normalised text gets a 64-bit key; rows (doc_id, key, digest) are written once.
-   Equal texts are collapsed before anything is moved: the grouping on (key, text) compares
-   whole byte strings and combines on the map side, so a group with a third of all rows sends
-   one row for each task.
+1. Every row's normalised text gets a 64-bit key; rows (doc_id, key, digest) are written once, and
+   the number of rows of each key.
 2. The directory: from a histogram of keys over the finest key prefixes, overfull prefixes are
    split in two from depth 0 on; a bucket is the shortest prefix that holds at most ``capacity``
-   entries.  Histogram and directory have at most 2**MAX_DEPTH rows whatever the corpus.
-3. The index files: entries are dealt out by ranges of buckets, so an owner task has whole key
-   ranges; entries with the same key but other bytes are chained by their smallest doc_id.
+   keys.  Histogram and directory have at most 2**MAX_DEPTH rows whatever the corpus.
+3. The directory routes texts to owner tasks: a task owns whole buckets, that is key ranges.  It
+   compares the bytes of texts with equal keys; those that differ form the key's chain, in the order
+   of their smallest doc_id.  Keeper and size of a group come from the chain's entry.  Texts of hot keys
+   (``hot_keys``) are first combined where they are read, so that an owner receives few of their rows;
+   each other text is moved once.
 4. Every row looks up its chain entry by (key, digest).
 
 Null text counts as empty; empty texts are equal to each other.  Ties: of equal texts the
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.session import materialize
 
-CAPACITY = 1 << 17     # entries that a bucket may hold
+CAPACITY = 1 << 14     # keys that a bucket may hold
 MAX_DEPTH = 20         # directory bits; a prefix that is still overfull stays one bucket
+HOT_ROWS = 1000        # rows of a hot key, at least
+HOT_SHARE = 1 << 16    # and its part of all rows, so there are fewer hot keys than this
 
 
 def normalised(text) -> F.Column:
@@ -36,7 +39,7 @@ def normalised(text) -> F.Column:
 def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
     """The directory (cell, depth, bucket) and its depth: a cell is a key prefix of that many bits.
 
-    ``keys`` has one row for each index entry (column key).  Only overfull prefixes are split,
+    ``keys`` has one row for each key (column key).  Only overfull prefixes are split,
     so a bucket is the shortest prefix that holds at most ``capacity`` entries; the directory is
     as deep as its deepest bucket, and buckets of lesser depth stand in several cells.
     """
@@ -56,24 +59,43 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
                           "depth", first.alias("bucket")), depth
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def hot_keys(counts: DataFrame, least: int = HOT_ROWS) -> DataFrame:
+    """Keys of more than ``least`` rows and more than one in ``HOT_SHARE`` of all rows: fewer than ``HOT_SHARE`` keys."""
+    rows = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return counts.filter(F.col("rows") > max(least, rows // HOT_SHARE)).select("key")
+
+
+def owned_entries(texts: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """The index (bucket, depth, key, chain, text_sha256, keep_id, group_size) from ``texts`` (key, norm, keep_id,
+    group_size), each a row or rows that were combined.
+
+    One shuffle by bucket gives every owner whole buckets; grouping by bytes and chaining follow in the owner.
+    """
+    cell = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    # the directory has at most 2**MAX_DEPTH rows, whatever the corpus
+    routed = texts.withColumn("cell", cell).join(F.broadcast(cells), "cell").repartition("bucket")
+    entries = routed.groupBy("bucket", "depth", "key", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    entries = entries.select("bucket", "depth", "key", F.sha2(F.col("norm"), 256).alias("text_sha256"), "keep_id", "group_size")
+    chain = Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")
+    return entries.withColumn("chain", F.row_number().over(chain) - 1)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+                max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, bucket, chain) for every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("key", F.xxhash64("norm"))
     found = materialize(rows.select("doc_id", "key", F.sha2(F.col("norm"), 256).alias("text_sha256")), "dedup-rows")
-    # the group's key is the text itself: bytes are compared, and equal rows combine before the shuffle
-    entries = rows.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = materialize(entries.select("key", F.sha2(F.col("norm"), 256).alias("text_sha256"), "keep_id", "group_size"),
-                          "dedup-entries")
-    cells, depth = directory(entries.select("key"), capacity, max_depth)
-    chain = Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")
-    # the directory has at most 2**max_depth rows, whatever the corpus
-    cell = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    index = (entries.withColumn("cell", cell).join(F.broadcast(cells), "cell")
-             .withColumn("chain", F.row_number().over(chain) - 1))
-    index = materialize(index.select("bucket", "depth", "key", "chain", "text_sha256", "keep_id", "group_size"),
-                        "dedup-index")
+    counts = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "dedup-keys")
+    cells, depth = directory(counts.select("key"), capacity, max_depth)
+    hot = materialize(hot_keys(counts, hot_rows), "dedup-hot")
+    one = rows.select("key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    if not hot.isEmpty():
+        hot = F.broadcast(hot)                 # fewer than HOT_SHARE keys
+        combined = (one.join(hot, "key", "left_semi").groupBy("key", "norm")
+                    .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+        one = one.join(hot, "key", "left_anti").unionByName(combined)
+    index = materialize(owned_entries(one, cells, depth), "dedup-index")
     return (found.join(index, ["key", "text_sha256"])
             .select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain"))
