@@ -28,8 +28,9 @@ from tessera.session import materialize
 
 CAPACITY = 1 << 14     # keys that a bucket may hold
 MAX_DEPTH = 20         # directory bits; a prefix that is still overfull stays one bucket
-HOT_ROWS = 1000        # rows of a hot key, at least
-HOT_SHARE = 1 << 16    # and its part of all rows, so there are fewer hot keys than this
+HOT_BYTES = 8 << 20    # a hot key's texts have more than this
+HOT_SHARE = 1 << 16    # and more than this part of all bytes, so there are fewer hot keys than this
+ROW_BYTES = 32         # a row beside its text
 
 
 def normalised(text) -> F.Column:
@@ -59,10 +60,11 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
                           "depth", first.alias("bucket")), depth
 
 
-def hot_keys(counts: DataFrame, least: int = HOT_ROWS) -> DataFrame:
-    """Keys of more than ``least`` rows and more than one in ``HOT_SHARE`` of all rows: fewer than ``HOT_SHARE`` keys."""
-    rows = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    return counts.filter(F.col("rows") > max(least, rows // HOT_SHARE)).select("key")
+def hot_keys(counts: DataFrame, least: int = HOT_BYTES) -> DataFrame:
+    """Repeated keys whose texts have more than ``least`` bytes and more than one in ``HOT_SHARE`` of all: fewer than
+    ``HOT_SHARE`` keys.  So a hot key is one of many rows or of some long ones."""
+    total = counts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return counts.filter((F.col("rows") > 1) & (F.col("bytes") > max(least, total // HOT_SHARE))).select("key")
 
 
 def owned_entries(texts: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
@@ -81,14 +83,15 @@ def owned_entries(texts: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+                max_depth: int = MAX_DEPTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, bucket, chain) for every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("key", F.xxhash64("norm"))
-    found = materialize(rows.select("doc_id", "key", F.sha2(F.col("norm"), 256).alias("text_sha256")), "dedup-rows")
-    counts = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "dedup-keys")
+    found = materialize(rows.select("doc_id", "key", F.sha2(F.col("norm"), 256).alias("text_sha256"),
+                                    (F.octet_length("norm") + ROW_BYTES).cast("long").alias("bytes")), "dedup-rows")
+    counts = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")), "dedup-keys")
     cells, depth = directory(counts.select("key"), capacity, max_depth)
-    hot = materialize(hot_keys(counts, hot_rows), "dedup-hot")
+    hot = materialize(hot_keys(counts, hot_bytes), "dedup-hot")
     one = rows.select("key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     if not hot.isEmpty():
         hot = F.broadcast(hot)                 # fewer than HOT_SHARE keys
@@ -96,7 +99,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
         one = one.join(hot, "key", "left_anti").unionByName(combined)
     index = materialize(owned_entries(one, cells, depth), "dedup-index")
-    return (found.join(index, ["key", "text_sha256"])
+    return (found.drop("bytes").join(index, ["key", "text_sha256"])
             .select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain"))
 

@@ -46,8 +46,8 @@ def test_hot_texts_are_combined_before_their_owner(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     moved, real = [], op.owned_entries
     monkeypatch.setattr(op, "owned_entries", lambda t, *a: moved.append(t.filter("norm = 'hot text'").count()) or real(t, *a))
-    for hot in (10, op.HOT_ROWS, 10_000):
-        got = op.exact_dedup(docs, capacity=100, hot_rows=hot).collect()
+    for hot in (100, 10_000, op.HOT_BYTES):
+        got = op.exact_dedup(docs, capacity=100, hot_bytes=hot).collect()
         assert sorted((tuple(r)[:5] for r in got), key=repr) == brute(rows)
     assert moved == [1, 1, 1501]
 
