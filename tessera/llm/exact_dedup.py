@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.session import materialize
 
-CAPACITY = 1 << 14     # keys that a bucket may hold
+CAPACITY = 1 << 10     # keys that a bucket may hold
 MAX_DEPTH = 20         # directory bits; a prefix that is still overfull stays one bucket
 HOT_BYTES = 8 << 20    # a hot key's texts have more than this
 HOT_SHARE = 1 << 16    # and more than this part of all bytes, so there are fewer hot keys than this
