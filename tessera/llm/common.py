@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 2 << 20
@@ -73,6 +73,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                                                .alias("e")).select("e.u", F.col("e.m").alias("v"))
                  .filter("u <> v").distinct())
         nxt = materialize(small, "cc-small")
+        release(cur, large)
         # stars only: no root is itself a child and every child has one root
         roots = nxt.select(F.col("v").alias("u")).distinct()
         if (nxt.join(roots, "u", "left_semi").isEmpty()

@@ -11,9 +11,10 @@ Exact, without all pairs:
    (prefix filter); if the shingles that no other document has fill this prefix, the document
    links with nothing.  All other documents are candidates, equal sets taken once.
 3. Candidates that share a prefix shingle are in one block (connected components).  All links
-   are within blocks; each block is a signature tree (signature_tree.py).  A block over
-   ``part_tokens`` is cut into parts by hash: trees over single parts, then over the first
-   part with each other, then over pairs of parts that are not yet one component.
+   are within blocks; each block is a group of signature trees (signature_tree.py).  A block over
+   ``part_tokens`` is cut into parts by set size, and by hash within a size: trees over single
+   parts, then over neighbouring parts, then over the other pairs of parts that are not yet one
+   component.  Only parts whose sizes admit 3/4 meet, and only their sets of such sizes are sent.
 4. Components of the links, and of equal sets, give ``component_id``.
 
 Rarest-first order keeps a passage that a third of all documents share out of the prefixes of
@@ -31,18 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_limits, components, give_back, table
-from tessera.llm.signature_tree import SignatureTree
+from tessera.llm.signature_tree import spanning_links
 from tessera.llm.words import mix, shingles_of, words_of
-from tessera.session import materialize
+from tessera.session import materialize, release
 
 RANGE_BYTES = 8 << 20      # text bytes for each hash range: bounds what an owner task holds
 RANGE_BITS = 20
 COMMON = 64                # documents of a window that share a shingle before the window counts it itself
-PART_TOKENS = 1 << 21      # shared shingles that one tree holds at most
+PART_TOKENS = 1 << 21      # shared shingles that one part of a block holds, about
+SET_TOKENS = 32            # what a set counts beside its shingles, so that a part has a bounded number of sets
 HIGH = np.uint64(64 - RANGE_BITS)
 LOW = np.uint64((1 << 64 - RANGE_BITS) - 1)
 
@@ -205,14 +207,16 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def blocks_of(sets: DataFrame) -> DataFrame:
     """Candidates (each set once) by block: (block, k, n, tokens)."""
-    cand = sets.filter("prefix IS NOT NULL").dropDuplicates(["k1", "k2"])
-    cand = cand.select(F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("k"), F.col("n_shingles").alias("n"), "tokens", "prefix")
-    cand = materialize(cand, "candidates")
-    posts = cand.select(F.explode("prefix").alias("token"), "k")
+    cand = sets.filter("prefix IS NOT NULL").withColumn("k", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")))
+    once = materialize(cand.select("k", "prefix").dropDuplicates(["k"]), "candidates")      # shingles stay where they are
+    posts = once.select(F.explode("prefix").alias("token"), "k")
     lead = posts.groupBy("token").agg(F.min("k").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     edges = posts.join(lead, "token").filter("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b"))
-    block = components(edges)
-    return cand.drop("prefix").join(block.withColumnRenamed("node", "k").withColumnRenamed("root", "block"), "k")
+    block = components(edges).withColumnRenamed("node", "k").withColumnRenamed("root", "block")
+    rows = cand.select("k", F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["k"]).join(block, "k")
+    rows = materialize(rows.select("block", "k", "n", "tokens"), "blocks")
+    release(once)
+    return rows
 
 
 def tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +225,8 @@ def tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links() -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
-            tree = SignatureTree([np.frombuffer(x["tokens"], dtype=np.uint64) for x in held], np.array([x["n"] for x in held]))
-            tree.join_known([x["label"] for x in held])
-            found = tree.links()
+            found = spanning_links([np.frombuffer(x["tokens"], dtype=np.uint64) for x in held], np.array([x["n"] for x in held]),
+                                   [x["label"] for x in held])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([held[a]["k"] for a, _ in found]), pa.array([held[b]["k"] for _, b in found])],
                                                  names=["a", "b"])
@@ -243,33 +246,55 @@ def _trees(rows: DataFrame) -> DataFrame:
             .mapInArrow(tree_links, "a string, b string"))
 
 
-def find_links(blocks: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """Links (a, b) that span every component of every block."""
-    held = F.octet_length("tokens") / 8
-    parts = blocks.groupBy("block").agg(F.ceil(F.sum(held) / part_tokens).cast("int").alias("parts"))
-    rows = blocks.join(parts, "block").withColumn("part", F.expr("pmod(xxhash64(k), greatest(parts, 1))").cast("int"))
-    rows = materialize(rows.withColumn("label", F.lit(None).cast("string")), "block-parts")
-    links = materialize(_trees(rows.withColumn("i", F.col("part")).withColumn("j", F.col("part"))), "links-own")
-    large = rows.filter("parts > 1").drop("label")
-    if large.isEmpty():
-        return links
+def part_cuts(blocks: DataFrame, part_tokens: int) -> DataFrame:
+    """(block, n, w, at): weight of each set size in the blocks over ``part_tokens``, and of all smaller sizes.
+
+    A block has no more of these rows than its longest set has shingles.
+    """
+    weight = F.sum(F.octet_length("tokens") / 8 + SET_TOKENS).cast("long")
+    sizes = blocks.groupBy("block", "n").agg(weight.alias("w"))
+    large = sizes.groupBy("block").agg(F.sum("w").alias("total")).filter(F.col("total") > part_tokens)
+    before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = sizes.join(large, "block").select("block", "n", "w", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("at"))
+    return materialize(cuts, "part-cuts")
+
+
+def parted(blocks: DataFrame, cuts: DataFrame, part_tokens: int, how: str) -> DataFrame:
+    """``blocks`` with ``part``: 0 in small blocks, else the place in the order of sizes, counted in ``part_tokens``."""
+    place = (F.col("at") + F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / (1 << 40) * F.col("w")) / part_tokens
+    rows = blocks.join(cuts, ["block", "n"], how).withColumn("part", F.coalesce(F.floor(place).cast("int"), F.lit(0)))
+    return rows.select("block", "part", "k", "n", "tokens")
 
-    def labelled(found: DataFrame) -> DataFrame:
-        label = components(found).select(F.col("node").alias("k"), F.col("root").alias("label"))
-        return large.join(label, "k", "left").withColumn("label", F.coalesce("label", "k"))
 
-    def paired(found: DataFrame, j_of) -> DataFrame:
-        """Pairs of parts in which there is more than one component; both parts' rows are sent."""
-        now = labelled(found)
-        state = now.groupBy("block", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("parts").alias("parts"))
-        pair = state.select("block", F.col("part").alias("i"), F.explode(j_of).alias("j"), F.col("lo").alias("ilo"), F.col("hi").alias("ihi"))
-        other = state.select("block", F.col("part").alias("j"), "lo", "hi")
-        pair = pair.join(other, ["block", "j"]).filter("i < j AND NOT (ilo = ihi AND lo = hi AND ilo = lo)")
-        send = pair.select("block", "i", "j", F.explode(F.array("i", "j")).alias("part"))
-        return materialize(_trees(now.join(send, ["block", "part"])), "links-pairs")
+def part_pairs(now: DataFrame, near: bool) -> DataFrame:
+    """Pairs of parts i < j that may hold a link between components: neighbours, or all others.
 
-    links = links.union(paired(links, F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1))))
-    return links.union(paired(links, F.sequence(F.col("part"), F.col("parts") - 1)))
+    Rows (block, i, j, part, least, most): which part's sets of which sizes go to the pair's task.
+    """
+    state = now.groupBy("block", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    first = state.select("block", *[F.col(c).alias(f"i_{c}") for c in ("part", "lo", "hi", "least", "most")])
+    step = F.col("part") - F.col("i_part")
+    pair = first.join(state, "block").filter(step == 1 if near else step > 1).filter("3 * least <= 4 * i_most")
+    pair = pair.filter("NOT (i_lo = i_hi AND lo = hi AND i_lo = lo)")
+    ends = F.array(F.struct(F.col("i_part").alias("part"), F.ceil(3 * F.col("least") / 4).alias("least"), F.col("i_most").alias("most")),
+                   F.struct(F.col("part"), F.col("least"), F.floor(4 * F.col("i_most") / 3).alias("most")))
+    return pair.select("block", F.col("i_part").alias("i"), F.col("part").alias("j"), F.explode(ends).alias("e")).select("block", "i", "j", "e.*")
+
+
+def find_links(blocks: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """Links (a, b) that span every component of every block."""
+    cuts = part_cuts(blocks, part_tokens)
+    part = F.col("part")
+    rows = parted(blocks, cuts, part_tokens, "left")
+    links = materialize(_trees(rows.withColumns({"i": part, "j": part, "label": F.lit(None).cast("string")})), "links-own")
+    if cuts.isEmpty():
+        return links
+    for near in (True, False):
+        label = components(links).select(F.col("node").alias("k"), F.col("root").alias("label"))
+        now = parted(blocks, cuts, part_tokens, "inner").join(label, "k", "left").withColumn("label", F.coalesce("label", "k"))
+        sent = now.join(part_pairs(now, near), ["block", "part"]).filter("n >= least AND n <= most")
+        links = links.union(materialize(_trees(sent), "links-pairs"))
+    return links
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -279,7 +304,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``row`` is the text's xxhash64; ``component`` names the component even where rows repeat a doc_id.
     """
     sets = shingle_sets(docs, id_col, text_col)
-    links = find_links(blocks_of(sets), part_tokens)
+    blocks = blocks_of(sets)
+    links = find_links(blocks, part_tokens)
+    release(blocks)
     root = components(links)
     key = F.concat(F.hex("k1"), F.lit("-"), F.hex("k2")).alias("k")
     rows = sets.select("doc_id", "row", "n_shingles", key)

@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_join as op
-from tessera.llm.signature_tree import SignatureTree
+from tessera.llm.signature_tree import Joined, SignatureTree, bitmap_width, class_borders, spanning_links
 from tessera.llm.words import shingles_of, words_of
 from tests.llm.brute import near_components, shingles, words
 from tests.llm.conftest import ROWS, SMALL, read
@@ -58,6 +59,86 @@ def test_tree_finds_every_component():
     assert [tree.find(i) for i in range(len(sets))] == root and len(links) == len(sets) - len(set(root))
 
 
+def random_sets(rng, groups, least, most):
+    """Groups of sets that differ a little, of many sizes."""
+    sets = []
+    for _ in range(groups):
+        base = np.unique(rng.integers(0, 1 << 40, int(rng.integers(least, most))).astype(np.uint64))
+        for _ in range(int(rng.integers(1, 9))):
+            keep = base[rng.random(len(base)) > rng.choice([0, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([keep if len(keep) else base, rng.integers(0, 1 << 40, int(rng.integers(0, 1 + len(base) // 8))).astype(np.uint64)])))
+    return [sets[i] for i in rng.permutation(len(sets))]
+
+
+def roots_by_all_pairs(sets):
+    held = [frozenset(s.tolist()) for s in sets]
+    joined = Joined(len(sets))
+    for a, x in enumerate(held):
+        for b, y in enumerate(held[:a]):
+            inter = len(x & y)
+            if 100 * inter >= 75 * (len(x) + len(y) - inter):
+                joined.union(a, b)
+    return [joined.find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("bitmap_bytes", [0, 2000, 20_000, 1 << 25])
+def test_trees_by_size_class_find_every_component(bitmap_bytes):
+    rng = np.random.default_rng(8)
+    for least, most in ((1, 12), (5, 400)):
+        sets = random_sets(rng, 25, least, most)
+        want = roots_by_all_pairs(sets)
+        links = spanning_links(sets, np.array([len(s) for s in sets]), [None] * len(sets), bitmap_bytes)
+        # each link joins two components and none is missing
+        assert all(want[a] == want[b] for a, b in links) and len(links) == len(sets) - len(set(want))
+        again = spanning_links(sets, np.array([len(s) for s in sets]), want, bitmap_bytes)
+        assert again == []
+
+
+def test_sets_link_with_the_next_size_class_at_most():
+    borders = class_borders(3000)
+    at = np.searchsorted(borders, np.arange(3001), "right")
+    for n in range(1, 2251):
+        assert at[4 * n // 3] - at[n] <= 1
+    assert (np.diff(borders) > 0).all() and borders[-1] > 3000 >= borders[-2]
+
+
+def test_one_long_set_does_not_widen_the_bitmaps_of_the_others():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 40, 5).astype(np.uint64)) for _ in range(20_000)]
+    sets.append(np.unique(rng.integers(0, 1 << 40, 40_000).astype(np.uint64)))
+    assert 20_000 * bitmap_width(40_000) >> 3 > 150 << 20
+    # only memory counts here, so all short sets are one component already
+    tracemalloc.start()
+    assert spanning_links(sets, np.array([len(s) for s in sets]), [0] * 20_000 + [None]) == []
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+def test_parts_of_a_block_meet_by_size(spark):
+    """One block of some 50 parts: far fewer rows than all pairs of parts go out, and no link is lost."""
+    rng = np.random.default_rng(10)
+    sets = random_sets(rng, 120, 4, 300)
+    rows = [("x", f"k{i:04d}", len(s), s.tobytes()) for i, s in enumerate(sets)]
+    blocks = spark.createDataFrame(rows, "block string, k string, n long, tokens binary")
+    size = sum(len(s) + op.SET_TOKENS for s in sets) // 50
+    cuts = op.part_cuts(blocks, size)
+    now = op.parted(blocks, cuts, size, "inner").withColumn("label", op.F.col("k"))
+    at = {r.k: r.part for r in now.collect()}
+    parts = len(set(at.values()))
+    assert len(at) == len(rows) and 40 <= parts <= 51
+    weight = [sum(len(s) + op.SET_TOKENS for (_, k, _, _), s in zip(rows, sets, strict=True) if at[k] == p) for p in set(at.values())]
+    assert max(weight) < 3 * size
+    sent = sum(now.join(op.part_pairs(now, near), ["block", "part"]).filter("n >= least AND n <= most").count() for near in (True, False))
+    assert sent < 0.4 * (parts - 1) * len(rows)
+    want = roots_by_all_pairs(sets)
+    found = [(int(r.a[1:]), int(r.b[1:])) for r in op.find_links(blocks, size).collect()]
+    root = Joined(len(sets))
+    for a, b in found:
+        assert want[a] == want[b]
+        root.union(a, b)
+    assert [root.find(i) for i in range(len(sets))] == want
+
+
 def test_hashes_are_those_of_words_and_shingles():
     texts = [r[1] for r in ROWS] + ["A b\x0bC  d e F", "a B c d e f"]
     got, cuts = shingles_of(*words_of(pa.array(texts)))
