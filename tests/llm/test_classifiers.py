@@ -1,5 +1,7 @@
 """Toxicity and quality: held-out accuracy, gradients, awkward rows."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -57,6 +59,66 @@ def test_attention_finds_the_passage_that_counts():
     assert np.mean([weight[cuts[i]:cuts[i + 1]].argmax() == x[cuts[i]:cuts[i + 1], 0].argmax() for i in many]) > 0.8
 
 
+def tiny_bags(rng, documents):
+    size = rng.integers(1, 6, documents)
+    return quality.Bags(rng.normal(size=(size.sum(), quality.FEATURES)), np.concatenate([[0], np.cumsum(size)]))
+
+
+def plain_score(model, passages):
+    """The score of one document, passage by passage."""
+    enc, enc0, v, u, w, c, c0 = model.theta
+    hidden, weight = [], []
+    for x in passages:
+        h = np.tanh(np.clip((x - model.mean) / model.scale, -6, 6) @ enc + enc0)
+        hidden.append(h)
+        weight.append(math.exp(sum(w[g] * math.tanh(h @ v[:, g]) / (1 + math.exp(-(h @ u[:, g]))) for g in range(len(w)))))
+    z = sum(a * h for a, h in zip(weight, hidden, strict=True)) / sum(weight)
+    return 1 / (1 + math.exp(-(z @ c + c0[0])))
+
+
+def test_attention_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(11)
+    bags = tiny_bags(rng, 30)
+    model = quality.fit(bags, (rng.random(30) < 0.5).astype(float), rounds=20)
+    plain = [plain_score(model, bags.x[a:b]) for a, b in zip(bags.cuts[:-1], bags.cuts[1:], strict=True)]
+    assert np.allclose(model.forward(bags)[-1], plain, atol=1e-12)
+
+
+def test_attention_is_fitted_by_the_gradient_of_its_loss():
+    """The same rounds of Adam by differences of the loss give the same model."""
+    rng = np.random.default_rng(12)
+    bags, y, rate, l2 = tiny_bags(rng, 12), np.tile([0.0, 1.0], 6), 0.03, 1e-4
+    model = quality.fit(bags, y, rounds=0, rate=rate, l2=l2)
+    theta = model.theta
+    avg, square = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+
+    def loss():
+        p = model.forward(bags)[-1]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + l2 / 2 * sum((t ** 2).sum() for t in theta[:-1])
+
+    for k in range(1, 7):
+        slopes = []
+        for t in theta:
+            slope = np.zeros_like(t)
+            for at in np.ndindex(t.shape):
+                kept = t[at]
+                t[at] = kept + 1e-5
+                up = loss()
+                t[at] = kept - 1e-5
+                slope[at] = (up - loss()) / 2e-5
+                t[at] = kept
+            slopes.append(slope)
+        for t, s, m, q in zip(theta, slopes, avg, square, strict=True):
+            m += 0.1 * (s - m)
+            q += 0.001 * (s * s - q)
+            t -= rate * (m / (1 - 0.9 ** k)) / (np.sqrt(q / (1 - 0.999 ** k)) + 1e-8)
+    fitted = quality.fit(bags, y, rounds=6, rate=rate, l2=l2)
+    moved = max(np.abs(a - b).max() for a, b in zip(fitted.theta, quality.fit(bags, y, rounds=0).theta, strict=True))
+    assert moved > 0.1
+    for a, b in zip(fitted.theta, theta, strict=True):
+        assert np.allclose(a, b, atol=2e-3)
+
+
 @pytest.mark.parametrize("score", [toxicity.toxicity_scores, quality.scored])
 def test_awkward_rows_and_empty_tables(awkward, labels, score):
     got = score(awkward, labels)

@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 from fractions import Fraction
 
@@ -75,6 +76,35 @@ def test_awkward_rows_and_empty_table(awkward):
     assert op.mix_sources(awkward.limit(0)).count() == 0
 
 
+def slot_by_slot(docs, block):
+    """The exact schedule told slot by slot: of the blocks released, the one with the earliest deadline."""
+    rows = defaultdict(list)
+    for i, s in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
+        rows[s or ""].append(i)
+    names = sorted(rows)
+    weight = {s: Fraction(len(rows[s]) ** op.TEMPER) for s in names}
+    share = {s: weight[s] / sum(weight.values()) for s in names}
+    done, slot, out = dict.fromkeys(names, 0), 0, []
+    while any(done[s] * block < len(rows[s]) for s in names):
+        due = [(math.ceil((done[s] + 1) / share[s]), -share[s], s) for s in names
+               if done[s] * block < len(rows[s]) and math.floor(done[s] / share[s]) <= slot]
+        if due:
+            deadline, _, s = min(due)
+            k = done[s]
+            for rank in range(k * block, min((k + 1) * block, len(rows[s]))):
+                out.append((rows[s][rank], s, rank, k, math.floor(k / share[s]), deadline, slot))
+            done[s] += 1
+        slot += 1
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [1, op.BLOCK])
+def test_the_query_s_schedule_slot_by_slot(spark, block):
+    docs = [(r[0], r[3]) for r in read(MIDDLE, "documents")]
+    got = op.mix_sources(spark.createDataFrame(docs, "doc_id long, source string"), block=block)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == slot_by_slot(docs, block)
+
+
 TARGETS = [([1 / 3] + [2 / 57] * 19, [700] * 20), ([(1 / i) ** 0.5 for i in range(1, 51)], [3000 // i + 1 for i in range(1, 51)]),
            ([1e4, 1e4, 10], [5000, 5000, 7]), ([1e-5, 1, 0.3], [3, 3000, 900]), ([1], [5])]
 
