@@ -26,7 +26,7 @@ from tessera.llm.common import table
 from tessera.session import materialize
 
 # (host, path, verdict), fixed values of the query
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
 TOLERANCE = 1e-6     # the sum of all changes of a round at which scores count as settled
