@@ -139,6 +139,41 @@ def test_cross_validation_threat_and_contributions(spark, small):
     assert ml.attack_metrics(ml.fit_threat_model(threat, 20), threat).first()["test_accuracy"] > 0.8
 
 
+def test_forest_grown_in_parts_is_one_model(spark, small, monkeypatch):
+    import numpy as np
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from tessera.session import scratch_path
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    train = data.filter("is_train").withColumn("weight", F.lit(1.0))
+    monkeypatch.setattr(ml, "COUNTS_A_FIT", 4 * train.count())
+    fitted, grown = [], ml.joined_forest
+    monkeypatch.setattr(ml, "joined_forest", lambda parts: fitted.extend(parts) or grown(parts))
+    model = ml.grow_forest(train, 10)
+    sizes = [p.stages[-1].getNumTrees for p in fitted]
+    assert sizes == [4, 4, 2] and model.stages[-1].getNumTrees == 10 and len(model.stages[-1].trees) == 10
+    assert len({t.toDebugString.split("\n", 1)[1] for t in model.stages[-1].trees}) > 5      # seeds of their own
+    path = scratch_path(spark, "t-parts")
+    model.write().save(path)
+    share = lambda m: np.array([r[0] for r in m.transform(data).orderBy("incident_id").select(vector_to_array("probability")).collect()])
+    want = sum(n * share(p) for n, p in zip(sizes, fitted, strict=True)) / 10
+    assert np.allclose(share(model), want) and np.allclose(share(PipelineModel.load(path)), want)
+    weight = sum(n * p.stages[-1].featureImportances.toArray() for n, p in zip(sizes, fitted, strict=True))
+    assert np.allclose(model.stages[-1].featureImportances.toArray(), weight / weight.sum())
+    assert ml.forest_nodes(model).select("tree").distinct().count() == 10
+
+
+def test_trees_read_even_files(spark, small, monkeypatch):
+    """Train and test rows are in all files, and not the test rows in the last ones."""
+    monkeypatch.setattr(ml, "EVEN_FROM", 100)
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    cores = spark.sparkContext.defaultParallelism
+    for df in (data, ml.threat_data(spark.table("incidents"))):
+        files = df.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.count_if(~F.col("is_train")).alias("test")).collect()
+        assert len(files) == 2 * cores and max(r.n for r in files) <= min(r.n for r in files) + 2 * cores and sum(r.test > 0 for r in files) > cores
+
+
 def test_path_contributions_add_up(spark, small):
     """Against a walk by hand over every tree; a saved model explains new rows in one call."""
     import numpy as np
