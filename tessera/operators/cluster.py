@@ -15,7 +15,7 @@ Plan (see geo.py for the cell grid):
 4. Core cells are graph nodes (all core points of a cell are mutual neighbours);
    an edge joins two cells holding a core pair within eps, found by halving boxes and not
    by pairing points (``cell_edges``).  Components by
-   min-label propagation with pointer jumping; each round is written as a table
+   min-label propagation with hooking and pointer jumping; each round is written as a table
    in the shared checkpoint folder; the driver only sees the count of changed labels.
 5. Number clusters, attach border points, join back to every incident.
 """
@@ -222,9 +222,11 @@ def cell_edges(core: DataFrame, nodes: DataFrame, adj: DataFrame, eps_km: float,
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Min-label propagation with pointer jumping: returns (node, label=min node of component).
+    """Min-label propagation with hooking and pointer jumping: returns (node, label=min node of component).
 
-    Each round: label(a) = min(label(a), labels of neighbours), then label = label(label).
+    Each round: label(a) = min(label(a), labels of neighbours), and the node that label(a) names gets the
+    same minimum, so all that follow that node move with it; then label = label(label).  Rounds
+    follow the logarithm of a component's length and not the length.
     Labels only decrease and always name a node of the same component, so the fixed
     point is the component minimum.  Every round is written to the shared folder.
     """
@@ -234,8 +236,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         nb = (und.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b")
               .groupBy("a").agg(F.min("lb").alias("nmin")))
-        step = (labels.join(nb.withColumnRenamed("a", "node"), "node", "left")
-                .select("node", "label", F.least("label", F.coalesce("nmin", "label")).alias("l1")))
+        near = labels.join(nb.withColumnRenamed("a", "node"), "node", "left")
+        hook = near.groupBy(F.col("label").alias("node")).agg(F.min("nmin").alias("hmin"))
+        step = (near.join(hook, "node", "left")
+                .select("node", "label", F.least("label", F.coalesce("nmin", "label"), F.coalesce("hmin", "label")).alias("l1")))
         jump = labels.select(F.col("node").alias("l1"), F.col("label").alias("l2"))
         new = (step.join(jump, "l1", "left")
                .select("node", F.col("label").alias("old"),
@@ -271,12 +275,14 @@ def window_centroids(df: DataFrame, window_years: int = 5, eps_km: float = 150.0
                      min_samples: int = 10) -> DataFrame:
     """DBSCAN per 5-year window anchored at the first year, all windows in one run.
 
+    The points are written once, with the columns that are used, and read from there.
     The window is an extra key of every join, so all windows cluster together.
     Windows with fewer rows than ``min_samples`` cannot hold a core point and
     so yield no centroid, as in the reference.
     """
     pts = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
                     & F.col("iyear").isNotNull())
+    pts = materialize(pts.select("incident_id", "iyear", "latitude", "longitude"), "window-points")
     y0 = pts.select(F.min("iyear")).scalar()
     y1 = pts.select(F.max("iyear")).scalar()
     start = y0 + F.floor((F.col("iyear") - y0) / window_years).cast("int") * window_years
@@ -294,7 +300,9 @@ def migration_vectors(centroids: DataFrame, max_link_km: float = 500.0) -> DataF
 
     Consecutive windows come from a dense rank over the distinct window starts (a
     tiny table); the candidate pairs come from the cell range join, not all pairs.
+    The centroids are written once: windows, both sides and their cells are read from there.
     """
+    centroids = materialize(centroids, "window-centroids")
     wins = (centroids.select("window_start").distinct()
             .withColumn("w_idx", F.dense_rank().over(Window.orderBy("window_start"))))
     c = centroids.join(wins, "window_start")

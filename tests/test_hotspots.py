@@ -266,3 +266,26 @@ def test_radius_sums_follow_the_border(spark, monkeypatch):
                 want[k] = (n + 1, c + rows[i][4])
         assert got == want and sum(n for n, _ in want.values()) > 10_000
         assert 0 < sum(opened) < sum(n for n, _ in want.values()) / 3
+
+
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    """A path whose ids lie scattered along it, another one, and a lone node."""
+    names, write = [], cluster.materialize
+    monkeypatch.setattr(cluster, "materialize", lambda df, name: names.append(name) or write(df, name))
+    at = lambda i: (i * 389) % 601
+    edges = [tuple(sorted((at(i), at(i + 1)))) for i in range(600) if i != 450]
+    nodes = spark.createDataFrame([(i,) for i in [*range(601), 900]], "node long")
+    got = {r.node: r.label for r in cluster.connected_components(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    first, second = {at(i) for i in range(451)}, {at(i) for i in range(451, 601)}
+    assert got == {n: min(first) for n in first} | {n: min(second) for n in second} | {900: 900}
+    assert names.count("cc-labels") <= 14
+
+
+def test_window_points_are_read_once(spark, tmp_path):
+    rows = [(i, 2000 + i % 7, 10.0 + i % 5 / 10, 20.0) for i in range(60)] + [(60, None, 10.0, 20.0), (61, 2001, None, 20.0)]
+    spark.createDataFrame(rows, "incident_id long, iyear int, latitude double, longitude double").write.parquet(str(tmp_path / "rows"))
+    inc = spark.read.parquet(str(tmp_path / "rows"))
+    cents = cluster.window_centroids(inc, 5, 150.0, 10)
+    assert not any("/rows/" in f for f in cents.inputFiles())      # the incidents are not computed again
+    assert [(r.window_start, r.window_end, r.incidents) for r in cents.orderBy("window_start").collect()] == [(2000, 2004, 44), (2005, 2006, 16)]
+    assert not any("window-points" in f for f in cluster.migration_vectors(cents).inputFiles())
