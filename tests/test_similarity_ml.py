@@ -164,6 +164,116 @@ def test_forest_grown_in_parts_is_one_model(spark, small, monkeypatch):
     assert ml.forest_nodes(model).select("tree").distinct().count() == 10
 
 
+def _by_hand(rows, weight, cuts, subsets, min_leaf, node=1, depth=3):
+    """A tree grown plainly: (node, feature, cut, gain, counts by class) of its nodes."""
+    total = [sum(t for _, y, t in rows if y == c) for c in range(len(weight))]
+    gini = lambda n: 1 - sum((a * w / max(sum(map(float.__mul__, map(float, n), weight)), 1e-300)) ** 2 for a, w in zip(n, weight))  # noqa: E731, B905
+    size = lambda n: sum(a * w for a, w in zip(n, weight))  # noqa: E731, B905
+    best = (0.0, -1, 0)
+    for f in subsets[node] if node < 1 << depth and sum(n > 0 for n in total) > 1 else []:
+        for k, c in enumerate(cuts[f]):
+            left = [sum(t for x, y, t in rows if y == j and x[f] <= c) for j in range(len(weight))]
+            right = [a - b for a, b in zip(total, left)]  # noqa: B905
+            gain = gini(total) - (size(left) * gini(left) + size(right) * gini(right)) / size(total)
+            if min(sum(left), sum(right)) >= min_leaf and gain > best[0] + 1e-12:
+                best = (gain, f, k)
+    gain, f, k = best
+    out = {node: (f, float(cuts[f][k]) if f >= 0 else 0.0, total)}
+    if f >= 0:
+        out |= _by_hand([r for r in rows if r[0][f] <= cuts[f][k]], weight, cuts, subsets, min_leaf, 2 * node, depth)
+        out |= _by_hand([r for r in rows if r[0][f] > cuts[f][k]], weight, cuts, subsets, min_leaf, 2 * node + 1, depth)
+    return out
+
+
+def test_binned_trees_against_trees_grown_by_hand(spark, monkeypatch):
+    """All trees' splits and counts, with blocks of few rows, a value of many rows, a rare class and more values than bins."""
+    import numpy as np
+
+    from tessera.operators import grow
+    monkeypatch.setattr(grow, "BLOCK_ROWS", 50)
+    kept, unmerged = [], []
+    monkeypatch.setattr(grow, "release", lambda blocks: kept.extend(blocks.collect()))
+    real = grow.merged
+    monkeypatch.setattr(grow, "merged", lambda feature, cut, gain, counts, weight, cuts: unmerged.append((feature.copy(), cut.copy(), counts.copy()))
+                        or real(feature, cut, gain, counts, weight, cuts))
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.integers(3)), float(rng.normal()), 7.0 if i % 4 else float(i % 9), float(i % 2)) for i in range(600)]
+    rows = [(*x, 2.0 if i % 97 == 0 else float(x[0] + x[1] + rng.normal() > 1)) for i, x in enumerate(rows)]
+    feats = ["a", "b", "c", "d"]
+    train = spark.createDataFrame(rows, "a double, b double, c double, d double, label double")
+    cuts = grow.thresholds(train, feats, 16)
+    assert [len(c) for c in cuts][::2] == [2, 8] and 10 <= len(cuts[1]) <= 16 and list(cuts[3]) == [0.5]
+    weight = np.array([1.0, 0.5, 20.0])
+    nodes = grow.grow_trees(train, feats, cuts, weight, 600, 4, 3, 2, 11)
+    assert sum(b["n"] for b in kept) == 600 and len({(b["part"], b["block"]) for b in kept}) == len(kept)
+    shape, draws = grow.Shape(4, 3, 0, 2, 3, 11), grow.poisson_table()
+    feature, cut, counts = unmerged[0]
+    for tree in range(4):
+        mine = []
+        for b in kept:
+            cell = np.frombuffer(b["cells"], dtype="<u2").reshape(4, b["n"])
+            times = draws[np.random.Generator(np.random.SFC64([11, tree, b["part"], b["block"]])).integers(0, 1 << 16, b["n"], dtype=np.uint16)]
+            # bins as values: cut k parts bins up to k from the others
+            mine += [([int(v) // 3 for v in cell[:, i]], int(cell[0, i]) % 3, t) for i, t in enumerate(times) if t]
+        assert 400 < sum(t for *_, t in mine) < 800
+        want = _by_hand(mine, weight.tolist(), [np.arange(len(c)) for c in cuts], shape.subsets(tree).tolist(), 2)
+        assert {n for n in want if want[n][0] >= 0} == set(np.flatnonzero(feature[tree] >= 0))
+        for n, (f, c, total) in want.items():
+            assert counts[tree, n].tolist() == total and (f < 0 or (feature[tree, n], cut[tree, n]) == (f, c))
+    assert set(nodes["tree"]) == {0, 1, 2, 3} and abs(draws.mean() - 1) < 1e-3 and abs((draws == 0).mean() - 0.36788) < 1e-4
+
+
+def test_binned_forest_is_as_good_as_mllibs(spark, small, monkeypatch):
+    """Same rules, other draws: the same rows' probabilities lie close; one model that saves, loads and explains itself."""
+    import numpy as np
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from tessera.session import scratch_path
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    share = lambda m: np.array([r[0] for r in m.transform(data).orderBy("incident_id").select(vector_to_array("probability")).collect()])
+    theirs = ml.fit_attack_model(data, 60)
+    other = ml.fit_attack_model(data, 60, seed=77)
+    monkeypatch.setattr(ml, "BINNED_FROM", 1)
+    model = ml.fit_attack_model(data, 60)
+    assert model.stages[-1].getNumTrees == 60 and model.stages[-1].numClasses == theirs.stages[-1].numClasses
+    assert 0.9 < model.stages[-1].totalNumNodes / theirs.stages[-1].totalNumNodes < 1.1
+    apart = lambda a, b: np.abs(share(a) - share(b)).mean()
+    assert apart(model, theirs) < 1.3 * apart(other, theirs)
+    path = scratch_path(spark, "t-binned")
+    model.write().save(path)
+    assert np.allclose(share(PipelineModel.load(path)), share(model))
+    assert abs(model.stages[-1].featureImportances.toArray().sum() - 1) < 1e-9
+    # a weight that differs within a class leaves the fit to MLlib
+    train = data.filter("is_train").withColumn("weight", F.when(F.col("pos") % 2 == 0, 1.0).otherwise(2.0))
+    assert ml.grow_binned(train, train.count(), 2, 1, ml.feature_names(), 40) is None
+
+
+def test_tree_by_tree_scores_are_transforms(spark, small):
+    """Predictions and occlusions against ``transform`` of every variant; two rows of one id are ranked together."""
+    from pyspark.ml.functions import vector_to_array
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    model = ml.fit_attack_model(data, 12)
+    want = sorted(model.transform(data).select("incident_id", "prediction").collect())
+    assert sorted(ml.forest_predictions(model, data, ["incident_id"]).collect()) == want
+    feats = ml.feature_names()
+    fills = dict(zip(feats, [1.0, 2.0, 0.0, 3.0, 5.0, 1995.0, 1.0, 0.0, 4.0, 9.0], strict=True))
+    few = data.orderBy("incident_id").limit(30).withColumn("incident_id", F.when(F.col("incident_id") % 7 == 0, 0).otherwise(F.col("incident_id")))
+    few = few.select("incident_id", *feats).localCheckpoint()
+    said = {}
+    for f in [None, *feats]:
+        rows = few.withColumn("no", F.concat_ws("/", *few.columns))
+        rows = rows.withColumn(f, F.lit(fills[f])) if f else rows
+        said[f] = {r.no: (r.incident_id, r.p, r.prediction) for r in model.transform(rows).select("no", "incident_id", "prediction", vector_to_array("probability").alias("p")).collect()}
+    every = {}
+    for no, (i, p, best) in said[None].items():
+        every.setdefault(i, []).extend((-abs(p[int(best)] - said[f][no][1][int(best)]), f, best, p[int(best)] - said[f][no][1][int(best)]) for f in feats)
+    want = {(i, k + 1): x for i, xs in every.items() for k, x in enumerate(sorted(xs)[:3])}
+    got = {(r.incident_id, r["rank"]): r for r in ml.occlusion_contributions(model, few, fills).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k].contribution - w[3]) < 1e-12 and got[k].feature == w[1] and got[k].base_prediction == w[2] for k, w in want.items())
+
+
 def test_trees_read_even_files(spark, small, monkeypatch):
     """Train and test rows are in all files, and not the test rows in the last ones."""
     monkeypatch.setattr(ml, "EVEN_FROM", 100)
