@@ -226,6 +226,7 @@ class Code:
         self.lengths = lengths.astype(np.int64)
         self.codes, order = canonical(lengths)
         self.longest = int(lengths.max(initial=1))
+        self.left = self.codes.astype(np.uint64) << np.minimum(64 - self.lengths, 63).astype(np.uint64)    # a symbol without a code word has code 0
         self.table = np.repeat(order, np.left_shift(1, self.longest - self.lengths[order])).astype(np.uint32)
         self.table = np.pad(self.table, (0, (1 << self.longest) - len(self.table)))
 
@@ -235,29 +236,33 @@ class Code:
         ends = np.cumsum(size)
         at = ends - size
         words = np.zeros((int(ends[-1]) >> 5) + 2, dtype=np.uint64)
-        # two 32-bit words hold each code word: left-aligned in 64 bits, then cut in halves
-        code = self.codes.take(ids).astype(np.uint64) << (64 - size - (at & 31)).astype(np.uint64)
+        # two 32-bit words hold each code word: left-aligned in 64 bits, joined with those of the same word, then cut in halves
+        code = self.left.take(ids) >> (at & 31).astype(np.uint64)
         word = at >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] |= np.bitwise_or.reduceat(code >> np.uint64(32), first)
-        words[word[first] + 1] |= np.bitwise_or.reduceat(code & np.uint64(0xFFFFFFFF), first)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        code, word = np.bitwise_or.reduceat(code, first), word[first]
+        words[word] |= code >> np.uint64(32)
+        words[word + 1] |= code & np.uint64(0xFFFFFFFF)
         stream = words.astype(">u4").tobytes()
         return stream[: (int(ends[-1]) + 7) >> 3], at[::CHECKPOINT]
 
     def decode(self, stream: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """All ids of a block: the stretches between checkpoints in step with one another."""
         data = np.frombuffer(stream + b"\0" * 8, dtype=np.uint8)
-        out = np.empty((CHECKPOINT, len(offsets)), dtype=np.uint32)
-        at, mask = offsets.astype(np.int64), (1 << self.longest) - 1
+        width = (self.longest + 14) // 8                  # bytes that hold a code word wherever it begins
         last = len(data) - 8
+        seen = np.zeros(last + 1, dtype=np.uint32 if width <= 4 else np.int64)      # those from each byte on
+        for j in range(width):
+            seen <<= 8
+            seen |= data[j: last + 1 + j]
+        out = np.empty((CHECKPOINT, len(offsets)), dtype=np.uint32)
+        at, mask, spare = offsets.astype(np.int64), (1 << self.longest) - 1, 8 * width - self.longest
+        both = self.table << np.uint32(6) | self.lengths.astype(np.uint32).take(self.table)     # symbol and length: fewer than 2**26 symbols
         for k in range(CHECKPOINT):
-            byte = np.minimum(at >> 3, last)
-            seen = np.zeros(len(at), dtype=np.int64)
-            for j in range((self.longest + 14) // 8):
-                seen = seen << 8 | data[byte + j]
-            seen = seen >> (8 * ((self.longest + 14) // 8) - self.longest - (at & 7)) & mask
-            out[k] = self.table.take(seen)
-            at = at + self.lengths.take(out[k])
+            word = seen.take(np.minimum(at >> 3, last)) >> (spare - (at & 7)) & mask
+            out[k] = both.take(word)
+            at += out[k] & 63
+        out >>= 6
         return out.T.ravel()[:n]
 
 
