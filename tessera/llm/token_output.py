@@ -98,8 +98,10 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def _learn(self, word: bytes) -> bytes:
-        raw = self.raw
-        if self.lower and word.isalpha() and word.islower():                     # ASCII letters stand for themselves
+        raw, stem = self.raw, word.rstrip(MARKS)
+        if self.lower and stem.isalpha() and stem.islower():                     # ASCII letters stand for themselves
+            if len(stem) < len(word):                                            # most stems are words that have been learnt
+                return self.known[stem] + self.known[word[len(stem):]]
             return b"".join([raw[t.id] for t in self.merge(word.decode())])
         text = word.decode("utf-8", "surrogatepass")
         plain = LATIN.match(text) if self.lower else None
@@ -133,6 +135,7 @@ class WordEncoder:
 # the pattern of words that the tokenizer keeps (a fixed value); nothing of it holds white space
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # Latin letters, of which lower-case ones stay as they are, then ASCII marks without the apostrophe
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 LATIN = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)\\Z")
 BYTE_CHARS = {b: c for c, b in byte_alphabet().items()}
 

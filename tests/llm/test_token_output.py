@@ -91,3 +91,17 @@ def test_awkward_rows_and_empty_table(spark, awkward, tmp_path):
     assert [r.doc or -1 for r in got] == sorted(r.doc or -1 for r in got)
     op.write_token_files(awkward.limit(0), spec, f"file://{tmp_path}/b", ["doc_id"])
     assert op.read_ids(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_words_with_marks_take_the_ids_of_learnt_words():
+    import numpy as np
+
+    from tessera.llm import token_output as t
+    from tessera.llm.token_counts import tokenizer_text
+    e = t.WordEncoder(tokenizer_text(t.TOKENIZER), "<u4")
+    asked, merge = [], e.merge
+    e.merge = lambda word: asked.append(word) or merge(word)
+    texts = ["bohrung bohrung, (bohrung bohrung!? bohrung", "it's rock'n'roll... don't", "x~ y| <unk> ab<unk> z_z a-b, été; 12, ,", "!!! ?! a."]
+    for text in texts:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("bohrung") == 1
