@@ -324,3 +324,12 @@ def test_listed_categories_go_left():
                           "feature": [0, -1, -1], "cut": [[3.0, 1.0], [], []], "categories": [4, -1, -1]})
     best, base, p, each = ml.Forest(nodes).explain(np.array([[1.0], [2.0], [3.0]]))
     assert best.tolist() == [0, 1, 0] and base.tolist() == [0.5] * 3 and p.tolist() == [1.0] * 3 and each.ravel().tolist() == [0.5] * 3
+
+
+def test_counts_travel_in_few_bytes():
+    import numpy as np
+
+    from tessera.operators import grow
+    for top, size in ((0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4), (2**32 - 1, 4)):
+        counts = np.array([0.0, 3.0, top])
+        assert grow.unpacked(grow.packed(counts)).tolist() == counts.tolist() and len(grow.packed(counts)) == 1 + 3 * size
