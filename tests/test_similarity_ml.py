@@ -333,3 +333,81 @@ def test_counts_travel_in_few_bytes():
     for top, size in ((0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4), (2**32 - 1, 4)):
         counts = np.array([0.0, 3.0, top])
         assert grow.unpacked(grow.packed(counts)).tolist() == counts.tolist() and len(grow.packed(counts)) == 1 + 3 * size
+
+
+def test_looked_up_nodes_are_those_of_a_walk():
+    """Random trees with leaves at all levels, features of one bin and of more bins than a group holds."""
+    import numpy as np
+
+    from tessera.operators import grow
+    rng = np.random.default_rng(8)
+    for bins in ((3, 1, 40, 7, 2, 30), (5000, 2, 90), (1, 1)):
+        shape = grow.Shape(len(bins), 3, max(bins) * 3, 2, 6, 1, bins)
+        groups = grow.joined(bins)
+        assert sorted(f for g in groups for f in g) == list(range(len(bins)))
+        bin_of = np.stack([rng.integers(0, b, 400) for b in bins])
+        cells = (bin_of * 3 + rng.integers(0, 3, 400)).astype("<u2").ravel()
+        feature = np.where(rng.random(64) < 0.85, rng.integers(0, len(bins), 64), -1)
+        cut = np.array([rng.integers(0, bins[f]) for f in feature])
+        codes = grow.joint_codes(cells, shape, groups)
+        for level in range(1, grow.LOOKED + 1):
+            node = np.ones(400, dtype=np.int64)
+            for _ in range(level):
+                f = feature[node]
+                node = 2 * node + ((f >= 0) & (bin_of[f, np.arange(400)] > cut[node]))
+            bits = np.full(400, 2**64 - 1, dtype=np.uint64)
+            for table, code in zip(grow.open_nodes(feature, cut, level, shape, groups), codes, strict=True):
+                bits &= table[code]
+            assert [int(b).bit_length() - 1 for b in bits] == (node - (1 << level)).tolist() and all(b & (b - 1) == 0 for b in map(int, bits))
+
+
+def test_only_bins_that_are_there_are_sent(spark):
+    """A feature of two bins beside one of 40: the counts that travel have two bins of the first."""
+    import numpy as np
+
+    from tessera.operators import grow
+    rows = [(float(i % 2), float(i % 40), float(i % 3 == 0)) for i in range(400)]
+    train = spark.createDataFrame(rows, "a double, b double, label double")
+    shape = grow.Shape(2, 2, 80, 2, 3, 4, (2, 40))
+    blocks = grow.write_blocks(train, ["a", "b"], [np.array([0.5]), np.arange(39) + 0.5], 2, 400)
+    feature = np.array([[-1, -2, -1, -1, -1, -1, -1, -1]])
+    sent = [grow.unpacked(r["counts"]) for r in grow.count_level(blocks, shape, feature, feature * 0, 0).collect()]
+    assert {len(c) for c in sent} == {2 * 2 + 40 * 2}
+    total = sum(sent)
+    assert total[:4].sum() == total[4:].sum() > 300
+
+
+def test_scored_rows_keep_their_columns(spark, small):
+    """Large ids beside a missing one stay as they are; probabilities are those of ``transform``."""
+    import numpy as np
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    model = ml.fit_attack_model(data, 9)
+    few = data.orderBy("incident_id").limit(40).withColumn("key", F.when(F.col("incident_id") % 5 != 0, F.col("incident_id") + 2**60 + 1)).localCheckpoint()
+    order = lambda df: sorted(df.collect(), key=lambda r: (r.key or 0, r.incident_id))
+    got = order(ml.forest_predictions(model, few, ["incident_id", "key", "gname"], probability=True))
+    want = order(model.transform(few).select("incident_id", "key", "gname", "probability", "prediction"))
+    assert any(r.key is None for r in got) and [(r.incident_id, r.key, r.gname, r.prediction) for r in got] == [(r.incident_id, r.key, r.gname, r.prediction) for r in want]
+    assert all(np.allclose(a.probability.toArray(), b.probability.toArray(), atol=1e-12) for a, b in zip(got, want, strict=True))
+
+
+def test_folds_grow_side_by_side(spark, small, monkeypatch):
+    """More than one forest is being fitted at a time, and the accuracies are those of folds fitted one by one."""
+    import threading
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    real, now, most, lock = ml.grow_forest, [0], [0], threading.Lock()
+
+    def counted(*args):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        try:
+            return real(*args)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(ml, "grow_forest", counted)
+    got = {r.fold: r.accuracy for r in ml.cross_validate(data, 3, 5).collect()}
+    assert most[0] > 1
+    monkeypatch.setattr(ml, "FITS_AT_ONCE", 1)
+    assert got == {r.fold: r.accuracy for r in ml.cross_validate(data, 3, 5).collect()} and set(got) == {"0", "1", "2", "mean", "std"}
