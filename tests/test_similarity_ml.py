@@ -411,3 +411,21 @@ def test_folds_grow_side_by_side(spark, small, monkeypatch):
     assert most[0] > 1
     monkeypatch.setattr(ml, "FITS_AT_ONCE", 1)
     assert got == {r.fold: r.accuracy for r in ml.cross_validate(data, 3, 5).collect()} and set(got) == {"0", "1", "2", "mean", "std"}
+
+
+def test_binned_forest_without_arrow(spark, small, monkeypatch):
+    """A session that does not exchange tables by Arrow grows the same forest, and neither the split nor the train rows are written again."""
+    data, _, _ = ml.prepared_attack_data(spark.table("incidents"))
+    monkeypatch.setattr(ml, "BINNED_FROM", 1)
+    names, real = [], ml.materialize
+    monkeypatch.setattr(ml, "materialize", lambda df, name: names.append(name) or real(df, name))
+    told = []
+    for arrow in ("true", "false"):
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+        try:
+            told.append(sorted(map(str, ml.forest_nodes(ml.fit_attack_model(data, 5)).collect())))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert told[0] == told[1] and len(told[0]) > 5
+    ml.prepared_attack_data(spark.table("incidents"))
+    assert not {"split", "attack-train"} & set(names) and "class-weights" in names
