@@ -429,3 +429,32 @@ def test_binned_forest_without_arrow(spark, small, monkeypatch):
     assert told[0] == told[1] and len(told[0]) > 5
     ml.prepared_attack_data(spark.table("incidents"))
     assert not {"split", "attack-train"} & set(names) and "class-weights" in names
+
+
+def test_leaves_by_lookup_are_those_of_a_walk():
+    """Ragged trees deeper and shallower than the lookups; values on the cuts, beyond them and missing."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    for depth in (0, 1, 6, 9):
+        rows = []
+        for tree in range(6):
+            todo, new = [(0, 0)], 1
+            while todo:
+                node, level = todo.pop()
+                inner = level < depth and (tree == 0 or rng.random() < 0.8)
+                left = new if inner else -1
+                rows.append((tree, node, rng.random(3).tolist(), left, left + 1 if inner else -1, int(rng.integers(4)) if inner else -1,
+                             [float(rng.integers(9))] if inner else [], -1))
+                if inner:
+                    todo += [(new, level + 1), (new + 1, level + 1)]
+                    new += 2
+        f = ml.Forest(pd.DataFrame(rows, columns=["tree", "node", "shares", "left", "right", "feature", "cut", "categories"]))
+        x = rng.integers(-2, 20, (4, 500)) / 2.0
+        x[rng.random(x.shape) < 0.05] = np.nan
+        for root, (tables, nodes), at in zip(f.root, f.lookups, f.leaves(x), strict=True):
+            walked = np.full((500, 1), root)
+            for _ in range(f.depth):
+                walked = f.step(x.T, walked)
+            assert at.tolist() == walked[:, 0].tolist() and not f.inner[at].any()
+            assert len(nodes) == 1 << min(f.depth, 6) and len(tables) == len(f.groups)
