@@ -280,9 +280,9 @@ def window_centroids(df: DataFrame, window_years: int = 5, eps_km: float = 150.0
     Windows with fewer rows than ``min_samples`` cannot hold a core point and
     so yield no centroid, as in the reference.
     """
-    pts = df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-                    & F.col("iyear").isNotNull())
-    pts = materialize(pts.select("incident_id", "iyear", "latitude", "longitude"), "window-points")
+    pts = materialize(df.select("incident_id", "iyear", "latitude", "longitude"), "window-points")
+    # filtered as they are read: a filter before the write is moved into the joins behind ``df``, which compute its expressions again
+    pts = pts.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("iyear").isNotNull())
     y0 = pts.select(F.min("iyear")).scalar()
     y1 = pts.select(F.max("iyear")).scalar()
     start = y0 + F.floor((F.col("iyear") - y0) / window_years).cast("int") * window_years

@@ -289,3 +289,15 @@ def test_window_points_are_read_once(spark, tmp_path):
     assert not any("/rows/" in f for f in cents.inputFiles())      # the incidents are not computed again
     assert [(r.window_start, r.window_end, r.incidents) for r in cents.orderBy("window_start").collect()] == [(2000, 2004, 44), (2005, 2006, 16)]
     assert not any("window-points" in f for f in cluster.migration_vectors(cents).inputFiles())
+
+
+def test_window_points_are_written_as_they_come(spark, monkeypatch):
+    """No filter on computed coordinates stands before the write, where it would be moved into the joins; the rows without a place still go."""
+    plans, real = {}, cluster.materialize
+    monkeypatch.setattr(cluster, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and real(df, name))
+    ids = spark.createDataFrame([(i, i % 3) for i in range(90)] + [(90, None)], "incident_id long, k long")
+    of = spark.createDataFrame([(k, 2000 + k, 10.0 * k) for k in range(3)], "k long, iyear int, at double")
+    place = lambda c: F.when(F.col("incident_id") % 9 == 0, None).otherwise(F.col("at") + F.lit(c))
+    inc = ids.join(of, "k").select("incident_id", "iyear", place(1.0).alias("latitude"), place(2.0).alias("longitude"))
+    got = {r.cluster: r.incidents for r in cluster.window_centroids(inc, 5, 150.0, 10).collect()}
+    assert got == {0: 30, 1: 30, 2: 20} and "% 9" not in plans["window-points"].split("Join", 1)[1]
